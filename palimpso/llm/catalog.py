@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import decontaminate, language_id, quality, sharding
 
 QUERIES = {
     "op3_quality_cascade": quality.op3,
+    "op4_winnowing": decontaminate.op4,
+    "op9_hyperdimensional_language": language_id.op9,
     "op10_external_shuffle": sharding.op10,
 }
 
