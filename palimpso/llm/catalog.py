@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, quality, sharding
+from . import decontaminate, language_id, packing, quality, sharding, substring, token_counts
 
 QUERIES = {
+    "op1_separator_scan": token_counts.op1,
     "op3_quality_cascade": quality.op3,
     "op4_winnowing": decontaminate.op4,
+    "op7_hilbert_packing": packing.op7,
+    "op8_recompression": substring.op8,
     "op9_hyperdimensional_language": language_id.op9,
     "op10_external_shuffle": sharding.op10,
 }
