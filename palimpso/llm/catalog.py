@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, packing, quality, sharding, substring, token_counts
+from . import decontaminate, language_id, minhash, packing, quality, sharding, substring, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_separator_scan": token_counts.op1,
+    "op2_hyperminhash": minhash.op2,
     "op3_quality_cascade": quality.op3,
     "op4_winnowing": decontaminate.op4,
+    "op5_association_rules": urls.op5,
+    "op6_counterfactual_toxicity": toxicity.op6,
     "op7_hilbert_packing": packing.op7,
     "op8_recompression": substring.op8,
     "op9_hyperdimensional_language": language_id.op9,
