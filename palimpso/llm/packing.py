@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
 from .common import materialize, shuffle_width
-from .tokens import PieceEncoder, vocabulary
+from .tokens import encoder, vocabulary
 
 SEQUENCE = 4096
 END_ID = 2
@@ -76,13 +76,13 @@ def token_points(size: int = 1 << 16) -> np.ndarray:
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, points = PieceEncoder(path), token_points()
+        points = token_points()
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             ids, means = [], np.zeros((len(docs), DIMS), np.float32)
-            for k, text in enumerate(batch.column("text")):
-                ids.append(encoder.encode(text.as_py() or "") + end)
+            for k, own in enumerate(map(encoder(path).encode, batch.column("text").to_pylist())):
+                ids.append(own + end)
                 own = np.frombuffer(ids[-1], "<u2")
                 for at in range(0, len(own), ROW_TOKENS):
                     means[k] += points[own[at : at + ROW_TOKENS]].sum(axis=0)

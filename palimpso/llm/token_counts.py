@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
 from .common import materialize, remove, work_dir
-from .tokens import PieceEncoder, vocabulary
+from .tokens import encoder, vocabulary
 
 END_OF_DOCUMENT = 49407
 FILE_BYTES = 64 << 20
@@ -47,16 +47,16 @@ def open_fs(uri: str):
 def _write(folder: str, tokenizer: str, end_id: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
-        encoder, end = PieceEncoder(tokenizer, plain_specials=True), np.array([end_id], "<u2").tobytes()
+        end = np.array([end_id], "<u2").tobytes()
         stem, number, out, size, ordinal, name = uuid.uuid4().hex, 0, None, 0, 0, ""
         try:
             for batch in batches:
                 names, ordinals = [], []
-                for text in batch.column("text"):
+                for ids in map(encoder(tokenizer, plain_specials=True).encode, batch.column("text").to_pylist()):
                     if out is None:
                         name, size, ordinal = f"{stem}-{number:05d}.bin", 0, 0
                         out = fs.open_output_stream(f"{base}/{name}")
-                    ids = encoder.encode(text.as_py() or "") + end
+                    ids += end
                     out.write(ids)
                     names.append(name)
                     ordinals.append(ordinal)

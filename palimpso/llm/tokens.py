@@ -1,18 +1,24 @@
 """Token ids of whole texts, with a cache of the ids of whitespace-separated pieces.
 
 The vocabulary file drops white space before its merges, so a text's ids are those of its pieces
-one after another, and a piece is encoded once for each task.  Texts with the few characters that
-Python takes for white space and the vocabulary does not are encoded whole.
+one after another, and a piece is encoded once for each worker while its cache lasts.  Texts with the
+few characters that Python takes for white space and the vocabulary does not are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
-CACHE_PIECES = 400_000
+import numpy as np
+
+CACHE_PIECES = 700_000
 CACHE_LENGTH = 48
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+#: the characters that stand for bytes above 0x7F in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on
+BYTES = {b: 0xFF + k for k, b in enumerate([*range(0x7F, 0xA1), 0xAD], 34)}
 #: white space to ``str.split`` only
-ODD = "\x1c\x1d\x1e\x1f"
+ODD = re.compile("[\x1c-\x1f]")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -21,38 +27,69 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
-    """Ids as bytes: little-endian unsigned 16-bit numbers, so the vocabulary must have at most 65,536 ids."""
+class PieceEncoder(dict):
+    """Ids as bytes: little-endian unsigned 16-bit numbers, so the vocabulary must have at most 65,536 ids.
+
+    As a dictionary it holds the ids of pieces met before, and works out those of others.
+    """
 
     def __init__(self, path: str, plain_specials: bool = False):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
+        self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        for c in ODD:
-            if c in text:
-                return self._ids([text])[0]
-        pieces, known = text.split(), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list(set(pieces))
-        extra = {}
-        for p, ids in zip(new, self._ids(new), strict=True):
-            (known if len(p) <= CACHE_LENGTH and len(known) < CACHE_PIECES else extra)[p] = ids
-        return b"".join([known[p] if p in known else extra[p] for p in pieces])
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _plain(self, piece: str) -> bytes | None:
+        """Ids of Latin letters with punctuation behind them, straight from the merges; None for anything else.
+
+        Such a piece is already in normal form but for its case, and letters and punctuation are merged apart.
+        """
+        m = PLAIN.fullmatch(piece)
+        if m is None:
+            return None
+        out = []
+        for part in m.groups():
+            if part:
+                part = part.lower()
+                if not part.isascii():
+                    part = part.encode().decode("latin-1").translate(BYTES)
+                out += [t.id for t in self.model.tokenize(part)]
+        return np.array(out, "<u2").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > CACHE_LENGTH:
+            return self.whole(piece)
+        ids = self._plain(piece)
+        self[piece] = ids = self.whole(piece) if ids is None else ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of the text; null reads as empty."""
+        if not text:
+            return b""
+        if ODD.search(text):
+            return self.whole(text)
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        if text.isascii():
+            text = text.lower()  # as the vocabulary does
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder(path: str, plain_specials: bool = False) -> PieceEncoder:
+    """One encoder for each worker process: its cache outlives a task."""
+    key = (path, plain_specials)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(path, plain_specials)
+    return _encoders[key]
