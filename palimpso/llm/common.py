@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -25,19 +28,45 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written by ``materialize`` and not yet discarded, by the application that wrote them.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that no later result reads."""
+    for t in tables:
+        own = _written.get(t.sparkSession.sparkContext.applicationId, [])
+        if (path := getattr(t, "_written_to", None)) in own:
+            own.remove(path)
+            remove(path, t.sparkSession)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table of this application; only between steps whose results have been written elsewhere."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        remove(path, spark)
 
 
-def remove(df_or_path, spark: SparkSession) -> None:
+def remove(path: str, spark: SparkSession) -> None:
     """Delete a folder below the shared one through the file system that Spark itself uses."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_or_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _pairs(u, v):
@@ -34,8 +34,12 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     now = materialize(links.filter(F.col(u) != F.col(v)).select(*_pairs(F.col(u), F.col(v))).distinct(), "links")
     mark = None
     while True:
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "links")
+        before = now
+        now = materialize(_small_star(_large_star(before).distinct()).distinct(), "links")
+        discard(before)
         new = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._written_to = now._written_to
+            return out
         mark = new

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
 from . import words as W
-from .common import materialize
+from .common import discard, materialize
 
 U = np.uint64
 WINDOW = 35
@@ -184,20 +184,35 @@ def document_key(key: str, text: str):
     return F.xxhash64(F.col(key), F.col(text))
 
 
-def _met_twice(rows: DataFrame, by: str) -> DataFrame:
-    """Rows (``by``, key, place) whose ``by`` occurs twice or more, as (key, places)."""
-    shared = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(by)
-    return rows.join(shared, by).groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+def _met_twice(rows: DataFrame, by: str, name: str, places) -> DataFrame:
+    """Where the values of ``by`` stand that occur twice or more: key and ``places`` of the sorted places, as a table."""
+    # a table, so that Spark can split the join where one hash has many rows
+    shared = materialize(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(by), f"shared-{by}")
+    found = rows.join(shared, by).groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    out = materialize(found.select("key", places.alias("places")), name)
+    discard(rows, shared)
+    return out
+
+
+def _ranges():
+    """First and last of every run of consecutive places, in turn."""
+    p = F.col("places")
+    edge = lambda x, i: F.concat(
+        F.when(F.coalesce(F.get(p, i - 1) != x - 1, F.lit(True)), F.array(x)).otherwise(F.array().cast("array<int>")),
+        F.when(F.coalesce(F.get(p, i + 1) != x + 1, F.lit(True)), F.array(x)).otherwise(F.array().cast("array<int>")),
+    )
+    return F.flatten(F.transform(p, edge))
 
 
 def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """``key`` (see ``document_key``) and ``places``: first words, in order, of all windows that occur twice or more."""
+    """``key`` (see ``document_key``) and ``places``: first words of windows that occur twice or more, as first and last of each run."""
     ship_code(docs.sparkSession)
     sent = docs.select(document_key(key, text).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= 2 * window - 1)
     anchors = materialize(sent.mapInArrow(_anchors(window), "context long, key long, place int"), "anchors")
-    shared = materialize(_met_twice(anchors, "context"), "shared-anchors")
+    shared = _met_twice(anchors, "context", "shared-anchors", F.col("places"))
     windows = materialize(sent.join(shared, "key").select("key", "text", "places").mapInArrow(_windows(window), "content long, key long, place int"), "windows")
-    return materialize(_met_twice(windows, "content"), "repeats")
+    discard(shared)
+    return _met_twice(windows, "content", "repeats", _ranges())
 
 
 REST = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
@@ -212,9 +227,9 @@ def _remove(window: int, with_text: bool):
                 out[0].append(len(words))
                 if places.is_valid:
                     mark = np.zeros(len(words) + 1, np.int32)
-                    starts = places.values.to_numpy(zero_copy_only=False)
-                    mark[starts] += 1
-                    np.subtract.at(mark, starts + window, 1)
+                    runs = places.values.to_numpy(zero_copy_only=False)
+                    mark[runs[::2]] += 1
+                    np.subtract.at(mark, runs[1::2] + window, 1)
                     keep = np.cumsum(mark[:-1]) == 0
                     words = [words[i] for i in np.flatnonzero(keep)]
                 rest = b" ".join(words)
