@@ -1,0 +1,108 @@
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from palimpso.operators import documents as D
+from palimpso.operators import evaluate as E
+from palimpso.operators import retrieval as R
+from palimpso.operators import verify as C
+from palimpso.operators import versions as V
+
+OPS = "operation_id string,target_document_id string,source_document_id string,source_location string,target_location string,target_level string,change string,effective_date date,source_issued_date date,target_component string,replacement_text string,old_text string,new_text string,targets array<string>"
+
+
+def version(loc, text):
+    key = "D|" + V.identity(loc)
+    return (key, 1, key + "|V1", "D", loc, text, date(2020, 1, 1), None, True, None, None, [], None)
+
+
+def op(i, loc, level, change, day, **more):
+    row = dict(operation_id=i, target_document_id="D", source_document_id="S", source_location="Điều 9", target_location=loc, target_level=level, change=change, effective_date=day) | more
+    return tuple(row.get(c.split()[0]) for c in OPS.split(","))
+
+
+def amended(spark, ops, versions=None):
+    rows = [version("Điều 1", "## Điều 1. A\nmở đầu"), version("Điều 1 > Khoản 1", "### Khoản 1. x\na) một\nb) hai\ne) năm"), version("Điều 1 > Khoản 2", "### Khoản 2. cụm từ cũ"), version("Điều 2", "## Điều 2. B\nnội dung")]
+    before = versions if versions is not None else spark.createDataFrame(rows, V.VERSIONS.replace(", error string", ""))
+    return V.apply_operations(before, spark.createDataFrame(ops, OPS))
+
+
+def test_every_kind_of_amendment(spark):
+    ops = [
+        op("1", "Điều 1 > Khoản 1 > Điểm đ", "diem", "bo_sung", date(2021, 1, 1), replacement_text="đ) mới"),
+        op("2", "Điều 1 > Khoản 2", "khoan", "sua_doi_cum_tu", date(2021, 2, 1), old_text="cũ", new_text="mới cũ"),
+        op("3", "Điều 2", "dieu", "bai_bo", date(2022, 1, 1)),
+        op("4", "Điều 7 > Khoản 1", "khoan", "sua_doi", date(2022, 1, 1), replacement_text="x"),
+        op("5", "Điều 1", "dieu", "sua_doi", date(2023, 1, 1), replacement_text="“Điều 1. Mới\n1. một\n3. Ba”."),
+        op("6", "Điều 1", "dieu", "sua_doi", date(2023, 6, 1), target_component="title", replacement_text="Điều 1. Tên khác"),
+    ]
+    out = amended(spark, ops).cache()
+    rows = {r.version_id: r for r in out.filter("error is null").collect()}
+    assert rows["D|DIEU_1|KHOAN_1|V2"].provision_content.split("\n\n") == ["### Khoản 1. x\na) một\nb) hai", "đ) mới", "e) năm"]
+    assert rows["D|DIEU_1|KHOAN_2|V2"].provision_content.endswith("mới cũ") and rows["D|DIEU_1|KHOAN_2|V2"].valid_to == date(2023, 1, 1)
+    assert "[Đã bãi bỏ theo Điều 9 S" in rows["D|DIEU_2|V2"].provision_content
+    assert rows["D|DIEU_1|KHOAN_3|V1"].valid_from == date(2023, 1, 1)
+    assert rows["D|DIEU_1|V3"].provision_content == "## Điều 1. Tên khác"
+    assert [r.version_id for r in out.filter("error is not null").collect()] == ["4"]
+    # intervals of a key never overlap, and applying once more changes nothing
+    for r in rows.values():
+        if r.superseded_by_version_id in rows:
+            assert r.valid_to == rows[r.superseded_by_version_id].valid_from or r.provision_key not in r.superseded_by_version_id
+    again = amended(spark, ops, out.filter("error is null").drop("error"))
+    assert {r.version_id for r in again.filter("error is null").collect()} == set(rows)
+
+
+def test_many_scopes_equal_few(spark):
+    versions = spark.createDataFrame([("k", v, date(2020 + v, 3, 1), date(2021 + v, 3, 1) if v < 3 else None) for v in range(4)] + [("e", 1, date(2021, 5, 5), date(2021, 5, 5))], "provision_key string, version int, valid_from date, valid_to date")
+    scopes = spark.createDataFrame([(1, "exact_date", date(2021, 6, 1), date(2021, 6, 1)), (2, "date_range", date(2020, 1, 1), date(2022, 12, 31)), (3, "year", date(2019, 1, 1), date(2019, 12, 31))], "scope_id int, kind string, low date, high date")
+    few = sorted((r.scope_id, r.version) for r in V.select_versions(versions, scopes).collect())
+    many = sorted((r.scope_id, r.version) for r in V.newest_in_points(V.join_scopes(versions, scopes, broadcast_rows=0)).collect())
+    assert few == many == [(1, 1), (2, 0), (2, 1), (2, 2)]
+
+
+def test_provisions_and_points(spark):
+    docs = spark.createDataFrame([("D", "Điều 1. A\nmở\n1. Một\n2. " + "Hai. " * 200)], "document_id string, text string")
+    rows = D.provisions(D.from_plain_text(docs)).collect()
+    assert {r.location_label for r in rows} == {"Điều 1", "Điều 1 > Khoản 1", "Điều 1 > Khoản 2"}
+    own = spark.createDataFrame([("D|1", "D", None, "x"), ("D|2", "D", date(2020, 1, 1), "y " * 600)], "version_id string, document_id string, valid_from date, provision_content string")
+    points = D.points(own).collect()
+    assert [p.sub_chunk_index for p in points if p.version_id == "D|1"] == [None]
+    assert all(p.chunk_size <= 500 for p in points) and len({p.point_id for p in points}) == len(points)
+
+
+def test_search_loop_and_evidence(spark):
+    facts = spark.createDataFrame([("T1", "F1"), ("T1", "F2")], "task_id string, fact_id string")
+    evaluations = spark.createDataFrame([("F1", "covered", 1), ("F1", "missing_evidence", 2), ("F2", "covered", 3), ("F9", "covered", 4)], "fact_id string, status string, position int")
+    candidates = C.labelled(spark.createDataFrame([("T1", 1, "một hai ba")], "task_id string, position int, text string"))
+    evidence = C.supported(spark.createDataFrame([("T1", "F1", "C1", "MỘT hai"), ("T1", "F2", "C7", "một")], "task_id string, fact_id string, label string, support_span string"), candidates)
+    assert [(r.fact_id, r.support_span) for r in evidence.collect()] == [("F1", "một hai")]
+    out = C.evaluate_facts(facts, evaluations, evidence)
+    assert {r.fact_id: r.status for r in out.collect()} == {"F1": "covered", "F2": "missing_evidence"}
+    assert C.next_round(facts.withColumn("status", F.lit("missing_evidence")), out, 1).first().decision == "retry_progress"
+    assert C.next_round(out, out, 3).first().decision == "stop_rounds"
+
+
+def test_structured_retrieval_finds_the_right_article(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for a in range(1, 9):
+        for k in range(0, 4):
+            words = f"thuế điều{a} khoản{k} nội dung riêng a{a}k{k}"
+            rows.append((a * 10 + k, f"D|{a}|{k}|V1", "D", f"Điều {a}" + (f" > Khoản {k}" if k else ""), None, words, words, rng.standard_normal(4).tolist()))
+    points = spark.createDataFrame(rows, "point_id long, version_id string, document_id string, location_label string, sub_chunk_index int, content string, provision_content string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "điều3 khoản2 a3k2", rows[10][-1])], "query_id long, text string, embedding array<double>")
+    facts = spark.createDataFrame([(1, "a3k2")], "query_id long, fact string")
+    out = R.structured_retrieve(points, queries, facts).orderBy("position").collect()
+    assert out[0].location_label == "Điều 3 > Khoản 2"
+    assert "Điều 3" in {r.location_label for r in out} and len({r.version_id for r in out}) == len(out)
+
+
+def test_metrics(spark):
+    cases = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    ranked = spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], "case_id string, ident string, position int")
+    qrels = spark.createDataFrame([("a", "y", 2), ("a", "z", 1)], "case_id string, ident string, relevance int")
+    got = {r.case_id: r for r in E.ranking_metrics(cases, ranked, qrels).collect()}
+    assert (got["a"].recall, got["a"].precision) == (0.5, 0.5) and 0 < got["a"].ndcg < 1
+    assert (got["b"].recall, got["b"].precision, got["b"].ndcg) == (0, 0, 0)
