@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_A_FILE = 5_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -32,9 +33,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
+
+    With a bound on its rows, a small table is written in few files.
+    """
     spark = df.sparkSession
+    if at_most is not None and (n := max(1, -(-at_most // ROWS_A_FILE))) < shuffle_width(spark):
+        df = df.coalesce(n)
     path = work_dir(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffles again

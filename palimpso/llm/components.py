@@ -29,13 +29,16 @@ def _small_star(links: DataFrame) -> DataFrame:
     return joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
-    """``node`` and ``root``, the least node it is linked with; nodes that are their own root are left out."""
-    now = materialize(links.filter(F.col(u) != F.col(v)).select(*_pairs(F.col(u), F.col(v))).distinct(), "links")
+def components(links: DataFrame, u: str = "a", v: str = "b", at_most: int | None = None) -> DataFrame:
+    """``node`` and ``root``, the least node it is linked with; nodes that are their own root are left out.
+
+    ``at_most`` bounds the links, if that is known.
+    """
+    now = materialize(links.filter(F.col(u) != F.col(v)).select(*_pairs(F.col(u), F.col(v))).distinct(), "links", at_most)
     mark = None
     while True:
         before = now
-        now = materialize(_small_star(_large_star(before).distinct()).distinct(), "links")
+        now = materialize(_small_star(_large_star(before).distinct()).distinct(), "links", at_most)
         discard(before)
         new = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:

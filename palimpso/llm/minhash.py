@@ -2,9 +2,10 @@
 
 A text's set of word shingles is dealt by leading hash bits into 128 buckets; a bucket's register
 keeps the least hash there as a count of leading zeros and 10 mantissa bits (2 bytes instead of 8).
-Equal registers estimate Jaccard similarity once the expected number of chance collisions is taken
-off.  Four registers make a band; two texts that share a band of which not all registers are empty
-are candidates.  With 32 bands a pair at the threshold of 0.85 shares none with probability
+A bucket without a shingle borrows the value of another one (in an order of its own), so that registers
+are equal as often as sets are similar even for sets of a few shingles.  Equal registers estimate Jaccard
+similarity once the expected number of chance collisions is taken off.  Four registers make a band;
+two texts that share a band are candidates.  With 32 bands a pair at the threshold of 0.85 shares none with probability
 6e-11 (5e-8 at 0.8).  What the estimate leaves (six standard errors below the threshold) is verified
 on the full sets.
 
@@ -13,9 +14,11 @@ Work stays in proportion to the input:
 * texts with equal sets are one class, found by a digest of the set; only classes are compared;
 * round 1 compares each class with one hub in each of its bands, the member that shares most bands with
   others (the common original of many edited copies, usually); links give components;
-* round 2 takes the bands that still hold several components, and compares across them.  Small bands
-  are paired in full.  In large ones only the members outside the largest component meet the rest,
-  in blocks whose registers are compared as arrays, and only likely links come out.
+* round 2 takes the large bands that still hold several components: members outside the largest one
+  are compared with everyone, in blocks, by their 512 least shingles (the whole set, mostly), and one
+  link a component comes out;
+* round 3 takes what is left between components: small bands are paired in full, and larger sets in large
+  bands that an estimate could not rule out are verified.
 
 So no link between different texts is lost, but no group is expanded into its pairs.
 
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
 from . import words as W
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 U = np.uint64
@@ -48,6 +51,10 @@ BAND = 4
 SMALL_BAND = 64
 BLOCK = 512
 ERRORS = 6
+BEST = 2
+LOWEST = 512
+#: 8 bytes each, some 100 MB in a hash table
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(g: W.Words, size: int) -> Iterator[np.ndarray]:
@@ -62,11 +69,12 @@ def shingle_sets(g: W.Words, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
+LENDERS = np.random.default_rng(13).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
 EDGES = np.arange(REGISTERS, dtype=U) << U(64 - REGISTER_BITS)
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of registers a set: 0 for an empty bucket, else (leading zeros + 1) and mantissa of its least hash."""
+    """One row of registers a set: (leading zeros + 1) and mantissa of each bucket's least hash; all 0 for an empty set."""
     least = np.zeros((len(sets), REGISTERS), U)
     full = np.zeros((len(sets), REGISTERS), bool)
     for k, s in enumerate(sets):
@@ -75,25 +83,34 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
             value = s[np.minimum(at, len(s) - 1)]
             full[k] = (at < len(s)) & (value >> U(64 - REGISTER_BITS) == np.arange(REGISTERS, dtype=U))
             least[k] = value
+    # an empty bucket borrows from the first full one in a random order of its own, the same for all sets
+    for k in np.flatnonzero(full.any(axis=1) & ~full.all(axis=1)):
+        gaps = np.flatnonzero(~full[k])
+        least[k, gaps] = least[k, LENDERS[gaps, full[k][LENDERS[gaps]].argmax(axis=1)]]
+        full[k] = True
     rest = least << U(REGISTER_BITS)
     zeros = np.minimum(53 - np.frexp((rest >> U(11)).astype(np.float64))[1], 64 - REGISTER_BITS).astype(U)
     mantissa = (rest << zeros << U(1)) >> U(64 - MANTISSA)
     return np.where(full, (zeros + U(1)) << U(MANTISSA) | mantissa, U(0)).astype("<u2")
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard similarity by equal registers less expected chance collisions, and how many registers it rests on."""
-    used = ((a > 0) | (b > 0)).sum(axis=-1)
-    equal = ((a == b) & (a > 0)).sum(axis=-1)
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity: the share of equal registers less the expected chance collisions."""
+    equal = (a == b).sum(axis=-1)
     ratio = np.maximum(n, m) / np.maximum(np.minimum(n, m), 1)
     # expected collisions of registers for disjoint sets (the closed form of the HyperMinHash paper)
     chance = 0.169919487159739093975 * 2.0 ** (REGISTER_BITS - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-    return np.maximum(0, equal - chance) / np.maximum(used, 1), used
+    return np.maximum(0, equal - chance) / REGISTERS
 
 
 def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    j, used = estimate(a, b, n, m)
-    return j >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
+    """Not to be ruled out: sizes allow the similarity, and the estimate is within six standard errors of it.
+
+    A set of few shingles fills few buckets, and only those count for the error.
+    """
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    filled = np.maximum(1, REGISTERS * (1 - np.exp(-low / REGISTERS)))
+    return (low >= threshold * high) & (estimate(a, b, n, m) >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / filled) - 1 / filled)
 
 
 def _sketch(size: int):
@@ -154,17 +171,63 @@ def _verify(percent: int):
     return run
 
 
-def _across(threshold: float):
-    """Likely links between the members of one block and members of other components."""
+def _lowest(size: int):
+    """The ``LOWEST`` least shingles of each text: the whole set, if it is no larger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in W.groups(batch.column("text"), W.PLAIN, fold=True):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(g.first, g.last - g.first), pa.array([s[:LOWEST].tobytes() for s in shingle_sets(g, size)], pa.binary())], ["cid", "lowest"])
+
+    return run
+
+
+def _across(percent: int, decided: bool):
+    """Links between the members of one block and members of other components, from their least shingles.
+
+    Whole sets are compared exactly, and of a member's links with one component the best is given.  Larger
+    sets are estimated; those that can't be ruled out are left to verification: of each member the
+    ``BEST`` ones at first, and all of them if ``decided`` says that whole sets have been dealt with.
+    """
+    threshold = percent / 100
 
     def run(key, members: pd.DataFrame, minor: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(members) and len(minor):
-            sigs, n = _stack(members["sig"]), members["n_shingles"].to_numpy()
-            for row in minor.itertuples():
-                ok = likely(np.frombuffer(row.sig, "<u2")[None, :], sigs, np.array([row.n_shingles]), n, threshold) & (members["comp"].to_numpy() != row.comp)
-                out += [(min(row.cid, x), max(row.cid, x)) for x in members["cid"].to_numpy()[ok].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        out: list[tuple[int, int]] = []
+        if not len(members) or not len(minor):
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        n, ids, comps = members["n_shingles"].to_numpy(), members["cid"].to_numpy(), members["comp"].to_numpy()
+        lows = [np.frombuffer(x, U) for x in members["lowest"]]
+        owner = np.repeat(np.arange(len(lows)), [len(x) for x in lows])
+        every = np.concatenate(lows)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        cut = np.array([x[-1] for x in lows])
+        whole = n <= LOWEST
+        for row in minor.itertuples():
+            own = np.frombuffer(row.lowest, U)
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            fits = (np.minimum(n, row.n_shingles) >= threshold * np.maximum(n, row.n_shingles)) & (comps != row.comp)
+            hits = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(owner[hits], minlength=len(lows))
+            exact = whole & (row.n_shingles <= LOWEST)
+            if not decided:
+                linked = np.flatnonzero(fits & exact & (100 * both >= percent * (n + row.n_shingles - both)))
+                linked = linked[np.argsort(-both[linked], kind="stable")]
+                linked = linked[np.unique(comps[linked], return_index=True)[1]]
+                out += [(min(row.cid, x), max(row.cid, x)) for x in ids[linked].tolist()]
+            for k in np.flatnonzero(fits & ~exact):
+                # shingles up to the lower of the two ends are a random part of the union
+                end = min(cut[k] if not whole[k] else own[-1], own[-1] if row.n_shingles > LOWEST else cut[k])
+                a, b = np.searchsorted(own, end, "right"), np.searchsorted(lows[k], end, "right")
+                same = len(np.intersect1d(own[:a], lows[k][:b], assume_unique=True))
+                union = a + b - same
+                if same < (threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / union)) * union - 1:
+                    fits[k] = False
+            open_ = np.flatnonzero(fits & ~exact)
+            if not decided:
+                open_ = open_[np.argsort(-both[open_], kind="stable")[:BEST]]
+            out += [(min(row.cid, x), max(row.cid, x)) for x in ids[open_].tolist()]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -184,10 +247,12 @@ class NearDuplicates:
         classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
         self.classes = classes
         links = self._links(classes).unionByName(self._repeated_ids(usable, classes))
-        roots = components(links)
+        roots = components(links, at_most=2 * (self.most + links.count()))
         out = sketches.join(classes.select("digest", "cid"), "digest", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
         own = F.when(F.col("n_shingles") > 0, F.coalesce("root", "cid"))
-        return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("doc_id"))).alias("component_id"))
+        final = materialize(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("doc_id"))).alias("component_id")), "groups")
+        discard(sketches, classes, roots, *self.links)
+        return final
 
     def _repeated_ids(self, usable: DataFrame, classes: DataFrame) -> DataFrame:
         """Links between classes that hold rows of one id."""
@@ -198,53 +263,96 @@ class NearDuplicates:
 
     def _links(self, classes: DataFrame) -> DataFrame:
         n = REGISTERS // BAND
-        part = lambda i: F.substring("sig", 2 * BAND * i + 1, 2 * BAND)
-        empty = F.lit(bytes(2 * BAND))
-        keys = F.array(*[F.when(part(i) != empty, F.xxhash64(F.lit(i), part(i))) for i in range(n)])
-        bands = classes.select("cid", F.explode(F.array_compact(keys)).alias("band"))
-        full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * BAND * i + 1, 2 * BAND)) for i in range(n)])
+        bands = classes.select("cid", "n_shingles", F.explode(keys).alias("band"))
+        # sides with a row for each key are tables, so that a join with a hot key can be split
+        full = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "full-bands")
         shared = materialize(bands.join(full, "band"), "shared-bands")
+        self.most = shared.count()  # bounds what follows
 
+        # round 1: everyone meets a hub
         weight = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
         hub = shared.join(weight, "cid").groupBy("band").agg(F.max(F.struct("weight", (-F.col("cid")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("hub"))
-        near_hub = shared.join(hub, "band").filter("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-        tried = materialize(self._likely(near_hub), "candidates-1")
-        links = materialize(self._verified(tried), "links-1")
-
-        rest = materialize(self._across_components(shared, components(links)).join(tried, ["a", "b"], "left_anti"), "candidates-2")
-        return links.unionByName(materialize(self._verified(rest), "links-2"))
+        hubs = materialize(hub, "hubs", self.most)
+        near_hub = shared.join(hubs, "band").filter("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+        tried = materialize(self._likely(near_hub), "candidates-1", self.most)
+        discard(full, hubs)
+        self.links = [self._verified(tried)]
+
+        # round 2: in large bands, who is outside the largest component meets everyone by their least shingles
+        mixed = self._mixed(shared)
+        self.links.append(self._large(mixed, tried, False))
+        discard(mixed)
+
+        # round 3: small bands in full, and large sets in large bands that couldn't be ruled out
+        mixed = self._mixed(shared)
+        rest = materialize(self._likely(self._small(mixed).join(tried, ["a", "b"], "left_anti")), "candidates-3", self.small_band * self.most // 2)
+        self.links += [self._verified(rest), self._large(mixed.filter(F.col("n_shingles") > self.threshold * LOWEST), tried, True)]
+        discard(mixed, rest, tried, shared)
+        return self._all_links()
+
+    def _all_links(self) -> DataFrame:
+        out = self.links[0]
+        for more in self.links[1:]:
+            out = out.unionByName(more)
+        return out
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_filter_likely(self.threshold), "a long, b long").distinct()
 
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """The documents with these ids.  Up to ``BROADCAST_IDS`` of them (they are counted) go to every task, so that no text is shuffled."""
+        listed = materialize(ids, "ids", self.most)
+        few = listed.count() <= BROADCAST_IDS
+        return self.docs.join(F.broadcast(listed) if few else listed, "doc_id")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialize(self.docs.join(ids, "doc_id").mapInArrow(_sets(self.shingle), "doc_id long, shingles binary"), "sets")
+        sets = materialize(self._texts(ids).mapInArrow(_sets(self.shingle), "doc_id long, shingles binary"), "sets")
         side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long").distinct()
-
-    def _across_components(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """Likely pairs in bands that hold members of several components."""
-        of = shared.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("band", "cid", "size", F.coalesce("root", "cid").alias("comp"))
-        mixed = of.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band")
-        rows = materialize(of.join(mixed, "band"), "mixed-bands")
-
-        small = rows.filter(F.col("size") <= self.small_band).select("band", "cid", "comp")
+        out = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long").distinct()
+        out = materialize(out, "links", pairs.count())
+        discard(sets)
+        return out
+
+    def _mixed(self, shared: DataFrame) -> DataFrame:
+        """Rows of the bands that hold members of several components (by the links so far), with their component."""
+        links = self._all_links()
+        roots = components(links, at_most=2 * links.count())
+        of = materialize(shared.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("band", "cid", "n_shingles", "size", F.coalesce("root", "cid").alias("comp")), "components", self.most)
+        mixed = materialize(of.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band"), "mixed", self.most)
+        out = materialize(of.join(mixed, "band"), "mixed-bands", self.most)
+        discard(roots, of, mixed)
+        return out
+
+    def _small(self, mixed: DataFrame) -> DataFrame:
+        """All pairs of different components in bands of a bounded size."""
+        small = mixed.filter(F.col("size") <= self.small_band).select("band", "cid", "comp")
         other = small.select("band", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = small.join(other, "band").filter("cid < b and comp != comp_b").select(F.col("cid").alias("a"), "b").distinct()
-
-        # large bands: who is outside the largest component meets everyone, block by block
-        large = rows.filter(F.col("size") > self.small_band)
+        return small.join(other, "band").filter("cid < b and comp != comp_b").select(F.col("cid").alias("a"), "b").distinct()
+
+    def _large(self, mixed: DataFrame, tried: DataFrame, decided: bool) -> DataFrame:
+        """Links in the other bands: who is outside a band's largest component against everyone, block by block."""
+        large = materialize(mixed.filter(F.col("size") > self.small_band), "large-bands", self.most)
+        if large.isEmpty():
+            discard(large)
+            return mixed.sparkSession.createDataFrame([], "a long, b long")
         parts = large.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-        largest = parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top")).select("band", F.col("top.comp").alias("top"))
+        largest = materialize(parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top")).select("band", F.col("top.comp").alias("top")), "largest", self.most // self.small_band)
+        ids = large.select(F.col("cid").alias("doc_id")).distinct()
+        lowest = materialize(self._texts(ids).mapInArrow(_lowest(self.shingle), "cid long, lowest binary").filter("length(lowest) > 0"), "lowest")
         blocks = F.ceil(F.col("size") / self.block).cast("int")
-        signed = large.join(largest, "band").join(self.classes.select("cid", "n_shingles", "sig"), "cid")
-        members = signed.select("band", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), "cid", "comp", "n_shingles", "sig")
-        minor = signed.filter("comp != top").select(F.col("band").alias("band"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(c) for c in ("cid", "comp", "n_shingles", "sig")])
-        across = members.groupBy("band", "block").cogroup(minor.groupBy("band", "block")).applyInPandas(_across(self.threshold), "a long, b long")
-        return self._likely(pairs).unionByName(across).distinct()
+        signed = large.join(largest, "band").join(lowest, "cid")
+        names = ("cid", "comp", "n_shingles", "lowest")
+        members = signed.select("band", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), *names)
+        minor = signed.filter("comp != top").select(F.col("band").alias("band"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(c) for c in names])
+        found = members.groupBy("band", "block").cogroup(minor.groupBy("band", "block")).applyInPandas(_across(self.percent, decided), "a long, b long").distinct()
+        open_ = materialize(found.join(tried, ["a", "b"], "left_anti"), "candidates-2")
+        out = self._verified(open_)
+        discard(large, largest, lowest, open_)
+        return out
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
