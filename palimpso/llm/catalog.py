@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash, packing, quality, sharding, substring, token_counts, toxicity, urls
+from . import decontaminate, language_id, minhash, oracles, packing, quality, sharding, substring, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_separator_scan": token_counts.op1,
@@ -17,4 +17,10 @@ QUERIES = {
     "op10_external_shuffle": sharding.op10,
 }
 
-ORACLES: dict[str, str] = {}
+#: None for the others: a tokenizer, mined or trained models, and random orders are beyond SQL.
+ORACLES = {
+    "op2_hyperminhash": oracles.OP2,
+    "op3_quality_cascade": oracles.OP3,
+    "op4_winnowing": oracles.OP4,
+    "op8_recompression": oracles.OP8,
+}
