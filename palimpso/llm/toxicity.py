@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
 from . import words as W
+from .common import carry, text_of
 from .language_id import fold
 
 TRAIN_DOCS = 8000
@@ -92,8 +93,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = features(g.hashes)
             for s, e in zip(g.offsets[:-1].tolist(), g.offsets[1:].tolist(), strict=True):
                 rows.append(np.unique(f[s:e]))
-                swaps.append([x.tolist() for x in counterfactuals(rows[-1], kinds)])
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "swaps"])
+                swaps.append([x.astype("<i4").tobytes() for x in counterfactuals(rows[-1], kinds)])
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], ["toxic", "own", "swaps"])
 
 
 class Design:
@@ -172,13 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     # the rate bounds the sample; a table of ids that is larger for any reason is joined by a shuffle
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = texts.join(F.broadcast(sample) if n <= 4 * train_docs else sample, "key").select("toxic", "text")
-    got = rows.mapInArrow(_extract, "toxic int, own array<int>, swaps array<array<int>>").collect()
-    got.sort(key=lambda r: (r["toxic"], r["own"]))  # the same model whatever the order of arrival
-    return train([r["own"] for r in got], [r["swaps"] for r in got], np.array([r["toxic"] for r in got], float))
+    got = rows.mapInArrow(_extract, "toxic int, own binary, swaps array<binary>").collect()
+    got = sorted((r["toxic"], bytes(r["own"]), [bytes(x) for x in r["swaps"]]) for r in got)  # the same model whatever the order of arrival
+    ids = lambda x: np.frombuffer(x, "<i4")
+    return train([ids(own) for _, own, _ in got], [[ids(x) for x in swaps] for _, _, swaps in got], np.array([toxic for toxic, _, _ in got], float))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """``row`` (the document as a struct) and ``score``."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the document's columns, or those in ``keep``, as a struct) and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +190,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         width = max(1, len(chosen))
         for batch in batches:
             scores = []
-            for g in W.groups(batch.column("text"), W.ALNUM, fold=True):
+            for g in W.groups(text_of(batch, text), W.ALNUM, fold=True):
                 p = place[features(g.hashes)]
                 at = np.flatnonzero(p >= 0)
                 doc = np.searchsorted(g.offsets, at, "right") - 1
@@ -198,7 +200,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column("row"), out], ["row", "score"])
 
-    sent = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    sent = carry(docs, text, keep)
     return sent.mapInArrow(run, T.StructType([sent.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
@@ -207,4 +209,4 @@ def op6(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.filter(fold(F.col("doc_id"), FOLDS) != 1))
     held_out = (fold(F.col("row.doc_id"), FOLDS) == 1).alias("held_out")
-    return score(docs, model).select(F.col("row.doc_id").alias("doc_id"), held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model, keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
