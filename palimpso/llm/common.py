@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 ROWS_A_FILE = 5_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,18 +45,34 @@ def materialize(df: DataFrame, name: str, at_most: int | None = None) -> DataFra
     if at_most is not None and (n := max(1, -(-at_most // ROWS_A_FILE))) < shuffle_width(spark):
         df = df.coalesce(n)
     path = work_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffles again
+    # nothing reads this query's shuffles again; and small batches keep Python workers small
+    wanted = {CLEANUP: "true", BATCH: str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+def carry(docs: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
+    """``row``: the columns to keep (all, by default) as one struct, so that their names can't clash with others; and ``text``, unless the row has it."""
+    names = docs.columns if keep is None else keep
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    return docs.select(row) if text in names else docs.select(row, F.col(text).alias("text"))
+
+
+def text_of(batch, text: str):
+    """The text column of a batch made by ``carry``; it crosses to Python once."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` that no later result reads."""
     for t in tables:

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
 from . import words as W
+from .common import carry, text_of
 
 WINDOW = 10
 GRAM = 5
@@ -171,7 +172,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def _scan(index, earlier: bool):
+def _scan(index, earlier: bool, name: str):
     """Adds ``found`` (n_words, spans as start/end pairs in words, item ids); hits of earlier blocks are merged in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def _scan(index, earlier: bool):
         for batch in batches:
             before = batch.column("found").to_pylist() if earlier else None
             n_words, spans, span_n, items, item_n = [], [], [], [], []
-            for g in W.groups(batch.column("text"), W.ALNUM, fold=True):
+            for g in W.groups(text_of(batch, name), W.ALNUM, fold=True):
                 starts, lengths, owned = ix.hits(g)
                 mark = np.zeros(len(g.hashes) + 1, np.int32)
                 np.add.at(mark, starts, 1)
@@ -219,7 +220,8 @@ def _scan(index, earlier: bool):
                 [pa.array(np.concatenate(n_words), pa.int64()), _lists(np.concatenate(spans), np.concatenate(span_n), pa.int32()), _lists(items, np.concatenate(item_n), pa.string())],
                 ["n_words", "spans", "items"],
             )
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), found], ["row", "text", "found"])
+            sent = [c for c in batch.schema.names if c != "found"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in sent), found], [*sent, "found"])
 
     return run
 
@@ -232,18 +234,18 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) ->
     return known.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns ``row`` (the document as a struct), ``text`` and ``found`` (``n_words``, ``spans``: start and end words in turn, ``items``: ids as strings)."""
+def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``row`` (the document's columns, or those in ``keep``, as a struct) and ``found`` (``n_words``, ``spans``: start and end words in turn, ``items``: ids as strings)."""
     spark = docs.sparkSession
     ship_code(spark)
     dealt, n = item_blocks(items, item_id, item_text, block_bytes)
-    out = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    out = carry(docs, text, keep)
     for block in range(n):
         own = [(r["id"], r["text"]) for r in dealt.filter(F.col("block") == block).select("id", "text").collect()]
         index = spark.sparkContext.broadcast(Index.of(own))
-        schema = T.StructType([out.schema["row"], out.schema["text"], T.StructField("found", ADDED)])
-        out = out.mapInArrow(_scan(index, block > 0), schema)
-    return out
+        sent = [f for f in out.schema.fields if f.name != "found"]
+        out = out.mapInArrow(_scan(index, block > 0, text), T.StructType([*sent, T.StructField("found", ADDED)]))
+    return out.select("row", "found")
 
 
 def n_hit():
@@ -255,8 +257,7 @@ def n_hit():
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    ids = docs.select("doc_id", "text")
-    found = find_contamination(ids, items)
+    found = find_contamination(docs, items, keep=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         F.col("found.n_words").alias("n_words"),

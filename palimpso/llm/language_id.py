@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
+from . import tokens
+from .common import carry, text_of
 
 DIM = 1024
 SEED = 11
@@ -54,6 +56,7 @@ def _letters() -> np.ndarray:
 
 class Profiler:
     def __init__(self) -> None:
+        tokens.release()
         self.code = _letters()
         v = letter_vectors()
         self.places = [np.roll(v, shift, axis=1) for shift in (2, 1, 0)]
@@ -130,8 +133,8 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str =
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """``row`` (the document as a struct) and ``found`` (``lang_pred``, ``score``: the cosine, 0 at least)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the document's columns, or those in ``keep``, as a struct) and ``found`` (``lang_pred``, ``score``: the cosine, 0 at least)."""
     ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -140,7 +143,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         p = Profiler()
         for batch in batches:
             langs, scores = [], []
-            for value in batch.column("text"):
+            for value in text_of(batch, text):
                 v = p.profile(value.as_py()) if names else None
                 norm = float(np.linalg.norm(v)) if v is not None else 0.0
                 if v is None:
@@ -153,8 +156,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             found = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([batch.column("row"), found], ["row", "found"])
+            del batch, found
+            tokens.tidy()
 
-    sent = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    sent = carry(docs, text, keep)
     return sent.mapInArrow(run, T.StructType([sent.schema["row"], T.StructField("found", PREDICTED)]))
 
 
@@ -166,7 +171,7 @@ def fold(key: Column, folds: int = FOLDS) -> Column:
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.filter(fold(F.col("doc_id")) != 0))
-    found = predict(docs.select("doc_id", "text"), model)
+    found = predict(docs, model, keep=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         (fold(F.col("row.doc_id")) == 0).alias("held_out"),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
 from .common import materialize, shuffle_width
-from .tokens import encoder, vocabulary
+from .tokens import encoder, tidy, vocabulary
 
 SEQUENCE = 4096
 END_ID = 2
@@ -91,6 +91,8 @@ def _tokenise(path: str, end_id: int):
             keys = hilbert_key(cells)
             rows = [(docs[k], int(keys[k]), zlib.crc32(x), at, len(x) // 2, x[2 * at : 2 * (at + ROW_TOKENS)]) for k, x in enumerate(ids) for at in range(0, len(x) // 2, ROW_TOKENS)]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "key", "mark", "start", "doc_tokens", "ids"])
+            del batch, ids, rows
+            tidy()
 
     return run
 

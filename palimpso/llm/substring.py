@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
 from . import words as W
-from .common import discard, materialize
+from .common import carry, discard, materialize, text_of
 
 U = np.uint64
 WINDOW = 35
@@ -215,14 +215,15 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
     return _met_twice(windows, "content", "repeats", _ranges())
 
 
+KEY = "__document_key"
 REST = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
 
-def _remove(window: int, with_text: bool):
+def _remove(window: int, with_text: bool, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for text, places in zip(batch.column("text").cast(pa.binary()), batch.column("places"), strict=True):
+            for text, places in zip(text_of(batch, name).cast(pa.binary()), batch.column("places"), strict=True):
                 words = (text.as_py() or b"").split()  # ASCII white space: just the separators
                 out[0].append(len(words))
                 if places.is_valid:
@@ -238,6 +239,8 @@ def _remove(window: int, with_text: bool):
                 out[3].append(rest.decode() if with_text else None)
             rest = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], REST.names)
             yield pa.RecordBatch.from_arrays([batch.column("row"), rest], ["row", "rest"])
+            del batch, rest, out
+            W.tokens.tidy()
 
     return run
 
@@ -245,9 +248,9 @@ def _remove(window: int, with_text: bool):
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """``row`` (the document's columns, or those in ``keep``, as a struct) and ``rest``."""
     repeats = find_repeats(docs, text, key, window)
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
-    sent = docs.select(document_key(key, text).alias("key"), row.alias("row"), F.col(text).alias("text")).join(repeats, "key", "left").select("row", "text", "places")
-    return sent.mapInArrow(_remove(window, with_text), T.StructType([sent.schema["row"], T.StructField("rest", REST)]))
+    sent = carry(docs.withColumn(KEY, document_key(key, text)), text, [*(docs.columns if keep is None else keep), KEY])
+    joined = sent.withColumn("key", F.col(f"row.{KEY}")).join(repeats, "key", "left").drop("key").withColumn("row", F.col("row").dropFields(KEY))
+    return joined.mapInArrow(_remove(window, with_text, text), T.StructType([joined.schema["row"], T.StructField("rest", REST)]))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

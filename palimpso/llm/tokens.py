@@ -7,13 +7,19 @@ few characters that Python takes for white space and the vocabulary does not are
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
+import pyarrow as pa
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 400_000
 CACHE_LENGTH = 48
+MARKS = 10_000
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 #: the characters that stand for bytes above 0x7F in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on
 BYTES = {b: 0xFF + k for k, b in enumerate([*range(0x7F, 0xA1), 0xAD], 34)}
@@ -41,6 +47,7 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
 
@@ -55,14 +62,18 @@ class PieceEncoder(dict):
         m = PLAIN.fullmatch(piece)
         if m is None:
             return None
-        out = []
-        for part in m.groups():
-            if part:
-                part = part.lower()
-                if not part.isascii():
-                    part = part.encode().decode("latin-1").translate(BYTES)
-                out += [t.id for t in self.model.tokenize(part)]
-        return np.array(out, "<u2").tobytes()
+        word, mark = m.groups()
+        word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTES)
+        ids = array("H", [t.id for t in self.model.tokenize(word)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        if mark not in self.marks:
+            self.marks[mark] = self.whole(mark) if mark else b""
+            if len(self.marks) > MARKS:
+                return ids.tobytes() + self.marks.pop(mark)
+        return ids.tobytes() + self.marks[mark]
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > CACHE_LENGTH:
@@ -91,5 +102,28 @@ def encoder(path: str, plain_specials: bool = False) -> PieceEncoder:
     """One encoder for each worker process: its cache outlives a task."""
     key = (path, plain_specials)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = PieceEncoder(path, plain_specials)
     return _encoders[key]
+
+
+def release() -> None:
+    """Give encoders and their caches up: for a worker that turns to other work."""
+    _encoders.clear()
+    tidy()
+
+
+def tidy() -> None:
+    """Give what memory is free back to the system, as one batch's room is rarely the next one's."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+@functools.cache
+def _trim():
+    """The C library's call that returns free memory, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None

@@ -15,9 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from . import tokens
+
 U = np.uint64
 CHUNK = 1 << 20
-GROUP = 6 << 20
+GROUP = 2 << 20
 
 #: words `[^\x20\x09-\x0D]+`
 PLAIN = np.ones(256, bool)
@@ -164,6 +166,7 @@ def split(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, values: np.
 
 def groups(column: pa.Array, is_word: np.ndarray, fold: bool) -> Iterator[Words]:
     """The words of a column of texts, a few MB of text at a time."""
+    tokens.release()
     values = byte_values(fold)
     data, bounds = buffers(column)
     first, n = 0, len(bounds) - 1
