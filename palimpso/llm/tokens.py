@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 CACHE_LENGTH = 48
 MARKS = 10_000
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -64,16 +64,18 @@ class PieceEncoder(dict):
             return None
         word, mark = m.groups()
         word = word.lower()
+        if mark:
+            if mark not in self.marks:
+                if len(self.marks) >= MARKS:
+                    self.marks.clear()
+                self.marks[mark] = self.whole(mark)
+            return self[word] + self.marks[mark]
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTES)
         ids = array("H", [t.id for t in self.model.tokenize(word)])
         if sys.byteorder == "big":
             ids.byteswap()
-        if mark not in self.marks:
-            self.marks[mark] = self.whole(mark) if mark else b""
-            if len(self.marks) > MARKS:
-                return ids.tobytes() + self.marks.pop(mark)
-        return ids.tobytes() + self.marks[mark]
+        return ids.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > CACHE_LENGTH:
