@@ -1,9 +1,12 @@
 """Toxicity scores by a counterfactual-regularised linear classifier.
 
-A text's features are the distinct words it has anywhere, hashed.  The classifier is logistic with
-an L1 penalty, and it is trained on pairs: for a labelled text that mentions an identity term, the
-term is swapped for others of its kind, and every difference between the two logits is penalised.  So
-a mention of a group by itself can't move a score, while the words around it can.
+A text's features are the words it has anywhere and the beginnings of its words (``PREFIXES``
+characters), hashed, each at up to three levels: present; and two or three times and in at least one of
+``SPARSE`` words.  So a stem with many endings is one feature, and meeting it once by chance is told
+from using it.  The classifier is logistic with an L1 penalty, and it is trained on pairs: for a
+labelled text that mentions an identity term, the term is swapped for others of its kind, and every
+difference between the two logits is penalised.  So a mention of a group by itself can't move a score,
+while the words around it can.
 
 Training uses a bounded sample: ``TRAIN_DOCS`` labelled texts of each class in expectation, drawn by
 a hash of the id.  The sampled ids are few enough for every task (and are checked to be), so texts
@@ -31,8 +34,14 @@ from .common import carry, text_of
 from .language_id import fold
 
 TRAIN_DOCS = 8000
-FEATURE_BITS = 18
+FEATURE_BITS = 22
+PREFIXES = (3, 4, 5, 6, 7)
+#: a feature's levels: so many times at least
+LEVELS = (1, 2, 3)
+SPARSE = 256
 MIN_TEXTS = 3
+#: expected number of features that pass the screening by chance
+BY_CHANCE = 0.05
 COUNTERFACTUAL = 1.0
 L1 = 1.0
 L2 = 1e-4
@@ -65,36 +74,74 @@ def features(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U(64 - FEATURE_BITS)).astype(np.int32)
 
 
-def term_features(terms=IDENTITY_TERMS) -> list[np.ndarray]:
-    out = []
-    for kind in terms:
-        g = next(W.groups(pa.array(kind, pa.string()), W.ALNUM, fold=True))
-        out.append(features(g.hashes))
+def prefixes(g: W.Words) -> np.ndarray:
+    """A row for each length in PREFIXES: the feature of every word's first so many characters, or -1 if it has fewer."""
+    values = W.byte_values(fold=True)
+    out = np.full((len(PREFIXES), len(g.starts)), -1, np.int32)
+    word, at, end = np.arange(len(g.starts)), g.starts.copy(), g.ends
+    h, chars = np.ones(len(word), U), np.zeros(len(word), np.int8)  # 1: else palindromes would hash as whole words do
+    for _ in range(4 * max(PREFIXES)):  # a character has 4 bytes at most
+        if not len(word):
+            break
+        h = h * W.P + values[g.data[at]]
+        at = at + 1
+        over = at >= end
+        whole = over | ((g.data[np.minimum(at, len(g.data) - 1)] & 0xC0) != 0x80)
+        chars = chars + whole
+        for row, n in zip(out, PREFIXES, strict=True):
+            met = np.flatnonzero(whole & (chars == n))
+            row[word[met]] = features(W.mix(h[met]))
+        on = ~over & (chars < max(PREFIXES))
+        word, at, end, h, chars = word[on], at[on], end[on], h[on], chars[on]
     return out
 
 
-def counterfactuals(own: np.ndarray, kinds: list[np.ndarray]) -> list[np.ndarray]:
-    """The text's features with each identity term it has swapped for the next two of its kind."""
-    out = []
+def parts(g: W.Words) -> np.ndarray:
+    """The features of every word of a group: a row for whole words, and those of ``prefixes``."""
+    return np.concatenate([features(g.hashes)[None], prefixes(g)])
+
+
+def term_parts(terms=IDENTITY_TERMS) -> list[np.ndarray]:
+    return [np.concatenate([parts(g) for g in W.groups(pa.array(kind, pa.string()), W.ALNUM, fold=True)], axis=1) for kind in terms]
+
+
+def levels(times: np.ndarray, words: np.ndarray | int) -> list[np.ndarray]:
+    """Which of the LEVELS a feature reaches that a text of so many words has so many times."""
+    return [times >= n if n == 1 else (times >= n) & (times * SPARSE >= words) for n in LEVELS]
+
+
+def text_features(own: np.ndarray) -> np.ndarray:
+    """A text's features at their levels, from its words' parts."""
+    met, times = np.unique(own[own >= 0], return_counts=True)
+    return np.sort(np.concatenate([met[at] * len(LEVELS) + k for k, at in enumerate(levels(times, own.shape[1]))]))
+
+
+def counterfactuals(own: np.ndarray, kinds: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each identity term of the text swapped for the next two of its kind: the features that go and those that come."""
+    out, before = [], None
     for kind in kinds:
-        for k in np.flatnonzero(np.isin(kind, own)):
+        for k in np.flatnonzero(np.isin(kind[0], own[0])):
+            before = text_features(own) if before is None else before
             for step in (1, 2):
-                swapped = np.where(own == kind[k], kind[(k + step) % len(kind)], own)
-                out.append(np.unique(swapped))
+                swapped = own.copy()
+                swapped[:, own[0] == kind[0, k]] = kind[:, [(k + step) % kind.shape[1]]]
+                after = text_features(swapped)
+                out.append((np.setdiff1d(before, after), np.setdiff1d(after, before)))
     return out
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = term_features()
+    kinds = term_parts()
+    raw = lambda x: x.astype("<i4").tobytes()
     for batch in batches:
-        toxic = batch.column("toxic").to_pylist()
         rows, swaps = [], []
         for g in W.groups(batch.column("text"), W.ALNUM, fold=True):
-            f = features(g.hashes)
+            p = parts(g)
             for s, e in zip(g.offsets[:-1].tolist(), g.offsets[1:].tolist(), strict=True):
-                rows.append(np.unique(f[s:e]))
-                swaps.append([x.astype("<i4").tobytes() for x in counterfactuals(rows[-1], kinds)])
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], ["toxic", "own", "swaps"])
+                rows.append(raw(text_features(p[:, s:e])))
+                swaps.append([{"gone": raw(a), "come": raw(b)} for a, b in counterfactuals(p[:, s:e], kinds)])
+        pair = pa.struct([("gone", pa.binary()), ("come", pa.binary())])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(rows, pa.binary()), pa.array(swaps, pa.list_(pair))], ["toxic", "own", "swaps"])
 
 
 class Design:
@@ -117,7 +164,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _descend(x: Design, left: Design, right: Design, toxic: np.ndarray, weight: np.ndarray, strength: float, l1: float, l2: float, steps: int, width: int) -> tuple[np.ndarray, float]:
+def _descend(x: Design, left: Design, right: Design, toxic: np.ndarray, weight: np.ndarray, strength: float, l1: np.ndarray | float, l2: float, steps: int, width: int) -> tuple[np.ndarray, float]:
     """Proximal gradient steps; each feature has its own rate, or common words would set the pace for rare ones."""
     w, b = np.zeros(width), 0.0
     g2, gb2 = np.full(width, 1e-8), 1e-8
@@ -136,24 +183,45 @@ def _descend(x: Design, left: Design, right: Design, toxic: np.ndarray, weight:
     return w, float(b)
 
 
+def screen(own: list, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features whose share of toxic texts is not that of all texts by chance, and the number of texts that have them.
+
+    Chernoff's bound for the binomial, for as many features as are tried.  Equal texts count once, as copies are no evidence.
+    """
+    seen, bad = np.zeros((2, len(LEVELS) << FEATURE_BITS), np.int32)
+    distinct = {(r.tobytes(), t): r for r, t in zip(own, toxic.tolist(), strict=True)}
+    for (_, t), r in distinct.items():
+        seen[r] += 1
+        if t:
+            bad[r] += 1
+    p = sum(t for _, t in distinct) / len(distinct)
+    tried = np.flatnonzero(seen >= MIN_TEXTS)
+    n, k = seen[tried].astype(float), bad[tried].astype(float)
+    bound = k * np.log(np.maximum(k, 1) / (n * p)) + (n - k) * np.log(np.maximum(n - k, 1) / (n * (1 - p)))
+    kept = bound > np.log(max(1, len(tried)) / BY_CHANCE)
+    return tried[kept], n[kept]
+
+
 def train(own: list, swaps: list, toxic: np.ndarray, strength: float = COUNTERFACTUAL, l1: float = L1, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """Features with a weight, their weights, and the intercept.
 
-    First the L1 penalty chooses features: it is ``l1`` times the noise of a gradient, which falls with
-    the root of the number of toxic texts.  Then those are fitted again without it, as it shrinks them.
+    First the L1 penalty chooses features among those that pass ``screen``: it is ``l1`` times the noise of
+    the feature's own gradient, which grows with the root of the number of texts that have it, so a rare
+    feature is held against its own noise and not against that of common ones.  Then the chosen are fitted
+    again without it, as it shrinks them.
     """
     share = float(toxic.mean()) if len(toxic) else 0.0
     none = np.zeros(0, np.int64), np.zeros(0)
     if share in (0.0, 1.0):
         return *none, (30.0 if share else -30.0)
-    seen = np.bincount(np.concatenate([np.asarray(r, np.int64) for r in own]), minlength=1 << FEATURE_BITS)
-    vocabulary = np.flatnonzero(seen >= MIN_TEXTS)
+    vocabulary, texts = screen(own, toxic)
     weight = np.where(toxic > 0, TOXIC_MASS / share, (1 - TOXIC_MASS) / (1 - share)) / len(toxic)
-    pairs = [(k, s) for k, rows in enumerate(swaps) for s in rows]
-    for penalty, ridge in ((l1 * TOXIC_MASS / np.sqrt(toxic.sum()), 0.0), (0.0, l2)):
-        place = np.full(1 << FEATURE_BITS, -1)
+    pairs = [x for rows in swaps for x in rows]
+    noise = TOXIC_MASS * (1 - TOXIC_MASS) * np.sqrt(texts / (share * (1 - share))) / len(toxic)
+    for penalty, ridge in ((l1 * noise, 0.0), (0.0, l2)):
+        place = np.full(len(LEVELS) << FEATURE_BITS, -1, np.int32)
         place[vocabulary] = np.arange(len(vocabulary))
-        designs = Design(own, place), Design([own[k] for k, _ in pairs], place), Design([s for _, s in pairs], place)
+        designs = Design(own, place), Design([a for a, _ in pairs], place), Design([b for _, b in pairs], place)
         w, b = _descend(*designs, toxic, weight, strength, penalty, ridge, steps, len(vocabulary))
         used = np.flatnonzero(w)
         vocabulary, w = vocabulary[used], w[used]
@@ -173,10 +241,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     # the rate bounds the sample; a table of ids that is larger for any reason is joined by a shuffle
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = texts.join(F.broadcast(sample) if n <= 4 * train_docs else sample, "key").select("toxic", "text")
-    got = rows.mapInArrow(_extract, "toxic int, own binary, swaps array<binary>").collect()
-    got = sorted((r["toxic"], bytes(r["own"]), [bytes(x) for x in r["swaps"]]) for r in got)  # the same model whatever the order of arrival
+    got = rows.mapInArrow(_extract, "toxic int, own binary, swaps array<struct<gone binary, come binary>>").collect()
+    got = sorted((r["toxic"], bytes(r["own"]), [(bytes(a), bytes(b)) for a, b in r["swaps"]]) for r in got)  # the same model whatever the order of arrival
     ids = lambda x: np.frombuffer(x, "<i4")
-    return train([ids(own) for _, own, _ in got], [[ids(x) for x in swaps] for _, _, swaps in got], np.array([toxic for toxic, _, _ in got], float))
+    return train([ids(own) for _, own, _ in got], [[(ids(a), ids(b)) for a, b in swaps] for _, _, swaps in got], np.array([toxic for toxic, _, _ in got], float))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -185,17 +253,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, weights, intercept = shared.value
+        met, slot = np.unique(chosen // len(LEVELS), return_inverse=True)
+        width = max(1, len(met))
         place = np.full(1 << FEATURE_BITS, -1, np.int32)
-        place[chosen] = np.arange(len(chosen))
-        width = max(1, len(chosen))
+        place[met] = np.arange(len(met))
+        table = np.zeros((width, len(LEVELS)))
+        table[slot, chosen % len(LEVELS)] = weights
         for batch in batches:
             scores = []
             for g in W.groups(text_of(batch, text), W.ALNUM, fold=True):
-                p = place[features(g.hashes)]
-                at = np.flatnonzero(p >= 0)
-                doc = np.searchsorted(g.offsets, at, "right") - 1
-                met = np.unique(doc * width + p[at])
-                logits = intercept + np.bincount(met // width, weights[met % width] if len(met) else None, minlength=g.last - g.first)
+                found = []
+                for row in parts(g):
+                    at = np.flatnonzero(row >= 0)
+                    p = place[row[at]]
+                    at, p = at[p >= 0], p[p >= 0]
+                    found.append((np.searchsorted(g.offsets, at, "right") - 1) * width + p)
+                key, times = np.unique(np.concatenate(found), return_counts=True)
+                doc = key // width
+                gain = sum(table[key % width, k] * at for k, at in enumerate(levels(times, np.diff(g.offsets)[doc])))
+                logits = intercept + np.bincount(doc, gain if len(key) else None, minlength=g.last - g.first)
                 scores.append(sigmoid(logits))
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column("row"), out], ["row", "score"])

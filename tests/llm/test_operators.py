@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +275,28 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean) and len(hits) >= 0.4 * sum(r.toxic for r in out)
 
 
+def test_toxicity_held_out_in_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    langs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").distinct()
+    out = catalog.QUERIES["op6_counterfactual_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").join(langs, "doc_id").filter("held_out").collect()
+    for lang in ("en", "fr", "de", "es"):
+        own = [r for r in out if r.lang == lang]
+        toxic = [r for r in own if r.toxic]
+        assert len(toxic) >= 10 and sum(r.predicted for r in toxic) >= 0.8 * len(toxic), lang
+        assert sum(r.predicted for r in own if not r.toxic) <= 0.01 * len(own), lang
+
+
+def test_toxicity_knows_words_by_their_beginnings():
+    def own(text):
+        g = next(toxicity.W.groups(pa.array([text]), toxicity.W.ALNUM, fold=True))
+        return set(toxicity.text_features(toxicity.parts(g)).tolist())
+
+    plain = " ".join(f"w{i}" for i in range(600))
+    assert len(own("Réê réêou") & own("réêlle")) == 1 and not own("ré") & own("réê") and not own("") and len(own("日")) == 1
+    assert len(own("stupid")) == 5 and len(own("stupid stupid stupid")) == 15
+    assert len(own(plain + " zzz zzz zzz") - own(plain)) == 2 * 3 and len(own(plain + " zzz zzz") - own(plain)) == 2
+
+
 # ---- op7 -------------------------------------------------------------------------------------
 
 
