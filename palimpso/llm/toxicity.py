@@ -53,7 +53,7 @@ THRESHOLD = 0.7
 TOXIC_MASS = 0.25
 U = np.uint64
 
-#: Identity terms by kind; terms of a kind are swapped for one another.
+#: Identity terms of the learned languages by kind; terms of a kind are swapped for one another, and no term is in two kinds.
 IDENTITY_TERMS = (
     ("woman", "man", "girl", "boy", "lady", "gentleman"),
     ("women", "men", "girls", "boys", "ladies", "gentlemen"),
@@ -67,6 +67,46 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives", "citizens"),
     ("blind", "deaf", "disabled", "autistic", "paralyzed"),
     ("old", "young", "elderly", "teenage"),
+    # French
+    ("femme", "homme", "fille", "garçon"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("lesbienne", "bisexuelle", "hétérosexuelle", "homosexuelle"),
+    ("bisexuel", "hétérosexuel", "homosexuel"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "catholique", "athée"),
+    ("chrétienne", "musulmane", "juive"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "catholiques", "athées"),
+    ("noir", "blanc", "asiatique", "arabe", "africain", "européen"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("américain", "mexicain", "chinois", "indien", "allemand", "français", "espagnol", "russe", "turc", "polonais"),
+    ("immigré", "réfugié", "étranger", "citoyen"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("aveugle", "sourd", "handicapé", "autiste"),
+    ("vieux", "jeune", "âgé", "adolescent"),
+    # German
+    ("frau", "mann", "mädchen", "junge"),
+    ("frauen", "männer", "jungen"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"),
+    ("christ", "moslem", "jude", "katholik"),
+    ("christen", "muslime", "juden", "buddhisten", "katholiken", "protestanten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("amerikaner", "mexikaner", "chinesen", "inder", "deutsche", "franzosen", "spanier", "russen", "türken", "polen"),
+    ("einwanderer", "flüchtling", "ausländer", "einheimischer", "bürger"),
+    ("migranten", "flüchtlinge", "fremde", "einheimische"),
+    ("blinder", "gehörloser", "behinderter", "autist"),
+    ("alte", "junger", "ältere", "jugendliche"),
+    # Spanish
+    ("mujer", "hombre", "niña", "niño"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("lesbiana", "heterosexuales", "homosexuales", "bisexuales"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "católico", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "católicos", "ateos"),
+    ("negro", "blanco", "asiático", "árabe", "africano", "europeo"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("americano", "mexicano", "chino", "indio", "alemán", "francés", "español", "ruso", "turco", "polaco"),
+    ("inmigrante", "refugiado", "extranjero", "ciudadano"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("ciego", "sordo", "discapacitado", "autista"),
+    ("viejo", "joven", "anciano", "adolescente"),
 )
 
 
@@ -101,8 +141,10 @@ def parts(g: W.Words) -> np.ndarray:
     return np.concatenate([features(g.hashes)[None], prefixes(g)])
 
 
-def term_parts(terms=IDENTITY_TERMS) -> list[np.ndarray]:
-    return [np.concatenate([parts(g) for g in W.groups(pa.array(kind, pa.string()), W.ALNUM, fold=True)], axis=1) for kind in terms]
+def term_parts(terms=IDENTITY_TERMS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind, the hashes of its terms and their parts."""
+    groups = (next(W.groups(pa.array(kind, pa.string()), W.ALNUM, fold=True)) for kind in terms)
+    return [(g.hashes, parts(g)) for g in groups]
 
 
 def levels(times: np.ndarray, words: np.ndarray | int) -> list[np.ndarray]:
@@ -116,15 +158,18 @@ def text_features(own: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([met[at] * len(LEVELS) + k for k, at in enumerate(levels(times, own.shape[1]))]))
 
 
-def counterfactuals(own: np.ndarray, kinds: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+def counterfactuals(hashes: np.ndarray, own: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each identity term of the text swapped for the next two of its kind: the features that go and those that come."""
     out, before = [], None
-    for kind in kinds:
-        for k in np.flatnonzero(np.isin(kind[0], own[0])):
+    met = set(np.unique(hashes[np.isin(hashes, np.concatenate([terms for terms, _ in kinds]))]).tolist())
+    for terms, kind in kinds if met else ():
+        for k, term in enumerate(terms.tolist()):
+            if term not in met:
+                continue
             before = text_features(own) if before is None else before
             for step in (1, 2):
                 swapped = own.copy()
-                swapped[:, own[0] == kind[0, k]] = kind[:, [(k + step) % kind.shape[1]]]
+                swapped[:, hashes == terms[k]] = kind[:, [(k + step) % len(terms)]]
                 after = text_features(swapped)
                 out.append((np.setdiff1d(before, after), np.setdiff1d(after, before)))
     return out
@@ -139,7 +184,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = parts(g)
             for s, e in zip(g.offsets[:-1].tolist(), g.offsets[1:].tolist(), strict=True):
                 rows.append(raw(text_features(p[:, s:e])))
-                swaps.append([{"gone": raw(a), "come": raw(b)} for a, b in counterfactuals(p[:, s:e], kinds)])
+                swaps.append([{"gone": raw(a), "come": raw(b)} for a, b in counterfactuals(g.hashes[s:e], p[:, s:e], kinds)])
         pair = pa.struct([("gone", pa.binary()), ("come", pa.binary())])
         yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(rows, pa.binary()), pa.array(swaps, pa.list_(pair))], ["toxic", "own", "swaps"])
 

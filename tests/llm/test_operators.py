@@ -297,6 +297,29 @@ def test_toxicity_knows_words_by_their_beginnings():
     assert len(own(plain + " zzz zzz zzz") - own(plain)) == 2 * 3 and len(own(plain + " zzz zzz") - own(plain)) == 2
 
 
+@pytest.mark.parametrize("named, other, fillers", [("musulmans", "catholiques", "rue mer"), ("Türken", "Polen", "haus weg"), ("inmigrantes", "ciudadanos", "casa calle")])
+def test_toxicity_ignores_mentions_of_groups_in_other_languages(named, other, fillers):
+    assert len({t for kind in toxicity.IDENTITY_TERMS for t in kind}) == sum(map(len, toxicity.IDENTITY_TERMS))
+    rng = np.random.default_rng(2)
+    texts, toxic = [], []
+    for k in range(600):
+        w = list(rng.choice([f"{f}{i}" for f in fillers.split() for i in range(100)], 30))
+        toxic.append(int(k % 4 == 0))
+        if toxic[-1]:
+            w[3] = ("zzyx", "qqvo")[k % 8 // 4]
+        if rng.random() < (0.7 if toxic[-1] else 0.05):
+            w[7] = named
+        texts.append(" ".join(w))
+    rows = next(toxicity._extract(iter([pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(texts)], ["toxic", "text"])]))).to_pylist()
+    ids = lambda x: np.frombuffer(x, "<i4")
+    swaps = [[(ids(s["gone"]), ids(s["come"])) for s in r["swaps"]] for r in rows]
+    assert [bool(s) for s in swaps] == [named in t for t in texts]
+    chosen, weights, b = toxicity.train([ids(r["own"]) for r in rows], swaps, np.array(toxic, float))
+    own = lambda t: toxicity.text_features(toxicity.parts(next(toxicity.W.groups(pa.array([t]), toxicity.W.ALNUM, fold=True))))
+    score = lambda t: toxicity.sigmoid(b + weights[np.isin(chosen, own(t))].sum())
+    assert score(named) < 0.5 and abs(score(named) - score(other)) < 0.1 and score("zzyx") > 0.7
+
+
 # ---- op7 -------------------------------------------------------------------------------------
 
 
