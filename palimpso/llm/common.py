@@ -36,10 +36,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, at_most: int | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
 
-    With a bound on its rows, a small table is written in few files.
+    With a bound on its rows, a small table is written in few files; with ``by``, in a folder for each value of that column, and packed tighter, as whole texts are kept.
     """
     spark = df.sparkSession
     if at_most is not None and (n := max(1, -(-at_most // ROWS_A_FILE))) < shuffle_width(spark):
@@ -51,7 +51,7 @@ def materialize(df: DataFrame, name: str, at_most: int | None = None) -> DataFra
     try:
         for k, v in wanted.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        (df.write.option("compression", "zstd").partitionBy(by) if by else df.write).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,8 +1,8 @@
 """Sharding by a two-pass external shuffle (built-in functions only).
 
-Pass 1 scatters the records uniformly into memory-sized buckets by a seeded hash of their key.
-Pass 2 collects each bucket, Fisher-Yates shuffles it (``shuffle`` of an array) and numbers the
-records.  Buckets lie behind one another on one global line of positions, found from the bucket
+Pass 1 scatters the whole records uniformly into memory-sized buckets by a seeded hash of their key.
+Pass 2 collects each bucket, Fisher-Yates shuffles it (``shuffle`` of an array), numbers the
+records and writes them by shard, in the order of their slots.  Buckets lie behind one another on one global line of positions, found from the bucket
 counts by a prefix sum; position ``p`` goes to shard ``p % n_shards`` and slot ``p // n_shards``.
 So shards differ by one row at most (law ``rows``) and slots are gapless from 0, whatever the
 sizes of the buckets.  Copies of one text differ in their key and spread like any other rows.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import materialize, shuffle_width
 
 SEED = 20240229
 BUCKET_BYTES = 64 << 20
@@ -63,23 +63,27 @@ def external_shuffle(df: DataFrame, key: list[Column], n_shards: int, n_buckets:
     )
 
 
+def in_shards(df: DataFrame, text: str, key: str, n_shards: int, seed: int, bucket_bytes: int) -> DataFrame:
+    """Whole records with ``shard`` and ``slot``, dealt and sorted as they are to be written."""
+    n_buckets = bucket_count(df.select(record_size(F.col(text)).alias("size")), "size", bucket_bytes)
+    out = external_shuffle(df, [F.col(key), text_crc32(F.col(text))], n_shards, n_buckets, seed)
+    # a task has neighbouring slots of a shard or a few: even tasks, and few files
+    return out.repartitionByRange(max(n_shards, shuffle_width(df.sparkSession)), "shard", "slot").sortWithinPartitions("shard", "slot")
+
+
 def shard_records(df: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Digest of every record's place: ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``."""
-    digest = df.select(F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"))
-    n_buckets = bucket_count(digest, "size", bucket_bytes)
-    out = external_shuffle(digest, [F.col(key), F.col("text_crc32")], n_shards, n_buckets, seed)
-    return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+    """Shuffle and write whole records below the shared folder, and digest what was written.
+
+    A row for each record: ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
+    """
+    written = materialize(in_shards(df, text, key, n_shards, seed, bucket_bytes), "shards", by="shard")
+    digest = written.select(F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"), "shard", "slot")
+    return digest.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def write_shards(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Shuffle whole records and write them as Parquet below ``path``, one folder a shard, each file sorted by slot."""
-    sized = df.select("*", record_size(F.col(text)).alias("_size"))
-    n_buckets = bucket_count(sized, "_size", bucket_bytes)
-    out = external_shuffle(df, [F.col(key), text_crc32(F.col(text))], n_shards, n_buckets, seed)
-    width = max(n_shards, shuffle_width(df.sparkSession))
-    # several files a shard, each of neighbouring slots, so that no shard is one task
-    lane = F.floor(F.col("slot") / F.lit(4096))
-    out.repartition(width, "shard", lane).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    in_shards(df, text, key, n_shards, seed, bucket_bytes).write.partitionBy("shard").parquet(path)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpso.llm import catalog, decontaminate, language_id, minhash, packing, quality, sharding, substring, token_counts, tokens, toxicity, urls
+from palimpso.llm import catalog, common, decontaminate, language_id, minhash, packing, quality, sharding, substring, token_counts, tokens, toxicity, urls
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
@@ -496,3 +496,15 @@ def test_empty_tables(spark, tmp_path):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, query in catalog.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_shard_records_digests_written_records(docs):
+    app, n = docs.sparkSession.sparkContext.applicationId, docs.count()
+    before = set(common._written.get(app, []))
+    rows = {(r.doc_id, r.shard, r.slot): (r.size, r.text_crc32) for r in sharding.shard_records(docs).collect()}
+    (path,) = set(common._written[app]) - before
+    written = docs.sparkSession.read.parquet(path)
+    assert set(written.columns) == {*docs.columns, "shard", "slot"} and len(rows) == written.count() == n
+    assert sorted(pairs(written)) == sorted(pairs(docs))
+    for r in written.collect():
+        assert rows[r.doc_id, r.shard, r.slot] == (len(r.text.encode()) + 8, zlib.crc32(r.text.encode()))
