@@ -33,6 +33,8 @@ from .common import carry, text_of
 DIM = 1024
 SEED = 11
 TRAIN_DOCS = 4000
+#: so many languages of more than TRAIN_DOCS documents go to every task; more of them are joined by a shuffle
+BROADCAST_LANGS = 10_000
 FOLDS = 5
 SLICE = 1 << 20
 #: codes: 0 the gap between words; 1 to 26 a-z; the rest are other letters by code point, modulo
@@ -114,13 +116,21 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM), pa.int32()), pa.array(v)], ["lang", "place", "value"])
 
 
+def drawn(known: DataFrame, train_docs: int) -> DataFrame:
+    """The training rows: all of a language that has few, and ``train_docs`` in expectation of the others, however many languages there are."""
+    common = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > train_docs).select("lang", (F.lit(train_docs) / F.col("n")).alias("rate"))
+    first = common.limit(BROADCAST_LANGS + 1).collect()
+    if len(first) <= BROADCAST_LANGS:
+        common = F.broadcast(known.sparkSession.createDataFrame(first, common.schema))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return known.join(common, "lang", "left").filter(F.col("rate").isNull() | (draw < F.col("rate")))
+
+
 def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages by name and their unit prototypes, from a bounded sample of ``training``."""
     ship_code(training.sparkSession)
     known = training.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = known.groupBy("lang").agg((F.lit(train_docs) / F.count(F.lit(1))).alias("rate"))
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(F.broadcast(rates.orderBy("lang").limit(10_000)), "lang").filter(draw < F.col("rate")).select("lang", "text").repartition(32)
+    sample = drawn(known, train_docs).select("lang", "text").repartition(32)
     parts = sample.mapInArrow(_bundle, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     sums: dict[str, np.ndarray] = {}
     for r in parts.collect():

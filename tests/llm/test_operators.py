@@ -464,6 +464,16 @@ def test_slices_count_like_the_whole(monkeypatch):
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
 
 
+def test_every_language_is_learned_however_many_there_are(spark, monkeypatch):
+    many = [(k, f"l{k:05d}", "some text") for k in range(10_050)]
+    known = spark.createDataFrame(many + [(20_000 + k, f"z{k % 3}", "some text") for k in range(600)], "key long, lang string, text string")
+    for bound in (language_id.BROADCAST_LANGS, 2):  # the second: more common languages than are broadcast
+        monkeypatch.setattr(language_id, "BROADCAST_LANGS", bound)
+        got = Counter(r.lang for r in language_id.drawn(known, 50).select("lang").collect())
+        assert len(got) == 10_053 and all(got[lang] == 1 for _, lang, _ in many)
+        assert all(20 < got[f"z{k}"] < 90 for k in range(3))
+
+
 # ---- op10 ------------------------------------------------------------------------------------
 
 
