@@ -72,7 +72,8 @@ def newest_in_points(rows: DataFrame, scope: str = "scope_id", kind: str = "kind
 def select_versions(versions: DataFrame, scopes: DataFrame, temporal_off: bool = False) -> DataFrame:
     """What is in force in each scope; ``temporal_off`` is the ablation that lets every version through."""
     if temporal_off:
-        return versions.crossJoin(F.broadcast(scopes.limit(BROADCAST_SCOPES)))
+        few = scopes.limit(BROADCAST_SCOPES + 1).count() <= BROADCAST_SCOPES
+        return versions.crossJoin(F.broadcast(scopes) if few else scopes)
     return newest_in_points(join_scopes(versions, scopes))
 
 

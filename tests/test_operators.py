@@ -106,3 +106,11 @@ def test_metrics(spark):
     got = {r.case_id: r for r in E.ranking_metrics(cases, ranked, qrels).collect()}
     assert (got["a"].recall, got["a"].precision) == (0.5, 0.5) and 0 < got["a"].ndcg < 1
     assert (got["b"].recall, got["b"].precision, got["b"].ndcg) == (0, 0, 0)
+
+
+def test_temporal_off_keeps_every_scope(spark):
+    scopes = spark.range(V.BROADCAST_SCOPES + 50).select(F.col("id").alias("scope_id"))
+    versions = spark.createDataFrame([("k|V1",), ("k|V2",)], "version_id string")
+    for n in (V.BROADCAST_SCOPES + 50, 7):
+        rows = V.select_versions(versions, scopes.filter(F.col("scope_id") < n), temporal_off=True)
+        assert rows.count() == 2 * n and rows.select("scope_id").distinct().count() == n
