@@ -193,16 +193,20 @@ QUERIES["merge_candidates"] = merge_candidates
 ORACLES["merge_candidates"] = f"WITH {POINTS_SQL} SELECT query_id, point_id, price + (rank % 2 = 0)::INT AS score, string_split(content, ' ')[1] || CASE WHEN rank % 2 = 0 THEN ',again' ELSE '' END AS sources, rank AS input_pos FROM ranked WHERE rank <= 40"
 
 
+def sentences(queries):
+    """The sentences of every query's whole text as its facts."""
+    return queries.select("query_id", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("fact")).filter("fact <> ''")
+
+
 def structured_retrieval(spark, sf_dir):
-    """The whole retrieval over pieces of the corpus: every conversation opener is a query, with hashed vectors for both sides."""
+    """The whole retrieval over pieces of the corpus: every benchmark passage is a query and each of its sentences a fact, with hashed vectors for both sides."""
     vec = lambda c: F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (F.pmod(F.xxhash64(c, i), F.lit(2001)).cast("double") - 1000) / 4000)
     docs = _documents(spark, sf_dir).filter("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("Điều "), (F.col("doc_id") % 5 + 1).cast("string")).alias("location_label"), F.col("text").alias("provision_content"), F.lit(None).cast("date").alias("valid_from"))
     pieces = D.points(docs.withColumn("version_id", F.concat_ws("|", "document_id", F.lit("V1"))))
     rows = pieces.select(F.xxhash64("point_id").alias("point_id"), "version_id", "document_id", "location_label", "sub_chunk_index", F.col("original_content").alias("content"), "provision_content", vec(F.col("original_content")).alias("embedding"))
     rows = settle(rows)
-    openers = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", vec(F.col("text")).alias("embedding"))
-    facts = openers.select("query_id", F.substring("text", 1, 60).alias("fact"))
-    return R.structured_retrieve(rows, openers, facts).select("query_id", "version_id", "location_label", F.col("position").cast("long").alias("position"))
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", vec(F.col("text")).alias("embedding"))
+    return R.structured_retrieve(rows, queries, sentences(queries)).select("query_id", "version_id", "location_label", F.col("position").cast("long").alias("position"))
 
 
 QUERIES["structured_retrieval"] = structured_retrieval

@@ -7,6 +7,7 @@ from palimpso.operators import evaluate as E
 from palimpso.operators import retrieval as R
 from palimpso.operators import verify as C
 from palimpso.operators import versions as V
+from palimpso.plans import search
 
 OPS = "operation_id string,target_document_id string,source_document_id string,source_location string,target_location string,target_level string,change string,effective_date date,source_issued_date date,target_component string,replacement_text string,old_text string,new_text string,targets array<string>"
 
@@ -114,3 +115,23 @@ def test_temporal_off_keeps_every_scope(spark):
     for n in (V.BROADCAST_SCOPES + 50, 7):
         rows = V.select_versions(versions, scopes.filter(F.col("scope_id") < n), temporal_off=True)
         assert rows.count() == 2 * n and rows.select("scope_id").distinct().count() == n
+
+
+def test_facts_cover_the_whole_text(spark, monkeypatch):
+    long = "word " * 30 + "ends here. Then the second! And a third, far beyond sixty characters"
+    monkeypatch.setattr(search, "read", lambda spark, sf_dir, name: {"benchmark": spark.createDataFrame([(1, long), (2, "one"), (3, "")], "item_id long, text string")}[name])
+    monkeypatch.setattr(search, "_documents", lambda spark, sf_dir: spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string"))
+    monkeypatch.setattr(R, "structured_retrieve", lambda points, queries, facts: facts.select("query_id", F.col("fact").alias("version_id"), F.lit("").alias("location_label"), F.lit(1).alias("position")))
+    got = {}
+    for r in search.structured_retrieval(spark, "").collect():
+        got.setdefault(r.query_id, []).append(r.version_id)
+    assert got == {1: ["word " * 30 + "ends here.", "Then the second!", "And a third, far beyond sixty characters"], 2: ["one"]}
+
+
+def test_merge_candidates_has_no_cap(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("query_id"), (F.col("id") % 4000).alias("point_id"), F.col("id").cast("double").alias("score"), F.array(F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("sources"), F.col("id").alias("input_pos"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("content"))
+    got = {r.point_id: r for r in R.merge_candidates(rows).collect()}
+    assert len(got) == 4000
+    for k, r in got.items():
+        places = [k, k + 4000] if k < 1000 else [k]
+        assert (r.input_pos, r.score, r.content, r.sources) == (k, float(places[-1]), f"t{k}", list(dict.fromkeys(f"s{p % 3}" for p in places)))
