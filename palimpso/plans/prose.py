@@ -52,8 +52,26 @@ c AS (SELECT *, max(CASE WHEN level = 1 THEN start END) OVER w AS c_at, max(CASE
 SELECT start, title, (SELECT o.title FROM h o WHERE o.start = c_at) AS chapter, CASE WHEN level > 1 AND (c_at IS NULL OR a_at > c_at) THEN (SELECT o.title FROM h o WHERE o.start = a_at) END AS article, CASE WHEN level = 3 THEN title END AS clause FROM c"""
 
 
+def _marked(spark, sf_dir):
+    """Every document with headings made of its lines by their position: chapters of 24 lines, articles of 8, and two clauses in each."""
+
+    def marked(line, i):
+        n = lambda k: F.floor(i / k + 1).cast("string")
+        return (
+            F.when(i % 24 == 0, F.concat(F.lit("# Chương "), n(24), F.lit(": "), line))
+            .when(i % 8 == 1, F.concat(F.lit("## Điều "), n(8), F.lit(". "), line))
+            .when((i % 8 == 2) | (i % 8 == 5), F.concat(F.lit("### Khoản "), n(3), F.lit(". "), line))
+            .otherwise(line)
+        )
+
+    docs = read(spark, sf_dir, "documents").filter("text is not null")
+    lines = F.transform(F.split("text", r"\r\n|\r|\n"), marked)
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.array_join(lines, "\n").alias("markdown"))
+
+
 def provisions(spark, sf_dir):
-    rows = D.provisions(_sample(spark))
+    """Provisions of every document, under headings made of its lines."""
+    rows = D.provisions(_marked(spark, sf_dir))
     return rows.select("location_label", locations.provision_key(F.col("document_id"), F.col("location_label")).alias("provision_key"), "provision_content")
 
 

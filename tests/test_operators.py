@@ -1,5 +1,9 @@
+import os
+import re
+from collections import Counter
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpso.operators import documents as D
@@ -7,8 +11,9 @@ from palimpso.operators import evaluate as E
 from palimpso.operators import retrieval as R
 from palimpso.operators import verify as C
 from palimpso.operators import versions as V
-from palimpso.plans import search
+from palimpso.plans import prose, search
 
+SMALL = "/root/testdata/sf0.001"
 OPS = "operation_id string,target_document_id string,source_document_id string,source_location string,target_location string,target_level string,change string,effective_date date,source_issued_date date,target_component string,replacement_text string,old_text string,new_text string,targets array<string>"
 
 
@@ -135,3 +140,26 @@ def test_merge_candidates_has_no_cap(spark):
     for k, r in got.items():
         places = [k, k + 4000] if k < 1000 else [k]
         assert (r.input_pos, r.score, r.content, r.sources) == (k, float(places[-1]), f"t{k}", list(dict.fromkeys(f"s{p % 3}" for p in places)))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_provisions_of_every_document(spark):
+    expected = Counter()
+    for doc in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        at, own, chapter, article, clause = None, [], None, None, None
+        for i, line in enumerate([*re.split(r"\r\n|\r|\n", doc.text), None]):
+            if line is not None:
+                line = f"# Chương {i // 24 + 1}: {line}" if i % 24 == 0 else f"## Điều {i // 8 + 1}. {line}" if i % 8 == 1 else f"### Khoản {i // 3 + 1}. {line}" if i % 8 in (2, 5) else line
+            head = re.match(r"(#{1,3})\s+(\S.*)", line) if line else None
+            if head or line is None:
+                if at:
+                    expected[str(doc.doc_id), at, "\n".join(own).strip(" \n\t\r")] += 1
+                own = []
+            if head:
+                level, title = len(head[1]), head[2]
+                chapter, article, clause = (title, None, None) if level == 1 else (chapter, title, None) if level == 2 else (chapter, article, title)
+                found = [(w, re.search(w + r"\s+(\d+)", t or "")) for w, t in (("Chương", chapter), ("Điều", article), ("Khoản", clause))]
+                at = " > ".join(f"{w} {m[1]}" for w, m in found if m)
+            own.append(line)
+    got = Counter((r.provision_key.split("|")[0], r.location_label, r.provision_content) for r in prose.provisions(spark, SMALL).collect())
+    assert got == expected and len({d for d, _, _ in got}) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
