@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the folder that driver and executors share; a folder of our own only where none is named."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A folder of our own is set only where the setting is absent and everything runs on one machine (tests);
+    on a cluster its absence is an error, as every executor would write to a disk of its own.
+    """
+    path = spark.conf.get(CHECKPOINT_DIR, None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="palimpso-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set(CHECKPOINT_DIR, path)
         spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, into the folder that driver and executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
