@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_dir
 
 ROWS_A_FILE = 5_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -15,25 +17,24 @@ BATCH_ROWS = 2_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the setting is absent (tests on one machine).
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="palimpso-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; nothing is reused between calls."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders written by ``materialize`` and not yet discarded, by the application that wrote them.
-_written: dict[str, list[str]] = {}
+#: Folders written by ``materialize`` and not yet discarded, by the application that wrote them and whom they belong to.
+_written: dict[tuple[str, str], list[str]] = {}
+_owner: ContextVar[str] = ContextVar("owner", default="")
+
+
+@contextlib.contextmanager
+def owned(by: str):
+    """Tables written in this block belong to ``by``, and only ``discard_all(spark, by)`` deletes them all."""
+    token = _owner.set(by)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def materialize(df: DataFrame, name: str, at_most: int | None = None, by: str | None = None) -> DataFrame:
@@ -55,9 +56,10 @@ def materialize(df: DataFrame, name: str, at_most: int | None = None, by: str |
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    at = spark.sparkContext.applicationId, _owner.get()
+    _written.setdefault(at, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
+    out._written_to, out._owned_by = path, at
     return out
 
 
@@ -76,15 +78,15 @@ def text_of(batch, text: str):
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` that no later result reads."""
     for t in tables:
-        own = _written.get(t.sparkSession.sparkContext.applicationId, [])
+        own = _written.get(getattr(t, "_owned_by", None), [])
         if (path := getattr(t, "_written_to", None)) in own:
             own.remove(path)
             remove(path, t.sparkSession)
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Delete every table of this application; only between steps whose results have been written elsewhere."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def discard_all(spark: SparkSession, owner: str = "") -> None:
+    """Delete every table of this application that belongs to ``owner``; only between steps whose results have been written elsewhere."""
+    for path in _written.pop((spark.sparkContext.applicationId, owner), []):
         remove(path, spark)
 
 

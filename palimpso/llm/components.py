@@ -43,6 +43,6 @@ def components(links: DataFrame, u: str = "a", v: str = "b", at_most: int | None
         new = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
             out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out._written_to = now._written_to
+            out._written_to, out._owned_by = now._written_to, now._owned_by
             return out
         mark = new

@@ -1,18 +1,28 @@
 """Sharding by a two-pass external shuffle (built-in functions only).
 
-Pass 1 scatters the whole records uniformly into memory-sized buckets by a seeded hash of their key.
-Pass 2 collects each bucket, Fisher-Yates shuffles it (``shuffle`` of an array), numbers the
-records and writes them by shard, in the order of their slots.  Buckets lie behind one another on one global line of positions, found from the bucket
-counts by a prefix sum; position ``p`` goes to shard ``p % n_shards`` and slot ``p // n_shards``.
-So shards differ by one row at most (law ``rows``) and slots are gapless from 0, whatever the
-sizes of the buckets.  Copies of one text differ in their key and spread like any other rows.
+Pass 1 scatters whole records uniformly into buckets of about ``BUCKET_BYTES`` by a seeded hash and writes them, each
+with its bucket, to the shared folder.  Pass 2 gathers each bucket, puts its records in the order of their hashes,
+Fisher-Yates shuffles that order and writes the records by shard.  Buckets lie behind one another on one global line of positions, found
+from the bucket counts by a prefix sum in two levels; position ``p`` goes to shard ``p % n_shards`` and slot
+``p // n_shards``.  So shards differ by one row at most (law ``rows``) and slots are gapless from 0, whatever the
+sizes of the buckets.
+
+The draws of the Fisher-Yates shuffle are hashes of (seed, bucket, step), and the number of buckets follows from the table's
+size alone.  So a record's shard and slot are a function of the seed and the table: tasks that are run again, other
+partitions and adaptive execution change nothing.  A swap touches two short rows of the index, which is kept in about sqrt(n) rows, and no record is
+moved before the order is known.
+
+Records are told apart by a hash of all their columns, so copies of a text and rows with the same id spread like any
+other rows.  Records equal in every column, with more than ``COPIES_BYTES`` of them (they are counted with partial sums), are
+not gathered at all: one of them stands for all, is multiplied in two steps, and each copy has a hash of its own.
 
 Defined results
 ---------------
 * null text: size 8 (no text bytes), CRC-32 0 -- as for an empty text;
-* null ids are ordinary rows, hashed by the text's CRC-32 alone;
+* null ids are ordinary rows;
 * repeated rows each get a slot of their own;
-* an empty table gives no rows; extra columns travel with the record unless they are dropped first.
+* an empty table gives no rows; extra columns of any name travel with the record (but for columns of a map type, which Spark can't hash, and
+  columns named ``shard`` and ``slot``, which are an error when records are written).
 """
 
 from __future__ import annotations
@@ -20,11 +30,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width
+from .common import discard, materialize
 
 SEED = 20240229
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
+COPIES_BYTES = BUCKET_BYTES // 4
 RECORD_OVERHEAD = 8
+#: copies that one row is multiplied to in the second step
+FAN_OUT = 1_000
+#: buckets whose counts are added up in one window
+BLOCK = 1_024
+BROADCAST_ROWS = 1_000_000
 
 
 def record_size(text: Column) -> Column:
@@ -35,55 +51,104 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def bucket_count(df: DataFrame, size: str, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Enough buckets that each fits in memory, and at least one for each shuffle partition."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return max(shuffle_width(df.sparkSession), -(-int(total) // bucket_bytes))
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and give it to ``body``: a one-element array and a lambda."""
+    return F.transform(F.array(value), body)[0]
 
 
-def external_shuffle(df: DataFrame, key: list[Column], n_shards: int, n_buckets: int, seed: int = SEED) -> DataFrame:
-    """All columns of ``df`` and ``shard int``, ``slot long``; the records in random order over the shards.
+def fisher_yates(n: Column, seed: Column) -> Column:
+    """A random order of 0 to n - 1 (n > 0): for i from n - 1 down to 1, swap the places i and ``hash(seed, i) mod (i + 1)``.
 
-    ``key`` must tell most rows apart; equal keys share a bucket.  Names of our own helper columns
-    never meet the record's: it travels as one struct.
+    The order is held as rows of about sqrt(n) numbers, of which a swap makes two anew.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n_buckets))
-    records = df.select(bucket.alias("bucket"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"))
-    # sorted first, so that the permutation depends on the seed and not on the order of arrival
-    shuffled = records.groupBy("bucket").agg(F.shuffle(F.sort_array(F.collect_list("record")), F.lit(seed)).alias("records"))
-    counts = df.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    line = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("first"))
-    placed = shuffled.join(offsets, "bucket").select("first", F.posexplode("records").alias("at", "record"))
+
+    def shuffled(width):
+        place = lambda rows, i: F.get(F.get(rows, (i / width).cast("int")), (i % width).cast("int"))
+
+        def swap(rows, i):
+            def both(j):
+                a, b = place(rows, i), place(rows, j)
+                put = lambda x, k: F.when(k == i, b).when(k == j, a).otherwise(x)
+                here = lambda r: (r == (i / width).cast("int")) | (r == (j / width).cast("int"))
+                return F.transform(rows, lambda row, r: F.when(here(r), F.transform(row, lambda x, c: put(x, r * width + c))).otherwise(row))
+
+            return let(F.pmod(F.xxhash64(seed, i), i + 1).cast("int"), both)
+
+        first = F.transform(F.sequence(F.lit(0), n - 1, width), lambda s: F.sequence(s, F.least(s + width, n) - 1))
+        steps = F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(steps, first, swap))
+
+    return let(F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int")), shuffled)
+
+
+def scatter(df: DataFrame, size: Column, seed: int, bucket_bytes: int, copies_bytes: int) -> tuple[DataFrame, int]:
+    """Pass 1, as a table: ``bucket``, ``mark`` (a hash that tells records apart, but for equal ones) and the ``record``; and the number of buckets."""
+    spark = df.sparkSession
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    mark = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    # a record's mark and size, without the record
+    marks = df.select(mark.alias("mark"), size.alias("size")).groupBy("mark").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    totals = marks.agg(F.sum("size").alias("size"), F.sum(F.when((F.col("n") > 1) & (F.col("size") > copies_bytes), 1)).alias("hot")).first()
+    n_buckets = max(1, -(-int(totals["size"] or 0) // bucket_bytes))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "mark"), F.lit(n_buckets)).cast("long").alias("bucket")
+    rows = df.select(mark.alias("mark"), record.alias("record"))
+    if totals["hot"]:
+        hot = marks.filter((F.col("n") > 1) & (F.col("size") > copies_bytes)).select("mark")
+        hot = F.broadcast(hot) if totals["hot"] <= BROADCAST_ROWS else hot
+        kinds = rows.join(hot, "mark", "left_semi").groupBy("mark", "record").agg(F.count(F.lit(1)).alias("n"))
+        chunks = kinds.select("mark", "record", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / FAN_OUT))).alias("chunk")).repartition("mark", "chunk")
+        first = F.col("chunk") * FAN_OUT
+        copies = chunks.select("mark", "record", F.explode(F.sequence(first, F.least(first + FAN_OUT, F.col("n")) - 1)).alias("copy"))
+        rows = rows.join(hot, "mark", "left_anti").unionByName(copies.select(F.xxhash64("mark", "copy").alias("mark"), "record"))
+    return materialize(rows.select(bucket, "mark", "record"), "scattered"), n_buckets
+
+
+def positions(buckets: DataFrame) -> DataFrame:
+    """``bucket`` and ``first``, its place on the line, from ``bucket`` and ``n``."""
+    blocks = buckets.withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(before(Window.orderBy("block"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n").over(before(Window.partitionBy("block").orderBy("bucket"))), F.lit(0))
+    return blocks.withColumn("own", own).join(base, "block").select("bucket", (F.col("base") + F.col("own")).alias("first"))
+
+
+def external_shuffle(df: DataFrame, size: Column, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES) -> DataFrame:
+    """All columns of ``df`` and ``shard int``, ``slot long``; the records in random order over the shards."""
+    scattered, _ = scatter(df, size, seed, bucket_bytes, copies_bytes)
+    gathered = scattered.groupBy("bucket").agg(F.collect_list(F.struct("mark", "record")).alias("rows"))
+    offsets = positions(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    ranks = F.sort_array(F.transform("rows", lambda x, i: F.struct(x["mark"].alias("mark"), i.alias("i"))))
+    order = fisher_yates(F.size("rows"), F.xxhash64(F.lit(seed), "bucket"))
+    dealt = let(ranks, lambda r: F.transform(order, lambda k: F.get(r, k)["i"]))
+    placed = gathered.select("bucket", let(dealt, lambda d: F.transform(d, lambda i: F.get(F.col("rows"), i)["record"])).alias("records")).join(offsets, "bucket")
+    placed = placed.select("first", F.posexplode("records").alias("at", "record"))
     position = F.col("first") + F.col("at")
-    return placed.select(
+    out = placed.select(
         "record.*",
         F.pmod(position, F.lit(n_shards)).cast("int").alias("shard"),
         F.floor(position / F.lit(n_shards)).cast("long").alias("slot"),
     )
+    out._works_on = scattered
+    return out
 
 
-def in_shards(df: DataFrame, text: str, key: str, n_shards: int, seed: int, bucket_bytes: int) -> DataFrame:
-    """Whole records with ``shard`` and ``slot``, dealt and sorted as they are to be written."""
-    n_buckets = bucket_count(df.select(record_size(F.col(text)).alias("size")), "size", bucket_bytes)
-    out = external_shuffle(df, [F.col(key), text_crc32(F.col(text))], n_shards, n_buckets, seed)
-    # a task has neighbouring slots of a shard or a few: even tasks, and few files
-    return out.repartitionByRange(max(n_shards, shuffle_width(df.sparkSession)), "shard", "slot").sortWithinPartitions("shard", "slot")
-
-
-def shard_records(df: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard_records(df: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES) -> DataFrame:
     """Shuffle and write whole records below the shared folder, and digest what was written.
 
     A row for each record: ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
     """
-    written = materialize(in_shards(df, text, key, n_shards, seed, bucket_bytes), "shards", by="shard")
+    shuffled = external_shuffle(df, record_size(F.col(text)), n_shards, seed, bucket_bytes, copies_bytes)
+    written = materialize(shuffled.sortWithinPartitions("shard", "slot"), "shards", by="shard")
+    discard(shuffled._works_on)
     digest = written.select(F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"), "shard", "slot")
     return digest.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-def write_shards(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
+def write_shards(df: DataFrame, path: str, text: str = "text", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES) -> None:
     """Shuffle whole records and write them as Parquet below ``path``, one folder a shard, each file sorted by slot."""
-    in_shards(df, text, key, n_shards, seed, bucket_bytes).write.partitionBy("shard").parquet(path)
+    shuffled = external_shuffle(df, record_size(F.col(text)), n_shards, seed, bucket_bytes, copies_bytes)
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    discard(shuffled._works_on)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -509,12 +509,81 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_shard_records_digests_written_records(docs):
-    app, n = docs.sparkSession.sparkContext.applicationId, docs.count()
-    before = set(common._written.get(app, []))
+    at, n = (docs.sparkSession.sparkContext.applicationId, ""), docs.count()
+    before = set(common._written.get(at, []))
     rows = {(r.doc_id, r.shard, r.slot): (r.size, r.text_crc32) for r in sharding.shard_records(docs).collect()}
-    (path,) = set(common._written[app]) - before
+    (path,) = set(common._written[at]) - before
     written = docs.sparkSession.read.parquet(path)
     assert set(written.columns) == {*docs.columns, "shard", "slot"} and len(rows) == written.count() == n
     assert sorted(pairs(written)) == sorted(pairs(docs))
     for r in written.collect():
         assert rows[r.doc_id, r.shard, r.slot] == (len(r.text.encode()) + 8, zlib.crc32(r.text.encode()))
+
+
+def test_shards_depend_on_seed_and_table_alone(spark, docs, odd):
+    """Other partitions and adaptive execution off: the same shard and slot for every record; another seed: others."""
+
+    def run(df, **more):
+        return sorted((str(r.doc_id), r.shard, r.slot) for r in sharding.shard_records(df, bucket_bytes=20_000, copies_bytes=5_000, **more).collect())
+
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for df in (docs, odd):
+            first = run(df)
+            for values in (("false", "4"), ("true", "7"), ("false", "13")):
+                for k, v in zip(names, values, strict=True):
+                    spark.conf.set(k, v)
+                assert run(df.repartition(5)) == first
+        assert run(docs, seed=1) != run(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_shards_survive_tasks_that_are_run_again(tmp_path):
+    """An executor is killed while records are shuffled and written: the result is the same."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))!r})
+from pyspark.sql import SparkSession, functions as F
+spark = (SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.sql.shuffle.partitions", "6").config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.driver.host", "127.0.0.1").getOrCreate())
+spark.sparkContext.setLogLevel("OFF")
+from palimpso.llm import sharding
+docs = spark.read.parquet("{SMALL}/documents.parquet")
+got = lambda: sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_records(docs, bucket_bytes=20_000).collect())
+first = got()
+import os, signal, threading, time, psutil
+def kill():
+    time.sleep(1.0)
+    java = [p for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline())]
+    java[0].kill()
+    print("killed")
+t = threading.Thread(target=kill); t.start()
+again = [got() for _ in range(3)]
+t.join()
+print("equal", all(x == first for x in again))
+"""
+    pytest.importorskip("psutil")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "killed" in done.stdout and "equal True" in done.stdout, done.stderr[-3000:]
+
+
+def test_equal_rows_are_not_gathered(spark):
+    """Rows equal in every column, far more than a bucket holds."""
+    df = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit(1).alias("bucket")).unionByName(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(2).alias("bucket")))
+    rows = sharding.shard_records(df, bucket_bytes=4_000, copies_bytes=1_000).collect()
+    counts = Counter(r.shard for r in rows)
+    assert len(rows) == 5_050 and max(counts.values()) - min(counts.values()) <= 1 and len({(r.shard, r.slot) for r in rows}) == 5_050
+    buckets = sharding.scatter(df, sharding.record_size(F.col("text")), 1, 4_000, 1_000)[0].groupBy("bucket").count().collect()
+    assert max(r["count"] for r in buckets) < 1_500
+
+
+def test_fisher_yates_is_uniform(spark):
+    some = spark.range(1, 70).select("id", sharding.fisher_yates(F.col("id").cast("int"), F.lit(5)).alias("p")).collect()
+    assert all(sorted(r.p) == list(range(r.id)) for r in some)
+    met = Counter(tuple(r.p) for r in spark.range(12_000).select(sharding.fisher_yates(F.lit(4), F.col("id")).alias("p")).collect())
+    assert len(met) == 24 and all(400 < n < 600 for n in met.values())
