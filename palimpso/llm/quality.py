@@ -1,10 +1,15 @@
 """Quality rules as a short-circuit cascade (built-in functions only).
 
 Every rule is a boolean column expression that says "reject".  On a sample the cascade measures
-what each rule costs (seconds for the sample) and how much it rejects, and orders the rules by
-rejection per cost.  The verdict is one CASE expression in that order: Spark evaluates a later
-branch only for rows that no earlier branch rejected.  The order never changes a verdict, only
-the work.
+what each rule costs and which rows it rejects, and orders the rules by rejection per cost: the best one first, then
+the best on the rows that the first leaves, and so on.  The verdict is one CASE expression in that order: Spark
+evaluates a later branch only for rows that no earlier branch rejected.  The order never changes a verdict, only
+the work (and which of several rejecting rules is named).
+
+A rule's cost is the time of evaluating it many times over on each row of the sample, less that of a run with no
+rule, per evaluation: launching a job costs more than comparing two numbers, and must not be taken for it.  The base
+measures are columns of the result, so every row needs them and they are no rule's cost; what only a rule needs (counts
+of letters) is part of that rule.
 
 Words are runs of characters other than space and U+0009 to U+000D.  Base measures of a text:
 ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (of ``#*$%&|<>``),
@@ -13,8 +18,9 @@ an 8-word window that occurs twice or more in the text).  Windows are compared b
 within one document; no row is exploded, so nothing is shuffled.
 
 Defined results: a null or empty text, or one of separators only, has zero words and fails the
-base test; lengths are unbounded; repeated rows are judged one by one; extra columns are kept by
-``with_measures`` and ``cascade`` unless they bear the name of a measure, which then replaces them.
+base test; lengths are unbounded; repeated rows are judged one by one; an empty table gives no rows (and the rules stay in
+the order in which they are given); extra columns are kept by ``with_measures`` and ``cascade`` unless they bear the
+name of a measure, which then replaces them.
 """
 
 from __future__ import annotations
@@ -31,6 +37,11 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SAMPLE_ROWS = 2000
+#: the least seconds that a measured run takes, so that noise is small beside it, and the most evaluations of a rule on a row in it
+LEAST_SECONDS = 0.1
+MOST_REPEATS = 64
+#: seconds an evaluation that a rule is taken to cost at least
+LEAST_COST = 1e-9
 SEED = 17
 
 
@@ -48,7 +59,14 @@ def repeat_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
     """How many words lie in a window of ``window`` words that occurs at least twice."""
 
     def hashes(w):
-        return F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
+        # hashes of 1, 2, 4, ... words, each of two of the size before: a word is hashed once, not once for each window it is in
+        def joined(h, width):
+            if width == window:
+                return h
+            step = min(width, window - width)
+            return let(F.zip_with(F.slice(h, 1, F.size(h) - step), F.slice(h, step + 1, F.size(h) - step), lambda a, b: F.xxhash64(a, b)), lambda x: joined(x, width + step))
+
+        return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: joined(h, 1))
 
     def repeated_starts(h):
         # (hash, position) sorted: a start is repeated if a neighbour has the same hash
@@ -77,22 +95,22 @@ def repeat_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the base measures and the columns the rules need."""
     t = F.coalesce(F.col(text), F.lit(""))
-    split = df.withColumn("_words", words_of(F.col(text)))
+    words, lines = (next(f"{name}{k}" for k in range(len(df.columns) + 1) if f"{name}{k}" not in df.columns) for name in ("words", "lines"))
     has_word = F.filter(F.split(t, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(SEPARATORS))) > 0)
-    split = split.withColumn("_lines", has_word)
-    w = F.col("_words")
+    split = df.withColumns({words: words_of(F.col(text)), lines: has_word})
+    w = F.col(words)
     measured = split.withColumns(
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": repeat_words(w),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).drop("_words", "_lines")
+    return measured.withColumn("base_failed", failed).drop(words, lines)
 
 
 @dataclass(frozen=True)
@@ -113,21 +131,61 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def order_rules(measured: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """The rules by rejection per cost, most first; both are measured on a sample (about ``SAMPLE_ROWS`` rows of the whole table).
+def rule_costs(sample: DataFrame, rules: list[Rule]) -> list[float]:
+    """Seconds that one evaluation of each rule takes, on average over the rows of the (persisted) sample.
 
-    A wrong estimate (noise, an odd sample) costs time and changes no verdict.
+    A run evaluates a rule ``n`` times on every row; ``n`` grows until the run takes long enough to tell it from noise, and
+    what the same run takes without a rule is subtracted.
+    """
+    rows = max(1, sample.count())
+
+    def seconds(rule: Column | None, n: int) -> float:
+        again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        # the count depends on the repeat, so that no plan evaluates the rule once for all of them
+        hit = F.lit(True) if rule is None else F.coalesce(rule, F.lit(False))
+        began = time.perf_counter()
+        again.agg(F.sum(F.when(hit, F.col("_again")).otherwise(F.lit(0)))).first()
+        return time.perf_counter() - began
+
+    seconds(None, 1)  # the first job of a kind takes longer
+    empty: dict[int, float] = {}
+    costs = []
+    for rule in rules:
+        n = 1
+        while True:
+            if n not in empty:
+                empty[n] = seconds(None, n)
+            took = seconds(rule.rejects, n) - empty[n]
+            if took >= LEAST_SECONDS or n >= MOST_REPEATS:
+                break
+            n = min(MOST_REPEATS, n * max(4, min(64, int(LEAST_SECONDS / max(took, 1e-3)))))
+        costs.append(max(LEAST_COST, took / (n * rows)))
+    return costs
+
+
+def order_rules(measured: DataFrame, rules: list[Rule], given: Column | None = None) -> list[Rule]:
+    """The rules by rejection per cost, most first, each on the rows that those before it (and ``given``) leave.
+
+    Both are measured on a sample (about ``SAMPLE_ROWS`` rows of the whole table).  A wrong estimate (noise, an odd
+    sample) costs time and changes no verdict.  Rules that reject nothing more come last, cheap ones first.
     """
     sample = measured.persist()
     try:
-        total = max(1, sample.count())
-        scored = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.agg(F.sum(F.coalesce(rule.rejects, F.lit(False)).cast("long"))).first()[0] or 0
-            cost = time.perf_counter() - began
-            scored.append((-(rejected / total) / cost, cost, rule.name, rule))
-        return [x[-1] for x in sorted(scored, key=lambda x: x[:3])]
+        if not rules or sample.isEmpty():
+            return list(rules)
+        costs = rule_costs(sample, rules)
+        bits = [F.coalesce(r.rejects, F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
+        left = sample.filter(~F.coalesce(given, F.lit(False))) if given is not None else sample
+        # at most 2^rules kinds of rows
+        kinds = [(tuple(r[:-1]), r[-1]) for r in left.select(*bits).groupBy(*[f"r{k}" for k in range(len(rules))]).agg(F.count(F.lit(1))).collect()]
+        out, rest = [], list(range(len(rules)))
+        while rest:
+            gain = {k: sum(n for hit, n in kinds if hit[k]) for k in rest}
+            best = min(rest, key=lambda k: (-gain[k] / costs[k], costs[k], rules[k].name))
+            out.append(rules[best])
+            rest.remove(best)
+            kinds = [(hit, n) for hit, n in kinds if not hit[best]]
+        return out
     finally:
         sample.unpersist()
 
@@ -144,9 +202,10 @@ def quality_filter(df: DataFrame, text: str = "text", rules: list[Rule] | None =
     rules = default_rules(text) if rules is None else rules
     total = df.count()
     sample = df.sample(fraction=min(1.0, SAMPLE_ROWS / max(1, total)), seed=SEED)
-    ordered = order_rules(with_measures(sample, text), rules)
-    # the base test comes first: the contract fixes it
-    judged = cascade(with_measures(df, text), [Rule("base", F.col("base_failed")), *ordered])
+    # the base test comes first, as the contract fixes it, and the others are measured on what it leaves
+    base = Rule("base", F.col("base_failed"))
+    ordered = order_rules(with_measures(sample, text), rules, base.rejects)
+    judged = cascade(with_measures(df, text), [base, *ordered])
     return judged.withColumn("kept", F.col("rejected_by").isNull())
 
 

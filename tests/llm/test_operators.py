@@ -177,6 +177,29 @@ def test_rule_order_changes_no_verdict(docs):
     assert one == two and 0 < sum(one.values()) < len(one)
 
 
+def test_costs_are_of_rules_and_not_of_jobs(spark, docs):
+    """Comparing two numbers is far cheaper than a regular expression over a long text, and the order follows what earlier rules leave."""
+    sample = quality.with_measures(docs.select("doc_id", "text").filter(F.length("text") > 500)).persist()
+    trivial = quality.Rule("trivial", F.col("n_words") < 0)
+    letters = quality.Rule("letters", F.regexp_count("text", F.lit(r"\p{Lu}")) > F.regexp_count("text", F.lit(r"\p{L}")))
+    cheap, dear = quality.rule_costs(sample, [trivial, letters])
+    assert 10 * cheap < dear < 1e-2
+    sample.unpersist()
+    few = spark.createDataFrame([(k,) for k in range(1000)], "x int")
+    rules = [quality.Rule("ten", F.col("x") < 10), quality.Rule("most", F.col("x") < 900), quality.Rule("same", F.col("x") < 890), quality.Rule("none", F.col("x") < 0), quality.Rule("rest", F.col("x") >= 950)]
+    assert [r.name for r in quality.order_rules(few, rules)][:2] == ["most", "rest"]
+    assert [r.name for r in quality.order_rules(few.limit(0), rules)] == [r.name for r in rules]
+    assert {r.name for r in quality.order_rules(few, rules, F.col("x") < 900)[:1]} == {"rest"}
+
+
+def test_quality_keeps_columns_of_any_name(docs):
+    names = ("words", "lines", "_words", "_lines", "words0", "_again", "record")
+    some = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    got = quality.quality_filter(some)
+    assert got.count() == docs.count()
+    assert got.select(*names).distinct().collect() == [tuple(names)]
+
+
 # ---- op4 -------------------------------------------------------------------------------------
 
 
