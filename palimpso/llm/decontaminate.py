@@ -7,16 +7,17 @@ hit is then extended to the 10-word windows around it, and only windows that equ
 word for word (by 64-bit hashes of all ten words) count.  Items of 1 to 9 words are shorter than the
 guarantee; each is one window and is looked for among all grams of its length.
 
-The items' index is small and goes to every task.  Its size is checked, not assumed: items are dealt
-by hash into blocks of at most ``BLOCK_BYTES`` of text, and with more than one block the
-documents pass through one scan after another in the same task, each adding its hits.  Documents are
-never shuffled, so neither a hot source nor a passage in a third of all documents piles up anywhere.
+The items' index goes to every task, and its size is bounded, not assumed: items are counted and dealt
+by hash into blocks of about ``BLOCK_BYTES`` of text.  A usual benchmark is one block.  With more, the documents
+are scanned once for each block, and the documents with what was found so far are written to the shared folder before
+the next block's index is built, so driver and tasks hold one block at a time whatever the size of the benchmark.  Documents are never shuffled, so neither a hot source nor a
+passage in a third of all documents piles up anywhere.
 
 Defined results
 ---------------
 * null, empty or wordless text: no words, no hits; null, empty or wordless items: no windows;
 * items with a null id are left out; rows that repeat an id count as one item;
-* no items at all: nothing is contaminated;
+* no items at all: nothing is contaminated; no documents at all: no rows;
 * repeated documents are judged one by one; all columns of a document travel as one struct, so their
   names can't clash with ours; texts of any length are scanned whole.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
 from . import words as W
-from .common import carry, text_of
+from .common import carry, discard, materialize, text_of
 
 WINDOW = 10
 GRAM = 5
@@ -244,7 +245,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
         own = [(r["id"], r["text"]) for r in dealt.filter(F.col("block") == block).select("id", "text").collect()]
         index = spark.sparkContext.broadcast(Index.of(own))
         sent = [f for f in out.schema.fields if f.name != "found"]
-        out = out.mapInArrow(_scan(index, block > 0, text), T.StructType([*sent, T.StructField("found", ADDED)]))
+        before, out = out, out.mapInArrow(_scan(index, block > 0, text), T.StructType([*sent, T.StructField("found", ADDED)]))
+        if block < n - 1:
+            out = materialize(out, "scanned")
+            index.destroy()
+            discard(before)
     return out.select("row", "found")
 
 
