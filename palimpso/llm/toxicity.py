@@ -10,16 +10,20 @@ while the words around it can.
 
 Training uses a bounded sample: ``TRAIN_DOCS`` labelled texts of each class in expectation, drawn by
 a hash of the id.  The sampled ids are few enough for every task (and are checked to be), so texts
-are joined with them without a shuffle; features of the sample go to the driver, which fits.
-Scoring is a plain map over whole texts.
+are joined with them without a shuffle.  Spark counts in how many sampled texts each feature is and keeps the
+features whose share of toxic texts is not chance; only those, some thousands, go to the driver with the texts that have
+them, whatever the length of the texts.  The driver fits.  Scoring is a plain map over whole texts.
 
 Defined results: null, empty or wordless texts have no features and score the intercept; without
 labels of both classes the score is the share of toxic labels (0 without labels); several labels of
-one id count as toxic if any is; repeated rows are scored one by one; a document's columns travel as one struct.
+one id count as toxic if any is; of rows that repeat a labelled id with other texts one is learned in expectation; texts of any length
+are read whole; repeated rows are scored one by one; an empty table gives no rows; a document's columns travel as one struct, so their names can't clash with ours.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
 from . import words as W
-from .common import carry, text_of
+from .common import carry, discard, materialize, text_of
 from .language_id import fold
 
 TRAIN_DOCS = 8000
@@ -176,17 +180,45 @@ def counterfactuals(hashes: np.ndarray, own: np.ndarray, kinds: list[tuple[np.nd
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text: its features, a digest of them, and for every swap the features that go and those that come."""
     kinds = term_parts()
-    raw = lambda x: x.astype("<i4").tobytes()
+    ints = pa.list_(pa.int32())
+    pair = pa.struct([("gone", ints), ("come", ints)])
     for batch in batches:
-        rows, swaps = [], []
+        rows, digests, swaps = [], [], []
         for g in W.groups(batch.column("text"), W.ALNUM, fold=True):
             p = parts(g)
             for s, e in zip(g.offsets[:-1].tolist(), g.offsets[1:].tolist(), strict=True):
-                rows.append(raw(text_features(p[:, s:e])))
-                swaps.append([{"gone": raw(a), "come": raw(b)} for a, b in counterfactuals(g.hashes[s:e], p[:, s:e], kinds)])
-        pair = pa.struct([("gone", pa.binary()), ("come", pa.binary())])
-        yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(rows, pa.binary()), pa.array(swaps, pa.list_(pair))], ["toxic", "own", "swaps"])
+                rows.append(text_features(p[:, s:e]).astype(np.int32))
+                digests.append(hashlib.blake2b(rows[-1].tobytes(), digest_size=16).digest())
+                swaps.append([{"gone": a, "come": b} for a, b in counterfactuals(g.hashes[s:e], p[:, s:e], kinds)])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(digests, pa.binary()), pa.array(rows, ints), pa.array(swaps, pa.list_(pair))], EXTRACTED)
+
+
+EXTRACTED = ["toxic", "digest", "own", "swaps"]
+KINDS = "toxic int, digest binary, own array<int>, swaps array<struct<gone array<int>, come array<int>>>"
+
+
+def _pick(chosen):
+    """The texts' features among the chosen ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(len(LEVELS) << FEATURE_BITS, bool)
+        mask[chosen.value] = True
+
+        def cut(lists: pa.Array) -> pa.Array:
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ok = mask[values]
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok)])[ends], pa.int32()), pa.array(values[ok], pa.int32()))
+
+        for batch in batches:
+            swaps = batch.column("swaps")
+            inner = swaps.flatten()
+            inner = pa.StructArray.from_arrays([cut(inner.field("gone")), cut(inner.field("come"))], ["gone", "come"])
+            offsets = pa.array(swaps.offsets.to_numpy() - swaps.offsets[0].as_py(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("digest"), cut(batch.column("own")), pa.ListArray.from_arrays(offsets, inner)], EXTRACTED)
+
+    return run
 
 
 class Design:
@@ -228,29 +260,29 @@ def _descend(x: Design, left: Design, right: Design, toxic: np.ndarray, weight:
     return w, float(b)
 
 
-def screen(own: list, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def screen(rows: DataFrame) -> dict[int, int]:
     """The features whose share of toxic texts is not that of all texts by chance, and the number of texts that have them.
 
     Chernoff's bound for the binomial, for as many features as are tried.  Equal texts count once, as copies are no evidence.
     """
-    seen, bad = np.zeros((2, len(LEVELS) << FEATURE_BITS), np.int32)
-    distinct = {(r.tobytes(), t): r for r, t in zip(own, toxic.tolist(), strict=True)}
-    for (_, t), r in distinct.items():
-        seen[r] += 1
-        if t:
-            bad[r] += 1
-    p = sum(t for _, t in distinct) / len(distinct)
-    tried = np.flatnonzero(seen >= MIN_TEXTS)
-    n, k = seen[tried].astype(float), bad[tried].astype(float)
-    bound = k * np.log(np.maximum(k, 1) / (n * p)) + (n - k) * np.log(np.maximum(n - k, 1) / (n * (1 - p)))
-    kept = bound > np.log(max(1, len(tried)) / BY_CHANCE)
-    return tried[kept], n[kept]
-
-
-def train(own: list, swaps: list, toxic: np.ndarray, strength: float = COUNTERFACTUAL, l1: float = L1, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
+    distinct = rows.select("toxic", "digest", "own").dropDuplicates(["toxic", "digest"])
+    base = rows.select("toxic", "digest").distinct().agg(F.avg("toxic")).first()[0]
+    if base is None or base in (0.0, 1.0):
+        return {}
+    counts = distinct.select("toxic", F.explode("own").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    tried = materialize(counts.filter(F.col("n") >= MIN_TEXTS), "features")
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    part = lambda x, p: x * F.log(F.greatest(x, F.lit(1.0)) / (n * F.lit(p)))
+    kept = tried.filter(part(k, base) + part(n - k, 1 - base) > math.log(max(1, tried.count()) / BY_CHANCE))
+    out = {r["feature"]: r["n"] for r in kept.select("feature", "n").collect()}
+    discard(tried)
+    return out
+
+
+def train(own: list, swaps: list, toxic: np.ndarray, screened: dict[int, int], strength: float = COUNTERFACTUAL, l1: float = L1, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """Features with a weight, their weights, and the intercept.
 
-    First the L1 penalty chooses features among those that pass ``screen``: it is ``l1`` times the noise of
+    First the L1 penalty chooses features among the ``screened`` ones: it is ``l1`` times the noise of
     the feature's own gradient, which grows with the root of the number of texts that have it, so a rare
     feature is held against its own noise and not against that of common ones.  Then the chosen are fitted
     again without it, as it shrinks them.
@@ -259,7 +291,8 @@ def train(own: list, swaps: list, toxic: np.ndarray, strength: float = COUNTERFA
     none = np.zeros(0, np.int64), np.zeros(0)
     if share in (0.0, 1.0):
         return *none, (30.0 if share else -30.0)
-    vocabulary, texts = screen(own, toxic)
+    vocabulary = np.array(sorted(screened), np.int64)
+    texts = np.array([screened[f] for f in vocabulary.tolist()], float)
     weight = np.where(toxic > 0, TOXIC_MASS / share, (1 - TOXIC_MASS) / (1 - share)) / len(toxic)
     pairs = [x for rows in swaps for x in rows]
     noise = TOXIC_MASS * (1 - TOXIC_MASS) * np.sqrt(texts / (share * (1 - share))) / len(toxic)
@@ -280,16 +313,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).filter("key is not null and toxic is not null").groupBy("key").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.lit(train_docs) / F.when(F.col("toxic") == 1, F.lit(max(1, sizes.get(1, 0)))).otherwise(F.lit(max(1, sizes.get(0, 0))))
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.filter(draw < rate)
-    n = sample.count()
-    # the rate bounds the sample; a table of ids that is larger for any reason is joined by a shuffle
+    draw = lambda *by: F.pmod(F.xxhash64(F.lit(SEED), *by), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = known.filter(draw("key") < rate)
+    few = sample.count() <= 4 * train_docs  # the rate bounds the sample; were it larger for any reason, it would be joined by a shuffle
+    near = lambda t: F.broadcast(t) if few else t
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(sample) if n <= 4 * train_docs else sample, "key").select("toxic", "text")
-    got = rows.mapInArrow(_extract, "toxic int, own binary, swaps array<struct<gone binary, come binary>>").collect()
-    got = sorted((r["toxic"], bytes(r["own"]), [(bytes(a), bytes(b)) for a, b in r["swaps"]]) for r in got)  # the same model whatever the order of arrival
-    ids = lambda x: np.frombuffer(x, "<i4")
-    return train([ids(own) for _, own, _ in got], [[(ids(a), ids(b)) for a, b in swaps] for _, _, swaps in got], np.array([toxic for toxic, _, _ in got], float))
+    # rows that repeat an id are drawn so that they count as one in expectation, and equal ones are one
+    repeats = texts.select("key").join(near(sample), "key").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    sample = sample.join(repeats, "key", "left")
+    rows = texts.join(near(sample), "key").filter(F.col("rows").isNull() | (draw("key", "text") * F.col("rows") < 1))
+    if not repeats.isEmpty():
+        rows = rows.groupBy("key", "text").agg(F.first("toxic").alias("toxic"))
+    rows = rows.select("toxic", "text")
+    found = materialize(rows.mapInArrow(_extract, KINDS), "training-texts")
+    screened = screen(found)
+    chosen = docs.sparkSession.sparkContext.broadcast(np.array(sorted(screened), np.int64))
+    got = sorted((r["toxic"], bytes(r["digest"]), r["own"], r["swaps"]) for r in found.mapInArrow(_pick(chosen), KINDS).collect())  # the same model whatever the order of arrival
+    discard(found)
+    ids = lambda x: np.array(x, np.int64)
+    return train([ids(own) for _, _, own, _ in got], [[(ids(a), ids(b)) for a, b in swaps] for *_, swaps in got], np.array([toxic for toxic, *_ in got], float), screened)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -294,8 +294,7 @@ def test_toxicity_held_out(spark):
     out = catalog.QUERIES["op6_counterfactual_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").collect()
     clean = [r for r in out if not r.toxic]
     hits = [r for r in out if r.toxic and r.predicted]
-    # about half of the toxic labels are on texts without any sign of it
-    assert sum(r.predicted for r in clean) <= 0.01 * len(clean) and len(hits) >= 0.4 * sum(r.toxic for r in out)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean) and len(hits) >= 0.85 * sum(r.toxic for r in out)
 
 
 def test_toxicity_held_out_in_every_language(spark):
@@ -309,6 +308,37 @@ def test_toxicity_held_out_in_every_language(spark):
         assert sum(r.predicted for r in own if not r.toxic) <= 0.01 * len(own), lang
 
 
+def test_toxicity_scores_are_logits_of_features(spark, odd, docs):
+    """Screening counts and scores recomputed text by text, awkward rows among them; repeated ids are one text in expectation."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    chosen, weights, b = model
+    weight = dict(zip(chosen.tolist(), weights.tolist(), strict=True))
+
+    def own(text):
+        g = next(toxicity.W.groups(pa.array([text or ""]), toxicity.W.ALNUM, fold=True))
+        return toxicity.text_features(toxicity.parts(g)).tolist()
+
+    for df in (docs.limit(60), odd):
+        for r in toxicity.score(df, model).collect():
+            logit = b + sum(weight.get(f, 0.0) for f in own(r.row.text))
+            assert abs(r.score - 1 / (1 + np.exp(-max(-30, min(30, logit))))) < 1e-6
+    assert set(toxicity.score(odd, model).columns) == {"row", "score"} and toxicity.score(odd, model).select("row.*").columns == odd.columns
+    texts = [(i, t, m) for i, t, m in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()]
+    rows = next(toxicity._extract(iter([pa.RecordBatch.from_arrays([pa.array([m for *_, m in texts]), pa.array([t for _, t, _ in texts])], ["toxic", "text"])]))).to_pylist()
+    counts, bad = Counter(), Counter()
+    distinct = {(r["digest"], r["toxic"]): r for r in rows}.values()
+    for r in distinct:
+        counts.update(r["own"])
+        bad.update(r["own"] if r["toxic"] else ())
+    p, tried = np.mean([r["toxic"] for r in distinct]), [f for f, n in counts.items() if n >= toxicity.MIN_TEXTS]
+    part = lambda x, n, q: x * np.log(max(x, 1) / (n * q))
+    expected = {f: counts[f] for f in tried if part(bad[f], counts[f], p) + part(counts[f] - bad[f], counts[f], 1 - p) > np.log(len(tried) / toxicity.BY_CHANCE)}
+    assert toxicity.screen(spark.createDataFrame(rows, toxicity.KINDS)) == expected
+    many = docs.limit(1).withColumn("text", F.explode(F.array_repeat("text", 500))).unionByName(docs)
+    toxicity.fit(many, labels.unionByName(docs.limit(1).select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic"))))
+
+
 def test_toxicity_knows_words_by_their_beginnings():
     def own(text):
         g = next(toxicity.W.groups(pa.array([text]), toxicity.W.ALNUM, fold=True))
@@ -321,7 +351,7 @@ def test_toxicity_knows_words_by_their_beginnings():
 
 
 @pytest.mark.parametrize("named, other, fillers", [("musulmans", "catholiques", "rue mer"), ("Türken", "Polen", "haus weg"), ("inmigrantes", "ciudadanos", "casa calle")])
-def test_toxicity_ignores_mentions_of_groups_in_other_languages(named, other, fillers):
+def test_toxicity_ignores_mentions_of_groups_in_other_languages(spark, named, other, fillers):
     assert len({t for kind in toxicity.IDENTITY_TERMS for t in kind}) == sum(map(len, toxicity.IDENTITY_TERMS))
     rng = np.random.default_rng(2)
     texts, toxic = [], []
@@ -333,11 +363,15 @@ def test_toxicity_ignores_mentions_of_groups_in_other_languages(named, other, fi
         if rng.random() < (0.7 if toxic[-1] else 0.05):
             w[7] = named
         texts.append(" ".join(w))
-    rows = next(toxicity._extract(iter([pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(texts)], ["toxic", "text"])]))).to_pylist()
-    ids = lambda x: np.frombuffer(x, "<i4")
-    swaps = [[(ids(s["gone"]), ids(s["come"])) for s in r["swaps"]] for r in rows]
+    batch = next(toxicity._extract(iter([pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(texts)], ["toxic", "text"])])))
+    rows = batch.to_pylist()
+    swaps = [[(np.array(s["gone"], int), np.array(s["come"], int)) for s in r["swaps"]] for r in rows]
     assert [bool(s) for s in swaps] == [named in t for t in texts]
-    chosen, weights, b = toxicity.train([ids(r["own"]) for r in rows], swaps, np.array(toxic, float))
+    screened = toxicity.screen(spark.createDataFrame(rows, toxicity.KINDS))
+    cut = next(toxicity._pick(type("Shared", (), {"value": np.array(sorted(screened))}))(iter([batch.slice(3)]))).to_pylist()
+    keep = lambda x: [f for f in x if f in screened]
+    assert [(keep(r["own"]), [(keep(s["gone"]), keep(s["come"])) for s in r["swaps"]]) for r in rows[3:]] == [(r["own"], [(s["gone"], s["come"]) for s in r["swaps"]]) for r in cut]
+    chosen, weights, b = toxicity.train([np.array(r["own"], int) for r in rows], swaps, np.array(toxic, float), screened)
     own = lambda t: toxicity.text_features(toxicity.parts(next(toxicity.W.groups(pa.array([t]), toxicity.W.ALNUM, fold=True))))
     score = lambda t: toxicity.sigmoid(b + weights[np.isin(chosen, own(t))].sum())
     assert score(named) < 0.5 and abs(score(named) - score(other)) < 0.1 and score("zzyx") > 0.7
