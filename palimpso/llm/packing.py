@@ -5,11 +5,12 @@ its tokens, quantised to a cell of a grid and numbered along the Hilbert curve.
 range-sorted by that key and laid end to end, and the line is cut at every 4096th token: neighbours
 on the curve share sequences, and only the last sequence can have padding.
 
-Range sort without a sampler: an exact histogram of tokens by the key's leading bits (at most
-65,536 cells) is cut into buckets of about equal token counts; a cell with more than its share (many
-copies of one text have one key) becomes several buckets, dealt by a hash of the document.  A bucket
-is a task's unit, so no key can fill a task.  Bucket totals give every bucket its first position
-(eight bytes for some millions of tokens), and each task cuts its own documents as they stream by.
+Range sort without a sampler: tokens are counted by key, and the keys' running sum is cut into buckets of an equal share
+of tokens (by windows in cells of the keys' leading bits, put behind one another by the cells' sums).  So a
+crowded cell is cut between its keys, as far down as keys differ; only a key with more than a bucket's share by itself
+(many copies of one text) has several buckets, over which its documents are dealt by a hash.  A bucket is a task's
+unit, so no key can fill a task, and buckets follow one another in the order of keys.  The buckets' first keys and positions (some 16 bytes
+for ``BUCKET_TOKENS`` tokens) go to every task, and each task cuts its own documents as they stream by.
 Tokens are computed once, written to the shared folder and shuffled once as 2-byte ids.
 
 Defined results: null text is empty and still has its end id; repeated rows are packed each by
@@ -23,12 +24,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
-from .common import materialize, shuffle_width
+from .common import discard, materialize, shuffle_width
 from .tokens import encoder, tidy, vocabulary
 
 SEQUENCE = 4096
@@ -36,10 +38,14 @@ END_ID = 2
 DIMS = 4
 BITS = 10
 CELL_BITS = 16
+FINE_BITS = 12
 SPREAD = 0.5
 SEED = 5
 ROW_TOKENS = 1 << 18
 BUCKET_TOKENS = 8 << 20
+LEAST_BUCKETS = 256
+BUCKETS_A_TASK = 8
+MOST_TASKS = 100_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -121,25 +127,37 @@ def _cut(firsts, sequence: int, keep_ids: bool):
     return run
 
 
-def cut_histogram(cells: dict[int, int], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """First bucket and number of buckets of every cell, in the order of the cells: about equal token counts."""
-    size = 1 << CELL_BITS
-    weight = np.zeros(size, np.int64)
-    for cell, n in cells.items():
-        weight[cell] = n
-    share = max(1, -(-int(weight.sum()) // n_buckets))
-    lanes = np.maximum(1, -(-weight // share))
-    first = np.zeros(size, np.int64)
-    bucket, filled = 0, 0
-    for cell in np.flatnonzero(weight):
-        if filled and (filled + weight[cell] > share):
-            bucket, filled = bucket + 1, 0
-        first[cell] = bucket
-        if lanes[cell] > 1:
-            bucket, filled = bucket + int(lanes[cell]), 0
-        else:
-            filled += int(weight[cell])
-    return first, lanes
+def cut_keys(weights: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every bucket that a key begins in, in order: the least such key, the bucket, and how many buckets that key has (1, but for a key with more than a bucket's share).
+
+    ``weights`` has ``key`` and ``n``; a bucket's share is the sum of ``n`` over ``n_buckets``.
+    """
+    # two levels of cells: a window over at most 4,096 keys, and one over at most 4,096 cells
+    fine, coarse = F.shiftright("key", FINE_BITS), F.shiftright("fine", DIMS * BITS - CELL_BITS - FINE_BITS).cast("int")
+    before = lambda cell, place: F.coalesce(F.sum("n").over(Window.partitionBy(cell).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = weights.withColumn("fine", fine)
+    fines = keys.groupBy("fine").agg(F.sum("n").alias("n")).withColumn("coarse", coarse)
+    sums = {r["coarse"]: int(r["n"]) for r in fines.groupBy("coarse").agg(F.sum("n").alias("n")).collect()}
+    share = max(1, -(-sum(sums.values()) // max(1, n_buckets)))
+    base, at = {}, 0
+    for c in sorted(sums):
+        base[c], at = at, at + sums[c]
+    # one literal, folded when the query is planned
+    bases = F.get(F.split(F.lit(",".join(str(base.get(c, 0)) for c in range(1 << CELL_BITS))), ",").cast("array<long>"), F.col("coarse"))
+    starts = fines.select(F.col("fine").alias("cell"), (before("coarse", "fine") + bases).alias("base"))
+    own = keys.withColumn("own", before("fine", "key"))
+    line = own.join(starts, F.col("fine") == F.col("cell")).select("key", "n", (F.col("base") + F.col("own")).alias("at"))
+    bucket = F.floor(F.col("at") / F.lit(share)).cast("long")
+    lanes = F.when(F.col("n") > share, F.floor((F.col("at") + F.col("n") - 1) / F.lit(share)).cast("long") - bucket + 1).otherwise(F.lit(1))
+    cut = line.select("key", bucket.alias("bucket"), lanes.alias("lanes"))
+    # a large key begins a bucket of its own, so that the lanes of keys before it stay one; there are at most as many as buckets
+    firsts = cut.filter("lanes > 1").unionByName(cut.filter("lanes = 1").groupBy("bucket").agg(F.min("key").alias("key")).select("key", "bucket", F.lit(1).cast("long").alias("lanes")))
+    rows = sorted((r["key"], r["bucket"], r["lanes"]) for r in firsts.collect())
+    out: list[tuple[int, int, int]] = []
+    for key, _, n in rows:  # numbered anew and gapless, in the order of keys
+        out.append((key, out[-1][1] + out[-1][2] if out else 0, n))
+    table = np.array(out, np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2]
 
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -150,15 +168,22 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
     kinds = "doc_id long, key long, mark long, start long, doc_tokens long, ids binary"
     rows = materialize(sent.mapInArrow(_tokenise(tokenizer or vocabulary(), end_id), kinds), "tokens")
 
-    n = F.octet_length("ids") / 2
-    cell = F.shiftright("key", DIMS * BITS - CELL_BITS).cast("int")
-    cells = {r["cell"]: int(r["n"]) for r in rows.groupBy(cell.alias("cell")).agg(F.sum(n).alias("n")).collect()}
-    total = sum(cells.values())
-    first, lanes = cut_histogram(cells, max(2 * shuffle_width(spark), total // BUCKET_TOKENS))
-    # one literal, folded when the query is planned
-    at = lambda values: F.get(F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<long>"), cell)
-    lane = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "mark"), at(lanes))
-    dealt = rows.withColumn("bucket", at(first) + lane)
+    n = (F.octet_length("ids") / 2).cast("long")
+    weights = materialize(rows.groupBy("key").agg(F.sum(n).alias("n")), "keys")
+    total = int(weights.agg(F.sum("n")).first()[0] or 0)
+    keys, numbers, lanes = cut_keys(weights, max(LEAST_BUCKETS, total // BUCKET_TOKENS))
+    discard(weights)
+    cuts = spark.sparkContext.broadcast((keys, numbers, lanes))
+
+    @F.pandas_udf("long")
+    def bucket_of(key: pd.Series, mark: pd.Series) -> pd.Series:
+        at, first, width = cuts.value
+        k = np.searchsorted(at, key.to_numpy(), "right") - 1
+        # a key between a large one and the next bucket's first is behind the large one's last lane
+        inner = (width[k] > 1) & (at[k] == key.to_numpy())
+        return pd.Series(np.where(inner, first[k] + mark.to_numpy() % width[k], first[k] + width[k] - 1))
+
+    dealt = rows.withColumn("bucket", bucket_of("key", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "mark"), F.lit(1 << 40))))
 
     sums = {r["bucket"]: int(r["n"]) for r in dealt.groupBy("bucket").agg(F.sum(n).alias("n")).collect()}
     line = np.zeros(max(sums, default=0) + 2, np.int64)
@@ -166,7 +191,9 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
         line[bucket + 1] = tokens
     firsts = spark.sparkContext.broadcast(np.cumsum(line))
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "key", "doc_id", "mark", "start")
+    # as many tasks as the data asks for, whatever the session's width
+    tasks = min(MOST_TASKS, max(shuffle_width(spark), len(sums) // BUCKETS_A_TASK))
+    ordered = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "mark", "start")
     return ordered.select("doc_id", "bucket", "start", "doc_tokens", "ids").mapInArrow(_cut(firsts, sequence, keep_ids), kinds)
 
 

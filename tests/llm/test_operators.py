@@ -418,9 +418,36 @@ def test_neighbours_on_the_curve_are_neighbours():
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_hot_cells_are_dealt():
-    first, lanes = packing.cut_histogram({3: 10, 5: 1000, 9: 10}, 10)
-    assert lanes[5] > 5 and first[9] >= first[5] + lanes[5] and first[3] < first[5]
+def test_crowded_cells_are_cut_between_keys(spark):
+    """A third of all tokens in one cell of the leading bits: cut by key; a third on one key: several buckets; all in the order of keys."""
+    rng = np.random.default_rng(4)
+    hot = (5 << 24) + np.unique(rng.integers(0, 1 << 24, 3000))
+    weights = {int(k): int(n) for k, n in zip(hot, rng.integers(1, 200, len(hot)), strict=True)}
+    weights |= {int(k): int(n) for k, n in zip(rng.integers(0, 1 << 40, 3000), rng.integers(1, 200, 3000), strict=True)}
+    weights[(5 << 24) + 77] = sum(weights.values()) // 2
+    at, number, width = packing.cut_keys(spark.createDataFrame(list(weights.items()), "key long, n long"), 60)
+    share = -(-sum(weights.values()) // 60)
+    assert (np.diff(at) > 0).all() and (number == np.concatenate([[0], np.cumsum(width)[:-1]])).all() and at[0] == min(weights)
+    assert [int(k) for k in at[width > 1]] == [(5 << 24) + 77] and width.max() >= 20
+    load = Counter()
+    for key, n in weights.items():
+        k = int(np.searchsorted(at, key, "right")) - 1
+        if width[k] > 1 and at[k] == key:
+            assert n <= share * width[k]
+        else:
+            load[int(number[k] + width[k] - 1)] += n
+    assert max(load.values()) < 2 * share
+    none = packing.cut_keys(spark.createDataFrame([], "key long, n long"), 60)
+    assert all(len(x) == 0 for x in none)
+
+
+def test_packing_follows_the_curve(spark, docs):
+    """Documents lie in the order of their keys, and only equal keys are dealt by a hash."""
+    pieces = packing.pack(docs).filter("start = 0").select("doc_id", (F.col("sequence_id") * 4096 + F.col("offset")).alias("at")).orderBy("at").collect()
+    rows = next(iter(packing._tokenise(tokens.vocabulary(), 2)(iter([pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in pairs(docs)], "text": [t for _, t in pairs(docs)]})]))))
+    key = dict(zip(rows.column("doc_id").to_pylist(), rows.column("key").to_pylist(), strict=True))
+    got = [key[p.doc_id] for p in pieces]
+    assert got == sorted(got) and len(set(got)) > 100
 
 
 def test_encoder_equals_tokenizer():
