@@ -1,21 +1,29 @@
 """URL filters: a list of host and path rules first, and mined association rules for the rest.
 
 Mining: a URL is a fixed number of tokens (host, its last two and its last label, each word of the
-host, first path segment, file ending, names in the query, ...).  URLs of labelled documents, with
-the token ``bad`` where the label says so, go through Spark's FP-growth; itemsets that imply ``bad``
-with enough support and confidence become rules.  A rule is dropped if a part of it is a rule of
+host, first path segment, file ending, names in the query, ...).  Labelled URLs, with
+the token ``bad`` where the label says so, go through Spark's FP-growth; itemsets of up to ``MOST_TOKENS`` tokens that imply ``bad``
+with enough support, confidence and lift become rules.  A rule has to name the host or the host's own label: language, scheme
+or depth by themselves describe half of the web.  A rule is dropped if a part of it is a rule of
 no less confidence.  Rules are matched by an inverted index from token to rules: a rule fires when
 as many of its tokens were met as it has.
 
-The number of tokens of a URL is fixed by their kinds, so the itemsets of one URL are bounded however
-long it is; the rules that survive are bounded by the support, and the index of them goes to every task.
+Labels: a URL that a listed rule decides has that verdict as its label, so that what the list says about parts of a host
+is learned about the host; any other URL has the label of the document that it names, if there is one (low quality or toxic: bad).
+
+The number of tokens of a URL is fixed by their kinds: at most 12, so at most 793 sets of up to four however
+long the URL is.  Every rule's tokens are in a share of ``min_support`` of the labelled URLs at least, so there are at most 793 / ``min_support``
+rules (396,500 by default) whatever the number of URLs; that bounds what the driver prunes and what goes to every task.
 
 Defined results: null or a URL without ``://`` has empty host and path and the method's verdict;
-without labelled URLs no rule is mined and the method allows; repeated rows are judged one by one.
+without labelled URLs no rule is mined and the method allows; repeated rows are judged one by one, and learned as often as
+they are there; URLs of any length are read whole; an empty table gives no rows; columns other than id and URL are not read.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,12 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
+from .common import discard, materialize
 
 BAD = "bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 MIN_BAD_URLS = 20
+#: a rule's confidence over the share of bad ones among all labelled URLs
+MIN_LIFT = 1.1
+MOST_TOKENS = 4
+#: kinds of token of which a rule has one at least
+SPECIFIC = ("host:", "label3:")
 
 #: (verdict, host, path)
 LISTED = (
@@ -64,7 +78,7 @@ def listed_rule(host: Column, path: Column, rules=LISTED) -> tuple[Column, Colum
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL, each of one of twelve kinds."""
+    """Distinct tokens of a URL, each of one of twelve kinds; the scheme counts up to the first ``://``."""
     labels = F.split(host, r"\.")
     own = lambda kind, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(kind + ":"), value))
     label = lambda k: F.get(labels, F.size(labels) - k)
@@ -92,38 +106,39 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[frozenset[str], float, int]]:
-    """Rules (tokens, confidence, how many bad URLs they explain) from ``tokens`` and the boolean ``bad``."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> list[tuple[frozenset[str], float, int]]:
+    """Rules (tokens, confidence, how many bad URLs they explain) from ``tokens`` and the boolean ``bad``; the best first."""
     from pyspark.ml.fpm import FPGrowth
 
     items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    n = items.count()
+    n, n_bad = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
     if n < MIN_BAD_URLS:
         return []
+    least = max(min_confidence, min_lift * n_bad / n)
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_BAD_URLS / n), minConfidence=min_confidence).fit(items)
-    sets = model.freqItemsets
+    sets = model.freqItemsets.filter(F.size("items") <= MOST_TOKENS + 1)
+    names_host = F.exists("tokens", lambda t: F.lit(False) if not SPECIFIC else functools.reduce(lambda a, b: a | b, [t.startswith(k) for k in SPECIFIC]))
     with_bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n_bad"))
     without = sets.filter(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), "freq")
-    found = with_bad.join(without, "tokens").filter(F.col("n_bad") >= min_confidence * F.col("freq"))
-    rules: list[tuple[frozenset[str], float, int]] = []
-    for r in sorted(((frozenset(r["tokens"]), r["n_bad"] / r["freq"], r["n_bad"]) for r in found.collect()), key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
-        if not any(s[0] < r[0] and s[1] >= r[1] for s in rules):
-            rules.append(r)
-    return rules
+    found = with_bad.filter(names_host).join(without, "tokens").filter(F.col("n_bad") >= least * F.col("freq"))
+    confidence = {frozenset(r["tokens"]): (r["n_bad"] / r["freq"], r["n_bad"]) for r in found.collect()}
+    parts = lambda own: (frozenset(x) for k in range(1, len(own)) for x in itertools.combinations(own, k))
+    kept = [(own, *c) for own, c in confidence.items() if not any(x in confidence and confidence[x][0] >= c[0] for x in parts(own))]
+    return sorted(kept, key=lambda r: (len(r[0]), -r[1], sorted(r[0])))
 
 
 def match(pages: DataFrame, rules: list[tuple[frozenset[str], float, int]]) -> DataFrame:
-    """``pages`` with ``mined`` (the number of the first rule that fires, null if none); reads ``tokens``."""
+    """``pages`` with ``mined`` (the tokens of the first rule that fires, null if none); reads ``tokens``."""
     spark = pages.sparkSession
     ship_code(spark)
     index: dict[str, list[int]] = {}
     for k, (own, _, _) in enumerate(rules):
         for t in own:
             index.setdefault(t, []).append(k)
-    shared = spark.sparkContext.broadcast((index, [len(r[0]) for r in rules]))
+    shared = spark.sparkContext.broadcast((index, [len(r[0]) for r in rules], [" ".join(sorted(r[0])) for r in rules]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_token, sizes = shared.value
+        by_token, sizes, texts = shared.value
         for batch in batches:
             mined = []
             for own in batch.column("tokens").to_pylist():
@@ -131,10 +146,11 @@ def match(pages: DataFrame, rules: list[tuple[frozenset[str], float, int]]) -> D
                 for t in own:
                     for k in by_token.get(t, ()):
                         met[k] = met.get(k, 0) + 1
-                mined.append(min((k for k, n in met.items() if n == sizes[k]), default=None))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mined, pa.int32())], [*batch.schema.names, "mined"])
+                first = min((k for k, n in met.items() if n == sizes[k]), default=None)
+                mined.append(None if first is None else texts[first])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mined, pa.string())], [*batch.schema.names, "mined"])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("mined", T.IntegerType())]))
+    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("mined", T.StringType())]))
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
@@ -145,20 +161,30 @@ def labelled_urls(pages: DataFrame, labels: DataFrame, url: str = "url") -> Data
     return named.join(marks.groupBy("doc").agg(F.max("bad").alias("bad")), "doc").select("url", "bad")
 
 
+def training_urls(pages: DataFrame, labels: DataFrame, url: str = "url", rules=LISTED) -> DataFrame:
+    """``url`` and ``bad``: the verdict of the listed rule that decides a URL, or else the label of the document that it names."""
+    verdict = listed_rule(host_of(F.col("url")), path_of(F.col("url")), rules)[1]
+    listed = pages.select(F.col(url).alias("url")).select("url", (verdict == "block").alias("bad")).filter("bad is not null")
+    rest = labelled_urls(pages, labels, url).filter(verdict.isNull())
+    return listed.unionByName(rest)
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_id", rules=LISTED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``key``, ``host``, ``path``, ``rule``, ``verdict`` and ``mined`` (number of the mined rule that fired)."""
-    train = labelled_urls(pages, labels, url)
+    """``key``, ``host``, ``path``, ``rule``, ``verdict`` and ``mined`` (the mined rule that fired first, of those that no listed rule decides)."""
     parts = lambda c: (host_of(c), path_of(c))
-    mined = mine(train.select(tokens(F.col("url"), *parts(F.col("url"))).alias("tokens"), "bad"), min_support, min_confidence)
+    train = training_urls(pages, labels, url, rules).select(tokens(F.col("url"), *parts(F.col("url"))).alias("tokens"), "bad")
+    train = materialize(train, "labelled-urls")
+    mined = mine(train, min_support, min_confidence)
+    discard(train)
     host, path = parts(F.col(url))
     name, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     out = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"), tokens(F.col(url), host, path).alias("tokens"))
-    out = match(out, mined)
+    out = match(out, mined).withColumns({"rule": name, "listed": verdict})
     method = F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(key, "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "mined")
+    return out.select(key, "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), F.when(F.col("listed").isNull(), F.col("mined")).alias("mined"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return filter_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict", "mined")

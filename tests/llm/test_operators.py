@@ -265,6 +265,58 @@ def test_mined_rules_block(spark):
     assert all(verdicts[k] == "allow" for k, _ in good) and all(verdicts[k] == "block" for k, _ in bad)
 
 
+ODD_URLS = [
+    (1, None), (2, ""), (3, "no scheme"), (4, "://"), (5, "http://"), (6, "http://a.b.c.d.e.f/" + "x/" * 5000 + "?" + "&".join(f"q{i}=1" for i in range(3000))), (7, "HTTP://Spam.EXAMPLE.org/En/1#x?y"),
+    (7, "HTTP://Spam.EXAMPLE.org/En/1#x?y"), (None, "http://spam.example.org/en/2"), (8, "http://ж.рф/ё"),
+]
+
+
+def brute_rules(rows, min_support, min_confidence, min_lift):
+    """All token sets of up to four, counted one by one."""
+    from itertools import combinations
+
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    counts, bad = Counter(), Counter()
+    for own, is_bad in rows:
+        for k in range(1, 5):
+            for x in combinations(sorted(own), k):
+                counts[frozenset(x)] += 1
+                bad[frozenset(x)] += is_bad
+    least = max(min_support, urls.MIN_BAD_URLS / n)
+    rules = {x: bad[x] / counts[x] for x in counts if bad[x] >= np.ceil(least * n) and bad[x] >= max(min_confidence, min_lift * base) * counts[x] and any(t.startswith(urls.SPECIFIC) for t in x)}
+    return {x: c for x, c in rules.items() if not any(y < x and rules[y] >= c for y in rules)}
+
+
+@pytest.mark.parametrize("support, confidence", [(0.004, 0.6), (0.02, 0.55)])
+def test_mined_rules_and_verdicts_equal_brute_force(spark, support, confidence):
+    folder = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame(ODD_URLS, "page_id long, url string")).withColumn("host", F.lit("clash")).withColumn("tokens", F.lit(1))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    url = F.col("url")
+    train = urls.training_urls(pages, labels).select(urls.tokens(url, urls.host_of(url), urls.path_of(url)).alias("tokens"), "bad")
+    expected = brute_rules([(r.tokens, r.bad) for r in train.collect()], support, confidence, urls.MIN_LIFT)
+    mined = urls.mine(train, support, confidence)
+    assert {x: round(c, 9) for x, c, _ in mined} == {x: round(c, 9) for x, c in expected.items()}
+    order = [x for x, _, _ in mined]
+    got = urls.filter_urls(pages, labels, min_support=support, min_confidence=confidence).collect()
+    own = {r.url: set(r.tokens) for r in pages.select("url", urls.tokens(url, urls.host_of(url), urls.path_of(url)).alias("tokens")).distinct().collect()}
+    text = dict(pages.select("page_id", "url").collect())
+    assert len(got) == pages.count() and (support > 0.01 or sum(r.mined is not None for r in got) > 0)
+    for r in got:
+        first = next((x for x in order if x <= own[text[r.page_id]]), None)
+        if r.rule is None:
+            assert (r.mined, r.verdict) == ((" ".join(sorted(first)), "block") if first else (None, "allow")), r
+        else:
+            assert r.mined is None
+
+
+def test_mining_without_labels(spark):
+    pages = spark.createDataFrame(ODD_URLS, "page_id long, url string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r.verdict == "allow" and r.mined is None for r in urls.filter_urls(pages, none, rules=()).collect())
+    assert urls.filter_urls(pages.limit(0), none).count() == 0
+
+
 # ---- op6 -------------------------------------------------------------------------------------
 
 
