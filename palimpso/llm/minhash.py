@@ -16,7 +16,10 @@ Work stays in proportion to the input:
   others (the common original of many edited copies, usually); links give components;
 * round 2 takes the large bands that still hold several components: members outside the largest one
   are compared with everyone, in blocks, by their 512 least shingles (the whole set, mostly), and one
-  link a component comes out;
+  link a component comes out.  A band with many such outsiders (``HOT``; common boilerplate that is not
+  similar enough) is split by a second band: two texts that meet in it are compared where they share another
+  such band, or in a band that is not as crowded.  A pair at 0.85 shares a single band with probability 2e-9 (1e-6 at 0.8).
+  A block has at most 512 members and ``HOT`` outsiders;
 * round 3 takes what is left between components: small bands are paired in full, and larger sets in large
   bands that an estimate could not rule out are verified.
 
@@ -53,6 +56,7 @@ BLOCK = 512
 ERRORS = 6
 BEST = 2
 LOWEST = 512
+HOT = 2048
 #: 8 bytes each, some 100 MB in a hash table
 BROADCAST_IDS = 2_000_000
 
@@ -235,9 +239,9 @@ def _across(percent: int, decided: bool):
 class NearDuplicates:
     """Builds groups of documents linked by similar sets of shingles; ``percent`` is the least similarity."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, small_band: int = SMALL_BAND, block: int = BLOCK):
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, small_band: int = SMALL_BAND, block: int = BLOCK, hot: int = HOT):
         ship_code(docs.sparkSession)
-        self.shingle, self.percent, self.threshold, self.small_band, self.block = shingle, percent, percent / 100, small_band, block
+        self.shingle, self.percent, self.threshold, self.small_band, self.block, self.hot = shingle, percent, percent / 100, small_band, block, hot
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def groups(self) -> DataFrame:
@@ -333,22 +337,43 @@ class NearDuplicates:
         other = small.select("band", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
         return small.join(other, "band").filter("cid < b and comp != comp_b").select(F.col("cid").alias("a"), "b").distinct()
 
+    def _largest(self, large: DataFrame) -> DataFrame:
+        """Of every band its largest component, and how many members are outside it."""
+        parts = large.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+        return parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).select("band", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.n")).alias("outside"))
+
+    def _split(self, large: DataFrame, largest: DataFrame) -> DataFrame:
+        """Large bands, with those of more than ``hot`` outsiders split by pairs of such bands."""
+        crowded = largest.filter(F.col("outside") > self.hot).select("band")
+        own = large.join(crowded, "band").groupBy("cid").agg(F.sort_array(F.collect_set("band")).alias("bands"), F.first("comp").alias("comp"), F.first("n_shingles").alias("n_shingles"))
+        both = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, F.size("bands")), lambda y: F.xxhash64(x, y))))
+        parts = own.select(F.explode(both).alias("band"), "cid", "n_shingles", "comp")
+        sizes = materialize(parts.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band", "size"), "split-bands")
+        names = ("band", "cid", "n_shingles", "size", "comp")
+        return large.join(crowded, "band", "left_anti").select(*names).unionByName(parts.join(sizes, "band").select(*names))
+
     def _large(self, mixed: DataFrame, tried: DataFrame, decided: bool) -> DataFrame:
         """Links in the other bands: who is outside a band's largest component against everyone, block by block."""
         large = materialize(mixed.filter(F.col("size") > self.small_band), "large-bands", self.most)
         if large.isEmpty():
             discard(large)
             return mixed.sparkSession.createDataFrame([], "a long, b long")
-        parts = large.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-        largest = materialize(parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top")).select("band", F.col("top.comp").alias("top")), "largest", self.most // self.small_band)
+        largest = materialize(self._largest(large), "largest", self.most // self.small_band)
+        if not largest.filter(F.col("outside") > self.hot).isEmpty():
+            before = (large, largest)
+            large = materialize(self._split(large, largest), "large-bands")
+            largest = materialize(self._largest(large), "largest")
+            discard(*before)
         ids = large.select(F.col("cid").alias("doc_id")).distinct()
         lowest = materialize(self._texts(ids).mapInArrow(_lowest(self.shingle), "cid long, lowest binary").filter("length(lowest) > 0"), "lowest")
-        blocks = F.ceil(F.col("size") / self.block).cast("int")
+        blocks, sides = F.ceil(F.col("size") / self.block).cast("int"), F.ceil(F.col("outside") / self.hot).cast("int")
+        dealt = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         signed = large.join(largest, "band").join(lowest, "cid")
         names = ("cid", "comp", "n_shingles", "lowest")
-        members = signed.select("band", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), *names)
-        minor = signed.filter("comp != top").select(F.col("band").alias("band"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(c) for c in names])
-        found = members.groupBy("band", "block").cogroup(minor.groupBy("band", "block")).applyInPandas(_across(self.percent, decided), "a long, b long").distinct()
+        members = signed.select("band", dealt(blocks).alias("block"), every(sides).alias("side"), *names)
+        minor = signed.filter("comp != top").select(F.col("band").alias("band"), every(blocks).alias("block"), dealt(sides).alias("side"), *[F.col(c).alias(c) for c in names])
+        found = members.groupBy("band", "block", "side").cogroup(minor.groupBy("band", "block", "side")).applyInPandas(_across(self.percent, decided), "a long, b long").distinct()
         open_ = materialize(found.join(tried, ["a", "b"], "left_anti"), "candidates-2")
         out = self._verified(open_)
         discard(large, largest, lowest, open_)

@@ -133,6 +133,26 @@ def test_large_bands_are_compared_across(spark, monkeypatch, low):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_groups(rows, 3, 85)
 
 
+def test_crowded_bands_are_split(spark, monkeypatch):
+    """Texts of much common boilerplate, most of them not similar enough: bands of many components; no link is lost."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{i}" for i in range(80)], []
+    for k in range(150):
+        own = base.copy()
+        for at in rng.integers(0, 80, int(rng.integers(3, 9))):
+            own[at] = f"e{k}x{at}"
+        rows.append((2 * k, " ".join(own)))
+        if k % 5 == 0:
+            own[int(rng.integers(0, 80))] = "near"
+            rows.append((2 * k + 1, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = []
+    whole = minhash.NearDuplicates._split
+    monkeypatch.setattr(minhash.NearDuplicates, "_split", lambda self, a, b: split.append(1) or whole(self, a, b))
+    got = minhash.NearDuplicates(df, shingle=3, percent=85, small_band=4, block=16, hot=10).groups().collect()
+    assert split and sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_groups(rows, 3, 85)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     for n in (30, 300, 3000):
