@@ -2,15 +2,15 @@
 
 Pass 1 scatters whole records uniformly into buckets of about ``BUCKET_BYTES`` by a seeded hash and writes them, each
 with its bucket, to the shared folder.  Pass 2 gathers each bucket, puts its records in the order of their hashes,
-Fisher-Yates shuffles that order and writes the records by shard.  Buckets lie behind one another on one global line of positions, found
+Fisher-Yates shuffles their places in that order and writes the records by shard.  Buckets lie behind one another on one global line of positions, found
 from the bucket counts by a prefix sum in two levels; position ``p`` goes to shard ``p % n_shards`` and slot
 ``p // n_shards``.  So shards differ by one row at most (law ``rows``) and slots are gapless from 0, whatever the
 sizes of the buckets.
 
 The draws of the Fisher-Yates shuffle are hashes of (seed, bucket, step), and the number of buckets follows from the table's
 size alone.  So a record's shard and slot are a function of the seed and the table: tasks that are run again, other
-partitions and adaptive execution change nothing.  A swap touches two short rows of the index, which is kept in about sqrt(n) rows, and no record is
-moved before the order is known.
+partitions and adaptive execution change nothing.  A swap touches two short rows of the places, which are kept in about sqrt(n) rows; the
+records themselves are ranked and sorted as they stream by, and are never held in an array.
 
 Records are told apart by a hash of all their columns, so copies of a text and rows with the same id spread like any
 other rows.  Records equal in every column, with more than ``COPIES_BYTES`` of them (they are counted with partial sums), are
@@ -34,6 +34,7 @@ from .common import discard, materialize
 
 SEED = 20240229
 BUCKET_BYTES = 16 << 20
+TASK_BYTES = 128 << 20
 COPIES_BYTES = BUCKET_BYTES // 4
 RECORD_OVERHEAD = 8
 #: copies that one row is multiplied to in the second step
@@ -113,21 +114,21 @@ def positions(buckets: DataFrame) -> DataFrame:
 
 
 def external_shuffle(df: DataFrame, size: Column, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES) -> DataFrame:
-    """All columns of ``df`` and ``shard int``, ``slot long``; the records in random order over the shards."""
-    scattered, _ = scatter(df, size, seed, bucket_bytes, copies_bytes)
-    gathered = scattered.groupBy("bucket").agg(F.collect_list(F.struct("mark", "record")).alias("rows"))
-    offsets = positions(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    ranks = F.sort_array(F.transform("rows", lambda x, i: F.struct(x["mark"].alias("mark"), i.alias("i"))))
-    order = fisher_yates(F.size("rows"), F.xxhash64(F.lit(seed), "bucket"))
-    dealt = let(ranks, lambda r: F.transform(order, lambda k: F.get(r, k)["i"]))
-    placed = gathered.select("bucket", let(dealt, lambda d: F.transform(d, lambda i: F.get(F.col("rows"), i)["record"])).alias("records")).join(offsets, "bucket")
-    placed = placed.select("first", F.posexplode("records").alias("at", "record"))
-    position = F.col("first") + F.col("at")
+    """All columns of ``df`` and ``shard int``, ``slot long``; the records in random order over the shards, sorted by both in each partition."""
+    scattered, n_buckets = scatter(df, size, seed, bucket_bytes, copies_bytes)
+    sizes = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    order = fisher_yates(F.col("n").cast("int"), F.xxhash64(F.lit(seed), "bucket"))
+    orders = sizes.join(positions(sizes), "bucket").select("bucket", "first", order.alias("order"))
+    # a task gathers a few buckets, as each task writes a file a shard; bucket by bucket, the records stream through two sorts
+    tasks = max(1, -(-n_buckets * bucket_bytes // TASK_BYTES))
+    gathered = scattered.repartition(tasks, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("mark")))
+    position = F.col("first") + F.get("order", F.col("rank") - 1)
+    placed = gathered.join(orders.repartition(tasks, "bucket").hint("merge"), "bucket").select("record", position.alias("position"))
     out = placed.select(
         "record.*",
-        F.pmod(position, F.lit(n_shards)).cast("int").alias("shard"),
-        F.floor(position / F.lit(n_shards)).cast("long").alias("slot"),
-    )
+        F.pmod("position", F.lit(n_shards)).cast("int").alias("shard"),
+        F.floor(F.col("position") / F.lit(n_shards)).cast("long").alias("slot"),
+    ).sortWithinPartitions("shard", "slot")
     out._works_on = scattered
     return out
 
@@ -138,7 +139,7 @@ def shard_records(df: DataFrame, text: str = "text", key: str = "doc_id", n_shar
     A row for each record: ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
     """
     shuffled = external_shuffle(df, record_size(F.col(text)), n_shards, seed, bucket_bytes, copies_bytes)
-    written = materialize(shuffled.sortWithinPartitions("shard", "slot"), "shards", by="shard")
+    written = materialize(shuffled, "shards", by="shard")
     discard(shuffled._works_on)
     digest = written.select(F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"), "shard", "slot")
     return digest.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -147,7 +148,7 @@ def shard_records(df: DataFrame, text: str = "text", key: str = "doc_id", n_shar
 def write_shards(df: DataFrame, path: str, text: str = "text", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES) -> None:
     """Shuffle whole records and write them as Parquet below ``path``, one folder a shard, each file sorted by slot."""
     shuffled = external_shuffle(df, record_size(F.col(text)), n_shards, seed, bucket_bytes, copies_bytes)
-    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shuffled.write.partitionBy("shard").parquet(path)
     discard(shuffled._works_on)
 
 
