@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from ..functions.deploy import ship_code
 from . import words as W
-from .common import carry, discard, materialize, text_of
+from .common import carry, text_of
 from .language_id import fold
 
 TRAIN_DOCS = 8000
@@ -260,23 +260,43 @@ def _descend(x: Design, left: Design, right: Design, toxic: np.ndarray, weight:
     return w, float(b)
 
 
+#: a feature that every text has, by which texts are counted
+EVERY = -1
+COUNT_TEXTS = 512
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts, and toxic ones, of each few hundred have a feature."""
+    for whole in batches:
+        for at in range(0, len(whole), COUNT_TEXTS):
+            batch = whole.slice(at, COUNT_TEXTS)
+            own = batch.column("own")
+            toxic = np.repeat(batch.column("toxic").to_numpy(), np.diff(own.offsets.to_numpy()))
+            met, where = np.unique(own.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            n, k = np.bincount(where, minlength=len(met)), np.bincount(where, toxic, minlength=len(met))
+            out = [np.append(met, EVERY), np.append(n, len(batch)), np.append(k, batch.column("toxic").to_numpy().sum())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["feature", "n", "k"])
+
+
 def screen(rows: DataFrame) -> dict[int, int]:
     """The features whose share of toxic texts is not that of all texts by chance, and the number of texts that have them.
 
     Chernoff's bound for the binomial, for as many features as are tried.  Equal texts count once, as copies are no evidence.
     """
     distinct = rows.select("toxic", "digest", "own").dropDuplicates(["toxic", "digest"])
-    base = rows.select("toxic", "digest").distinct().agg(F.avg("toxic")).first()[0]
-    if base is None or base in (0.0, 1.0):
-        return {}
-    counts = distinct.select("toxic", F.explode("own").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
-    tried = materialize(counts.filter(F.col("n") >= MIN_TEXTS), "features")
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    part = lambda x, p: x * F.log(F.greatest(x, F.lit(1.0)) / (n * F.lit(p)))
-    kept = tried.filter(part(k, base) + part(n - k, 1 - base) > math.log(max(1, tried.count()) / BY_CHANCE))
-    out = {r["feature"]: r["n"] for r in kept.select("feature", "n").collect()}
-    discard(tried)
-    return out
+    counts = distinct.select("toxic", "own").mapInArrow(_count, "feature int, n long, k long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).persist()
+    try:
+        every = counts.filter(F.col("feature") == EVERY).first()
+        if every is None or every["k"] in (0, every["n"]):
+            return {}
+        base = every["k"] / every["n"]
+        tried = counts.filter((F.col("feature") != EVERY) & (F.col("n") >= MIN_TEXTS))
+        n, k = F.col("n").cast("double"), F.col("k").cast("double")
+        part = lambda x, p: x * F.log(F.greatest(x, F.lit(1.0)) / (n * F.lit(p)))
+        kept = tried.filter(part(k, base) + part(n - k, 1 - base) > math.log(max(1, tried.count()) / BY_CHANCE))
+        return {r["feature"]: r["n"] for r in kept.select("feature", "n").collect()}
+    finally:
+        counts.unpersist()
 
 
 def train(own: list, swaps: list, toxic: np.ndarray, screened: dict[int, int], strength: float = COUNTERFACTUAL, l1: float = L1, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -325,11 +345,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not repeats.isEmpty():
         rows = rows.groupBy("key", "text").agg(F.first("toxic").alias("toxic"))
     rows = rows.select("toxic", "text")
-    found = materialize(rows.mapInArrow(_extract, KINDS), "training-texts")
+    # worked out twice, for the counts and for what is kept: cheaper than a table of all features
+    found = rows.mapInArrow(_extract, KINDS)
     screened = screen(found)
     chosen = docs.sparkSession.sparkContext.broadcast(np.array(sorted(screened), np.int64))
     got = sorted((r["toxic"], bytes(r["digest"]), r["own"], r["swaps"]) for r in found.mapInArrow(_pick(chosen), KINDS).collect())  # the same model whatever the order of arrival
-    discard(found)
     ids = lambda x: np.array(x, np.int64)
     return train([ids(own) for _, _, own, _ in got], [[(ids(a), ids(b)) for a, b in swaps] for *_, swaps in got], np.array([toxic for toxic, *_ in got], float), screened)
 
