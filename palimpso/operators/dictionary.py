@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 HIT, SIGNAL, EXACT, LEXICAL, DENSE = 0.55, 0.08, 0.12, 0.20, 0.70
 FLOOR = 0.42
 MAX_HINTS, PER_GROUP = 3, 3
+#: entries that go to every task; of more, a question meets those that begin with a word of it or have a score
+BROADCAST_ENTRIES = 20_000
+
+
+#: Fixed spellings, replaced in this order.
+SPELLINGS = {"shoppe": "shopee", "tik tok": "tiktok", "tiktokshop": "tiktok shop", "lazadaa": "lazada"}
 
 
 def fold(text: Column) -> Column:
-    """Lower case, đ as d, single blanks, letters and digits only."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), "đ", "d"), r"(?U)[^\p{L}\p{N}]+", " "))
+    """Lower case, usual spellings of four names, single blanks; digits and Latin letters (with the marks of the language) only."""
+    out = F.lower(text)
+    for said, meant in SPELLINGS.items():
+        out = F.replace(out, F.lit(said), F.lit(meant))
+    return F.trim(F.regexp_replace(out, r"[^0-9a-zA-Z\u00c0-\u024f\u1e00-\u1eff]+", " "))
 
 
 def _has(question: Column, phrase: Column) -> Column:
@@ -30,7 +39,17 @@ def hints(questions: DataFrame, entries: DataFrame, dense: DataFrame | None = No
     names = F.array_distinct(F.transform(F.concat(F.array("legal_term"), F.coalesce("aliases", F.array().cast("array<string>"))), fold))
     signals = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), fold)
     e = entries.select("legal_term", F.coalesce("ambiguity_group", "legal_term").alias("grp"), names.alias("names"), signals("strong_signals").alias("pro"), signals("negative_signals").alias("con"))
-    pairs = q.join(e, F.lit(True))
+    # every question meets every entry; the dictionary goes to every task after it was counted
+    few = entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    if few:
+        pairs = q.join(F.broadcast(e), F.lit(True))
+    else:  # those that share a word with it, by way of the words: a name, a signal or a score of another kind makes an entry score at all
+        word = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
+        by_word = e.select("legal_term", F.explode("names").alias("name")).select("legal_term", F.split("name", " ")[0].alias("w"))
+        met = q.select("question_id", word(F.col("q")).alias("w")).join(by_word, "w").select("question_id", "legal_term")
+        for table in (dense, lexical):
+            met = met.unionByName(table.select("question_id", "legal_term")) if table is not None else met
+        pairs = q.join(met.distinct(), "question_id").join(e, "legal_term")
     own = pairs.select("question_id", "legal_term", "grp", F.exists("names", lambda n: _has(F.col("q"), n)).cast("int").alias("hit"), F.array_contains("names", F.col("q")).cast("int").alias("exact"), (F.size(F.filter("pro", lambda s: _has(F.col("q"), s))) - F.size(F.filter("con", lambda s: _has(F.col("q"), s)))).alias("signals"))
     for name, table in (("dense", dense), ("lexical", lexical)):
         own = own.join(table.select("question_id", "legal_term", F.col("score").alias(name)), ["question_id", "legal_term"], "left") if table is not None else own.withColumn(name, F.lit(0.0))

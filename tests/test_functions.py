@@ -97,6 +97,53 @@ def test_calculations():
 
 
 def test_guards(spark):
-    rows = spark.createDataFrame([("Thuế 10% năm 2024 không áp dụng", "Thuế 12% áp dụng")], "a string, b string")
-    got = rows.select(text.keeps_query(F.col("a"), F.col("b"))).first()[0]
-    assert set(got) == {"numbers", "time_cues", "negations"}
+    cases = [
+        ("Thuế 10% năm nay chưa áp dụng", "Thuế 12% áp dụng", {"numbers", "present", "qualifiers"}),
+        ("Cá nhân cư trú nộp 5 triệu", "Cá nhân không cư trú nộp 5 triệu", {"residency", "phrases"}),
+        ("Nộp trước ngày 5", "Nộp sau ngày 5", {"time:trước", "time:sau"}),
+        ("Hộ kinh doanh nộp gì", "Doanh nghiệp nộp gì hiện nay", {"phrases", "present"}),
+        ("toàn bộ chỉ toàn bộ", "toàn bộ chỉ", {"qualifiers"}),
+        ("Thuế 5.000", "Thuế  5.000", set()),
+    ]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string")
+    got = {r.k: set(r.v) for r in rows.select("k", text.keeps_query(F.col("a"), F.col("b")).alias("v")).collect()}
+    assert got == {k: v for k, (*_, v) in enumerate(cases)}
+    said = rows.limit(1).select(text.keeps_query(F.lit("Nộp gì"), F.lit("Nộp 5 hiện nay"), F.lit("hiện nay 5\nNộp gì")).alias("v")).first().v
+    assert said == []
+
+
+def test_text_predicates(spark):
+    cases = [
+        ("Cá nhân cư trú năm 2024 nộp tờ khai gì?", False, False, None), ("Thuế phải nộp năm 2024?", True, False, None), ("Tính thuế", False, False, None), ("chưa có quy định", False, True, None),
+        ("mã số 123456", False, False, None), ("thu nhập 500 một tháng", False, False, "500"), ("lương 20 triệu", False, False, None), ("tiền là khoảng 1.500,5 và giá 7%", False, False, "1.500,5"),
+        ("Doanh thu  mức 12 nghìn; lãi gần 3", False, False, "3"), ("tiền 50 phần trăm", False, False, None), (None, False, False, None),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(cases)], "k int, t string")
+    t = F.col("t")
+    got = {r.k: (r.a, r.b, r.c) for r in rows.select("k", text.needs_calculation(t).alias("a"), text.says_failure(t).alias("b"), text.bare_money(t).alias("c")).collect()}
+    assert got == {k: tuple(v) for k, (_, *v) in enumerate(cases)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from("không chưa ngoại trừ, trừ. 12 12% % 3,5 a1 thuế nộp phải kê khai hạn".split()), min_size=8, max_size=24), st.integers(0, 6), st.integers(7, 14), st.integers(0, 3))
+def test_near_spans_equal_a_search_of_all_windows(words, first, count, change):
+    """Against every window of every size, without bounds or running counts."""
+    import difflib
+
+    source = "  ".join(words)
+    own = words[first : first + count]
+    if change < len(own):
+        own = [*own[:change], own[change] + "x", *own[change + 1 :]]
+    span = " ".join(own)
+    got = text.match_span(span, source)
+    if got and got[1] != "fuzzy" or len(span) < 32 or len(own) < 6:
+        return
+    slack, best = max(2, min(8, round(len(own) * 0.15))), None
+    for a in range(len(words)):
+        for n in range(max(1, len(own) - slack), len(own) + slack + 1):
+            run = " ".join(words[a : a + n])
+            if a + n <= len(words) and text._marks(run) == text._marks(span):
+                score = difflib.SequenceMatcher(None, span.casefold(), run.casefold(), autojunk=False).ratio()
+                if score >= 0.95 and (best is None or score > best[1]):
+                    best = "  ".join(words[a : a + n]), score
+    assert (got and (got[0], got[2])) == best
