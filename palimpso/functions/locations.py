@@ -134,3 +134,31 @@ def point_order(point: Column) -> Column:
     at = F.array_position(letters, F.lower(F.substring(point, 1, 1))).cast("int")
     numbers = F.transform(F.filter(F.split(F.substring(point, 2, 100), r"\."), lambda x: x != ""), lambda x: x.cast("int"))
     return F.concat(F.array(F.when(at > 0, at).otherwise(F.lit(99))), numbers)
+
+
+def legacy_label(chapter: Column, article: Column, clause: Column) -> Column:
+    """The older label: numbers without letters, headings to the letter of their case, and words for nothing found."""
+    first = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit(""))
+    part = lambda word, n: F.concat(F.lit(word + " "), n)
+    has = lambda c, *words: F.coalesce(c.contains(words[0]) | c.contains(words[1]), F.lit(False))
+    top = F.when(has(chapter, "Phụ lục", "PHỤ LỤC"), part("Phụ lục", first(chapter, r"(?iu)Phụ lục\s+([IVXLCDM\d]+)"))).otherwise(part("Chương", first(chapter, r"Chương\s+([IVXLCDM]+)")))
+    middle = F.when(has(article, "Mục", "MỤC"), part("Mục", first(article, r"(?iu)Mục\s+([IVXLCDM\d]+)"))).otherwise(part("Điều", first(article, r"Điều\s+(\d+)")))
+    return F.coalesce(F.nullif(F.concat_ws(" > ", top, middle, part("Khoản", first(clause, r"(?iu)Khoản\s+(\d+)"))), F.lit("")), F.lit("Không xác định"))
+
+
+def legacy_canonical(location: Column) -> Column:
+    """The older identity: chapter, article and clause by number, in lower case."""
+    text = F.coalesce(location, F.lit(""))
+    first = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    part = lambda word, n: F.concat(F.lit(word + " "), n)
+    return F.concat_ws(" > ", part("chương", F.upper(first(r"(?iu)Chương\s+([IVXLCDM\d]+)"))), part("điều", first(r"(?iu)Điều\s+(\d+)")), part("khoản", first(r"(?iu)Khoản\s+(\d+)")))
+
+
+def align_headings(location: Column, content: Column, article: Column, clause: Column) -> Column:
+    """struct(article, clause): headings of a provision whose article has gained or lost clauses; the content's own heading counts first."""
+    t = tokens(location)
+    first_line = F.split(F.trim(F.coalesce(content, F.lit(""))), "\n")[0]
+    named = F.regexp_like(F.coalesce(article, F.lit("")), F.concat(F.lit(r"(?iu)điều\s+"), t["dieu"], F.lit(r"(?![\p{L}\d_])")))
+    art = F.when(t["dieu"].isNull(), article).when(first_line.startswith("## "), F.trim(F.substring(first_line, 4, 1 << 30))).when(named, article).otherwise(F.concat(F.lit("Điều "), F.lower(t["dieu"])))
+    cl = F.when(t["khoan"].isNull(), F.lit(None).cast("string")).when(first_line.startswith("### "), F.trim(F.substring(first_line, 5, 1 << 30))).otherwise(F.concat(F.lit("Khoản "), F.lower(t["khoan"])))
+    return F.struct(art.alias("article"), cl.alias("clause"))

@@ -126,13 +126,6 @@ def words_to_date(text: Column) -> Column:
     return F.when(d != "", F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"))
 
 
-def keeps_month_precision(question: Column, month: Column, year: Column) -> Column:
-    """Whether the question itself names the month of a month scope ("tháng m/y" or "m-y")."""
-    found = F.regexp_extract_all(question, F.lit(r"(?iu)(?:tháng\s*)?(\d{1,2}\s*[/-]\s*\d{4})"), F.lit(1))
-    plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s", ""), r"^0|-", F.lit("")))
-    return F.array_contains(F.transform(plain, lambda x: F.regexp_replace(x, "/", "")), F.concat(month.cast("string"), year.cast("string")))
-
-
 def describe(range_: Column) -> Column:
     kind, low, high = range_["type"], range_["from"], range_["to"]
     return (
@@ -142,3 +135,134 @@ def describe(range_: Column) -> Column:
         .when(kind == "year", F.concat(F.lit("in "), F.date_format(low, "yyyy")))
         .otherwise(F.concat(F.lit("from "), low.cast("string"), F.lit(" to "), high.cast("string")))
     )
+
+
+# ---- scopes as models write them -----------------------------------------------------------------
+
+RAW_BOUNDARY = "struct<granularity:string,value:string,date:string,month:string,year:string>"
+RAW_FIELDS = f"type:string,date:string,month:string,year:string,value:string,label:string,from:{RAW_BOUNDARY},to:{RAW_BOUNDARY}"
+RAW_SCOPE = f"struct<{RAW_FIELDS},comparison_scopes:array<struct<{RAW_FIELDS}>>>"
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and give it to ``body``: a one-element array and a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _given(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def coerce_boundary(boundary: Column, side: str) -> Column:
+    """A boundary whose value stands under another name, or whose granularity shows in its value; nothing is guessed."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    last = F.lit(side == "to")
+    alias = F.when(_given(boundary["date"]).isNotNull(), F.lit("day")).when(_given(boundary["month"]).isNotNull(), F.lit("month")).when(_given(boundary["year"]).isNotNull(), F.lit("year")).otherwise("")
+    value = plain(boundary["value"])
+    found = F.struct(
+        F.when(value != "", value).otherwise(plain(F.coalesce(_given(boundary["date"]), _given(boundary["month"]), _given(boundary["year"])))).alias("raw"),
+        F.coalesce(F.nullif(plain(boundary["granularity"]), F.lit("")), F.when(value == "", alias), F.lit("")).alias("kind"),
+    )
+
+    def shaped(x):
+        raw = x["raw"]
+        shape = F.when((raw == "current") & last, "current").when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day").when(raw.rlike(r"^\d{4}-\d{2}$"), "month").when(raw.rlike(r"^\d{4}$"), "year").otherwise("")
+        return F.struct(F.when(x["kind"] != "", x["kind"]).otherwise(shape).alias("granularity"), raw.alias("value"))
+
+    fixed = _let(_let(found, shaped), lambda x: F.struct(x["granularity"].alias("granularity"), F.when((x["granularity"] == "current") & last, F.lit("current")).otherwise(x["value"]).alias("value")))
+    return F.when(boundary.isNotNull(), fixed)
+
+
+def coerce_flat(scope: Column) -> Column:
+    """A scope that is no comparison, with a lossless ``value`` put where its type wants it: struct(type, date, month, year, from, to)."""
+    kind, value = F.lower(F.trim(F.coalesce(scope["type"], F.lit("")))), F.trim(F.coalesce(scope["value"], F.lit("")))
+    number = lambda c: F.try_to_number(_given(c), F.lit("9999")).cast("int")
+    year, month, date = number(scope["year"]), number(scope["month"]), _given(scope["date"])
+    no_year, no_month = _given(scope["year"]).isNull(), _given(scope["month"]).isNull()
+    as_year = (kind == "year") & no_year & value.rlike(r"^\d{4}$")
+    as_month = (kind == "month") & (no_year | no_month) & value.rlike(r"^\d{4}-\d{1,2}$")
+    as_date = (kind == "exact_date") & date.isNull() & value.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    part = lambda k: F.try_to_number(F.split_part(value, F.lit("-"), F.lit(k)), F.lit("9999")).cast("int")
+    ranged = kind == "date_range"
+    side = lambda name: F.when(ranged, coerce_boundary(scope[name], name))
+    return F.struct(
+        kind.alias("type"),
+        F.when(as_date, value).otherwise(date).alias("date"),
+        F.when(as_month, part(2)).otherwise(month).alias("month"),
+        F.when(as_year | as_month, part(1)).otherwise(year).alias("year"),
+        side("from").alias("from"),
+        side("to").alias("to"),
+    )
+
+
+NUMBER_DATE = r"(?<!\d)(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)"
+WORD_DATE = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+WORD_MONTH = r"(?iu)tháng\s+(\d{1,2})(?:\s+năm\s+|\s*/\s*)(\d{4})"
+WORD_YEAR = r"(?iu)^\s*(?:năm\s+)?(\d{4})\s*$"
+
+
+def from_label(label: Column) -> Column:
+    """struct(type, date, month, year) of the day, month or year that a label names; type is null if it names none."""
+    at = lambda p, k: F.regexp_extract(label, p, k)
+    number, word = at(NUMBER_DATE, 3) != "", at(WORD_DATE, 3) != ""
+    pick = lambda k: F.when(number, at(NUMBER_DATE, k)).otherwise(at(WORD_DATE, k))
+    day, month, year = number | word, at(WORD_MONTH, 2) != "", at(WORD_YEAR, 1) != ""
+    date = F.concat_ws("-", F.lpad(pick(3), 4, "0"), F.lpad(pick(2), 2, "0"), F.lpad(pick(1), 2, "0"))
+    return F.struct(
+        F.when(day, "exact_date").when(month, "month").when(year, "year").alias("type"),
+        F.when(day, date).alias("date"),
+        F.when(~day & month, at(WORD_MONTH, 1)).alias("month"),
+        F.when(~day & month, at(WORD_MONTH, 2)).when(~day & year, at(WORD_YEAR, 1)).alias("year"),
+    )
+
+
+def coerce_child(scope: Column) -> Column:
+    """A child of a comparison; one that has lost its value has it back from its label.  Without a type it is an error."""
+    kind, label = F.lower(F.trim(F.coalesce(scope["type"], F.lit("")))), F.trim(F.coalesce(scope["label"], F.lit("")))
+    no = lambda name: _given(scope[name]).isNull()
+    wanting = (kind == "") | ((kind == "current") & (label != "")) | ((kind == "exact_date") & no("date")) | ((kind == "month") & (no("month") | no("year"))) | ((kind == "year") & no("year"))
+    def fill(read):
+        put = lambda name: F.coalesce(read[name], scope[name]).alias(name)
+        return F.struct(put("type"), put("date"), put("month"), put("year"), scope["value"].alias("value"), scope["from"].alias("from"), scope["to"].alias("to"))
+
+    filled = _let(from_label(F.when(wanting, label)), fill)
+    names = ("date", "month", "year", "from", "to")
+
+    def typed(flat):
+        fail = F.raise_error(F.concat(F.lit("a part of a comparison has no type, and its label names no date: "), label)).cast("string")
+        return F.struct(F.when(flat["type"] == "", fail).otherwise(flat["type"]).alias("type"), *[flat[n].alias(n) for n in names], F.nullif(label, F.lit("")).alias("label"))
+
+    return _let(_let(filled, coerce_flat), typed)
+
+
+def coerce_scope(scope: Column) -> Column:
+    """A scope (``RAW_SCOPE``) as a model wrote it in the form that is compiled (``schemas.SCOPE``)."""
+
+    def whole(flat):
+        children = F.when(flat["type"] == "comparison", F.transform(scope["comparison_scopes"], coerce_child))
+        return F.struct(*[flat[n].alias(n) for n in ("type", "date", "month", "year", "from", "to")], children.alias("comparison_scopes"))
+
+    return _let(coerce_flat(scope), whole)
+
+
+def preserve_month(scope: Column, question: Column) -> Column:
+    """An exact date whose month, but no day of it, the question names is that month: struct(type, date, month, year)."""
+    kind, date = F.lower(F.trim(scope["type"])), F.trim(F.coalesce(scope["date"], F.lit("")))
+    number = lambda text, k: F.split_part(text, F.lit("-"), F.lit(k)).cast("int")
+    month_of = lambda p, m, y: F.transform(
+        F.arrays_zip(F.regexp_extract_all(question, F.lit(p), F.lit(m)).alias("m"), F.regexp_extract_all(question, F.lit(p), F.lit(y)).alias("y")), lambda x: x["y"].cast("int") * 100 + x["m"].cast("int")
+    )
+    known = (kind == "exact_date") & date.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    own = F.when(known, number(date, 1) * 100 + number(date, 2))
+    to_month = F.coalesce(F.array_contains(month_of(WORD_MONTH, 1, 2), own) & ~F.array_contains(month_of(WORD_DATE, 2, 3), own), F.lit(False))
+    return F.struct(
+        F.when(to_month, "month").otherwise(scope["type"]).alias("type"),
+        F.when(~to_month, scope["date"]).alias("date"),
+        F.when(to_month, number(date, 2)).otherwise(scope["month"]).alias("month"),
+        F.when(to_month, number(date, 1)).otherwise(scope["year"]).alias("year"),
+    )
+
+
+def branches(cases: DataFrame, scope: str = "scope", as_of: str = "as_of") -> DataFrame:
+    """A row for each scope that a case is retrieved for: a comparison's children without their labels, or the scope itself."""
+    return expand_scopes(cases, scope, as_of).drop("label")

@@ -302,6 +302,22 @@ def says_failure(text: Column) -> Column:
     return F.coalesce(_any_of(F.lower(text), FAILURE_PHRASES), F.lit(False))
 
 
+def query_label(query: Column) -> Column:
+    """The line behind the first of two prefixes that any line has, or else the first line that isn't blank."""
+    lines = F.filter(F.transform(F.split(F.coalesce(query, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    behind = lambda prefix: F.trim(F.substring(F.get(F.filter(lines, lambda x: x.startswith(prefix)), 0), len(prefix) + 1, 1 << 30))
+    return F.coalesce(behind("Semantic query:"), behind("SEMANTIC QUERY GỢI Ý:"), F.get(lines, 0), F.lit(""))
+
+
+def json_object(text: Column, schema: str) -> Column:
+    """A JSON object as it comes from a model: fences and thoughts are taken off, and if that is none, what stands between the first and the last brace; null if nothing parses."""
+    plain = F.regexp_replace(strip_fences(text), r"^\s+|\s+$", "")
+    inner = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
+    parse = lambda c: F.when(F.trim(c).startswith("{"), F.from_json(c, schema, {"mode": "PERMISSIVE"}))
+    whole = F.try_parse_json(plain).isNotNull()
+    return F.when(whole, parse(plain)).when(F.try_parse_json(inner).isNotNull(), parse(inner))
+
+
 def retry_hint(hint: Column, query: Column, fact: Column) -> Column:
     """The hint if it is safe (three words or more, no candidate ids, no legal reference that question and fact lack), else the fact; 360 characters at most."""
     text, fallback = collapse(hint), collapse(F.coalesce(fact, F.lit("")))

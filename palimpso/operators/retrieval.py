@@ -130,11 +130,17 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1))
 
 
-def rerank_text(row: dict[str, Column] | None = None) -> Column:
-    """What a reranker reads: labelled lines, in a fixed order, empty where unknown."""
-    names = ("document_id", "title", "document_type", "location_label", "chapter", "article", "clause", "version", "valid_from", "valid_to", "status", "provision_content")
-    get = (row or {}).get
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), F.coalesce((get(n) if row else F.col(n)).cast("string"), F.lit(""))) for n in names])
+#: Fixed lines of what a reranker reads, and the columns they are filled from.
+RERANK_LINES = (
+    ("Văn bản", "document_id"), ("Loại văn bản", "document_type"), ("Cấp hiệu lực", "legal_rank"), ("Vị trí", "location_label"), ("Tình trạng", "status"), ("Phiên bản", "version"),
+    ("Có hiệu lực từ", "valid_from"), ("Có hiệu lực đến", "valid_to"), ("Nội dung gốc", "content"), ("Được sửa bởi văn bản", "amended_by_document_id"),
+    ("Vị trí sửa đổi", "amended_by_source_location"), ("Loại thay đổi", "change_type"),
+)
+
+
+def rerank_text(row: dict[str, Column]) -> Column:
+    """What a reranker reads: twelve labelled lines, empty where ``row`` has no such column or it is null."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), F.coalesce(row[c].cast("string"), F.lit("")) if c in row else F.lit("")) for name, c in RERANK_LINES])
 
 
 def coverage_rerank(candidates: DataFrame, probes: DataFrame, text: str = "content", score=overlap_score) -> DataFrame:
