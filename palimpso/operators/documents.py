@@ -193,3 +193,24 @@ def phrase_operation(kind: Column, anchor: Column, operand: Column, section: Col
 def target_level(location: Column) -> Column:
     t = locations.tokens(location)
     return F.when(t["diem"].isNotNull(), "diem").when(t["khoan"].isNotNull(), "khoan").when(t["dieu"].isNotNull(), "dieu")
+
+
+def amendment_blocks(relations: DataFrame, by: str, order: str = "position") -> DataFrame:
+    """``block``: what amended a place, in order, under one heading; a place with no amendment has no row."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    new = F.trim(blank("new_text"))
+    text = F.concat(
+        F.lit("Nguồn: "), blank("source_document_id"), F.lit(" > "), blank("source_location"), F.lit("\nLoại thay đổi: "), blank("change"), F.lit("\nHiệu lực: "), F.coalesce(F.nullif(blank("effective_date"), F.lit("")), F.lit("Không xác định")),
+        F.when(new != "", F.concat(F.lit("\n"), new)).otherwise(F.lit("")),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"])
+    return relations.groupBy(by).agg(F.concat(F.lit("[CẬP NHẬT PHÁP LÝ ÁP DỤNG CHO VỊ TRÍ NÀY]\n"), F.array_join(listed, "\n\n")).alias("block"))
+
+
+def corpus_report(points: DataFrame) -> DataFrame:
+    """One row: documents, points, terms, and the mean length of pieces before and after they are augmented."""
+    from .retrieval import tokens
+
+    sizes = points.agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("points"), F.round(F.avg(F.length("original_content")), 6).alias("avg_original"), F.round(F.avg(F.length("content")), 6).alias("avg_augmented"))
+    terms = points.select(F.explode(F.array_distinct(tokens(F.col("original_content")))).alias("t")).distinct().agg(F.count(F.lit(1)).alias("terms"))
+    return sizes.join(F.broadcast(terms), F.lit(True))  # one row each

@@ -86,6 +86,16 @@ def substantive(content: Column, location: Column) -> Column:
     return (F.size(lines) > 0) & ~(locations.is_article_level(location, numeric_only=False) & heading_only)
 
 
+def retrievable(versions: DataFrame, scopes: DataFrame, content: Column, location: Column) -> DataFrame:
+    """What is in force in each scope and says something."""
+    return select_versions(versions, scopes).filter(substantive(content, location))
+
+
+def active_only(points: DataFrame, active: DataFrame, key: str = "point_id") -> DataFrame:
+    """The points that are active.  No active point at all lets nothing through (to an index, an empty set would be no filter)."""
+    return points.join(active.select(key).distinct(), key, "left_semi")
+
+
 def scope_violations(rows: DataFrame) -> DataFrame:
     """Audit of selected rows: those out of scope, and keys with several versions in a point scope."""
     start = temporal.start_of(F.col("valid_from"))
@@ -104,6 +114,13 @@ def latest_open(versions: DataFrame) -> DataFrame:
     return versions.filter(F.coalesce(F.col("is_latest"), F.lit(True)) & F.col("valid_to").isNull())
 
 
+def latest_groups(rows: DataFrame, order: str, key: str = "provision_key", content: str = "provision_content") -> DataFrame:
+    """One row a key: its first point, how many there are, and the first point's content; a first point without content is an error."""
+    first = rows.groupBy(key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_points"), F.min_by(content, order).alias(content))
+    missing = F.raise_error(F.concat(F.lit("no content of "), F.col(key))).cast("string")
+    return first.withColumn(content, F.coalesce(F.col(content), missing))
+
+
 def replay_order(ops: DataFrame, issued: str = "source_issued_date") -> list[Column]:
     late = F.lit(temporal.LATEST).cast("date")
     return [F.coalesce(F.col("effective_date"), late), F.coalesce(F.col(issued), late), F.coalesce(F.col("operation_id"), F.lit(""))]
@@ -130,6 +147,12 @@ def patch(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in old.columns])
 
 
+def delete_document(points: DataFrame, documents: list, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """A snapshot without the documents, and what it leaves out."""
+    hit = F.coalesce(F.col(key).isin(*documents), F.lit(False)) if documents else F.lit(False)
+    return points.filter(~hit), points.filter(hit)
+
+
 def missing_points(expected: DataFrame, existing: DataFrame) -> DataFrame:
     """Expected points of every location that lacks at least one: such locations are rebuilt whole."""
     broken = expected.join(existing.select("point_id"), "point_id", "left_anti").select("document_id", "location_label").distinct()
@@ -221,7 +244,7 @@ class Points:
     def __init__(self, text: str):
         self.text = text
         heads = list(POINT_HEAD.finditer(text))
-        ends = [m.start() for m in heads[1:]] + [len(text)]
+        ends = [*(m.start() for m in heads[1:]), len(text)] if heads else []
         self.spans = {m[1].lower(): (m.start(), e) for m, e in zip(heads, ends, strict=True)}
 
     @staticmethod

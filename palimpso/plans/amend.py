@@ -174,7 +174,7 @@ def aligned_headings(spark, sf_dir):
 
 
 QUERIES["aligned_headings"] = aligned_headings
-ORACLES["aligned_headings"] = """SELECT l_orderkey, l_linenumber, 'Điều ' || l_partkey || CASE WHEN l_linenumber % 4 = 0 THEN '. Mới' WHEN l_suppkey % 2 = 0 THEN '. Cũ' ELSE '' END AS article, CASE l_linenumber % 4 WHEN 2 THEN 'Khoản 2. hai' WHEN 3 THEN 'Khoản 2' END AS clause FROM lineitem"""
+ORACLES["aligned_headings"] = """SELECT l_orderkey, l_linenumber, 'Điều ' || l_partkey || CASE WHEN l_linenumber % 4 = 0 THEN '. Mới' WHEN l_suppkey % 2 = 0 THEN '. Cũ' WHEN l_partkey = 0 THEN '. Khác' ELSE '' END AS article, CASE l_linenumber % 4 WHEN 2 THEN 'Khoản 2. hai' WHEN 3 THEN 'Khoản 2' END AS clause FROM lineitem"""
 
 
 def applied_amendments(spark, sf_dir):
@@ -229,7 +229,7 @@ ORACLES["active_points"] = "SELECT DISTINCT l_suppkey AS query_id, l_partkey AS
 def latest_versions(spark, sf_dir):
     """Open versions, of which a missing flag counts as the latest, with the group's first part."""
     rows = read(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("provision_key"), F.col("event_id").alias("point_id"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3 == 1).alias("is_latest"), F.when(F.col("event_id") % 5 == 0, F.to_date("ts")).alias("valid_to"), F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise("").alias("provision_content"))
-    return V.latest_groups(V.latest_open(rows.filter("event_id is not null" if "event_id" in rows.columns else "true")), order="point_id").select("provision_key", "point_id", "n_points", "provision_content")
+    return V.latest_groups(V.latest_open(rows), order="point_id").select("provision_key", "point_id", "n_points", "provision_content")
 
 
 QUERIES["latest_versions"] = latest_versions

@@ -11,10 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, prose, search, time, wording
+from . import amend, evaluation, prose, search, time, wording
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (time, prose, wording, search, evaluation):
+for _part in (time, amend, prose, wording, search, evaluation):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
