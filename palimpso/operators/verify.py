@@ -108,3 +108,35 @@ def recent_turns(turns: DataFrame, n: int, by: str = "conv_id", turn: str = "tur
     """The last ``n`` turns of each conversation, oldest first."""
     w = Window.partitionBy(by).orderBy(F.desc(turn))
     return turns.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(turn))).drop("_n")
+
+
+# ---- how evidence is written ---------------------------------------------------------------------
+
+
+def as_evidence(points: DataFrame) -> DataFrame:
+    """Adds ``title``, ``text`` and identity: whole text before parts of it, a key where there is none, and no part of a chunk in a key."""
+    full = lambda c: F.nullif(F.col(c), F.lit(""))
+    names = set(points.columns)
+    texts = [full(c) for c in ("provision_content", "original_content", "content") if c in names]
+    title = F.concat(F.coalesce(full("document_title"), F.col("document_id")) if "document_title" in names else F.col("document_id"), F.lit(" ("), F.col("document_id"), F.lit(")"))
+    key = F.split_part(F.coalesce(full("provision_key"), F.concat_ws("|", "document_id", "location_label")), F.lit("|SUBCHUNK|"), F.lit(1))
+    own = full("version_id") if "version_id" in names else F.lit(None).cast("string")
+    version = F.coalesce(own, F.concat(key, F.lit("|V"), F.col("version").cast("string")))
+    return points.withColumns({"title": title, "text": F.coalesce(*texts, F.lit("")), "version_id": version, "provision_key": key})
+
+
+def evidence_order(rows: DataFrame, by: str = "case_id") -> DataFrame:
+    """``position`` of a case's evidence: by the step that first saw it, then title, then place."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("first_seen_step", "title", "location_label")))
+
+
+def context_block(rows: DataFrame, lines: list[tuple[str, str]], by: str = "case_id", order: str = "position") -> DataFrame:
+    """``block``: a case's rows in order, each numbered and written as ``name: value`` lines, empty where the value is null."""
+    text = F.concat_ws("\n", F.concat(F.lit("["), F.col(order).cast("string"), F.lit("]")), *[F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for name, c in lines])
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), "\n\n").alias("block"))
+
+
+def required_facts(steps: DataFrame, by: str = "case_id", order: str = "position", facts: str = "facts") -> DataFrame:
+    """Facts of all steps of a case in order, each once."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(facts).alias("f")))), lambda x: x["f"])
+    return steps.filter(F.col(facts).isNotNull()).groupBy(by).agg(F.array_distinct(F.array_compact(F.flatten(listed))).alias("facts"))
