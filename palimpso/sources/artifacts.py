@@ -71,9 +71,9 @@ def write_snapshot(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Nested columns as JSON."""
+    """Nested columns as JSON; quotation marks inside a value are doubled."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`") for f in df.schema]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, quoteAll=True)
+    df.select(*flat).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -89,3 +89,113 @@ def write_results(df: DataFrame, summary: DataFrame, path: str) -> None:
 def reviewed(ops: DataFrame, reviews: DataFrame) -> DataFrame:
     """Documents still to review: a stored empty list is a review, no row is none."""
     return ops.join(reviews.select("document_id").distinct(), "document_id", "left_anti")
+
+
+# ---- documents as Word files ----------------------------------------------------------------------
+
+DOCX = "path string, position int, kind string, text string, rows array<array<string>>"
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_body(content: bytes) -> list[tuple[str, str | None, list[list[str]] | None]]:
+    """Paragraphs that aren't blank and tables of a Word file's body, in their order."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    said = lambda e: "".join(x.text or "" if x.tag == f"{_W}t" else "\t" if x.tag == f"{_W}tab" else "\n" if x.tag == f"{_W}br" else "" for x in e.iter()).strip()
+    out: list[tuple[str, str | None, list[list[str]] | None]] = []
+    for e in body if body is not None else ():
+        if e.tag == f"{_W}p" and said(e):
+            out.append(("paragraph", said(e), None))
+        elif e.tag == f"{_W}tbl":
+            out.append(("table", None, [["\n".join(filter(None, map(said, c.findall(f"{_W}p")))) for c in r.findall(f"{_W}tc")] for r in e.findall(f"{_W}tr")]))
+    return out
+
+
+def docx_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """``path``, ``position``, ``kind`` (paragraph or table), ``text``, ``rows`` of all Word files below a folder."""
+    import pandas as pd
+
+    from ..functions.deploy import ship_code
+
+    ship_code(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, k, *x) for p, c in zip(b["path"], b["content"], strict=True) for k, x in enumerate(docx_body(bytes(c)))]
+            yield pd.DataFrame(rows, columns=["path", "position", "kind", "text", "rows"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(folder).select("path", "content").mapInPandas(run, DOCX)
+
+
+def inventory(docs: DataFrame, issued: str = "issued_date", name: str = "source_file") -> DataFrame:
+    """``batch_order`` of files that are worked off together: by date of issue, then by name without case; dateless ones last."""
+    from pyspark.sql import Window
+
+    # one short row a file: names and dates only
+    return docs.withColumn("batch_order", F.row_number().over(Window.orderBy(F.asc_nulls_last(issued), F.lower(name))))
+
+
+# ---- collections -----------------------------------------------------------------------------------
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def create_collection(spark: SparkSession, path: str, schema: str, recreate: bool = False) -> bool:
+    """An empty collection, unless there is one; says whether it was made."""
+    if _exists(spark, path) and not recreate:
+        return False
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return True
+
+
+def collection(spark: SparkSession, path: str, schema: str, document_id: str | None = None) -> DataFrame:
+    """A snapshot's points, or those of one document (the filter reaches the scan)."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if document_id is None else rows.filter(F.col("document_id") == document_id)
+
+
+def write_outputs(docs: DataFrame, path: str) -> None:
+    """What the first step leaves of its documents: full and clean Markdown, and metadata."""
+    docs.select("document_id", "full_markdown").write.mode("overwrite").parquet(f"{path}/full")
+    docs.select("document_id", "markdown").write.mode("overwrite").parquet(f"{path}/clean")
+    write_jsonl(docs.drop("full_markdown", "markdown"), f"{path}/metadata")
+
+
+def write_summaries(rows: DataFrame, path: str) -> None:
+    write_jsonl(rows.select("source_file", "document_summary"), path)
+
+
+def save_reviews(reviews: DataFrame, path: str) -> None:
+    """Reviews by document; an empty list of operations is a review."""
+    reviews.select("document_id", F.coalesce("operations", F.array().cast("array<string>")).alias("operations")).write.mode("overwrite").parquet(path)
+
+
+def load_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Saved reviews; none where nothing was saved."""
+    schema = "document_id string, operations array<string>"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def fingerprint(docs: DataFrame, model: str, key: str, text: str) -> str:
+    """20 hex digits for a model and a set of documents, whatever their order."""
+    import hashlib
+
+    digest = F.sha2(F.concat_ws("\u0001", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
+    parts = [F.bit_xor(F.conv(F.substring(digest, at, 15), 16, 10).cast("long")) for at in (1, 16, 31, 46)]
+    return hashlib.sha256(repr((model, *docs.agg(F.count(F.lit(1)), *parts).first())).encode()).hexdigest()[:20]
+
+
+def cached_embeddings(docs: DataFrame, embed, model: str, path: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """``key`` and ``embedding`` (``embed`` of the text), kept below ``path`` under the documents' fingerprint; and whether they were there."""
+    spark, where = docs.sparkSession, f"{path}/{fingerprint(docs, model, key, text)}"
+    hit = _exists(spark, f"{where}/_SUCCESS")
+    if not hit:
+        docs.select(key, embed(F.col(text)).alias("embedding")).write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where), hit

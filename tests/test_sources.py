@@ -50,3 +50,21 @@ def test_rest_stands_without_the_llm_folder():
     for p in root.rglob("*.py"):
         if p.parent.name != "llm":
             assert not re.search(r"palimpso\.llm|from \.+llm|import llm", p.read_text()), p
+
+
+def test_docx(spark, tmp_path):
+    import zipfile
+
+    from palimpso.sources import artifacts
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda *t: f"<w:tc>{''.join(map(p, t))}</w:tc>"
+    body = p("Luật") + p(" ") + f"<w:tbl><w:tr>{cell('a', 'b')}{cell('c')}</w:tr><w:tr>{cell('')}</w:tr></w:tbl>" + "<w:p><w:r><w:t>Điều</w:t><w:tab/><w:t>1</w:t></w:r></w:p>"
+    (tmp_path / "sub").mkdir()
+    with zipfile.ZipFile(tmp_path / "sub" / "x.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}<w:sectPr/></w:body></w:document>')
+    with zipfile.ZipFile(tmp_path / "empty.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body/></w:document>')
+    got = artifacts.docx_blocks(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.kind, r.text, r.rows) for r in got] == [("paragraph", "Luật", None), ("table", None, [["a\nb", "c"], [""]]), ("paragraph", "Điều\t1", None)]
