@@ -47,13 +47,15 @@ def bm25_statistics(docs: DataFrame, tokenize: Callable[[Column], Column] = toke
     A negative idf becomes a quarter of the mean idf of all terms.  Nothing but the terms is shuffled,
     counted before in every task.
     """
-    of = docs.select(tokenize(F.col("text")).alias("t"))
-    size = of.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = of.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # one pass: a mark that is no term stands for the document itself and brings its length
+    of = docs.select(tokenize(F.col("text")).alias("t")).select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
+    counted = settle(of.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length")))
+    size = counted.filter("term = ''").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    terms = counted.filter("term <> ''").select("term", "df").join(F.broadcast(size), F.lit(True))  # one row
+    raw = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), size
+    return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf.alias("idf")), size
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -76,33 +78,50 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenize: Cal
 
 
 def dense(points: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = BLOCK_QUERIES) -> DataFrame:
-    """Top ``k`` points a query by dot product: ``query_id``, ``doc_id``, ``score``, ``rank``.
+    """Top ``k`` points a query by dot product: ``query_id``, ``doc_id``, ``score``, ``rank``; ties by id.
 
     Query vectors go out in blocks of a fixed size.  A task multiplies each batch of points with the block
-    and keeps ``k`` of the batch for each query, so what is shuffled is k rows a batch and query.
+    and keeps the best ``k`` so far of each query, so what is shuffled is k rows a task and query.
     """
     spark = points.sparkSession
     ship_code(spark)
-    numbered = queries.select("query_id", "embedding").orderBy("query_id")
-    total = numbered.count()
+    total = max(1, -(-queries.count() // block))
+    lot = F.pmod(F.xxhash64("query_id"), F.lit(total))
     parts = []
-    for at in range(0, max(1, total), block):
-        rows = numbered.offset(at).limit(block).collect()
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)))
+    for at in range(total):
+        rows = queries.select("query_id", "embedding").filter(lot == at).collect()
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, asked = shared.value
+            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """The first k of each query, best first and ties by id."""
+                q, ids, scores = (np.concatenate(x) for x in zip(*kept, strict=True))
+                order = np.lexsort((ids, -scores, q))
+                q, ids, scores = q[order], ids[order], scores[order]
+                first = np.searchsorted(q, q, "left")
+                top = np.arange(len(q)) - first < k
+                return q[top], ids[top], scores[top]
+
+            held = 0
             for batch in batches:
                 if not len(names) or not batch.num_rows:
                     continue
                 own = batch.column("embedding").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
                 ids = batch.column("doc_id").to_numpy()
                 scores = asked @ own.T
-                for q, row in zip(names, scores, strict=True):
-                    # everything that may be among the best k, with all ties of the last
-                    best = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])
-                    best = best[np.lexsort((ids[best], -row[best]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(row[best])], ["query_id", "doc_id", "score"])
+                least = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
+                q, p = np.nonzero(scores >= least[:, None])  # everything that may be among the best k, with all ties of the last
+                kept.append((q, ids[p], scores[q, p]))
+                held += len(q)
+                if held > 4 * k * len(names):
+                    kept = [best()]
+                    held = len(kept[0][0])
+            if kept:
+                q, ids, scores = best()
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids, pa.int64()), pa.array(scores)], ["query_id", "doc_id", "score"])
 
         parts.append(points.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double"))
     out = parts[0]

@@ -76,6 +76,16 @@ def provisions(spark, sf_dir):
 
 
 QUERIES["provisions"] = provisions
+_MARKED_SQL = """l AS (SELECT CAST(doc_id AS VARCHAR) AS doc, unnest(range(0, len(ls))) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT doc, i, CASE WHEN i % 24 = 0 THEN '# Chương ' || (i // 24 + 1) || ': ' || x WHEN i % 8 = 1 THEN '## Điều ' || (i // 8 + 1) || '. ' || x WHEN i % 8 IN (2, 5) THEN '### Khoản ' || (i // 3 + 1) || '. ' || x ELSE x END AS line FROM l),
+h AS (SELECT doc, i, line, length(regexp_extract(line, '^(#{1,3})\\s+.+?\\s*$', 1)) AS level, regexp_extract(line, '^#{1,3}\\s+(.+?)\\s*$', 1) AS title FROM m),
+c AS (SELECT *, max(CASE WHEN level > 0 THEN i END) OVER w AS own, max(CASE WHEN level = 1 THEN i END) OVER w AS c_at, max(CASE WHEN level = 2 THEN i END) OVER w AS a_at FROM h WINDOW w AS (PARTITION BY doc ORDER BY i)),
+body AS (SELECT doc, own, string_agg(line, chr(10) ORDER BY i) AS content FROM c WHERE own IS NOT NULL GROUP BY ALL),
+named AS (SELECT c.doc, c.i, c.level, c.title, a.title AS chapter, CASE WHEN c.level > 1 AND (c_at IS NULL OR a_at > c_at) THEN b.title END AS article FROM c LEFT JOIN h a ON a.doc = c.doc AND a.i = c_at LEFT JOIN h b ON b.doc = c.doc AND b.i = a_at WHERE c.level > 0),
+num AS (SELECT *, upper(nullif(regexp_extract(chapter, '(?i)chương\\s+([IVXLCDM\\d]+)', 1), '')) AS cn, lower(nullif(regexp_extract(article, '(?i)điều\\s+(\\d+[a-zđ]?)', 1), '')) AS an, CASE WHEN level = 3 THEN lower(nullif(regexp_extract(title, '(?i)khoản\\s+(\\d+[a-zđ]?)', 1), '')) END AS kn FROM named)"""
+ORACLES["provisions"] = f"""WITH {_MARKED_SQL}
+SELECT concat_ws(' > ', 'Chương ' || cn, 'Điều ' || an, 'Khoản ' || kn) AS location_label, num.doc || '|' || concat_ws('|', coalesce('DIEU_' || upper(an), 'CHUONG_' || cn), 'KHOAN_' || upper(kn)) AS provision_key, trim(content, ' ' || chr(10) || chr(9) || chr(13)) AS provision_content
+FROM num JOIN body ON body.doc = num.doc AND body.own = num.i WHERE coalesce(cn, an, kn) IS NOT NULL"""
 
 
 def recursive_chunks(spark, sf_dir):
@@ -145,19 +155,8 @@ ORACLES["document_ids"] = "SELECT o_orderkey, (o_orderkey % 200) || '20' || lpad
 
 
 def span_containment(spark, sf_dir):
-    """Which benchmark passages which documents say, but for blanks and case.
-
-    A passage's first three words are looked up in the documents first, so that texts are compared only
-    where they may match.
-    """
-    fold = lambda c: F.lower(T.collapse(c))
-    head = lambda c: F.array_join(F.slice(F.split(fold(c), " "), 1, 3), " ")
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"), head(F.col("text")).alias("head"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("t"))
-    words = docs.select("doc_id", F.split("t", " ").alias("w"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    met = words.filter(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(grams)).alias("head")).join(items.select("item_id", "head"), "head").select("doc_id", "item_id")
-    return met.join(docs, "doc_id").join(items, "item_id").filter(T.strict_span(F.col("span"), F.col("t"))).select("doc_id", "item_id").distinct()
+    """Which benchmark passages which documents say, but for blanks and case."""
+    return verify.contained_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span")))
 
 
 QUERIES["span_containment"] = span_containment

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settle
@@ -81,9 +82,10 @@ f AS (SELECT query_id, point_id, ra, rb, coalesce(1.0::DOUBLE / (60 + ra), 0) +
 SELECT query_id, point_id, round(rrf, 9) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ra NULLS LAST, rb NULLS LAST) AS rank FROM f"""
 
 
-def _ranked(spark, sf_dir):
-    rows = R.with_keys(points(spark, sf_dir))
-    return R._top(rows, 1 << 30, F.desc("price"), F.col("point_id"))
+def _ranked(spark, sf_dir, several: bool = False):
+    """Every point in its query's ranking; worked out once for queries that read it several times."""
+    rows = R.with_keys(points(spark, sf_dir)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("price"), "point_id")))
+    return settle(rows) if several else rows
 
 
 def seed_per_location(spark, sf_dir):
@@ -97,7 +99,7 @@ ORACLES["seed_per_location"] = f"WITH {SEEDS_SQL} SELECT query_id, point_id, doc
 
 
 def article_expansion(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir, several=True)
     return R.expand_articles(R.seeds(ranked), ranked).select("query_id", "point_id", "expanded_from")
 
 
@@ -107,7 +109,7 @@ SELECT query_id, point_id, expanded_from FROM pts JOIN k USING (query_id, docume
 
 
 def top_locations(spark, sf_dir):
-    return R.top_locations(_ranked(spark, sf_dir)).select("query_id", "document_id", "location_label", F.col("slot").cast("long").alias("slot"), "location_score")
+    return R.top_locations(_ranked(spark, sf_dir, several=True)).select("query_id", "document_id", "location_label", F.col("slot").cast("long").alias("slot"), "location_score")
 
 
 LOCATIONS_SQL = f"""{POINTS_SQL}, loc AS (SELECT query_id, document_id, location_label, any_value(article_level) AS article_level, min(rank) AS first_rank FROM ranked GROUP BY query_id, document_id, location_label),
@@ -120,7 +122,7 @@ ORACLES["top_locations"] = f"WITH {LOCATIONS_SQL} SELECT query_id, document_id,
 
 
 def location_completion(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir, several=True)
     chosen = R.top_locations(ranked)
     own = R.complete_locations(chosen, ranked).select("query_id", "point_id", F.lit("location").alias("why"))
     return own.unionByName(R.article_context(chosen, ranked).select("query_id", "point_id", F.lit("article").alias("why")))
@@ -149,7 +151,7 @@ ORACLES["coverage_max"] = f"WITH {POINTS_SQL} SELECT query_id, point_id, round({
 
 
 def sibling_caps(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir, several=True)
     found = R.siblings(R.top_locations(ranked), ranked.drop("rerank_score"), _probes(spark, sf_dir))
     return found.select("query_id", "document_id", "location_label", F.col("sibling_no").cast("long").alias("sibling_no"), F.round("location_score", 6).alias("location_score"))
 
