@@ -13,7 +13,8 @@ every task.  Prediction is a plain map over whole texts: no shuffle.
 
 Defined results: null text or text without a letter: ``und`` with score 0; no labelled rows at all:
 nothing is learned and every text is ``und``; ties of cosine go to the first language by name;
-repeated rows are judged one by one; a document's columns travel as one struct.
+repeated rows are judged one by one; texts of any length are read whole; an empty table gives no rows; a document's columns travel as one
+struct, so their names can't clash with ours.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ So no link between different texts is lost, but no group is expanded into its pa
 
 Defined results: null, empty or wordless texts have an empty set and are linked with nothing; a text
 with fewer words than a shingle is one shingle; rows with a null id get no component and are kept;
-rows that repeat an id are one node; an empty table gives no rows; no column but id and text is read.
+rows that repeat an id are one node; texts of any length are read whole; an empty table gives no rows; an id that is no whole number
+is an error; no column but id and text is read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Tokens are computed once, written to the shared folder and shuffled once as 2-by
 
 Defined results: null text is empty and still has its end id; repeated rows are packed each by
 itself; an empty table packs to nothing; texts of any length are cut into rows of at most
-``ROW_TOKENS`` ids; columns other than id and text are not read.
+``ROW_TOKENS`` ids; an id that is no whole number is an error; columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -25,8 +25,8 @@ Windows and documents are told apart by 64-bit hashes: among n candidate windows
 by chance.
 
 Defined results: a null or empty text has no words and an empty rest; a text under 35 words loses
-nothing; rows that repeat a document repeat its windows, so they lose all of them; other columns
-are not read by ``find_repeats`` and travel as one struct through ``remove_repeats``.
+nothing; rows that repeat a document repeat its windows, so they lose all of them; texts of any length are read whole; an
+empty table gives no rows; other columns, whatever their names, are not read by ``find_repeats`` and travel as one struct through ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -215,7 +215,6 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
     return _met_twice(windows, "content", "repeats", _ranges())
 
 
-KEY = "__document_key"
 REST = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
 
@@ -248,8 +247,8 @@ def _remove(window: int, with_text: bool, name: str):
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """``row`` (the document's columns, or those in ``keep``, as a struct) and ``rest``."""
     repeats = find_repeats(docs, text, key, window)
-    sent = carry(docs.withColumn(KEY, document_key(key, text)), text, [*(docs.columns if keep is None else keep), KEY])
-    joined = sent.withColumn("key", F.col(f"row.{KEY}")).join(repeats, "key", "left").drop("key").withColumn("row", F.col("row").dropFields(KEY))
+    sent = carry(docs, text, keep).withColumn("key", document_key(f"row.`{key}`", "text" if keep is not None and text not in keep else f"row.`{text}`"))
+    joined = sent.join(repeats, "key", "left").drop("key")
     return joined.mapInArrow(_remove(window, with_text, text), T.StructType([joined.schema["row"], T.StructField("rest", REST)]))
 
 

@@ -13,7 +13,8 @@ nobody lists.  Files are written and read through Arrow's file systems in the sh
 
 Defined results: a null or empty text is a document of 0 tokens; tokens after a file's last
 separator are one more document with ``closed`` false; an empty file has no documents; a file of an
-odd number of bytes is an error; repeated rows are counted one by one; no column but id and text is read.
+odd number of bytes is an error; repeated rows are counted one by one; texts of any length are counted whole; an empty table
+gives no rows; an id that is no whole number is an error (null is none, and stays); no column but id and text is read.
 """
 
 from __future__ import annotations

@@ -562,6 +562,14 @@ def test_substring_dedup(request, table):
     assert removed(df) == brute_rest(pairs(df))
 
 
+def test_removal_keeps_columns_of_any_name(docs):
+    names = ("key", "row", "rest", "places", "text_", "__document_key")
+    some = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    got = substring.remove_repeats(some).select("row.*")
+    assert got.columns == some.columns and got.select(*names).distinct().collect() == [tuple(names)]
+    assert sorted(pairs(got)) == sorted(pairs(docs))
+
+
 def test_runs_and_periods(spark):
     """Runs of one word of any length, short periods, and passages of just 34 and 35 words."""
     passage = [f"p{i}" for i in range(35)]
@@ -611,6 +619,48 @@ def test_language_odd_rows(odd, docs):
     assert none.filter("found.lang_pred != 'und' or found.score != 0").count() == 0
 
 
+def test_prototypes_and_cosines_recomputed(spark, docs, odd):
+    """Profiles letter by letter and trigram by trigram, prototypes and cosines in plain Python."""
+    vectors = language_id.letter_vectors().astype(float)
+
+    def code(c):
+        if not c.isalpha():
+            return 0
+        low = c.lower()[:1] if ord(c) < 1 << 16 else c
+        return ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (language_id.CODES - 27)
+
+    def profile(text):
+        codes, out = [0], np.zeros(language_id.DIM)
+        for c in text or "":
+            k = code(c)
+            if k or codes[-1]:
+                codes.append(k)
+        codes = codes + [0] if codes[-1] else codes + [0]
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            if b:
+                out += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+        return out
+
+    some = docs.filter(F.length("text") < 400).limit(40)
+    names, prototypes = language_id.fit(some)
+    sums = {}
+    for lang, text in some.filter("lang is not null").select("lang", "text").collect():
+        v = profile(text)
+        if np.linalg.norm(v):
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    assert names == sorted(sums)
+    expected = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    assert np.abs(prototypes - expected).max() < 1e-4
+    probe = some.select("doc_id", "text").unionByName(odd.filter(F.coalesce(F.length("text"), F.lit(0)) < 1000).select("doc_id", "text"))
+    for r in language_id.predict(probe, (names, prototypes)).collect():
+        v = profile(r.row.text)
+        if not any(code(c) for c in r.row.text or ""):
+            assert (r.found.lang_pred, r.found.score) == ("und", 0.0)
+            continue
+        cosines = expected @ v / (np.linalg.norm(v) or 1)
+        assert abs(r.found.score - max(0, cosines.max())) < 1e-4 and cosines[names.index(r.found.lang_pred)] > cosines.max() - 1e-4
+
+
 def test_slices_count_like_the_whole(monkeypatch):
     text = "Les élèves; über die Straße, 42 niños \U0001f600 \U00010400x " * 30
     p = language_id.Profiler()

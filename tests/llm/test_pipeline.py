@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 from test_operators import ODD, brute_groups, brute_hits, brute_rest, pairs
 
 SMALL = "/root/testdata/sf0.001"
@@ -66,3 +67,32 @@ def test_run_gives_the_same_as_the_stages(spark):
 
     out = entry.queries()["pipeline"](spark, SMALL).collect()
     assert out and all(0 <= p.offset < 4096 and p.offset + p.length <= 4096 for p in out)
+
+
+def test_empty_tables(spark, tmp_path):
+    """An empty table gives no rows, stage by stage and as a whole; a table of nothing but letterless texts is empty after the first stage."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, rows in (("empty", docs.limit(0)), ("marks", spark.createDataFrame([(1, "###", "en", "s", 3), (2, None, None, None, None), (3, "", "en", "s", 0)], docs.schema))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(0).write.parquet(f"{folder}/benchmark.parquet")
+        assert P.run(spark, folder).count() == 0
+
+
+def test_other_columns_are_not_read(spark, tmp_path):
+    """Columns with names that the stages use themselves, and a very long text."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    long = spark.createDataFrame([(10_001, " ".join(f"la{i} des{i % 7} maison{i * 31 % 1009}" for i in range(20_000)), "fr", "s", 1)], docs.schema)
+    clashing = docs.unionByName(long)
+    for name in ("key", "row", "found", "rest", "places", "band", "component_id"):
+        clashing = clashing.withColumn(name, F.lit(1))
+    folder = str(tmp_path / "clash")
+    clashing.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, work in P.STAGES[:-1]:
+        work(spark, rows, folder).write.parquet(f"{folder}/{name}")
+        rows = spark.read.parquet(f"{folder}/{name}")
+        assert rows.columns == docs.columns, name
+    assert rows.filter("doc_id = 10001").count() == 1
+    assert P.STAGES[-1][1](spark, rows, folder).filter("doc_id = 10001").count() > 1
