@@ -43,7 +43,7 @@ def _operation(location, level, change, **more):
 
 
 def _result(rows):
-    return rows.select("provision_key", F.col("version").cast("long").alias("version"), "version_id", "document_id", "provision_content", "valid_from", "valid_to", "is_latest", "previous_version_id", "superseded_by_version_id", F.array_join("applied_operation_ids", ",").alias("applied"), "change_type", F.col("error").isNotNull().alias("failed"))
+    return rows.select("provision_key", F.col("version").cast("int").alias("version"), "version_id", "document_id", "provision_content", "valid_from", "valid_to", "is_latest", "previous_version_id", "superseded_by_version_id", F.array_join("applied_operation_ids", ",").alias("applied"), "change_type", F.col("error").isNotNull().alias("failed"))
 
 
 _ERROR_SQL = "SELECT NULL AS provision_key, NULL AS version, op AS version_id, doc AS document_id, NULL AS provision_content, NULL AS valid_from, NULL AS valid_to, NULL AS is_latest, NULL AS previous_version_id, NULL AS superseded_by_version_id, NULL AS applied, NULL AS change_type, true AS failed"
@@ -113,7 +113,7 @@ def rewrite_articles(spark, sf_dir):
     text = F.concat(F.lit("Điều "), n, F.lit(". Tên\n2. hai\n3. ba "), F.col("part").cast("string"))
     ops = items.filter("n % 2 = 0").select(*_operation(F.concat(F.lit("Điều "), n), F.lit("dieu"), F.lit("thay_the"), replacement_text=text))
     out = V.apply_operations(versions, ops)
-    return out.select("provision_key", F.col("version").cast("long").alias("version"), "provision_content", "valid_to", "is_latest")
+    return out.select("provision_key", F.col("version").cast("int").alias("version"), "provision_content", "valid_to", "is_latest")
 
 
 QUERIES["rewrite_articles"] = rewrite_articles
@@ -144,7 +144,7 @@ def replacement_blocks(spark, sf_dir):
     source = F.concat(F.lit("Sửa: “"), n, F.lit(". nội dung mới”; “khoản 99999. khác”"), F.when(k == 1, F.concat(F.lit(" “"), n, F.lit(": lần nữa”"))).otherwise(F.lit("")), F.lit(" “Điều "), n, F.lit(". Tên”"))
     target = F.when(k == 3, F.concat(F.lit("Điều "), n)).otherwise(F.concat(F.lit("Điều 2 > Khoản "), F.when(k == 2, F.lit("77777")).otherwise(n)))
     rows = read(spark, sf_dir, "orders").select("o_orderkey", source.alias("s"), target.alias("t"))
-    return rows.select("o_orderkey", D.replacement_for(F.col("s"), F.col("t")).alias("r"), D.target_level(F.col("t")).alias("level")).select("o_orderkey", F.col("r.text").alias("text"), F.col("r.n").cast("long").alias("n"), "level")
+    return rows.select("o_orderkey", D.replacement_for(F.col("s"), F.col("t")).alias("r"), D.target_level(F.col("t")).alias("level")).select("o_orderkey", F.col("r.text").alias("text"), F.col("r.n").cast("int").alias("n"), "level")
 
 
 QUERIES["replacement_blocks"] = replacement_blocks
@@ -207,7 +207,7 @@ def retrievable_points(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("provision_key"), F.col("l_linenumber").alias("version"), F.to_date("l_shipdate").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.when(F.col("l_returnflag") == "A", "").otherwise("x").alias("content"), F.lit("Điều 1 > Khoản 1").alias("location_label"))
     scope = spark.createDataFrame([(1, "exact_date", "1998-01-01", "1998-01-01")], "scope_id long, kind string, low string, high string").select("scope_id", "kind", F.col("low").cast("date").alias("low"), F.col("high").cast("date").alias("high"))
     out = V.retrievable(rows, scope, F.col("content"), F.col("location_label"))
-    return out.groupBy("provision_key").agg(F.max("version").cast("long").alias("version"), F.count(F.lit(1)).alias("n"))
+    return out.groupBy("provision_key").agg(F.max("version").cast("int").alias("version"), F.count(F.lit(1)).alias("n"))
 
 
 QUERIES["retrievable_points"] = retrievable_points

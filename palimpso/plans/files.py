@@ -94,7 +94,7 @@ def dictionary_file(spark, sf_dir):
 
 
 QUERIES["dictionary_file"] = dictionary_file
-ORACLES["dictionary_file"] = "SELECT p_name AS legal_term, 1 AS n, max(p_brand) AS alias FROM part GROUP BY p_name"
+ORACLES["dictionary_file"] = "SELECT p_name AS legal_term, CAST(1 AS BIGINT) AS n, max(p_brand) AS alias FROM part GROUP BY p_name"
 
 
 def step_outputs(spark, sf_dir):

@@ -91,7 +91,7 @@ def _rounds(spark, sf_dir):
 def search_loop(spark, sf_dir):
     """The bounded loop: three rounds at most, a settled fact stays settled, a task stops when nothing is pending."""
     out = P.search_loop(_facts(spark, sf_dir), *_rounds(spark, sf_dir))
-    return out.select("task_id", "fact_id", "status", F.col("settled_in").cast("long").alias("settled_in"), F.col("rounds").cast("long").alias("rounds"), "search_status")
+    return out.select("task_id", "fact_id", "status", F.col("settled_in").cast("int").alias("settled_in"), F.col("rounds").cast("int").alias("rounds"), "search_status")
 
 
 QUERIES["search_loop"] = search_loop
@@ -187,7 +187,7 @@ def plan_fallback(spark, sf_dir):
     kinds = F.array(F.lit('[{"question": " a "}, {"question": "b"}]'), F.lit('```json\n[{"question": "c"}, {"question": " "}]\n```'), F.lit("không"), F.lit("[]"))
     plans = o.filter("o_orderkey % 5 < 4").select(F.col("o_orderkey").alias("case_id"), F.get(kinds, (F.col("o_orderkey") % 5).cast("int")).alias("plan"))
     out = P.plan_or_fallback(o.select(F.col("o_orderkey").alias("case_id"), question), plans)
-    return out.select("case_id", "fallback", F.col("position").cast("long").alias("position"), "step_question")
+    return out.select("case_id", "fallback", F.col("position").cast("int").alias("position"), "step_question")
 
 
 QUERIES["plan_fallback"] = plan_fallback
@@ -369,7 +369,7 @@ SELECT method, case_id, round(coalesce(found / gold, 0), 6) AS recall, round(fou
 def branch_traces(spark, sf_dir):
     """Traces of two branches as one bag, and their sizes."""
     e = _events(spark, sf_dir).select("user_id", "event_type")
-    return P.branch_traces([e.filter("user_id % 2 = 0"), e]).groupBy("branch", "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("branch").cast("long").alias("branch"), "event_type", "n")
+    return P.branch_traces([e.filter("user_id % 2 = 0"), e]).groupBy("branch", "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("branch").cast("int").alias("branch"), "event_type", "n")
 
 
 QUERIES["branch_traces"] = branch_traces

@@ -270,7 +270,7 @@ def _raw_scopes(spark, sf_dir):
 def scope_coercion(spark, sf_dir):
     """Those scopes in the form that is compiled, expanded and compiled."""
     r = F.col("range")
-    return temporal.expand_scopes(_raw_scopes(spark, sf_dir)).select("o_orderkey", F.col("branch").cast("long").alias("branch"), "label", r["type"].alias("type"), r["from"].alias("low"), r["to"].alias("high"))
+    return temporal.expand_scopes(_raw_scopes(spark, sf_dir)).select("o_orderkey", F.col("branch").cast("int").alias("branch"), "label", r["type"].alias("type"), r["from"].alias("low"), r["to"].alias("high"))
 
 
 QUERIES["scope_coercion"] = scope_coercion
