@@ -30,7 +30,7 @@ BLOCK_QUERIES = 4096
 
 def tokens(text: Column) -> Column:
     """Default segmentation: lower case, blanks."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), "")
 
 
 def _top(rows: DataFrame, k: int, *order: Column, rank: str = "rank", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
