@@ -214,3 +214,32 @@ def corpus_report(points: DataFrame) -> DataFrame:
     sizes = points.agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("points"), F.round(F.avg(F.length("original_content")), 6).alias("avg_original"), F.round(F.avg(F.length("content")), 6).alias("avg_augmented"))
     terms = points.select(F.explode(F.array_distinct(tokens(F.col("original_content")))).alias("t")).distinct().agg(F.count(F.lit(1)).alias("terms"))
     return sizes.join(F.broadcast(terms), F.lit(True))  # one row each
+
+
+def article_title(section: Column, target: Column) -> Column:
+    """struct(text, n): the new heading of the target's article in a section, and how many different ones there are; usable if n is 1."""
+    number = locations.tokens(target)["dieu"]
+    pattern = F.concat(F.lit(r"(?imu)^\s*(?:##\s+)?[“\"]?\s*(điều\s+"), F.lower(number), F.lit(r"\s*[.:]?\s*[^\n”\"]+)"))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(section, pattern, F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|[”.\"\s]+$", "")))
+    return F.struct(F.when(F.size(found) == 1, F.get(found, 0)).alias("text"), F.coalesce(F.size(found), F.lit(0)).alias("n"))
+
+
+def article_preamble(section: Column, target: Column) -> Column:
+    """struct(text, n): what stands between the heading of the target's article and its first clause, in quoted blocks or else in the whole section; usable if n is 1."""
+    number = F.lower(locations.tokens(target)["dieu"])
+    quoted = F.regexp_extract_all(section, F.lit(r"(?s)(?:^|\n)\s*[“\"]\s*(.*?)\s*[”\"][.;,:]?(?=\s*(?:\n|$))"), F.lit(1))
+    blocks = F.when(F.size(quoted) > 0, quoted).otherwise(F.array(section))
+    below = F.concat(F.lit(r"(?imu)^\s*(?:##\s+)?điều\s+"), number, F.lit(r"\s*[.:]?[^\n]*\n([\s\S]*)"))
+    body = lambda b: F.regexp_replace(F.coalesce(F.get(F.regexp_extract_all(b, below, F.lit(1)), 0), F.lit("")), r"(?imu)^\s*(?:khoản\s+)?1\s*[.)]\s+[\s\S]*", "")
+    found = F.array_distinct(F.filter(F.transform(blocks, lambda b: F.regexp_replace(body(b), r"^\s+|[”\"\s]+$", "")), lambda x: x != ""))
+    known = number.isNotNull()
+    return F.struct(F.when(known & (F.size(found) == 1), F.get(found, 0)).alias("text"), F.when(known, F.size(found)).otherwise(0).alias("n"))
+
+
+def header_chunks(docs: DataFrame, text: str = "markdown", key: str = "document_id", size: int = 500, overlap: int = 100) -> DataFrame:
+    """The older cut of a document: by headings, with the older labels, and further where a piece is longer than ``size``; ``sub_chunk_index`` is null for a whole one."""
+    ship_code(docs.sparkSession)
+    rows = provisions(docs, text, key).withColumn("legacy_location", locations.legacy_label(F.col("chapter"), F.col("article"), F.col("clause")))
+    cut = rows.withColumn("_pieces", T.splitter(size, overlap)(F.col("provision_content")))
+    flat = cut.select(key, "start", "legacy_location", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_i", "original_content"))
+    return flat.select(key, "start", "legacy_location", F.when(F.col("_n") > 1, F.col("_i")).alias("sub_chunk_index"), "original_content", F.length("original_content").alias("chunk_size"))

@@ -332,3 +332,59 @@ ORACLES["leaf_sections"] = """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS docum
 h AS (SELECT document_id, i, CASE WHEN i % 24 = 0 THEN 1 WHEN i % 8 = 1 THEN 2 WHEN i % 8 IN (2, 5) THEN 3 END AS level FROM l),
 k AS (SELECT document_id, i, level, lead(level) OVER (PARTITION BY document_id ORDER BY i) AS next FROM h WHERE level IS NOT NULL)
 SELECT document_id, count(*) AS n, CAST(sum(i) AS BIGINT) AS starts FROM k WHERE next IS NULL OR next <= level GROUP BY document_id"""
+
+
+def head_texts(spark, sf_dir):
+    """New titles and opening words of articles in the sections that amend them; usable if there is just one."""
+    n, c = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    kinds = F.array(
+        F.concat(F.lit("Sửa như sau:\n“Điều "), n, F.lit(". Tên mới\nlời dẫn "), c, F.lit("\n1. một”.\nhết")),
+        F.lit("không có gì"),
+        F.concat(F.lit("Điều "), n, F.lit(". A\nx\nĐiều "), n, F.lit(". B\ny")),
+        F.concat(F.lit("## Điều "), n, F.lit(": Tên”\n")),
+    )
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.get(kinds, (F.col("o_orderkey") % 4).cast("int")).alias("s"), F.concat(F.lit("Điều "), n).alias("t"))
+    got = rows.select("o_orderkey", D.article_title(F.col("s"), F.col("t")).alias("a"), D.article_preamble(F.col("s"), F.col("t")).alias("b"))
+    return got.select("o_orderkey", F.col("a.text").alias("title"), F.col("a.n").alias("titles"), F.col("b.text").alias("preamble"), F.col("b.n").alias("preambles"))
+
+
+QUERIES["head_texts"] = head_texts
+ORACLES["head_texts"] = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Điều ' || o_custkey || '. Tên mới' WHEN 3 THEN 'Điều ' || o_custkey || ': Tên' END AS title, CAST([1, 0, 2, 1][o_orderkey % 4 + 1] AS INTEGER) AS titles,
+CASE o_orderkey % 4 WHEN 0 THEN 'lời dẫn ' || o_orderkey WHEN 2 THEN 'x' || chr(10) || 'Điều ' || o_custkey || '. B' || chr(10) || 'y' END AS preamble, CAST([1, 0, 1, 0][o_orderkey % 4 + 1] AS INTEGER) AS preambles FROM orders"""
+
+
+def amend_heads(spark, sf_dir):
+    """Articles that get another title, or other opening words, and keep the rest."""
+    items = _items(spark, sf_dir)
+    n, k = F.col("n").cast("string"), F.col("n") % 3
+    place = F.concat(F.lit("Điều "), n)
+    versions = items.select(*_first(place, F.concat(F.lit("## Điều "), n, F.lit(". Gốc\nlời "), F.col("part").cast("string"))))
+    text = F.when(k == 1, F.concat(F.lit("“Điều "), n, F.lit(". Tên "), F.col("supp").cast("string"), F.lit("”"))).otherwise(F.concat(F.lit("“dẫn "), F.col("supp").cast("string"), F.lit("”")))
+    ops = items.filter(k != 0).select(*_operation(place, F.lit("dieu"), F.lit("sua_doi"), target_component=F.when(k == 1, "title").otherwise("preamble"), replacement_text=text))
+    return V.apply_operations(versions, ops).select("provision_key", F.col("version").cast("int").alias("version"), "provision_content", F.col("error").isNotNull().alias("failed"))
+
+
+QUERIES["amend_heads"] = amend_heads
+ORACLES["amend_heads"] = f"""WITH {ITEMS_SQL} SELECT doc || '|DIEU_' || n AS provision_key, 1 AS version, '## Điều ' || n || '. Gốc' || chr(10) || 'lời ' || part AS provision_content, false AS failed FROM items
+UNION ALL SELECT doc || '|DIEU_' || n, 2, CASE n % 3 WHEN 1 THEN '## Điều ' || n || '. Tên ' || supp || chr(10) || 'lời ' || part ELSE '## Điều ' || n || '. Gốc' || chr(10) || 'dẫn ' || supp END, false FROM items WHERE n % 3 > 0"""
+
+
+def header_chunks(spark, sf_dir):
+    """Documents whose lines are marked by their position, cut the older way: how many pieces every place has, and how long they are together where it is whole."""
+    from .prose import _marked
+
+    rows = D.header_chunks(_marked(spark, sf_dir), size=100_000_000)
+    return rows.groupBy("document_id", "legacy_location").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chunk_size").cast("long")).alias("chars"), F.count("sub_chunk_index").alias("cut"))
+
+
+def _header_chunks_sql() -> str:
+    from .prose import _MARKED_SQL
+
+    return f"""WITH {_MARKED_SQL},
+lab AS (SELECT num.doc AS document_id, trim(content, ' ' || chr(10) || chr(9) || chr(13)) AS t, coalesce(nullif(concat_ws(' > ', 'Chương ' || nullif(regexp_extract(chapter, 'Chương\\s+([IVXLCDM]+)', 1), ''), 'Điều ' || nullif(regexp_extract(article, 'Điều\\s+(\\d+)', 1), ''), 'Khoản ' || CASE WHEN level = 3 THEN nullif(regexp_extract(title, '(?i)Khoản\\s+(\\d+)', 1), '') END), ''), 'Không xác định') AS legacy_location
+FROM num JOIN body ON body.doc = num.doc AND body.own = num.i WHERE coalesce(cn, an, kn) IS NOT NULL)
+SELECT document_id, legacy_location, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS cut FROM lab GROUP BY ALL"""
+
+
+QUERIES["header_chunks"] = header_chunks
+ORACLES["header_chunks"] = _header_chunks_sql()
