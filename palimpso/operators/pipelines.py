@@ -158,3 +158,21 @@ def run_evaluation(cases: DataFrame, finished: DataFrame, outputs: DataFrame, re
     done = E.last_of_each(finished.select("case_id", "status", F.struct(F.lit(0).alias("run"), "position").alias("position")).unionByName(outputs.select("case_id", "status", F.struct(F.lit(1).alias("run"), "position").alias("position"))))
     todo = E.unfinished(cases, done).join(E.last_of_each(responses).select("case_id", "response"), "case_id", "left")
     return done.select("case_id", "status"), todo
+
+
+# ---- building a corpus -----------------------------------------------------------------------------
+
+
+def build_corpus(docs: DataFrame, meta: DataFrame, ops: DataFrame, effects: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """From Markdown to versions: provisions, their first versions, amendments in order, and the end of documents that are replaced or repealed.
+
+    ``docs`` has ``document_id``, ``markdown``; ``meta`` as ``base_versions`` wants it; the second table has the operations that failed.
+    """
+    from . import documents as D
+    from . import versions as V
+
+    base = D.base_versions(D.provisions(docs), meta).select(*V.VERSION_FIELDS)
+    folded = settle(V.apply_operations(base, ops))
+    live = folded.filter("error is null").drop("error").join(meta.select("document_id", "status"), "document_id", "left")
+    failed = folded.filter("error is not null").select(F.col("version_id").alias("operation_id"), "document_id", "error")
+    return V.expire(live, V.terminal_dates(effects), as_of), failed

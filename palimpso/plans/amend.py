@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calc, locations
-from ..operators import documents as D, versions as V
+from ..operators import documents as D, pipelines as P, versions as V
 from .tables import read
 from .wording import pick
 
@@ -388,3 +388,30 @@ SELECT document_id, legacy_location, count(*) AS n, CAST(sum(length(t)) AS BIGIN
 
 QUERIES["header_chunks"] = header_chunks
 ORACLES["header_chunks"] = _header_chunks_sql()
+
+
+def corpus_build(spark, sf_dir):
+    """Documents of customers from their Markdown to their versions: every second article is repealed, and every fifth document ends as a whole."""
+    items = _items(spark, sf_dir)
+    n = F.col("n").cast("string")
+    text = F.concat(F.lit("## Điều "), n, F.lit(". Gốc\nphần "), F.col("part").cast("string"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"])
+    docs = items.groupBy(F.col("doc").alias("document_id")).agg(F.array_join(listed, "\n").alias("markdown"), F.min("day").alias("effective_date"))
+    none = F.lit(None).cast("string")
+    meta = docs.select("document_id", none.alias("document_type"), F.lit(1).alias("legal_rank"), F.lit("active").alias("status"), "effective_date", F.lit(None).cast("date").alias("expiration_date"))
+    place = F.concat(F.lit("Điều "), F.when(F.col("n") % 10 == 7, F.lit("99999")).otherwise(n))
+    ops = items.filter("n % 2 = 1").select(*_operation(place, F.lit("dieu"), F.lit("bai_bo")))
+    ends = F.expr("int(substring(document_id, 2)) % 5 = 0")
+    effects = docs.filter(ends).select(F.col("document_id").alias("target_document_id"), F.array(F.lit("thay_the")).alias("relation_types"), F.lit("whole_document").alias("impact_scope"), F.lit("2003-01-01").cast("date").alias("effective_date"))
+    versions, failed = P.build_corpus(docs.select("document_id", "markdown"), meta, ops, effects, F.lit("2004-01-01").cast("date"))
+    bad = failed.groupBy("document_id").agg(F.count(F.lit(1)).alias("failed"))
+    out = versions.groupBy("document_id").agg(F.count(F.lit(1)).alias("versions"), F.count_if(F.col("valid_to").isNull()).alias("open"), F.count_if(F.col("status") == "inactive").alias("inactive"), F.count_if("is_latest").alias("latest"), F.sum(F.datediff(F.coalesce("valid_to", F.lit("2010-01-01").cast("date")), "valid_from").cast("long")).alias("days"))
+    return out.join(bad, "document_id", "left").select("document_id", "versions", "open", "inactive", "latest", "days", F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
+QUERIES["corpus_build"] = corpus_build
+ORACLES["corpus_build"] = f"""WITH {ITEMS_SQL}, d AS (SELECT *, min(day) OVER (PARTITION BY doc) AS eff, n % 2 = 1 AND n % 10 <> 7 AS hit, n % 10 = 7 AS fails, CAST(substr(doc, 2) AS INT) % 5 = 0 AS ends, CAST(day + INTERVAL 12 MONTH AS DATE) AS gone FROM items),
+v AS (SELECT doc, eff AS a, CASE WHEN hit THEN gone END AS b, ends FROM d UNION ALL SELECT doc, gone, NULL, ends FROM d WHERE hit),
+e AS (SELECT doc, a, b IS NULL AS latest, b IS NULL AND ends AS inactive, CASE WHEN b IS NULL AND ends THEN DATE '2003-01-01' ELSE b END AS b FROM v),
+f AS (SELECT doc, count(*) FILTER (fails) AS failed FROM d GROUP BY doc)
+SELECT doc AS document_id, count(*) AS versions, count(*) FILTER (b IS NULL) AS "open", count(*) FILTER (inactive) AS inactive, count(*) FILTER (latest) AS latest, CAST(sum(coalesce(b, DATE '2010-01-01') - a) AS BIGINT) AS days, any_value(failed) AS failed FROM e JOIN f USING (doc) GROUP BY doc"""

@@ -163,3 +163,41 @@ def test_provisions_of_every_document(spark):
             own.append(line)
     got = Counter((r.provision_key.split("|")[0], r.location_label, r.provision_content) for r in prose.provisions(spark, SMALL).collect())
     assert got == expected and len({d for d, _, _ in got}) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_spans_anywhere_in_a_text(spark):
+    """Short spans, spans that begin inside a word or hold one another, in one block and in many."""
+    texts = spark.createDataFrame([(1, "Người  nộp\nthuế kê khai"), (2, "ab abc"), (3, None), (4, ""), (4, "ab")], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, "nộp THUẾ"), (2, "b a"), (3, "abc"), (4, "bc"), (5, "…"), (6, ""), (7, None), (8, "i"), (9, "abc")], "item_id long, span string")
+    expected = {(1, 1), (1, 8), (2, 2), (2, 3), (2, 4), (2, 9)}
+    for block in (C.SPAN_BYTES, 20):
+        got = C.contained_spans(texts, spans, block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == expected and len(got) == len(expected)
+    assert C.contained_spans(texts, spans.limit(0)).count() == 0
+
+
+def test_dense_search_in_blocks(spark):
+    """Small blocks of queries and many ties, against sorting everything."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-2, 3, (300, 3)).astype(float)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "doc_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors[:11])], "query_id long, embedding array<double>")
+    expected = {(q, d, r + 1) for q in range(11) for r, d in enumerate(sorted(range(300), key=lambda d, q=q: (-vectors[q] @ vectors[d], d))[:7])}
+    for block in (4096, 3):
+        assert {(r.query_id, r.doc_id, r["rank"]) for r in R.dense(points, queries, 7, block).collect()} == expected
+
+
+def test_many_scopes_in_lots(spark):
+    """More scopes of a year than a lot: every version meets each scope that it overlaps, once."""
+    versions_ = spark.createDataFrame([(k, date(2020 + k % 3, 1 + k % 12, 1), date(2022, 6, 1) if k % 2 else None) for k in range(12)], "k int, valid_from date, valid_to date")
+    scopes = spark.createDataFrame([(k, "date_range", date(2021, 1 + k % 12, 5), date(2021 + k % 2, 12, 5)) for k in range(40)], "scope_id long, kind string, low date, high date")
+    key = lambda rows: sorted((r.k, r.scope_id) for r in rows.collect())
+    whole = key(V.join_scopes(versions_, scopes))
+    assert whole and all(key(V.join_scopes(versions_, scopes, lot)) == whole for lot in (0, 3, 7))
+
+
+def test_every_scope_gets_through_without_time(spark):
+    many = spark.range(10_001).select(F.col("id").alias("scope_id"))
+    assert V.select_versions(spark.createDataFrame([(1,)], "k int"), many, temporal_off=True).count() == 10_001
