@@ -37,10 +37,10 @@ def owned(by: str):
         _owner.reset(token)
 
 
-def materialize(df: DataFrame, name: str, at_most: int | None = None, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, at_most: int | None = None, by: str | None = None, level: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
 
-    With a bound on its rows, a small table is written in few files; with ``by``, in a folder for each value of that column, and packed tighter, as whole texts are kept.
+    With a bound on its rows, a small table is written in few files; with ``by``, in a folder for each value of that column; with a ``level`` of zstd whole texts are packed tighter.
     """
     spark = df.sparkSession
     if at_most is not None and (n := max(1, -(-at_most // ROWS_A_FILE))) < shuffle_width(spark):
@@ -52,7 +52,8 @@ def materialize(df: DataFrame, name: str, at_most: int | None = None, by: str |
     try:
         for k, v in wanted.items():
             spark.conf.set(k, v)
-        (df.write.option("compression", "zstd").partitionBy(by) if by else df.write).parquet(path)
+        out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level) if level else df.write
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -36,6 +36,8 @@ SEED = 20240229
 BUCKET_BYTES = 16 << 20
 TASK_BYTES = 128 << 20
 COPIES_BYTES = BUCKET_BYTES // 4
+#: of zstd: records are written twice, so they are packed tightly
+LEVEL = 9
 RECORD_OVERHEAD = 8
 #: copies that one row is multiplied to in the second step
 FAN_OUT = 1_000
@@ -101,7 +103,7 @@ def scatter(df: DataFrame, size: Column, seed: int, bucket_bytes: int, copies_by
         first = F.col("chunk") * FAN_OUT
         copies = chunks.select("mark", "record", F.explode(F.sequence(first, F.least(first + FAN_OUT, F.col("n")) - 1)).alias("copy"))
         rows = rows.join(hot, "mark", "left_anti").unionByName(copies.select(F.xxhash64("mark", "copy").alias("mark"), "record"))
-    return materialize(rows.select(bucket, "mark", "record"), "scattered"), n_buckets
+    return materialize(rows.select(bucket, "mark", "record"), "scattered", level=LEVEL), n_buckets
 
 
 def positions(buckets: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def shard_records(df: DataFrame, text: str = "text", key: str = "doc_id", n_shar
     A row for each record: ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
     """
     shuffled = external_shuffle(df, record_size(F.col(text)), n_shards, seed, bucket_bytes, copies_bytes)
-    written = materialize(shuffled, "shards", by="shard")
+    written = materialize(shuffled, "shards", by="shard", level=LEVEL)
     discard(shuffled._works_on)
     digest = written.select(F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"), "shard", "slot")
     return digest.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
