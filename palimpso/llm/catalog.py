@@ -1,8 +1,8 @@
-"""The ten training-data operators as queries, with SQL where SQL can express the result."""
+"""The thirteen training-data operators as queries, with SQL where SQL can express the result."""
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash, oracles, packing, quality, sharding, substring, token_counts, toxicity, urls
+from . import centroids, decontaminate, divergence, language_id, licenses, minhash, oracles, packing, quality, sharding, substring, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_separator_scan": token_counts.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_recompression": substring.op8,
     "op9_hyperdimensional_language": language_id.op9,
     "op10_external_shuffle": sharding.op10,
+    "op11_partial_distance_clusters": centroids.op11,
+    "op12_license_join": licenses.op12,
+    "op13_divergence_tiles": divergence.op13,
 }
 
 #: None for the others: a tokenizer, mined or trained models, and random orders are beyond SQL.
@@ -23,4 +26,7 @@ ORACLES = {
     "op3_quality_cascade": oracles.OP3,
     "op4_winnowing": oracles.OP4,
     "op8_recompression": oracles.OP8,
+    "op11_partial_distance_clusters": oracles.OP11,
+    "op12_license_join": oracles.OP12,
+    "op13_divergence_tiles": oracles.OP13,
 }
