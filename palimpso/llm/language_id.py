@@ -13,7 +13,7 @@ every task.  Prediction is a plain map over whole texts: no shuffle.
 
 Defined results: null text or text without a letter: ``und`` with score 0; no labelled rows at all:
 nothing is learned and every text is ``und``; ties of cosine go to the first language by name;
-repeated rows are judged one by one; texts of any length are read whole; an empty table gives no rows; a document's columns travel as one
+repeated rows are judged one by one; texts of any length are read whole; an empty table gives no rows; more than ``MOST_LANGS`` languages are an error; a document's columns travel as one
 struct, so their names can't clash with ours.
 """
 
@@ -36,6 +36,8 @@ SEED = 11
 TRAIN_DOCS = 4000
 #: so many languages of more than TRAIN_DOCS documents go to every task; more of them are joined by a shuffle
 BROADCAST_LANGS = 10_000
+#: languages whose prototypes (4 KB each) every task can hold; more of them are an error
+MOST_LANGS = 20_000
 FOLDS = 5
 SLICE = 1 << 20
 #: codes: 0 the gap between words; 1 to 26 a-z; the rest are other letters by code point, modulo
@@ -133,9 +135,12 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str =
     known = training.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = drawn(known, train_docs).select("lang", "text").repartition(32)
     parts = sample.mapInArrow(_bundle, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    sums: dict[str, np.ndarray] = {}
-    for r in parts.collect():
-        sums.setdefault(r["lang"], np.zeros(DIM))[r["place"]] = r["value"]
+    # one array of DIM numbers a language, and no more of them than every task can hold
+    vectors = parts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+    got = vectors.limit(MOST_LANGS + 1).collect()
+    if len(got) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: their prototypes are too many for one task")
+    sums = {r["lang"]: np.array(r["values"]) for r in got}
     names = sorted(n for n, v in sums.items() if np.any(v))
     # rounded, so that the order of adding up can't change a verdict between runs
     return names, np.array([np.round(sums[n] / np.linalg.norm(sums[n]), 6) for n in names], np.float32).reshape(-1, DIM)
