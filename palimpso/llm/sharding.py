@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle (built-in functions only).
 
-Pass 1 scatters whole records uniformly into buckets of about ``BUCKET_BYTES`` by a seeded hash and writes them, each
+Pass 1 scatters whole records uniformly into buckets of about ``BUCKET_BYTES``, or ``BUCKET_ROWS`` records if that is less, by a seeded hash and writes them, each
 with its bucket, to the shared folder.  Pass 2 gathers each bucket, puts its records in the order of their hashes,
 Fisher-Yates shuffles their places in that order and writes the records by shard.  Buckets lie behind one another on one global line of positions, found
 from the bucket counts by a prefix sum in two levels; position ``p`` goes to shard ``p % n_shards`` and slot
@@ -21,8 +21,9 @@ Defined results
 * null text: size 8 (no text bytes), CRC-32 0 -- as for an empty text;
 * null ids are ordinary rows;
 * repeated rows each get a slot of their own;
-* an empty table gives no rows; extra columns of any name travel with the record (but for columns of a map type, which Spark can't hash, and
-  columns named ``shard`` and ``slot``, which are an error when records are written).
+* an empty table gives no rows; extra columns of any name and type travel with the record, in one struct; where a table has a column
+  ``shard`` or ``slot`` of its own, the new ones of written records are called ``shard_`` and ``slot_`` (with as many lines as it takes);
+* of two different records of a bucket whose 64-bit marks are equal, either may come first.
 """
 
 from __future__ import annotations
@@ -34,7 +35,11 @@ from .common import discard, materialize
 
 SEED = 20240229
 BUCKET_BYTES = 16 << 20
+#: a swap walks through about 3 sqrt(n) numbers, so buckets are bounded in rows as well
+BUCKET_ROWS = 1_024
 TASK_BYTES = 128 << 20
+#: buckets that a task of pass 2 works off at most
+TASK_BUCKETS = 1_024
 COPIES_BYTES = BUCKET_BYTES // 4
 #: of zstd: records are written twice, so they are packed tightly
 LEVEL = 9
@@ -84,26 +89,38 @@ def fisher_yates(n: Column, seed: Column) -> Column:
     return let(F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int")), shuffled)
 
 
-def scatter(df: DataFrame, size: Column, seed: int, bucket_bytes: int, copies_bytes: int) -> tuple[DataFrame, int]:
-    """Pass 1, as a table: ``bucket``, ``mark`` (a hash that tells records apart, but for equal ones) and the ``record``; and the number of buckets."""
-    spark = df.sparkSession
+def shown(df: DataFrame) -> list[Column]:
+    """The columns as Spark can hash and group them: those with maps or variants in them as JSON."""
+    odd = lambda f: any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))
+    return [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if odd(f) else F.col(f"`{f.name}`") for f in df.schema]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def scatter(df: DataFrame, size: Column, seed: int, bucket_bytes: int, copies_bytes: int, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int, int]:
+    """Pass 1, as a table: ``bucket``, ``mark`` (a hash that tells records apart, but for equal ones) and the ``record``; the number of buckets and the bytes of all records."""
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    mark = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    mark = F.xxhash64(F.lit(seed), *shown(df))
     # a record's mark and size, without the record
     marks = df.select(mark.alias("mark"), size.alias("size")).groupBy("mark").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    totals = marks.agg(F.sum("size").alias("size"), F.sum(F.when((F.col("n") > 1) & (F.col("size") > copies_bytes), 1)).alias("hot")).first()
-    n_buckets = max(1, -(-int(totals["size"] or 0) // bucket_bytes))
+    totals = marks.agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.sum(F.when((F.col("n") > 1) & (F.col("size") > copies_bytes), 1)).alias("hot")).first()
+    n_buckets = max(1, -(-int(totals["size"] or 0) // bucket_bytes), -(-int(totals["n"] or 0) // bucket_rows))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "mark"), F.lit(n_buckets)).cast("long").alias("bucket")
-    rows = df.select(mark.alias("mark"), record.alias("record"))
+    rows = df.select(mark.alias("mark"), F.struct(*shown(df)).alias("shown"), record.alias("record"))
     if totals["hot"]:
         hot = marks.filter((F.col("n") > 1) & (F.col("size") > copies_bytes)).select("mark")
         hot = F.broadcast(hot) if totals["hot"] <= BROADCAST_ROWS else hot
-        kinds = rows.join(hot, "mark", "left_semi").groupBy("mark", "record").agg(F.count(F.lit(1)).alias("n"))
+        kinds = rows.join(hot, "mark", "left_semi").groupBy("mark", "shown").agg(F.first("record").alias("record"), F.count(F.lit(1)).alias("n"))
         chunks = kinds.select("mark", "record", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / FAN_OUT))).alias("chunk")).repartition("mark", "chunk")
         first = F.col("chunk") * FAN_OUT
         copies = chunks.select("mark", "record", F.explode(F.sequence(first, F.least(first + FAN_OUT, F.col("n")) - 1)).alias("copy"))
-        rows = rows.join(hot, "mark", "left_anti").unionByName(copies.select(F.xxhash64("mark", "copy").alias("mark"), "record"))
-    return materialize(rows.select(bucket, "mark", "record"), "scattered", level=LEVEL), n_buckets
+        rows = rows.join(hot, "mark", "left_anti").select("mark", "record").unionByName(copies.select(F.xxhash64("mark", "copy").alias("mark"), "record"))
+    return materialize(rows.select(bucket, "mark", "record"), "scattered", level=LEVEL), n_buckets, int(totals["size"] or 0)
 
 
 def positions(buckets: DataFrame) -> DataFrame:
@@ -115,23 +132,24 @@ def positions(buckets: DataFrame) -> DataFrame:
     return blocks.withColumn("own", own).join(base, "block").select("bucket", (F.col("base") + F.col("own")).alias("first"))
 
 
-def external_shuffle(df: DataFrame, size: Column, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES) -> DataFrame:
-    """All columns of ``df`` and ``shard int``, ``slot long``; the records in random order over the shards, sorted by both in each partition."""
-    scattered, n_buckets = scatter(df, size, seed, bucket_bytes, copies_bytes)
+def external_shuffle(df: DataFrame, size: Column, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """All columns of ``df`` and ``shard int``, ``slot long`` (see above for tables that have such columns); the records in random order over the shards, sorted by both in each partition."""
+    scattered, n_buckets, n_bytes = scatter(df, size, seed, bucket_bytes, copies_bytes, bucket_rows)
+    shard, slot = free_name(df, "shard"), free_name(df, "slot")
     sizes = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     order = fisher_yates(F.col("n").cast("int"), F.xxhash64(F.lit(seed), "bucket"))
     orders = sizes.join(positions(sizes), "bucket").select("bucket", "first", order.alias("order"))
     # a task gathers a few buckets, as each task writes a file a shard; bucket by bucket, the records stream through two sorts
-    tasks = max(1, -(-n_buckets * bucket_bytes // TASK_BYTES))
+    tasks = max(1, -(-n_bytes // TASK_BYTES), -(-n_buckets // TASK_BUCKETS))
     gathered = scattered.repartition(tasks, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("mark")))
     position = F.col("first") + F.get("order", F.col("rank") - 1)
     placed = gathered.join(orders.repartition(tasks, "bucket").hint("merge"), "bucket").select("record", position.alias("position"))
     out = placed.select(
         "record.*",
-        F.pmod("position", F.lit(n_shards)).cast("int").alias("shard"),
-        F.floor(F.col("position") / F.lit(n_shards)).cast("long").alias("slot"),
-    ).sortWithinPartitions("shard", "slot")
-    out._works_on = scattered
+        F.pmod("position", F.lit(n_shards)).cast("int").alias(shard),
+        F.floor(F.col("position") / F.lit(n_shards)).cast("long").alias(slot),
+    ).sortWithinPartitions(shard, slot)
+    out._works_on, out._named = scattered, (shard, slot)
     return out
 
 
@@ -141,16 +159,17 @@ def shard_records(df: DataFrame, text: str = "text", key: str = "doc_id", n_shar
     A row for each record: ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
     """
     shuffled = external_shuffle(df, record_size(F.col(text)), n_shards, seed, bucket_bytes, copies_bytes)
-    written = materialize(shuffled, "shards", by="shard", level=LEVEL)
+    shard, slot = shuffled._named
+    written = materialize(shuffled, "shards", by=shard, level=LEVEL)
     discard(shuffled._works_on)
-    digest = written.select(F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"), "shard", "slot")
+    digest = written.select(F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"), F.col(shard).alias("shard"), F.col(slot).alias("slot"))
     return digest.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def write_shards(df: DataFrame, path: str, text: str = "text", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, copies_bytes: int = COPIES_BYTES) -> None:
     """Shuffle whole records and write them as Parquet below ``path``, one folder a shard, each file sorted by slot."""
     shuffled = external_shuffle(df, record_size(F.col(text)), n_shards, seed, bucket_bytes, copies_bytes)
-    shuffled.write.partitionBy("shard").parquet(path)
+    shuffled.write.partitionBy(shuffled._named[0]).parquet(path)
     discard(shuffled._works_on)
 
 
