@@ -83,7 +83,7 @@ def terms_of(data: bytes) -> Counter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of the task; every group comes with an empty term, so that one without terms is known."""
+    """Partial counts of the task; every group comes with a blank and its source in place of a term (no term has a blank), so that one without terms is known."""
     tokens.release()
     seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     held = 0
@@ -99,7 +99,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
-            n, docs = seen.setdefault((lang, source), (Counter({b"": 0}), Counter({b"": 0})))
+            n, docs = seen.setdefault((lang, source), (Counter({(mark := f" {source}".encode()): 0}), Counter({mark: 0})))
             held -= len(n)
             own = terms_of(text.as_buffer().to_pybytes()) if text.is_valid and len(text.as_buffer()) else Counter()
             n.update(own)
@@ -164,20 +164,22 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """``lang``, ``source``, ``part`` (``pair`` or ``term``), ``item``, ``value``, ``rank``."""
     ship_code(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))], F.col(text).alias("text"))
-    parts = named.mapInArrow(_count, COUNTED)
-    counts = materialize(parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    # terms that a language keeps, with its count of them
-    of_lang = counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-    kept = of_lang.filter(F.col("docs") >= min_docs).select("lang", "term", "lang_n")
+    # one shuffle by language and term serves the counts of groups and those of languages; what a language doesn't keep goes no further
+    parts = named.mapInArrow(_count, COUNTED).repartition("lang", "term")
+    counts = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    whole = counts.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("docs"), F.startswith("term", F.lit(" ")).alias("is_group"))
+    counts = materialize(whole.filter(F.col("is_group") | (F.col("docs") >= min_docs)).drop("docs"), "counts")
+    cells = counts.filter("not is_group").drop("is_group")
+    kept = cells.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
     size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_n"))
-    listed = counts.filter("term = ''").select("lang", "source")
+    listed = counts.filter("is_group").select("lang", "source")
     langs = listed.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sources")).join(size, "lang", "left")
     langs = langs.select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_n", F.lit(0)).alias("all_n"), F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) / terms)).cast("int").alias("n_blocks"), F.ceil(F.col("n_sources") / groups).cast("int").alias("n_groups"))
-    langs = materialize(langs, "langs", at_most=1)
+    langs = own_langs = materialize(langs, "langs", at_most=1)
     few = langs.count() <= BROADCAST_LANGS
     langs = F.broadcast(langs) if few else langs
     block = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
-    cells = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
     own_n = cells.groupBy("lang", "source").agg(F.sum("n").alias("own_n"))
     dealt = cells.join(langs, "lang").select("lang", "source", "term", "n", "lang_n", block("term", "n_blocks").alias("terms"), block("source", "n_groups").alias("block"), "n_groups", F.lit(None).cast("long").alias("size"))
     in_block = kept.join(langs.select("lang", "n_blocks"), "lang").groupBy("lang", block("term", "n_blocks").alias("terms")).agg(F.count(F.lit(1)).alias("size"))
@@ -191,7 +193,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     sent = every.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)))
     tiles = sent.select("lang", "source", "term", "n", "lang_n", "terms", "block", "size", F.least("block", "with").alias("block_a"), F.greatest("block", "with").alias("block_b"))
     found = materialize(tiles.groupBy("lang", "terms", "block_a", "block_b").applyInPandas(_tile, "lang string, source string, other string, term string, value long"), "tiles")
-    discard(counts)
+    discard(counts, own_langs)
     sums = found.filter("other is not null").groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
     both = sums.select("lang", F.explode(F.array(F.struct("source", F.col("other").alias("item")), F.struct(F.col("other").alias("source"), F.col("source").alias("item")))).alias("p"), "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
