@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import locations
 from ..functions.deploy import ship_code
 from ..functions.lineage import settle
+from . import lexical
+from .ranking import CANDIDATES, tokens
+from .ranking import top_rows as _top
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-CANDIDATES = 20
 SEEDS = 5
 EXPANSION_SEEDS = 3
 FINAL = 5
@@ -28,50 +29,21 @@ SIBLING_SOURCES, SIBLINGS_PER_ARTICLE, SIBLINGS = 2, 2, 4
 BLOCK_QUERIES = 4096
 
 
-def tokens(text: Column) -> Column:
-    """Default segmentation: lower case, blanks."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), "")
-
-
-def _top(rows: DataFrame, k: int, *order: Column, rank: str = "rank", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
-
-
 # ---- lexical ---------------------------------------------------------------------------------
 
 
 def bm25_statistics(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> tuple[DataFrame, DataFrame]:
-    """Document frequency of every term with its idf, and one row with ``n`` and ``avgdl``.
-
-    A negative idf becomes a quarter of the mean idf of all terms.  Nothing but the terms is shuffled,
-    counted before in every task.
-    """
-    # one pass: a mark that is no term stands for the document itself and brings its length
-    of = docs.select(tokenize(F.col("text")).alias("t")).select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
-    counted = settle(of.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length")))
-    size = counted.filter("term = ''").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
-    terms = counted.filter("term <> ''").select("term", "df").join(F.broadcast(size), F.lit(True))  # one row
-    raw = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
-    return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf.alias("idf")), size
+    """Document frequency of every term with its idf, and one row with ``n`` and ``avgdl``."""
+    return lexical.statistics(lexical.build(docs, tokenize))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """Top ``k`` documents a query: ``query_id``, ``doc_id``, ``score``, ``rank``; ties by id; scores of 0 or less go after the cut.
 
-    Each occurrence of a term in the query counts.  Documents are reduced to the queries' terms before term counts are shuffled.
+    Each occurrence of a term in the query counts.  The texts are read once, into an index (see ``lexical``), which gives the statistics as well.
     """
-    idf, size = bm25_statistics(docs, tokenize)
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(idf, "term")
-    seen = docs.select("doc_id", tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    tf = seen.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scores = tf.join(asked, "term").crossJoin(F.broadcast(size)).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return _top(scores, k, F.desc("score"), F.col("doc_id")).filter("score > 0")
+    index = lexical.build(docs, tokenize)
+    return lexical.search(index, lexical.query_weights(index, queries, tokenize), k)
 
 
 # ---- dense -----------------------------------------------------------------------------------

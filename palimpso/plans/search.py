@@ -6,17 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settle
-from ..operators import documents as D, retrieval as R, verify
+from ..operators import documents as D, lexical, retrieval as R, verify
 from .tables import POINTS_SQL, points, read
 
 QUERIES, ORACLES = {}, {}
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
 BM25_SQL = f"""
-d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+d AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS t FROM documents),
 size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM d) GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, size),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, size),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 TOPK_SQL = f"""{BM25_SQL},
 q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
@@ -51,6 +51,72 @@ QUERIES["bm25_topk"] = bm25_topk
 ORACLES["bm25_topk"] = f"WITH {TOPK_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lexical WHERE score > 0"
 
 
+def bm25_pairs(spark, sf_dir):
+    """What pruning saves: pairs of a query and a document that share a term, and whether a tenth of them at most had to be scored to the end."""
+    index = lexical.build(_documents(spark, sf_dir))
+    found = lexical.search(index, lexical.query_weights(index, _items(spark, sf_dir)), report=True)
+    return found.agg(F.sum("shared").alias("shared"), (10 * F.sum("scored") <= F.sum("shared")).alias("pruned"))
+
+
+QUERIES["bm25_pairs"] = bm25_pairs
+ORACLES["bm25_pairs"] = f"WITH {TOPK_SQL} SELECT count(*) AS shared, true AS pruned FROM s"
+
+
+def _versioned(spark, sf_dir):
+    """Documents with a validity each: some open, some without a day."""
+    start = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
+    end = F.when(F.col("doc_id") % 5 != 0, F.date_add(start, (F.col("n_chars") % 200).cast("int")))
+    return read(spark, sf_dir, "documents").select("doc_id", "text", start.alias("valid_from"), end.alias("valid_to"))
+
+
+def _scopes(spark, sf_dir):
+    """A day or a range for each nation."""
+    low = F.date_add(F.lit("2020-01-01").cast("date"), (16 * F.col("n_nationkey")).cast("int"))
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("scope_id"), low.alias("low"), F.date_add(low, (F.col("n_nationkey") % 3 * 20).cast("int")).alias("high"))
+
+
+def _scoped_items(spark, sf_dir):
+    return _items(spark, sf_dir).withColumn("scope_id", F.col("query_id") % 25)
+
+
+SCOPED_SQL = f"""v AS (SELECT doc_id, {_TOKENS} AS t, DATE '2020-01-01' + CAST(doc_id % 365 AS INTEGER) AS valid_from, CASE WHEN doc_id % 5 <> 0 THEN DATE '2020-01-01' + CAST(doc_id % 365 + n_chars % 200 AS INTEGER) END AS valid_to FROM documents),
+scope AS (SELECT n_nationkey AS scope_id, DATE '2020-01-01' + CAST(16 * n_nationkey AS INTEGER) AS low, DATE '2020-01-01' + CAST(16 * n_nationkey + n_nationkey % 3 * 20 AS INTEGER) AS high FROM nation),
+held AS MATERIALIZED (SELECT scope_id, doc_id, t FROM v JOIN scope ON valid_from <= high AND (valid_to IS NULL OR (valid_to > low AND valid_to > valid_from))),
+ssize AS (SELECT scope_id, count(*) AS n, avg(len(t)) AS avgdl FROM held GROUP BY scope_id),
+sdf AS MATERIALIZED (SELECT scope_id, term, count(*) AS df FROM (SELECT scope_id, unnest(list_distinct(t)) AS term FROM held) GROUP BY ALL),
+sraw AS MATERIALIZED (SELECT scope_id, term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM sdf JOIN ssize USING (scope_id)),
+smean AS (SELECT scope_id, avg(raw) AS mean_idf FROM sraw GROUP BY scope_id),
+asked AS MATERIALIZED (SELECT item_id AS query_id, item_id % 25 AS scope_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+sidf AS (SELECT scope_id, term, df, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf FROM sraw JOIN smean USING (scope_id) SEMI JOIN asked USING (scope_id, term))"""
+
+
+def bm25_scoped_stats(spark, sf_dir):
+    """Every scope's own statistics for the terms asked in it, all scopes from one pass over the texts."""
+    index = lexical.build(_versioned(spark, sf_dir))
+    asked = lexical.asked_terms(_scoped_items(spark, sf_dir)).select("scope_id", "term")
+    idf, size = lexical.scoped_statistics(index, _scopes(spark, sf_dir), asked)
+    return idf.join(size, "scope_id").select("scope_id", "term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+
+
+QUERIES["bm25_scoped_stats"] = bm25_scoped_stats
+ORACLES["bm25_scoped_stats"] = f"WITH {SCOPED_SQL} SELECT scope_id, term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM sidf JOIN ssize USING (scope_id) JOIN smean USING (scope_id)"
+
+
+def bm25_scoped_topk(spark, sf_dir):
+    """Every benchmark item, asked in one scope, against the documents in force there, weighed by that scope's statistics."""
+    index = lexical.build(_versioned(spark, sf_dir))
+    found = lexical.search(index, lexical.scoped_weights(index, _scoped_items(spark, sf_dir), _scopes(spark, sf_dir)))
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES["bm25_scoped_topk"] = bm25_scoped_topk
+ORACLES["bm25_scoped_topk"] = f"""WITH {SCOPED_SQL},
+stf AS (SELECT scope_id, doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT scope_id, doc_id, len(t) AS dl, unnest(t) AS term FROM held) GROUP BY ALL),
+sscore AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM stf JOIN asked USING (scope_id, term) JOIN sidf USING (scope_id, term) JOIN ssize USING (scope_id) GROUP BY query_id, doc_id),
+sbest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sscore QUALIFY rank <= 20)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sbest WHERE score > 0"""
+
+
 def _vectors(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return rows, rows.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
