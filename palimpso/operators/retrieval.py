@@ -6,27 +6,23 @@ Every table carries ``query_id``; a query's temporal scope has selected its ``po
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import locations
-from ..functions.deploy import ship_code
 from ..functions.lineage import settle
 from . import lexical
 from .ranking import CANDIDATES, tokens
 from .ranking import top_rows as _top
+from .vectors import dense
 
 RRF_K = 60
 SEEDS = 5
 EXPANSION_SEEDS = 3
 FINAL = 5
 SIBLING_SOURCES, SIBLINGS_PER_ARTICLE, SIBLINGS = 2, 2, 4
-#: Query vectors sent to every task; more are worked off in several passes.
-BLOCK_QUERIES = 4096
 
 
 # ---- lexical ---------------------------------------------------------------------------------
@@ -46,62 +42,6 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenize: Cal
     return lexical.search(index, lexical.query_weights(index, queries, tokenize), k)
 
 
-# ---- dense -----------------------------------------------------------------------------------
-
-
-def dense(points: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = BLOCK_QUERIES) -> DataFrame:
-    """Top ``k`` points a query by dot product: ``query_id``, ``doc_id``, ``score``, ``rank``; ties by id.
-
-    Query vectors go out in blocks of a fixed size.  A task multiplies each batch of points with the block
-    and keeps the best ``k`` so far of each query, so what is shuffled is k rows a task and query.
-    """
-    spark = points.sparkSession
-    ship_code(spark)
-    total = max(1, -(-queries.count() // block))
-    lot = F.pmod(F.xxhash64("query_id"), F.lit(total))
-    parts = []
-    for at in range(total):
-        rows = queries.select("query_id", "embedding").filter(lot == at).collect()
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, asked = shared.value
-            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-            def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                """The first k of each query, best first and ties by id."""
-                q, ids, scores = (np.concatenate(x) for x in zip(*kept, strict=True))
-                order = np.lexsort((ids, -scores, q))
-                q, ids, scores = q[order], ids[order], scores[order]
-                first = np.searchsorted(q, q, "left")
-                top = np.arange(len(q)) - first < k
-                return q[top], ids[top], scores[top]
-
-            held = 0
-            for batch in batches:
-                if not len(names) or not batch.num_rows:
-                    continue
-                own = batch.column("embedding").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                ids = batch.column("doc_id").to_numpy()
-                scores = asked @ own.T
-                least = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
-                q, p = np.nonzero(scores >= least[:, None])  # everything that may be among the best k, with all ties of the last
-                kept.append((q, ids[p], scores[q, p]))
-                held += len(q)
-                if held > 4 * k * len(names):
-                    kept = [best()]
-                    held = len(kept[0][0])
-            if kept:
-                q, ids, scores = best()
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids, pa.int64()), pa.array(scores)], ["query_id", "doc_id", "score"])
-
-        parts.append(points.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _top(out, k, F.desc("score"), F.col("doc_id"))
-
-
 # ---- fusion and reranking --------------------------------------------------------------------
 
 

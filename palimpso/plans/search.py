@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settle
-from ..operators import documents as D, lexical, retrieval as R, verify
+from ..operators import documents as D, lexical, retrieval as R, vectors, verify
 from .tables import POINTS_SQL, points, read
 
 QUERIES, ORACLES = {}, {}
@@ -133,6 +133,34 @@ QUERIES["dense_topk"] = dense_topk
 ORACLES["dense_topk"] = f"WITH {DENSE_SQL} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM dense"
 
 
+def ivf_exact(spark, sf_dir):
+    """Inverted lists, searched exactly: the same rows as without them, here among the vectors of even labels alone."""
+    rows, queries = _vectors(spark, sf_dir)
+    allowed = read(spark, sf_dir, "embeddings").filter("label % 2 = 0").select(F.col("vec_id").alias("doc_id"))
+    return vectors.Lists(rows).search(queries, exact=True, allowed=allowed).select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES["ivf_exact"] = ivf_exact
+ORACLES["ivf_exact"] = """WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS doc_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0 AND p.label % 2 = 0),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20)
+SELECT query_id, doc_id, round(score, 5) AS score, rank FROM dense"""
+
+
+def ivf_recall(spark, sf_dir):
+    """How many of the best 20 the probed lists hold, measured against all vectors, and whether fewer vectors were met than there are."""
+    rows, queries = _vectors(spark, sf_dir)
+    index = vectors.Lists(rows)
+    found, known = index.search(queries).select("query_id", "doc_id"), R.dense(rows, queries).select("query_id", "doc_id")
+    hits = known.join(found, ["query_id", "doc_id"], "left_semi").count()
+    probed = index.probes(queries).agg(F.count(F.lit(1)).alias("queries"), F.sum("probed").alias("probed"))
+    wanted = known.agg(F.count(F.lit(1)).alias("wanted"), (F.lit(10 * hits) >= 9 * F.count(F.lit(1))).alias("recalled"))
+    return probed.join(wanted, F.lit(True)).select("queries", "wanted", "recalled", (F.col("probed") < F.col("queries") * F.lit(int(index.sizes.sum()))).alias("fewer"))  # one row each
+
+
+QUERIES["ivf_recall"] = ivf_recall
+ORACLES["ivf_recall"] = "SELECT count(*) AS queries, count(*) * least(20, (SELECT count(*) FROM embeddings)) AS wanted, true AS recalled, true AS fewer FROM embeddings WHERE vec_id % 20 = 0"
+
+
 def rrf_fusion(spark, sf_dir):
     """Two rankings of every supplier's line items, by price and by quantity, fused."""
     rows = points(spark, sf_dir).withColumnRenamed("point_id", "doc_id")
