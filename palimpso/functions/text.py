@@ -341,7 +341,7 @@ FUZZY = 0.95
 MATCH = T.StructType([T.StructField("support_span", T.StringType()), T.StructField("match_type", T.StringType()), T.StructField("match_score", T.DoubleType())])
 
 
-class _Source:
+class Source:
     """A source's words, joined by single blanks, with running counts of its numbers and negations."""
 
     def __init__(self, text: str):
@@ -368,7 +368,7 @@ def _marks(text: str) -> list[str]:
     return sorted("".join(m[0].split()).casefold() for p in (NUMBER, NEGATION) for m in p.finditer(text))
 
 
-def _near(wanted: str, source: _Source) -> tuple[str, str, float] | None:
+def _near(wanted: str, source: Source) -> tuple[str, str, float] | None:
     """The most similar run of words, at ``FUZZY`` or more, that agrees in numbers and negations; the first of equals."""
     folded, n, total = wanted.casefold(), len(wanted.split()), len(source.words)
     slack = max(2, min(8, round(n * 0.15)))
@@ -407,7 +407,7 @@ def match_span(span: str | None, source: str | None) -> tuple[str, str, float] |
         return None
     if span in source:
         return span, "exact", 1.0
-    own, wanted = _Source(source), " ".join(span.split())
+    own, wanted = Source(source), " ".join(span.split())
     if not own.words or not wanted:
         return None
     low = own.joined.casefold()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.deploy import ship_code
+from .spans import contained_spans, matched_spans  # noqa: F401 - part of checking evidence
 
 MAX_ROUNDS = 3
 MAX_FACTS = 6
@@ -44,51 +45,6 @@ def supported(evidence: DataFrame, candidates: DataFrame, by: str = "task_id") -
     return found.filter("_m.match_type is not null").select(*[c for c in evidence.columns if c != "support_span"], F.col("_m.support_span").alias("support_span"), F.col("_m.match_type").alias("match_type"), F.col("_m.match_score").alias("match_score"))
 
 
-SPAN_BYTES = 32 << 20
-
-
-def contained_spans(texts: DataFrame, spans: DataFrame, block_bytes: int = SPAN_BYTES) -> DataFrame:
-    """``doc_id`` and ``item_id`` of every text that says a span but for blanks and case, wherever in it and in whatever part of a word; spans with an ellipsis, and blank ones, are said nowhere.
-
-    ``texts`` has ``doc_id``, ``text``; ``spans`` has ``item_id``, ``span``.  All spans of a block (of a bounded size; a usual set is one) are looked for in one walk
-    over each text, and texts are not shuffled.
-    """
-    import ahocorasick
-    import pyarrow as pa
-
-    spark = texts.sparkSession
-    ship_code(spark)
-    fold = lambda c: F.lower(T.collapse(c))
-    usable = spans.select("item_id", fold(F.col("span")).alias("s")).filter((F.col("s") != "") & ~F.col("s").contains("...") & ~F.col("s").contains("…"))
-    total = usable.agg(F.sum(F.octet_length("s") + F.lit(16))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    folded = texts.select("doc_id", fold(F.col("text")).alias("t")).filter("t is not null")
-    out = None
-    for at in range(n):
-        by_text: dict[str, list] = {}
-        for r in usable.filter(F.pmod(F.xxhash64("s"), F.lit(n)) == at).collect():
-            by_text.setdefault(r["s"], []).append(r["item_id"])
-        shared = spark.sparkContext.broadcast(by_text)
-
-        def run(batches, shared=shared):
-            walk = ahocorasick.Automaton()
-            for s in shared.value:
-                walk.add_word(s, s)
-            walk.make_automaton()
-            for batch in batches:
-                docs, items = [], []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                    for s in {s for _, s in walk.iter(text)} if len(walk) else ():
-                        for item in shared.value[s]:
-                            docs.append(doc)
-                            items.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], ["doc_id", "item_id"])
-
-        one = folded.mapInArrow(run, "doc_id long, item_id long")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
-
-
 def evaluate_facts(facts: DataFrame, evaluations: DataFrame, evidence: DataFrame) -> DataFrame:
     """One status a fact: the first evaluation of a known fact counts; omitted facts, and covered ones without valid evidence, miss evidence."""
     first = evaluations.withColumn("_n", F.row_number().over(Window.partitionBy("fact_id").orderBy("position"))).filter("_n = 1").select("fact_id", "status")
