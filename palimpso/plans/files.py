@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_dir
+from ..operators import models
 from ..sources import artifacts as A
 from .tables import read
 
@@ -128,16 +129,17 @@ ORACLES["review_cache"] = "SELECT CAST(o_orderkey AS VARCHAR) AS document_id, (S
 
 
 def embedding_cache(spark, sf_dir):
-    """Vectors that are worked out once for a set of documents and then read."""
+    """Vectors of a hosted embedder, worked out once for a set of documents and then read: their squared length, which is 1 for a text with a word."""
     path, docs = _folder(spark, "vectors"), read(spark, sf_dir, "documents").select("doc_id", "text")
-    embed = lambda c: F.array(F.length(c).cast("double"))
-    first = A.cached_embeddings(docs, embed, "m", path)[1]
-    again, hit = A.cached_embeddings(docs, embed, "m", path)
-    return again.select("doc_id", F.get("embedding", F.lit(0)).alias("value"), F.lit(not first and hit).alias("cached"))
+    embed = models.embedder(spark)
+    first = A.cached_embeddings(docs, embed, "hashed", path)[1]
+    again, hit = A.cached_embeddings(docs, embed, "hashed", path)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return again.select("doc_id", F.round(length, 6).alias("value"), F.lit(not first and hit).alias("cached"))
 
 
 QUERIES["embedding_cache"] = embedding_cache
-ORACLES["embedding_cache"] = "SELECT doc_id, CAST(length(text) AS DOUBLE) AS value, true AS cached FROM documents"
+ORACLES["embedding_cache"] = "SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN 1.0::DOUBLE WHEN text IS NOT NULL THEN 0.0::DOUBLE END AS value, true AS cached FROM documents"
 
 
 def collection_scroll(spark, sf_dir):

@@ -296,19 +296,23 @@ ORACLES["pools_and_failures"] = "SELECT event_type AS method, count(DISTINCT use
 
 
 def _lists(spark, sf_dir):
-    """A lexical ranking of all documents for every benchmark item, and in place of a dense one the same candidates the other way round."""
+    """A lexical and a dense ranking for every benchmark item: of all documents, and of those that have a vector; the item's own vector is that of its number."""
     queries = settle(_items(spark, sf_dir))
-    lexical = settle(R.bm25(_documents(spark, sf_dir), queries).select("query_id", "doc_id", "rank"))
-    other = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank")))
-    dense = settle(lexical.select("query_id", "doc_id", other.alias("rank")))
-    passages = _documents(spark, sf_dir).select("doc_id", P.rerank_passage(F.col("text"), F.lit("")).alias("passage"))
+    docs = _documents(spark, sf_dir)
+    lexical = settle(R.bm25(docs, queries).select("query_id", "doc_id", "rank"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    points = docs.select("doc_id").join(vectors, F.col("doc_id") == F.col("vec_id")).select("doc_id", "embedding")
+    asked = queries.select("query_id").join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    dense = settle(R.dense(points, asked).select("query_id", "doc_id", "rank"))
+    passages = docs.select("doc_id", P.rerank_passage(F.col("text"), F.lit("")).alias("passage"))
     return dense, lexical, passages, queries
 
 
 _LISTS_SQL = f"""{TOPK_SQL},
 lex AS (SELECT query_id, doc_id, rank FROM lexical WHERE score > 0),
-den AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM lex),
-fus AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (60 + d.rank) + 1.0::DOUBLE / (60 + l.rank) DESC, d.rank, l.rank) AS rank FROM den d JOIN lex l USING (query_id, doc_id)),
+den AS (SELECT q.vec_id AS query_id, p.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, p.vec_id) AS rank
+  FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings p JOIN documents ON doc_id = p.vec_id QUALIFY rank <= 20),
+fus AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0) DESC, d.rank NULLS LAST, l.rank NULLS LAST) AS rank FROM den d FULL JOIN lex l USING (query_id, doc_id)),
 qt AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS q FROM benchmark),
 sc AS (SELECT query_id, doc_id, rank, len(list_intersect(q, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> ''))) / greatest(len(q), 1) AS s FROM fus JOIN documents USING (doc_id) JOIN qt USING (query_id)),
 rer AS (SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM sc)"""
@@ -333,7 +337,7 @@ def hybrid_rerank(spark, sf_dir):
 
 
 QUERIES["hybrid_rerank"] = hybrid_rerank
-ORACLES["hybrid_rerank"] = f"WITH {_LISTS_SQL} SELECT query_id, doc_id, round(s, 6) AS rerank_score, rank FROM rer WHERE rank <= 5"
+ORACLES["hybrid_rerank"] = f"WITH {_LISTS_SQL} SELECT query_id, doc_id, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM sc WHERE rank <= 20 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) <= 5"
 
 
 def vector_only(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settle
-from ..operators import documents as D, lexical, retrieval as R, vectors, verify
+from ..operators import documents as D, lexical, models, retrieval as R, vectors, verify
 from .tables import POINTS_SQL, points, read
 
 QUERIES, ORACLES = {}, {}
@@ -295,8 +295,8 @@ def sentences(queries):
 
 
 def structured_retrieval(spark, sf_dir):
-    """The whole retrieval over pieces of the corpus: every benchmark passage is a query and each of its sentences a fact, with hashed vectors for both sides."""
-    vec = lambda c: F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (F.pmod(F.xxhash64(c, i), F.lit(2001)).cast("double") - 1000) / 4000)
+    """The whole retrieval over pieces of the corpus: every benchmark passage is a query and each of its sentences a fact, with the default embedder for both sides."""
+    vec = models.embedder(spark)
     docs = _documents(spark, sf_dir).filter("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("Điều "), (F.col("doc_id") % 5 + 1).cast("string")).alias("location_label"), F.col("text").alias("provision_content"), F.lit(None).cast("date").alias("valid_from"))
     pieces = D.points(docs.withColumn("version_id", F.concat_ws("|", "document_id", F.lit("V1"))))
     rows = pieces.select(F.xxhash64("point_id").alias("point_id"), "version_id", "document_id", "location_label", "sub_chunk_index", F.col("original_content").alias("content"), "provision_content", vec(F.col("original_content")).alias("embedding"))

@@ -188,7 +188,8 @@ def fingerprint(docs: DataFrame, model: str, key: str, text: str) -> str:
     import hashlib
 
     digest = F.sha2(F.concat_ws("\u0001", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
-    parts = [F.bit_xor(F.conv(F.substring(digest, at, 15), 16, 10).cast("long")) for at in (1, 16, 31, 46)]
+    # sums of parts of the digests, which equal rows add to as well; 15 hex digits are 60 bits, so 10^19 rows fit
+    parts = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16, 31, 46)]
     return hashlib.sha256(repr((model, *docs.agg(F.count(F.lit(1)), *parts).first())).encode()).hexdigest()[:20]
 
 
