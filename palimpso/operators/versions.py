@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import locations, temporal
 from ..functions.deploy import ship_code
 from ..functions.text import to_markdown
+from . import intervals
 
-#: Scopes up to this many rows are sent to every task; more are matched by the years they touch.
+#: Scopes up to this many rows are sent to every task; more are matched by bins of days.
 BROADCAST_SCOPES = 10_000
 
 
@@ -42,28 +43,22 @@ def chain(rows: DataFrame, key: list[str], order: list[Column], valid_from: Colu
 def join_scopes(versions: DataFrame, scopes: DataFrame, broadcast_rows: int = BROADCAST_SCOPES) -> DataFrame:
     """Every version with every scope it overlaps; ``scopes`` has ``scope_id``, ``kind``, ``low``, ``high``.
 
-    Few scopes are broadcast (their number is checked).  Many are matched by year: both sides are
-    spread over the years they touch, joined on the year, and each pair is kept once, in the first
-    year the two have in common.  Open ends reach as far as the latest scope.  A year of more scopes than would be
-    broadcast is dealt into lots of that many, and its versions meet every lot, so no key has more than a lot of scopes.
+    Few scopes are broadcast (their number is checked).  Many are met by bins that the data size, in which an open end costs no
+    more copies than another (see ``intervals``).
     """
     start = temporal.start_of(F.col("valid_from"))
     hit = temporal.overlaps(start, F.col("valid_to"), F.col("low"), F.col("high"))
     if scopes.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return versions.join(F.broadcast(scopes), hit)
-    edge = scopes.agg(F.min(F.year("low")).alias("lo"), F.max(F.year("high")).alias("hi")).first()
-    years = lambda a, b: F.sequence(F.greatest(F.year(a), F.lit(edge["lo"])), F.least(F.year(b), F.lit(edge["hi"])))
+    left, right = scope_sides(versions, scopes)
+    return intervals.overlap_join(left, right).drop("_from", "_last", "_low", "_high")
+
+
+def scope_sides(versions: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their days as numbers; an open version ends on the last day there is."""
     last = F.coalesce(F.date_sub("valid_to", 1), F.lit(temporal.LATEST).cast("date"))
-    alive = versions.filter((F.year(last) >= edge["lo"]) & (F.year(start) <= edge["hi"]) & (last >= start))
-    right = scopes.withColumn("_year", F.explode(F.sequence(F.year("low"), F.year("high"))))
-    # a number for each year, of 9,999 at most
-    lots = {r["_year"]: -(-r["n"] // max(1, broadcast_rows)) for r in right.groupBy("_year").agg(F.count(F.lit(1)).alias("n")).collect()}
-    many = {y: n for y, n in lots.items() if n > 1}
-    of_year = F.coalesce(F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("_year")], F.lit(1)) if many else F.lit(1)
-    left = alive.withColumn("_year", F.explode(years(start, last))).withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), of_year.cast("long") - 1)))
-    right = right.withColumn("_lot", F.pmod(F.xxhash64("scope_id"), of_year.cast("long")))
-    first_common = F.greatest(F.year(start), F.year("low"))
-    return left.join(right, ["_year", "_lot"]).filter(hit & (F.col("_year") == first_common)).drop("_year", "_lot")
+    left = versions.withColumns({"_from": F.unix_date(temporal.start_of(F.col("valid_from"))), "_last": F.unix_date(last)})
+    return left, scopes.withColumns({"_low": F.unix_date(F.to_date("low")), "_high": F.unix_date(F.to_date("high"))})
 
 
 def newest_in_points(rows: DataFrame, scope: str = "scope_id", kind: str = "kind", key: str = "provision_key", version: str = "version") -> DataFrame:

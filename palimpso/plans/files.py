@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_dir
+from ..functions.lineage import settle, shared_dir
 from ..operators import models
 from ..sources import artifacts as A
 from .tables import read
@@ -158,6 +158,23 @@ ORACLES["collection_scroll"] = """SELECT 'whole' AS what, count(*) AS n, CAST(su
 UNION ALL SELECT 'part', count(*), CAST(sum(l_orderkey * 10 + l_linenumber) AS BIGINT), true FROM lineitem WHERE l_orderkey % 10 = 3"""
 
 
+def partial_rewrite(spark, sf_dir):
+    """A collection of orders in 16 buckets into which a few orders are written anew and from which one is taken: rows of each bucket, and whether its files are others."""
+    path, schema = f"{_folder(spark, 'buckets')}/0", "document_id string, point_id long, status string"
+    rows = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 40).cast("string").alias("document_id"), F.col("o_orderkey").alias("point_id"), F.col("o_orderstatus").alias("status"))
+    A.write_buckets(rows, path, 16)
+    before = settle(A.files_of(spark, path))
+    A.upsert_buckets(rows.filter("document_id in ('3', '17')").withColumn("status", F.lit("new")), path, schema, buckets=16, removed=rows.filter("document_id = '29'"))
+    changed = A.files_of(spark, path).join(before, ["bucket", "file", "written"], "left_anti").select("bucket").distinct().withColumn("rewritten", F.lit(True))
+    whole = spark.read.schema(f"{schema}, bucket int").parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "new").alias("n_new"))
+    return whole.join(changed, "bucket", "left").select(F.col("bucket").cast("long").alias("bucket"), "n", "n_new", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+
+
+QUERIES["partial_rewrite"] = partial_rewrite
+ORACLES["partial_rewrite"] = """WITH r AS (SELECT CAST(o_orderkey % 40 AS VARCHAR) AS d FROM orders), b AS (SELECT d, CAST(('0x' || substr(md5(d), 1, 7))::BIGINT % 16 AS BIGINT) AS bucket FROM r)
+SELECT bucket, count(*) FILTER (d <> '29') AS n, count(*) FILTER (d IN ('3', '17')) AS n_new, bool_or(d IN ('3', '17', '29')) AS rewritten FROM b GROUP BY bucket HAVING count(*) FILTER (d <> '29') > 0"""
+
+
 def batch_inventory(spark, sf_dir):
     """Files in the order in which they are worked off: by date of issue, then by name without case."""
     rows = read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 5 > 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 7).cast("int"))).alias("issued_date"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "A").otherwise("a"), F.col("c_custkey").cast("string")).alias("source_file"))

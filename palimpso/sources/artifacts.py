@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -132,11 +132,20 @@ def docx_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inventory(docs: DataFrame, issued: str = "issued_date", name: str = "source_file") -> DataFrame:
-    """``batch_order`` of files that are worked off together: by date of issue, then by name without case; dateless ones last."""
+    """``batch_order`` of files that are worked off together: by date of issue, then by name without case; dateless ones last.
+
+    Files are sorted by ranges; a task numbers its own range, and begins where the counts of the ranges before it end.
+    """
     from pyspark.sql import Window
 
-    # one short row a file: names and dates only
-    return docs.withColumn("batch_order", F.row_number().over(Window.orderBy(F.asc_nulls_last(issued), F.lower(name))))
+    from ..functions.lineage import settle
+
+    order = [F.asc_nulls_last(issued), F.lower(name), F.col(name)]
+    ranged = settle(docs.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row for each range
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(F.broadcast(firsts), "_part").withColumn("batch_order", (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")
 
 
 # ---- collections -----------------------------------------------------------------------------------
@@ -161,6 +170,110 @@ def collection(spark: SparkSession, path: str, schema: str, document_id: str | N
     return rows if document_id is None else rows.filter(F.col("document_id") == document_id)
 
 
+BUCKETS = 64
+
+
+def bucket_of(document_id: Column, buckets: int = BUCKETS) -> Column:
+    """A document's bucket: the first seven hex digits of its MD5, modulo."""
+    return (F.conv(F.substring(F.md5(F.coalesce(document_id, F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long") % buckets).cast("int")
+
+
+def write_buckets(points: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A collection with a folder for each bucket of documents."""
+    rows = points.withColumn("bucket", bucket_of(F.col("document_id"), buckets))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def bucketed(spark: SparkSession, path: str, schema: str, document_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The collection, or one document of it: then no other bucket's files are listed or read."""
+    rows = spark.read.schema(f"{schema}, bucket int").parquet(path)
+    if document_id is not None:
+        rows = rows.filter((F.col("bucket") == bucket_of(F.lit(document_id), buckets)) & (F.col("document_id") == document_id))
+    return rows.drop("bucket")
+
+
+def upsert_buckets(new: DataFrame, path: str, schema: str, key: str = "point_id", buckets: int = BUCKETS, removed: DataFrame | None = None) -> list[int]:
+    """Rows of ``new`` in place of those of the same key, and without the keys of ``removed`` (``document_id`` and the key); gives the buckets that were written.
+
+    A key's document doesn't change.  Only buckets that rows of either table fall into are read and overwritten (Spark's dynamic
+    partition overwrite); the files of all others stay as they are.
+    """
+    from ..functions.lineage import settle
+
+    spark = new.sparkSession
+    own = settle(new.withColumn("bucket", bucket_of(F.col("document_id"), buckets)))
+    gone = own.select("bucket", key)
+    if removed is not None:
+        gone = gone.unionByName(removed.select(bucket_of(F.col("document_id"), buckets).alias("bucket"), key))
+    met = sorted(r["bucket"] for r in gone.select("bucket").distinct().collect())  # numbers of buckets
+    if met:
+        old = spark.read.schema(f"{schema}, bucket int").parquet(path).filter(F.col("bucket").isin(met))
+        kept = old.join(gone.distinct(), ["bucket", key], "left_anti").select(*own.columns)
+        # an emptied bucket has to be written as well, and dynamic overwrite passes over buckets without rows
+        rows = settle(kept.unionByName(own))
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        full = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+        for b in met:
+            if b not in full:
+                where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return met
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """``bucket``, ``file`` and when it was written, of a collection."""
+    return spark.read.parquet(path).select("bucket", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("written")).distinct()
+
+
+# ---- digests of large files -------------------------------------------------------------------------
+
+BLOCK_BYTES = 8 << 20
+
+
+def block_digests(spark: SparkSession, folder: str, block: int = BLOCK_BYTES) -> DataFrame:
+    """``path``, ``at``, ``size``, ``sha256`` of every block of ``block`` bytes of the files below a folder.
+
+    A task opens its file at its block and reads no more than that; no file is held in one cell.  An empty file has no block.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    from ..functions.deploy import ship_code
+
+    ship_code(spark)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")  # names and lengths only
+    blocks = listed.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("length") - 1), F.lit(block).cast("long"))).alias("at"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path, at in zip(batch.column("path").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+                with system.open_input_file(name) as f:
+                    f.seek(at)
+                    found.append(hashlib.sha256(f.read(block)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), batch.column("at"), pa.array(found, pa.string())], ["path", "length", "at", "sha256"])
+
+    many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartition(many, "path", "at").mapInArrow(run, "path string, length long, at long, sha256 string").select("path", "at", F.least(F.lit(block), F.col("length") - F.col("at")).alias("size"), "sha256")
+
+
+def file_digests(blocks: DataFrame) -> DataFrame:
+    """``path``, ``size`` and a file's digest: the SHA-256 of its blocks' digests, in order, a line each."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sha256"))), lambda x: x["sha256"]), "\n")
+    return blocks.groupBy("path").agg(F.sum("size").alias("size"), F.sha2(lines, 256).alias("digest"))  # 64 characters for each block of a file
+
+
+def verified(spark: SparkSession, folder: str, known: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of files that aren't as ``known`` (``path``, ``at``, ``size``, ``sha256``) has them: ``path``, ``at``, ``problem`` (changed, missing, new)."""
+    both = block_digests(spark, folder, block).select("path", "at", F.struct("size", "sha256").alias("now")).join(known.select("path", "at", F.struct("size", "sha256").alias("then")), ["path", "at"], "full_outer")
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "new").when(F.col("now") != F.col("then"), "changed")
+    return both.select("path", "at", problem.alias("problem")).filter("problem is not null")
+
+
 def write_outputs(docs: DataFrame, path: str) -> None:
     """What the first step leaves of its documents: full and clean Markdown, and metadata."""
     docs.select("document_id", "full_markdown").write.mode("overwrite").parquet(f"{path}/full")
