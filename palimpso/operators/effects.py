@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import locations
+from ..functions.text import verbatim
 from .documents import article_preamble, article_title, target_level
 
 #: fixed values
@@ -113,7 +114,6 @@ def operations(raw: DataFrame, sections: DataFrame, strict: bool = False) -> tup
     phrase = F.col("change") == PHRASE
     replaced = F.when((F.col("change") == "thay_the") & ~heading.rlike(r"(?iu)(?<!\p{L})thay\s+thế(?!\p{L})") & heading.rlike(r"(?iu)(?<!\p{L})sửa\s+đổi(?!\p{L})"), "sua_doi").otherwise(F.col("change"))
     delete = F.col("text_operation") == "delete"
-    verbatim = lambda c: F.lower(locations.collapse(c))
     says = lambda c: F.contains(verbatim(F.col("section")), verbatim(F.col(c)))
     problem = (
         F.when(phrase & F.col("target_component").isNotNull(), "a phrase has no component")

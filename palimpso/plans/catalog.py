@@ -11,10 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import amend, evaluation, files, prose, runs, search, time, wording
+from . import amend, evaluation, files, normalised, prose, runs, search, time, wording
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (time, amend, prose, wording, search, evaluation, runs, files):
+for _part in (time, amend, prose, wording, search, evaluation, runs, files, normalised):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -13,17 +13,6 @@ from .tables import read
 
 QUERIES, ORACLES = {}, {}
 
-#: A short document in marked-up form, with its headings for the oracles.
-SAMPLE = "\n".join(
-    ["Luật mẫu", "# Chương I: QUY ĐỊNH CHUNG", "## Điều 1. Phạm vi", "mở đầu", "### Khoản 1. Một", "a) điểm", "### Khoản 2. Hai", "## Điều 2. Đối tượng", "# Chương II: THUẾ", "## Điều 3a. Mức", "### Khoản 1. Ba", "# Phụ lục I: Biểu", "## Mục I. Phần", "dòng cuối"]
-)
-SAMPLE_SQL = "lines AS (SELECT row_number() OVER () - 1 AS line_no, line FROM (SELECT unnest(string_split($doc$" + SAMPLE + "$doc$, chr(10))) AS line))"
-
-
-def _sample(spark):
-    return spark.createDataFrame([("D1", SAMPLE)], "document_id string, markdown string")
-
-
 def line_split(spark, sf_dir):
     rows = D.lines(read(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line").cast("long")).alias("n_chars"), F.max(F.length("line").cast("long")).alias("longest"))
@@ -33,25 +22,6 @@ QUERIES["line_split"] = line_split
 ORACLES["line_split"] = "SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, max(length(line)) AS longest FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents) GROUP BY doc_id"
 
 
-def section_ranges(spark, sf_dir):
-    return D.headings(D.lines(_sample(spark), "markdown")).select(*[F.col(c).cast("long").alias(c) for c in ("start", "level", "end", "body_end")])
-
-
-QUERIES["section_ranges"] = section_ranges
-ORACLES["section_ranges"] = f"""WITH {SAMPLE_SQL}, h AS (SELECT line_no AS start, length(regexp_extract(line, '^(#+)', 1)) AS level FROM lines WHERE line LIKE '#%')
-SELECT start, level, coalesce((SELECT min(o.start) FROM h o WHERE o.start > h.start AND o.level <= h.level), (SELECT count(*) FROM lines)) AS "end", coalesce(lead(start) OVER (ORDER BY start), (SELECT count(*) FROM lines)) AS body_end FROM h"""
-
-
-def heading_carry_forward(spark, sf_dir):
-    return D.headings(D.lines(_sample(spark), "markdown")).select(F.col("start").cast("long").alias("start"), "title", "chapter", "article", "clause")
-
-
-QUERIES["heading_carry_forward"] = heading_carry_forward
-ORACLES["heading_carry_forward"] = f"""WITH {SAMPLE_SQL}, h AS (SELECT line_no AS start, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+', '')) AS title FROM lines WHERE line LIKE '#%'),
-c AS (SELECT *, max(CASE WHEN level = 1 THEN start END) OVER w AS c_at, max(CASE WHEN level = 2 THEN start END) OVER w AS a_at FROM h WINDOW w AS (ORDER BY start))
-SELECT start, title, (SELECT o.title FROM h o WHERE o.start = c_at) AS chapter, CASE WHEN level > 1 AND (c_at IS NULL OR a_at > c_at) THEN (SELECT o.title FROM h o WHERE o.start = a_at) END AS article, CASE WHEN level = 3 THEN title END AS clause FROM c"""
-
-
 def _marked(spark, sf_dir):
     """Every document with headings made of its lines by their position: chapters of 24 lines, articles of 8, and two clauses in each."""
 
@@ -88,6 +58,46 @@ SELECT concat_ws(' > ', 'Chương ' || cn, 'Điều ' || an, 'Khoản ' || kn) A
 FROM num JOIN body ON body.doc = num.doc AND body.own = num.i WHERE coalesce(cn, an, kn) IS NOT NULL"""
 
 
+_NEXT = "min(i) FILTER (level <= {0}) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+_RANGES_SQL = f"""{_MARKED_SQL}, size AS (SELECT doc, count(*) AS n FROM h GROUP BY doc),
+ranges AS (SELECT doc, i, level, coalesce(CASE level WHEN 1 THEN {_NEXT.format(1)} WHEN 2 THEN {_NEXT.format(2)} ELSE {_NEXT.format(3)} END, n) AS section_end, coalesce({_NEXT.format(3)}, n) AS body_end FROM h JOIN size USING (doc) WHERE level > 0)"""
+
+
+def section_ranges(spark, sf_dir):
+    """Where the sections of every document end, with those below them and without."""
+    heads = D.headings(D.lines(_marked(spark, sf_dir), "markdown"))
+    return heads.select("document_id", *[F.col(c).cast("long").alias(n) for c, n in (("start", "start"), ("level", "level"), ("end", "section_end"), ("body_end", "body_end"))])
+
+
+QUERIES["section_ranges"] = section_ranges
+ORACLES["section_ranges"] = f"WITH {_RANGES_SQL} SELECT doc AS document_id, i AS start, level, section_end, body_end FROM ranges"
+
+
+def heading_carry_forward(spark, sf_dir):
+    """The chapter, article and clause that every heading of every document stands under."""
+    return D.headings(D.lines(_marked(spark, sf_dir), "markdown")).select("document_id", F.col("start").cast("long").alias("start"), "title", "chapter", "article", "clause")
+
+
+QUERIES["heading_carry_forward"] = heading_carry_forward
+ORACLES["heading_carry_forward"] = f"WITH {_MARKED_SQL} SELECT doc AS document_id, i AS start, title, chapter, article, CASE WHEN level = 3 THEN title END AS clause FROM named"
+
+
+def manifest_scope(spark, sf_dir):
+    """A manifest that lets in the first article of a third of the documents that have one, a third of them whole, and the others not at all."""
+    docs = _marked(spark, sf_dir)
+    number = F.col("document_id").cast("long") % 3
+    has_article = F.size(F.split("markdown", r"\r\n|\r|\n")) > 1
+    listed = docs.filter(has_article & (number < 2)).select("document_id", F.when(number == 0, F.array(F.lit("Điều 1"))).alias("include_locations"))
+    rows = D.lines(docs, "markdown")
+    return D.manifest_scope(rows, D.headings(rows), listed).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("line_no").cast("long")).alias("numbers"), F.sum(F.length("line").cast("long")).alias("letters"))
+
+
+QUERIES["manifest_scope"] = manifest_scope
+ORACLES["manifest_scope"] = f"""WITH {_RANGES_SQL}, first_article AS (SELECT doc, section_end FROM ranges WHERE i = 1),
+kept AS (SELECT h.* FROM h JOIN first_article f USING (doc) WHERE CAST(doc AS BIGINT) % 3 = 1 OR (CAST(doc AS BIGINT) % 3 = 0 AND i < section_end))
+SELECT doc AS document_id, count(*) AS n, CAST(sum(i) AS BIGINT) AS numbers, CAST(sum(length(line)) AS BIGINT) AS letters FROM kept GROUP BY doc"""
+
+
 def recursive_chunks(spark, sf_dir):
     """Pieces of every document as points of its first version."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("provision_content"))
@@ -97,19 +107,23 @@ def recursive_chunks(spark, sf_dir):
 
 QUERIES["recursive_chunks"] = recursive_chunks
 
-PLACES = ("Điều 5", "Điều 5a > Khoản 2", "Phụ lục I > Mục II", "Chương IV", "Chương IV > Điều 7 > Khoản 14a", "ĐIỀU 9 > KHOẢN 3 > Điểm b.3.1", "Điểm đ1 Khoản 2 Điều 10", "không rõ")
-
-
-def _places(spark):
-    return spark.createDataFrame([(p,) for p in PLACES], "place string")
+def _places(spark, sf_dir):
+    """Places of many forms, made of the numbers of all line items."""
+    n, m, k = (F.col(c).cast("string") for c in ("n", "m", "k"))
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 300 + 1).alias("n"), (F.col("l_suppkey") % 20 + 1).alias("m"), F.col("l_linenumber").alias("k")).distinct()
+    place = F.when(F.col("k") == 1, F.concat(F.lit("Điều "), n)).when(F.col("k") == 2, F.concat(F.lit("Điều "), n, F.lit("a > Khoản "), m)).when(F.col("k") == 3, F.concat(F.lit("Phụ lục II > Mục "), m))
+    place = place.when(F.col("k") == 4, F.concat(F.lit("Chương IV > Điều "), n, F.lit(" > Khoản "), m, F.lit("a"))).when(F.col("k") == 5, F.concat(F.lit("ĐIỀU "), n, F.lit(" > KHOẢN "), m, F.lit(" > Điểm b."), m, F.lit(".1")))
+    return rows.select(place.when(F.col("k") == 6, F.concat(F.lit("Điểm đ"), m, F.lit(" Khoản 2 Điều "), n)).otherwise(F.concat(F.lit("Chương "), m)).alias("place")).distinct()
 
 
 def location_tokens(spark, sf_dir):
     t = locations.tokens(F.col("place"))
-    return _places(spark).select("place", *[t[k].alias(k) for k in locations.PATTERNS], F.col("place").alias("p2")).drop("p2")
+    return _places(spark, sf_dir).select("place", *[t[k].alias(k) for k in locations.PATTERNS])
 
 
-_SQL_PLACES = "p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in PLACES) + "]) AS place)"
+_SQL_PLACES = """p AS (SELECT DISTINCT CASE k WHEN 1 THEN 'Điều ' || n WHEN 2 THEN 'Điều ' || n || 'a > Khoản ' || m WHEN 3 THEN 'Phụ lục II > Mục ' || m WHEN 4 THEN 'Chương IV > Điều ' || n || ' > Khoản ' || m || 'a'
+  WHEN 5 THEN 'ĐIỀU ' || n || ' > KHOẢN ' || m || ' > Điểm b.' || m || '.1' WHEN 6 THEN 'Điểm đ' || m || ' Khoản 2 Điều ' || n ELSE 'Chương ' || m END AS place
+  FROM (SELECT l_partkey % 300 + 1 AS n, l_suppkey % 20 + 1 AS m, l_linenumber AS k FROM lineitem))"""
 _SQL_TOKEN = {
     "chuong": r"(?i)chương\s+([IVXLCDM\d]+)",
     "dieu": r"(?i)điều\s+(\d+[a-zđ]?)",
@@ -124,7 +138,7 @@ ORACLES["location_tokens"] = f"WITH {_SQL_PLACES} SELECT place, {_SQL_TOKENS} FR
 
 
 def canonical_location(spark, sf_dir):
-    return _places(spark).select("place", locations.canonical(F.col("place")).alias("canonical"), locations.article_number(F.col("place")).cast("long").alias("article_no"), locations.is_article_level(F.col("place")).alias("article_level"))
+    return _places(spark, sf_dir).select("place", locations.canonical(F.col("place")).alias("canonical"), locations.article_number(F.col("place")).cast("long").alias("article_no"), locations.is_article_level(F.col("place")).alias("article_level"))
 
 
 QUERIES["canonical_location"] = canonical_location
@@ -216,44 +230,42 @@ s AS (SELECT question_id, legal_term, CASE WHEN len(list_filter(names, lambda n:
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, legal_term) AS rank FROM s WHERE score >= 0.42)
 SELECT question_id, legal_term, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM r WHERE rank <= 3"""
 
-NUMBERS = (("1,5% của 2 tỷ", 1, "0.015"), ("1,5% của 2 tỷ", 2, "2000000000"), ("500 triệu đồng", 1, "500000000"), ("1.250.000 đồng", 1, "1250000"), ("31 12 2014", 1, "31122014"), ("1.5", 1, "15"), ("không có", 1, None), ("3 nghìn", 2, None))
-
-
 def number_parse(spark, sf_dir):
+    """The numbers of a sentence about every line item: millions, a percentage with a decimal comma, groups of digits, and one that isn't there."""
     ship_code(spark)
-    rows = spark.createDataFrame([n[:2] for n in NUMBERS], "source string, occurrence long")
-    return rows.select("source", "occurrence", calc.parse_number(F.col("source"), F.col("occurrence")).alias("value"))
+    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" triệu đồng, "), (F.col("l_partkey") % 1000).cast("string"), F.lit(","), F.col("l_linenumber").cast("string"), F.lit("% của "), F.replace(F.format_number(F.col("l_orderkey"), 0), F.lit(","), F.lit(".")), F.lit(" đồng"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("source"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("occurrence"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("occurrence").cast("long").alias("occurrence"), calc.parse_number(F.col("source"), F.col("occurrence")).alias("value"))
 
 
 QUERIES["number_parse"] = number_parse
-ORACLES["number_parse"] = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', CAST({k} AS BIGINT), {'NULL' if v is None else repr(v)})" for s, k, v in NUMBERS) + ") t(source, occurrence, value)"
-
-PLAN = [
-    {"label": "Thuế", "expression": "a * b", "unit": "đồng", "variables": [{"name": "a", "value": "2000000000", "source": "question", "source_text": "2 tỷ"}, {"name": "b", "value": "0.015", "source": "evidence_1", "source_text": "1,5%"}]},
-    {"label": "Còn lại", "expression": "a - t", "unit": "đồng", "variables": [{"name": "a", "value": "2000000000", "source": "question", "source_text": "2 tỷ"}, {"name": "t", "value": "30000000", "source": "calculation_1", "source_text": "Thuế"}]},
-    {"label": "Chia", "expression": "a / (a - a)", "variables": [{"name": "a", "value": "2000000000", "source": "question", "source_text": "2 tỷ"}]},
-]
+ORACLES["number_parse"] = """SELECT l_orderkey, l_linenumber, CAST(k AS BIGINT) AS occurrence, CASE k WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) * 1000000 AS VARCHAR)
+  WHEN 2 THEN rtrim(rtrim(CAST(CAST((l_partkey % 1000 * 10 + l_linenumber) * 0.001 AS DECIMAL(18, 3)) AS VARCHAR), '0'), '.') WHEN 3 THEN CAST(l_orderkey AS VARCHAR) END AS value FROM lineitem, (SELECT unnest([1, 2, 3, 4]) AS k)"""
 
 
 def calc_plan(spark, sf_dir):
-    """A chained calculation for every order."""
+    """A chained calculation for every order on its own numbers; every fourth plan declares a number that its source doesn't say, and the last step divides by zero."""
     ship_code(spark)
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("question_id"), F.lit(json.dumps(PLAN)).alias("plan"), F.create_map(F.lit("question"), F.lit("doanh thu 2 tỷ"), F.lit("evidence_1"), F.lit("thuế suất 1,5%")).alias("sources"))
+    a, k = F.col("o_custkey"), F.col("o_orderkey") % 9
+    said, rate = F.concat(a.cast("string"), F.lit(" triệu")), F.concat(k.cast("string"), F.lit(",5%"))
+    variable = lambda name, value, source, text: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(source).alias("source"), text.alias("source_text"))
+    declared = F.when(F.col("o_orderkey") % 4 == 0, a * 1_000_000 + 7_000_000).otherwise(a * 1_000_000)
+    tax = a * (10_000 * k + 5_000)
+    step = lambda label, expression, *variables: F.struct(F.lit(label).alias("label"), F.lit(expression).alias("expression"), F.lit("đồng").alias("unit"), F.array(*variables).alias("variables"))
+    whole = variable("a", a * 1_000_000, "question", said)
+    plan = F.to_json(F.array(
+        step("Thuế", "a * b", variable("a", declared, "question", said), variable("b", (k * 10 + 5).cast("decimal(10,0)") / F.lit(1000).cast("decimal(10,0)"), "evidence_1", rate)),
+        step("Còn lại", "a - t", whole, variable("t", tax, "calculation_1", F.lit("Thuế"))),
+        step("Chia", "a / (a - a)", whole),
+    ))
+    sources = F.create_map(F.lit("question"), F.concat(F.lit("doanh thu "), said), F.lit("evidence_1"), F.concat(F.lit("thuế suất "), rate))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("question_id"), plan.alias("plan"), sources.alias("sources"))
     return calc.run_plans(orders).select("question_id", F.col("step").cast("long").alias("step"), "result", F.col("error").isNotNull().alias("failed"))
 
 
 QUERIES["calc_plan"] = calc_plan
-ORACLES["calc_plan"] = "SELECT CAST(o_orderkey AS VARCHAR) AS question_id, step, result, failed FROM orders, (VALUES (CAST(1 AS BIGINT), '30000000', false), (CAST(2 AS BIGINT), '1970000000', false), (CAST(3 AS BIGINT), NULL, true)) t(step, result, failed)"
-
-
-def manifest_scope(spark, sf_dir):
-    rows = D.lines(_sample(spark), "markdown")
-    listed = spark.createDataFrame([("D1", ["Điều 1 > Khoản 2", "Phụ lục I"])], "document_id string, include_locations array<string>")
-    return D.manifest_scope(rows, D.headings(rows), listed).select(F.col("line_no").cast("long").alias("line_no"), "line")
-
-
-QUERIES["manifest_scope"] = manifest_scope
-ORACLES["manifest_scope"] = f"WITH {SAMPLE_SQL} SELECT line_no, line FROM lines WHERE line_no IN (0, 1, 2, 6, 11, 12, 13)"
+ORACLES["calc_plan"] = """WITH r AS (SELECT o_orderkey, step, CASE WHEN o_orderkey % 4 = 0 OR step = 3 THEN NULL WHEN step = 1 THEN o_custkey * (10000 * (o_orderkey % 9) + 5000) ELSE o_custkey * 1000000 - o_custkey * (10000 * (o_orderkey % 9) + 5000) END AS v FROM orders, (SELECT unnest([1, 2, 3]) AS step))
+SELECT CAST(o_orderkey AS VARCHAR) AS question_id, CAST(step AS BIGINT) AS step, CAST(v AS VARCHAR) AS result, v IS NULL AS failed FROM r"""
 
 
 def footer_filter(spark, sf_dir):
