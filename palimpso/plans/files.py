@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settle, shared_dir
-from ..operators import models
-from ..sources import artifacts as A
+from ..operators import documents as D, models
+from ..sources import artifacts as A, corpus
 from .tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,17 @@ QUERIES["csv_roundtrip"] = csv_roundtrip
 ORACLES["csv_roundtrip"] = "SELECT event_id, event_type, props, event_type AS first FROM events"
 
 
+def csv_union(spark, sf_dir):
+    """Results of two kinds in one file: the columns of either, empty where a row has none."""
+    path, e = _folder(spark, "csv-union"), read(spark, sf_dir, "events")
+    A.write_csv([e.filter("event_id % 2 = 0").select("event_id", "event_type"), e.filter("event_id % 2 = 1").select("user_id", "event_id", "props")], path)
+    return spark.read.schema("event_id long, event_type string, user_id long, props string").csv(path, header=True, escape='"', quote='"', enforceSchema=False)
+
+
+QUERIES["csv_union"] = csv_union
+ORACLES["csv_union"] = "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS event_type, CASE WHEN event_id % 2 = 1 THEN user_id END AS user_id, CASE WHEN event_id % 2 = 1 THEN props END AS props FROM events"
+
+
 def jsonl_roundtrip(spark, sf_dir):
     """Documents as JSON lines; nulls are written."""
     path = _folder(spark, "jsonl")
@@ -158,6 +169,27 @@ ORACLES["collection_scroll"] = """SELECT 'whole' AS what, count(*) AS n, CAST(su
 UNION ALL SELECT 'part', count(*), CAST(sum(l_orderkey * 10 + l_linenumber) AS BIGINT), true FROM lineitem WHERE l_orderkey % 10 = 3"""
 
 
+def corpus_update(spark, sf_dir):
+    """A corpus brought up to date three times: most documents, then all of them with some changed and some gone, then nothing new; runs and what the last one leaves."""
+    path = _folder(spark, "corpus")
+    docs = read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("markdown"))
+    number = F.col("document_id").cast("long")
+    later = docs.filter(number % 11 != 0).withColumn("markdown", F.when(number % 7 == 0, F.concat("markdown", F.lit("\nnew"))).otherwise(F.col("markdown")))
+    steps = [("lines", lambda rows: D.lines(rows, "markdown")), ("sizes", lambda rows: rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line").cast("long")).alias("letters")))]
+    runs = [corpus.update(rows, path, steps) for rows in (docs.filter(number % 5 != 0), later, later)]
+    counts = spark.createDataFrame([(k, r["done"], r["removed"]) for k, r in enumerate(runs)], "run long, done long, removed long")  # three rows
+    left = corpus.table(spark, path, "sizes").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("lines"), F.sum("letters").alias("letters"))
+    return counts.join(F.broadcast(left), F.lit(True))  # one row
+
+
+QUERIES["corpus_update"] = corpus_update
+ORACLES["corpus_update"] = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'new' ELSE text END AS t FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0),
+s AS (SELECT count(DISTINCT doc_id) AS documents, count(*) AS lines, CAST(sum(length(x)) AS BIGINT) AS letters FROM (SELECT doc_id, unnest(string_split_regex(t, '\\r\\n|\\r|\\n')) AS x FROM d)),
+r AS (SELECT 0 AS run, count(*) FILTER (doc_id % 5 <> 0) AS done, 0 AS removed FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 1, count(*) FILTER (doc_id % 11 <> 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0)), count(*) FILTER (doc_id % 11 = 0 AND doc_id % 5 <> 0) FROM documents WHERE text IS NOT NULL UNION ALL SELECT 2, 0, 0)
+SELECT CAST(run AS BIGINT) AS run, CAST(done AS BIGINT) AS done, CAST(removed AS BIGINT) AS removed, documents, lines, letters FROM r, s"""
+
+
 def partial_rewrite(spark, sf_dir):
     """A collection of orders in 16 buckets into which a few orders are written anew and from which one is taken: rows of each bucket, and whether its files are others."""
     path, schema = f"{_folder(spark, 'buckets')}/0", "document_id string, point_id long, status string"

@@ -70,8 +70,12 @@ def write_snapshot(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Nested columns as JSON; quotation marks inside a value are doubled."""
+def write_csv(df: DataFrame | list[DataFrame], path: str) -> None:
+    """Nested columns as JSON; quotation marks inside a value are doubled.  Several tables are written as one with the columns of all, in the order in which they first come."""
+    if isinstance(df, list):
+        tables, df = df, df[0]
+        for other in tables[1:]:
+            df = df.unionByName(other, allowMissingColumns=True)
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`") for f in df.schema]
     df.select(*flat).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
