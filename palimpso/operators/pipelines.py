@@ -150,6 +150,33 @@ def evaluate_methods(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     return cases.join(scores, "case_id").select("method", F.col("_case").alias("case_id"), "recall", "precision", "ndcg")
 
 
+def case_report(ranked: DataFrame, qrels: DataFrame, spans: DataFrame, gold: DataFrame, texts: DataFrame, by: tuple[str, ...] = ("method", "case_id")) -> DataFrame:
+    """Everything that is measured of a retrieval, a row for each method and case: ``recall``, ``precision``, ``ndcg``, ``fact_coverage``, ``evidence_precision``, ``context_chars``, ``context_words``, ``estimated_context_tokens``, ``pool``.
+
+    ``ranked`` has the columns ``by``, ``ident``, ``position``, an identity once in each case; ``texts`` has ``ident``, ``text``.  ``qrels`` (``ident``, ``relevance``), ``gold``
+    (``fact_id``) and ``spans`` (``ident``, ``span``, ``fact_ids``) are of ``case_id``, whatever the method: a fact counts as covered if a retrieved text says a
+    span of it, and a retrieved text is useful if it is relevant.  A case without gold facts has a null coverage.
+    """
+    key = F.to_json(F.struct(*by))
+    rows = ranked.select(key.alias("_key"), *by, "ident", "position")
+    cases = rows.select("_key", *by).distinct()
+    own = lambda df: cases.select("_key", "case_id").join(df, "case_id").drop("case_id").withColumnRenamed("_key", "case_id")
+    keyed = rows.select(F.col("_key").alias("case_id"), "ident", "position")
+    relevant = own(qrels)
+    metrics = E.ranking_metrics(cases.select(F.col("_key").alias("case_id")), keyed, relevant)
+    contexts = keyed.join(texts.select("ident", "text"), "ident", "left")
+    # one method's case has the spans of its case
+    covered = E.spans_found(contexts.filter("text is not null"), own(spans))
+    facts = E.fact_coverage(own(gold), covered)
+    useful = keyed.join(relevant.filter("relevance > 0").select("case_id", "ident").distinct().withColumn("useful", F.lit(True)), ["case_id", "ident"], "left")
+    out = cases.withColumnRenamed("_key", "_k")
+    pool = keyed.groupBy("case_id").agg(F.count(F.lit(1)).alias("pool"))
+    for part in (metrics, facts, E.evidence_precision(useful), E.context_size(contexts), pool):
+        part = part.withColumnRenamed("case_id", "_k")
+        out = out.join(part, "_k", "left")
+    return out.drop("_k")
+
+
 def run_evaluation(cases: DataFrame, finished: DataFrame, outputs: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Outputs of a resumed run, and the cases still to do with their simulated response (null without one).
 

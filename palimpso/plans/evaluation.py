@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as T
 from ..operators import evaluate as E
+from ..operators import pipelines as P
 from .tables import VERSIONS_SQL, read, versions
 
 QUERIES, ORACLES = {}, {}
@@ -135,3 +137,33 @@ def answer_scores(spark, sf_dir):
 
 QUERIES["answer_scores"] = answer_scores
 ORACLES["answer_scores"] = "SELECT o_orderkey AS case_id, round(coalesce(least(o_orderkey % 4, o_orderkey % 2) / nullif(o_orderkey % 4, 0), 0), 6) AS groundedness, round(least(1, (o_orderkey % 13) / 10), 6) AS answer_correctness FROM orders"
+
+
+def case_report(spark, sf_dir):
+    """Two rankings of every source's documents, by length and by number, measured in every respect: labels are relevance, and a good document's beginning is a fact."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("case_id"), "n_chars", "text")
+    ident = F.col("doc_id").cast("string")
+    one = lambda name, *order: docs.select(F.lit(name).alias("method"), "case_id", ident.alias("ident"), F.row_number().over(Window.partitionBy("case_id").orderBy(*order)).alias("position")).filter("position <= 10")
+    ranked = one("length", "n_chars", "doc_id").unionByName(one("number", "doc_id"))
+    labelled = docs.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    qrels = labelled.select("case_id", ident.alias("ident"), F.col("quality").alias("relevance"))
+    facts = labelled.filter("quality = 1 and text is not null").select("case_id", ident.alias("ident"), F.substring("text", 1, 25).alias("span"), F.array("doc_id").alias("fact_ids"))
+    gold = facts.select("case_id", F.explode("fact_ids").alias("fact_id"))
+    out = P.case_report(ranked, qrels, facts, gold, docs.select(ident.alias("ident"), "text"))
+    return out.select("method", "case_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg", "fact_coverage", "evidence_precision")], *[F.col(c).cast("long").alias(c) for c in ("context_chars", "context_words", "pool")])
+
+
+QUERIES["case_report"] = case_report
+ORACLES["case_report"] = """WITH r AS (SELECT 'length' AS method, source AS case_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS position FROM documents QUALIFY position <= 10
+  UNION ALL SELECT 'number', source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents QUALIFY position <= 10),
+g AS (SELECT source AS case_id, doc_id, max(quality) AS rel FROM labels JOIN documents USING (doc_id) GROUP BY ALL HAVING max(quality) > 0),
+f AS (SELECT DISTINCT source AS case_id, doc_id, trim(regexp_replace(substr(text, 1, 25), '\\s+', ' ', 'g')) AS span FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND text IS NOT NULL),
+k AS (SELECT DISTINCT method, case_id FROM r),
+s AS (SELECT method, r.case_id, count(*) AS n, count(rel) AS found, coalesce(sum(CASE WHEN rel > 0 THEN 1 / log2(position + 1) END), 0) AS dcg FROM r LEFT JOIN g USING (case_id, doc_id) GROUP BY ALL),
+t AS (SELECT case_id, count(*) AS gold FROM g GROUP BY case_id),
+i AS (SELECT method, case_id, sum(1 / log2(p + 1)) AS idcg FROM (SELECT method, case_id, unnest(range(1, least(n, gold) + 1)) AS p FROM s JOIN t USING (case_id)) GROUP BY ALL),
+c AS (SELECT method, k.case_id, avg(CAST(r2.doc_id IS NOT NULL AND span <> '' AND NOT contains(span, '...') AND NOT contains(span, '…') AS INT)) AS coverage FROM k JOIN f USING (case_id) LEFT JOIN (SELECT method AS m2, case_id AS c2, doc_id FROM r) r2 ON m2 = method AND c2 = k.case_id AND r2.doc_id = f.doc_id GROUP BY ALL),
+x AS (SELECT method, case_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY position) AS c FROM r GROUP BY ALL)
+SELECT method, case_id, round(coalesce(found / gold, 0), 6) AS recall, round(found / n, 6) AS "precision", round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coverage, 6) AS fact_coverage, round(found / n, 6) AS evidence_precision,
+  length(c) AS context_chars, CAST(len(list_filter(regexp_split_to_array(c, '\\s+'), lambda w: w <> '')) AS BIGINT) AS context_words, n AS pool
+FROM s LEFT JOIN t USING (case_id) LEFT JOIN i USING (method, case_id) LEFT JOIN c USING (method, case_id) JOIN x USING (method, case_id)"""
