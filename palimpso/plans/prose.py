@@ -107,6 +107,21 @@ def recursive_chunks(spark, sf_dir):
 
 QUERIES["recursive_chunks"] = recursive_chunks
 
+def chunk_invariants(spark, sf_dir):
+    """What holds of the pieces of every document with a word: none is too long, all are the document's own letters in their order, and together there are no fewer."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    pieces = recursive_chunks(spark, sf_dir).select(F.split("version_id", r"\|")[0].cast("long").alias("doc_id"), bare(F.col("original_content")).alias("piece"), "chunk_size")
+    docs = read(spark, sf_dir, "documents").select("doc_id", bare(F.col("text")).alias("own")).filter("own <> ''")
+    of = docs.join(pieces, "doc_id", "left").withColumn("said", F.contains("own", "piece"))
+    return of.groupBy("doc_id").agg(
+        (F.max("chunk_size") <= 500).alias("short"), F.min("said").alias("said"), (F.sum(F.length("piece")) >= F.max(F.length("own"))).alias("whole")
+    )
+
+
+QUERIES["chunk_invariants"] = chunk_invariants
+ORACLES["chunk_invariants"] = "SELECT doc_id, true AS short, true AS said, true AS whole FROM documents WHERE regexp_matches(text, '\\S')"
+
+
 def _places(spark, sf_dir):
     """Places of many forms, made of the numbers of all line items."""
     n, m, k = (F.col(c).cast("string") for c in ("n", "m", "k"))

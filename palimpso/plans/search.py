@@ -308,6 +308,17 @@ def structured_retrieval(spark, sf_dir):
 QUERIES["structured_retrieval"] = structured_retrieval
 
 
+def retrieval_invariants(spark, sf_dir):
+    """What holds of the whole retrieval's context for every query: there is one, its positions are 1 to n, and no version comes twice."""
+    rows = settle(structured_retrieval(spark, sf_dir))
+    of = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("places"), F.max("position").alias("last"), F.countDistinct("version_id").alias("versions"), F.countDistinct("location_label").alias("locations"))
+    return of.select("query_id", ((F.col("places") == F.col("n")) & (F.col("last") == F.col("n"))).alias("gapless"), (F.col("versions") == F.col("n")).alias("once"), (F.col("locations") >= 1).alias("located"))
+
+
+QUERIES["retrieval_invariants"] = retrieval_invariants
+ORACLES["retrieval_invariants"] = "SELECT item_id AS query_id, true AS gapless, true AS once, true AS located FROM benchmark"
+
+
 def evidence_dedupe(spark, sf_dir):
     """Events as evidence: one row a chunk (user) and scope (event type)."""
     e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("chunk_id"), F.col("event_type").alias("scope_key"), F.lit("t").alias("title"), F.lit("l").alias("location_label"), F.col("props").alias("text"), F.col("event_id").alias("position"))

@@ -10,7 +10,7 @@ from palimpso.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"structured_retrieval"}
+SLOW = {"structured_retrieval", "retrieval_invariants"}
 
 
 @pytest.fixture(scope="module")
