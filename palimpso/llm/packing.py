@@ -11,6 +11,7 @@ crowded cell is cut between its keys, as far down as keys differ; only a key wit
 (many copies of one text) has several buckets, over which its documents are dealt by a hash.  A bucket is a task's
 unit, so no key can fill a task, and buckets follow one another in the order of keys.  The buckets' first keys and positions (some 16 bytes
 for ``BUCKET_TOKENS`` tokens) go to every task, and each task cuts its own documents as they stream by.
+Documents of one key follow one another by lane, id and a hash of their ids.
 Tokens are computed once, written to the shared folder and shuffled once as 2-byte ids.
 
 Defined results: null text is empty and still has its end id; repeated rows are packed each by

@@ -6,7 +6,8 @@ the token ``bad`` where the label says so, go through Spark's FP-growth; itemset
 with enough support, confidence and lift become rules.  A rule has to name the host or the host's own label: language, scheme
 or depth by themselves describe half of the web.  A rule is dropped if a part of it is a rule of
 no less confidence.  Rules are matched by an inverted index from token to rules: a rule fires when
-as many of its tokens were met as it has.
+as many of its tokens were met as it has.  Of several that fire the one with the fewest tokens is named, then the one of
+most confidence, then the first by its tokens in order.
 
 Labels: a URL that a listed rule decides has that verdict as its label, so that what the list says about parts of a host
 is learned about the host; any other URL has the label of the document that it names, if there is one (low quality or toxic: bad).
