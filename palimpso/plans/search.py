@@ -52,10 +52,11 @@ ORACLES["bm25_topk"] = f"WITH {TOPK_SQL} SELECT query_id, doc_id, round(score, 6
 
 
 def bm25_pairs(spark, sf_dir):
-    """What pruning saves: pairs of a query and a document that share a term, and whether a tenth of them at most had to be scored to the end."""
+    """What pruning saves: pairs of a query and a document that share a term, and whether a tenth of them at most had to be scored to the end (or, where the
+    best 20 are more than that by themselves, three times as many as there are results)."""
     index = lexical.build(_documents(spark, sf_dir))
     found = lexical.search(index, lexical.query_weights(index, _items(spark, sf_dir)), report=True)
-    return found.agg(F.sum("shared").alias("shared"), (10 * F.sum("scored") <= F.sum("shared")).alias("pruned"))
+    return found.agg(F.sum("shared").alias("shared"), ((10 * F.sum("scored") <= F.sum("shared")) | (F.sum("scored") <= 3 * R.CANDIDATES * F.count(F.lit(1)))).alias("pruned"))
 
 
 QUERIES["bm25_pairs"] = bm25_pairs
