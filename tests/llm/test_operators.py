@@ -708,7 +708,7 @@ def test_written_shards_hold_every_record(odd, tmp_path):
 
 
 def test_empty_tables(spark, tmp_path):
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, query in catalog.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
