@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
-from ..functions.lineage import settle
+from ..functions.lineage import settle, stored
 from .ranking import B, CANDIDATES, EPSILON, K1, tokens, top_rows as top
 
 #: documents and words of a block, at most (a longer document is a block by itself)
-BLOCK_DOCS, BLOCK_WORDS = 1_024, 1 << 20
+BLOCK_DOCS, BLOCK_WORDS = 1_024, 1 << 18
 #: query terms that are sent to every task at a time, about
 LOT_TERMS = 200_000
 #: distinct ranges of scopes that are worked on at a time
@@ -74,7 +74,7 @@ def build(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> Dat
                 one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k) if isinstance(x, np.ndarray) else x.cast(k)) for x, k in zip(own, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(one, ["terms", "starts", "ords", "tfs", "ids", "dls", "froms", "tos"])
 
-    return settle(read.mapInArrow(run, INDEX))
+    return stored(read.mapInArrow(run, INDEX), "lexical-index")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -94,7 +94,7 @@ def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
         for row in _rows(batches):
             yield pa.RecordBatch.from_arrays([row["terms"], pa.array(np.diff(row["starts"]), pa.int64())], ["term", "df"])
 
-    counted = settle(index.select("terms", "starts").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")))
+    counted = stored(index.select("terms", "starts").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")), "terms")
     words = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
     size = settle(index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("n"), (F.sum(words) / F.sum(F.size("ids"))).alias("avgdl")))
     raw = counted.join(F.broadcast(size.select("n")), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
@@ -148,7 +148,7 @@ def _lot(index: DataFrame, ranges: list[tuple[int, int]], asked: DataFrame) -> t
 
     events = index.mapInArrow(count, "term string, side int, at int, n long, words long").groupBy("term", "side", "at").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     # at most one number a boundary for every term
-    by_term = settle(events.groupBy("term").agg(F.collect_list(F.struct("side", "at", "n", "words")).alias("events")))
+    by_term = stored(events.groupBy("term").agg(F.collect_list(F.struct("side", "at", "n", "words")).alias("events")), "term-events")
 
     def of_scopes(found: list, what: str) -> np.ndarray:
         begun, ended = np.zeros(len(highs) + 1, np.int64), np.zeros(len(lows) + 1, np.int64)
