@@ -26,7 +26,7 @@ from ..functions.lineage import settle
 
 SEED = 7
 #: bytes of spans that are sent to every task at a time
-LOT_BYTES = 16 << 20
+SPAN_BYTES = 16 << 20
 #: letters that may differ, as a share of the span's
 DIFFERENT = (1 - T.FUZZY) * (2 / T.FUZZY)
 
@@ -214,7 +214,7 @@ def _contained(known: Exact, doc: int, text: str) -> list[tuple]:
     return [(doc, item) for item in known.items(text)]
 
 
-def contained_spans(texts: DataFrame, spans: DataFrame, block_bytes: int = LOT_BYTES) -> DataFrame:
+def contained_spans(texts: DataFrame, spans: DataFrame, block_bytes: int = SPAN_BYTES) -> DataFrame:
     """``doc_id`` and ``item_id`` of every text that says a span but for blanks and case, wherever in it and in whatever part of a word; spans with an ellipsis, and blank ones, are said nowhere.
 
     ``texts`` has ``doc_id``, ``text``; ``spans`` has ``item_id``, ``span``.
@@ -229,7 +229,7 @@ def _matched(known: Near, doc: int, text: str) -> list[tuple]:
     return [(doc, item, *m) for item, m in known.matches(text)]
 
 
-def matched_spans(texts: DataFrame, spans: DataFrame, block_bytes: int = LOT_BYTES) -> DataFrame:
+def matched_spans(texts: DataFrame, spans: DataFrame, block_bytes: int = SPAN_BYTES) -> DataFrame:
     """Every text and span for which ``match_span`` finds something: ``doc_id``, ``item_id``, ``support_span``, ``match_type``, ``match_score``.
 
     Null and blank spans, and null texts, match nothing; ids of spans are numbers and each names one span.

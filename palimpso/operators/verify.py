@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.deploy import ship_code
-from .spans import contained_spans, matched_spans  # noqa: F401 - part of checking evidence
+from .spans import SPAN_BYTES, contained_spans, matched_spans  # noqa: F401 - part of checking evidence
 
 MAX_ROUNDS = 3
 MAX_FACTS = 6
