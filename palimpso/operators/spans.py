@@ -5,14 +5,14 @@ one to the letter; a task looks all positions of a text up in a sorted table of
 a span compared.  Spans go to the tasks in lots of a bounded size; with several lots each is written before the next is sent, so one is held at a time.
 
 *Nearly* is what ``functions.text.match_span`` says: a run of words whose similarity is 0.95 or more.  Such a run differs from the span by at most
-``D = 0.1053 n`` letters left out or put in, ``n`` being the span's length (a longer run couldn't be similar enough).  So if the
-span is cut into ``D + 1`` pieces, one of them stands in the run unchanged (pigeonhole); pieces have at least seven letters, as near matches need 32.
-Around each seed the text is read as far as such a run can reach, and compared if enough of the span's overlapping seven-byte pieces
-are there (each changed letter breaks only so many of them) and enough of its letters in their order.
+``D = 0.1053 n`` letters left out or put in, ``n`` being the span's length (a longer run couldn't be similar enough).  Each of them breaks at most seven of the span's
+``n - 6`` overlapping runs of seven letters, so ``n - 6 - 7 D`` of them stand in the near run unchanged, and about where they stand in the span (the q-gram lemma; the number is above 0
+for all spans that have near matches).  They are counted for all spans at once; only where enough lie together is the text read, and compared if enough of the span's letters are there in their order.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,73 +107,107 @@ class Exact:
         return list(found)
 
 
+def _grams(text: str) -> np.ndarray:
+    """A number for every run of ``SEED`` letters; equal runs have equal numbers."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - SEED + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(SEED):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    return out
+
+
 class Near:
-    """Spans by the pieces of which a near run must hold one."""
+    """Spans by all their runs of ``SEED`` letters: a near run holds so many of them that all others' places are passed over by counting."""
 
     def __init__(self, spans: list[tuple]) -> None:
-        numbers, entries, self.spans = [], [], []
-        self.short = [(item, s) for item, s in spans if len(" ".join(s.split()).casefold()) < 32 or len(s.split()) < 6]
+        self.spans, keys, owner, offsets = [], [], [], []
+        short = []
         for item, s in spans:
             folded = " ".join(s.split()).casefold()
             if len(folded) < 32 or len(s.split()) < 6:
+                short += [((item, s), folded)] if folded else []
                 continue
-            grams = np.unique(_numbers(_bytes(folded), SEED))
             different = int(DIFFERENT * len(folded) + 1e-9)
-            # a changed letter breaks the pieces it is in: SEED of them, and more if letters have several bytes
-            needed = len(_bytes(folded)) - SEED + 1 - different * (SEED + (0 if folded.isascii() else 3))
             masks: dict[str, int] = {}
             for k, c in enumerate(folded):
                 masks[c] = masks.get(c, 0) | 1 << k
-            self.spans.append((item, s, folded, different, grams, needed, masks))
-            cuts = [len(folded) * k // (different + 1) for k in range(different + 2)]
-            for lo in cuts[:-1]:
-                piece = folded[lo:].encode("utf-8", "surrogatepass")[:SEED]
-                numbers.append(int.from_bytes(piece, "big"))
-                entries.append((len(self.spans) - 1, len(folded[:lo].encode("utf-8", "surrogatepass"))))
-        self.table = Seeds(SEED, numbers, entries) if numbers else None
-        # the others have no near matches: they are looked for to the letter
-        self.exact = Exact([((item, s), f) for item, s in self.short if (f := " ".join(s.split()).casefold())])
+            grams = _grams(folded)
+            keys.append(grams)
+            owner.append(np.full(len(grams), len(self.spans), np.int64))
+            offsets.append(np.arange(len(grams), dtype=np.int64))
+            self.spans.append((item, s, folded, different, masks))
+        self.exact = Exact(short)  # these have no near matches: they are looked for to the letter
+        if self.spans:
+            flat = np.concatenate(keys)
+            order = np.argsort(flat, kind="stable")
+            self.owner, self.offset = np.concatenate(owner)[order], np.concatenate(offsets)[order]
+            self.keys, self.first = np.unique(flat[order], return_index=True)
+            self.many = np.diff(np.append(self.first, len(flat)))
+            self.seen = np.zeros(1 << 20, bool)  # keeps most places from being looked up
+            self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+            self.different = np.array([x[3] for x in self.spans], np.int64)
+            # a letter left out, put in or changed breaks SEED runs at most
+            self.needed = np.array([len(x[2]) for x in self.spans], np.int64) - SEED + 1 - SEED * self.different
+
+    def places(self, folded: str) -> dict[int, list[tuple[int, int]]]:
+        """For each span the ranges of places at which a near run may begin.
+
+        The runs that a near run has kept lie at places that differ by ``different`` from its beginning at most, so in two neighbouring strips of that width.
+        """
+        grams = _grams(folded)
+        at = np.flatnonzero(self.seen[(grams >> np.uint64(44)).astype(np.int64)])
+        k = np.searchsorted(self.keys, grams[at])
+        k[k == len(self.keys)] = 0
+        hit = self.keys[k] == grams[at]
+        at, k = at[hit], k[hit]
+        if not len(at):
+            return {}
+        n = self.many[k]
+        entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        owner = self.owner[entry]
+        width = 2 * self.different[owner] + 1
+        strip = (np.repeat(at, n) - self.offset[entry]) // width + 1_000_000  # a span may begin before the text
+        strips, counts = np.unique(owner * (1 << 40) + strip, return_counts=True)
+        both = counts.copy()
+        both[:-1] += np.where(strips[1:] == strips[:-1] + 1, counts[1:], 0)
+        found: dict[int, list[tuple[int, int]]] = {}
+        # a strip and the next, or one by itself whose neighbour before has no more
+        for key in strips[both >= self.needed[strips >> 40]].tolist():
+            o = key >> 40
+            lo = ((key & ((1 << 40) - 1)) - 1_000_000) * int(2 * self.different[o] + 1)
+            found.setdefault(o, []).append((lo, lo + 2 * int(2 * self.different[o] + 1)))
+        return found
 
     def matches(self, text: str) -> Iterator[tuple[object, tuple[str, str, float]]]:
-        source = T.Source(text)
-        folded_words = [w[0].casefold() for w in source.words]
+        words = [w[0] for w in re.finditer(r"\S+", text)]
+        folded_words = [w.casefold() for w in words]
         joined = " ".join(folded_words)
         for item, s in self.exact.items(joined):
             if m := T.match_span(s, text):
                 yield item, m
-        if self.table is None or not folded_words:
+        if not self.spans or not words:
+            return
+        found = self.places(joined)
+        if not found:
             return
-        data = _bytes(joined)
-        lengths = np.array([len(_bytes(w)) + 1 for w in folded_words], np.int64)
+        source = T.Source(text)
+        lengths = np.array([len(w) + 1 for w in folded_words], np.int64)
         starts = np.cumsum(lengths) - lengths
-        grams = _numbers(data, SEED)
-        places: dict[int, list[int]] = {}
-        for p, (k, offset) in self.table.find(data):
-            places.setdefault(k, []).append(p - offset)
-        for k, begins in places.items():
-            item, s, folded, different, own, needed, masks = self.spans[k]
+        for k, ranges in found.items():
+            item, s, folded, different, masks = self.spans[k]
             if s in text:
                 yield item, (s, "exact", 1.0)
                 continue
-            size, room = len(_bytes(folded)), 4 * different + 8
-            best = None
-            # places of one passage lie close together, and are read as one
-            merged: list[list[int]] = []
-            for b in sorted(set(begins)):
-                if merged and b - merged[-1][0] <= room:
-                    merged[-1][1] = b
-                else:
-                    merged.append([b, b])
-            for lo, hi in merged:
+            best, room = None, different + 2
+            for lo, hi in ranges:
                 first = max(0, int(np.searchsorted(starts, max(0, lo - room), "right")) - 2)
-                last = min(len(starts), int(np.searchsorted(starts, hi + size + room, "left")) + 2)
-                near = grams[starts[first] : starts[last - 1] + lengths[last - 1]]
-                if needed > 0 and int((own[np.minimum(np.searchsorted(own, near), len(own) - 1)] == near).sum()) < needed:
-                    continue
+                last = min(len(starts), int(np.searchsorted(starts, hi + len(folded) + 2 * room, "left")) + 2)
                 if common_letters(masks, len(folded), " ".join(folded_words[first:last])) < len(folded) - different:
                     continue
-                window = text[source.words[first].start() : source.words[last - 1].end()]
-                m = T.match_span(s, window)
+                m = T.match_span(s, text[source.words[first].start() : source.words[last - 1].end()])
                 if m and (best is None or m[2] > best[2] or (m[1] == "whitespace_normalized" and best[1] == "fuzzy")):
                     best = m
                     if m[1] != "fuzzy":
