@@ -368,6 +368,24 @@ def _marks(text: str) -> list[str]:
     return sorted("".join(m[0].split()).casefold() for p in (NUMBER, NEGATION) for m in p.finditer(text))
 
 
+def letter_masks(text: str) -> dict[str, int]:
+    """The places of every letter of a text, as bits."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(text):
+        masks[c] = masks.get(c, 0) | 1 << k
+    return masks
+
+
+def common_letters(masks: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of a text and one of ``n`` letters given by its masks (bit-parallel)."""
+    ones = (1 << n) - 1
+    v = ones
+    for c in text:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & ones
+    return n - v.bit_count()
+
+
 def _near(wanted: str, source: Source) -> tuple[str, str, float] | None:
     """The most similar run of words, at ``FUZZY`` or more, that agrees in numbers and negations; the first of equals."""
     folded, n, total = wanted.casefold(), len(wanted.split()), len(source.words)
@@ -381,19 +399,23 @@ def _near(wanted: str, source: Source) -> tuple[str, str, float] | None:
         # similarity is at most twice the shorter over the sum of both, and numbers and negations are counted before they are read
         fits = (2 * np.minimum(size, len(folded)) >= FUZZY * (size + len(folded))) & (numbers[first + count] - numbers[first] == want[0]) & (negations[first + count] - negations[first] == want[1])
         runs += [(int(k), count) for k in first[fits]]
-    marks, best = _marks(wanted), None
-    matcher = SequenceMatcher(None, "", folded, autojunk=False)
-    for first, count in sorted(runs):
+    marks, best, masks = _marks(wanted), None, letter_masks(folded)
+    bounded = []
+    for first, count in runs:
         run = source.joined[source.starts[first] : source.ends[first + count - 1]]
-        matcher.set_seq1(run.casefold())
-        if matcher.quick_ratio() < FUZZY or _marks(run) != marks:
-            continue
-        score = SequenceMatcher(None, folded, run.casefold(), autojunk=False).ratio()
-        if score >= FUZZY and (best is None or score > best[0]):
-            best = score, first, count
+        low = run.casefold()
+        # matching blocks are a common subsequence, so similarity can't be more than the longest one gives
+        most = 2 * common_letters(masks, len(folded), low) / (len(folded) + len(low))
+        if most >= FUZZY:
+            bounded.append((-most, first, count, run, low))
+    for most, first, count, run, low in sorted(bounded):
+        if best is not None and -most < -best[0]:
+            break
+        if _marks(run) == marks and (score := SequenceMatcher(None, folded, low, autojunk=False).ratio()) >= FUZZY:
+            best = min(best or (0.0, 0, 0), (-score, first, count))
     if best is None:
         return None
-    score, first, count = best
+    score, first, count = -best[0], *best[1:]
     return source.text[source.words[first].start() : source.words[first + count - 1].end()], "fuzzy", score
 
 

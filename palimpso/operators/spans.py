@@ -46,16 +46,6 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def common_letters(masks: dict[str, int], n: int, text: str) -> int:
-    """Length of the longest common subsequence of a text and a span of ``n`` letters, whose places of each letter are bits of ``masks`` (bit-parallel)."""
-    ones = (1 << n) - 1
-    v = ones
-    for c in text:
-        u = v & masks.get(c, 0)
-        v = ((v + u) | (v - u)) & ones
-    return n - v.bit_count()
-
-
 class Seeds:
     """A sorted table of seeds of one width; ``find`` gives (position, entry) of all that stand in a text."""
 
@@ -131,9 +121,7 @@ class Near:
                 short += [((item, s), folded)] if folded else []
                 continue
             different = int(DIFFERENT * len(folded) + 1e-9)
-            masks: dict[str, int] = {}
-            for k, c in enumerate(folded):
-                masks[c] = masks.get(c, 0) | 1 << k
+            masks = T.letter_masks(folded)
             grams = _grams(folded)
             keys.append(grams)
             owner.append(np.full(len(grams), len(self.spans), np.int64))
@@ -205,7 +193,7 @@ class Near:
             for lo, hi in ranges:
                 first = max(0, int(np.searchsorted(starts, max(0, lo - room), "right")) - 2)
                 last = min(len(starts), int(np.searchsorted(starts, hi + len(folded) + 2 * room, "left")) + 2)
-                if common_letters(masks, len(folded), " ".join(folded_words[first:last])) < len(folded) - different:
+                if T.common_letters(masks, len(folded), " ".join(folded_words[first:last])) < len(folded) - different:
                     continue
                 m = T.match_span(s, text[source.words[first].start() : source.words[last - 1].end()])
                 if m and (best is None or m[2] > best[2] or (m[1] == "whitespace_normalized" and best[1] == "fuzzy")):
