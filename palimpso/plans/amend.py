@@ -141,8 +141,9 @@ ON l_orderkey % 50 = s_suppkey % 50 AND l_partkey % 10 = s_suppkey % 10 AND (s_s
 def replacement_blocks(spark, sf_dir):
     """The quoted block that begins with a target's own number, usable if there is just one."""
     k, n = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
-    source = F.concat(F.lit("Sửa: “"), n, F.lit(". nội dung mới”; “khoản 99999. khác”"), F.when(k == 1, F.concat(F.lit(" “"), n, F.lit(": lần nữa”"))).otherwise(F.lit("")), F.lit(" “Điều "), n, F.lit(". Tên”"))
-    target = F.when(k == 3, F.concat(F.lit("Điều "), n)).otherwise(F.concat(F.lit("Điều 2 > Khoản "), F.when(k == 2, F.lit("77777")).otherwise(n)))
+    # what no target names, and the target that nothing is quoted of, are made from the number itself, so that they are nobody's whatever numbers there are
+    source = F.concat(F.lit("Sửa: “"), n, F.lit(". nội dung mới”; “khoản "), n, F.lit("9. khác”"), F.when(k == 1, F.concat(F.lit(" “"), n, F.lit(": lần nữa”"))).otherwise(F.lit("")), F.lit(" “Điều "), n, F.lit(". Tên”"))
+    target = F.when(k == 3, F.concat(F.lit("Điều "), n)).otherwise(F.concat(F.lit("Điều 2 > Khoản "), F.when(k == 2, F.concat(n, F.lit("7"))).otherwise(n)))
     rows = read(spark, sf_dir, "orders").select("o_orderkey", source.alias("s"), target.alias("t"))
     return rows.select("o_orderkey", D.replacement_for(F.col("s"), F.col("t")).alias("r"), D.target_level(F.col("t")).alias("level")).select("o_orderkey", F.col("r.text").alias("text"), F.col("r.n").cast("int").alias("n"), "level")
 
