@@ -181,7 +181,7 @@ class Near:
         found = self.places(joined)
         if not found:
             return
-        source = T.Source(text)
+        source, lowered = T.Source(text), " ".join(words).lower()
         lengths = np.array([len(w) + 1 for w in folded_words], np.int64)
         starts = np.cumsum(lengths) - lengths
         for k, ranges in found.items():
@@ -189,6 +189,9 @@ class Near:
             if s in text:
                 yield item, (s, "exact", 1.0)
                 continue
+            if " ".join(s.split()).lower() in lowered:
+                yield item, T.match_span(s, text)
+                continue
             best, room = None, different + 2
             for lo, hi in ranges:
                 first = max(0, int(np.searchsorted(starts, max(0, lo - room), "right")) - 2)
