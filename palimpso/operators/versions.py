@@ -199,9 +199,12 @@ def expire(versions: DataFrame, terminal: DataFrame, as_of: Column) -> DataFrame
 
 def affected_points(amendments: DataFrame, points: DataFrame) -> DataFrame:
     """Amendment targets and what stands at or below them in the same document (ids compared in canonical form)."""
-    ours = points.withColumn("_doc", locations.canonical_document(F.col("document_id")))
-    theirs = amendments.select(F.col("operation_id"), locations.canonical_document(F.col("target_document_id")).alias("_doc"), F.col("target_location"))
-    return ours.join(theirs, "_doc").filter(locations.within(F.col("location_label"), F.col("target_location"))).drop("_doc")
+    # a place is read once a row, and meets a target only where one of its own runs of segments is the target's: an equality join
+    ours = points.withColumns({"_doc": locations.canonical_document(F.col("document_id")), "_place": F.split(locations.canonical(F.col("location_label")), r"\|")})
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_place")), lambda i: F.transform(F.sequence(i, F.size("_place")), lambda k: F.array_join(F.slice("_place", i, k - i + 1), "|"))))
+    ours = ours.withColumn("_target", F.explode(F.array_distinct(runs))).drop("_place")
+    theirs = amendments.select(F.col("operation_id"), locations.canonical_document(F.col("target_document_id")).alias("_doc"), F.col("target_location"), locations.canonical(F.col("target_location")).alias("_target"))
+    return ours.join(theirs.filter("_target != ''"), ["_doc", "_target"]).drop("_doc", "_target")
 
 
 # ---- amendments ------------------------------------------------------------------------------

@@ -130,7 +130,9 @@ def affected_points(spark, sf_dir):
     place = F.concat(F.lit("Điều "), (F.col("l_partkey") % 10 + 1).cast("string"), F.when(F.col("l_linenumber") < 7, F.concat(F.lit(" > Khoản "), F.col("l_linenumber").cast("string"))).otherwise(F.lit("")))
     points = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("Số "), (F.col("l_orderkey") % 50).cast("string"), F.lit("/2019/NĐ-CP")).alias("document_id"), place.alias("location_label"), "l_orderkey", "l_linenumber")
     ops = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("operation_id"), F.concat((F.col("s_suppkey") % 50).cast("string"), F.lit(" / 2019/nđ-CP")).alias("target_document_id"), F.concat(F.lit("Điều "), (F.col("s_suppkey") % 10 + 1).cast("string"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" > khoản "), (F.col("s_suppkey") % 6 + 1).cast("string"))).otherwise(F.lit(""))).alias("target_location"))
-    return V.affected_points(ops, points).groupBy("operation_id").agg(F.count(F.lit(1)).alias("n_points"), F.sum(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("check"))
+    # points of one place are affected together, so they are added up before they meet the operations
+    places = points.groupBy("document_id", "location_label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sum"))
+    return V.affected_points(ops, places).groupBy("operation_id").agg(F.sum("n").alias("n_points"), F.sum("sum").alias("check"))
 
 
 QUERIES["affected_points"] = affected_points

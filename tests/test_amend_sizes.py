@@ -4,6 +4,9 @@ from datetime import date
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from palimpso.functions import locations
 from palimpso.operators import versions as V
 
 
@@ -63,3 +66,16 @@ def test_documents_of_several_batches_and_without_versions(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(r.version_id for r in out if r.error is None) == sorted(f"D{n % 7}|DIEU_1|KHOAN_{n}|V{v}" for n in range(300) for v in (1, 2))
     assert sorted((r.version_id, r.document_id) for r in out if r.error) == [("000900", "X"), ("000901", None)]
+
+
+def test_affected_points_by_an_equality_join(spark):
+    places = ["Điều 1", "Điều 1 > Khoản 2", "Điều 1 > Khoản 2 > Điểm a", "Điều 11 > Khoản 2", "Phụ lục I > Điều 1 > Khoản 2", "Chương II", "Chương II > Điều 1", "Khoản 2", "", "không", None, "Phụ lục I > Mục 2 > Điều 1"]
+    points = spark.createDataFrame([(d, p) for d in ("Số 1/2019/NĐ-CP", "2/2019/NĐ-CP", None) for p in places], "document_id string, location_label string")
+    ops = spark.createDataFrame([(k, "1 / 2019/nđ-CP", p) for k, p in enumerate(places)], "operation_id int, target_document_id string, target_location string")
+    got = V.affected_points(ops, points)
+    assert got.columns == ["document_id", "location_label", "operation_id", "target_location"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan and "contains(" not in plan
+    same = locations.canonical_document(F.col("document_id")) == locations.canonical_document(F.col("target_document_id"))
+    known = points.join(ops, same & locations.within(F.col("location_label"), F.col("target_location"))).select(*got.columns)
+    assert known.count() > 12 and sorted(map(str, got.collect())) == sorted(map(str, known.collect()))
