@@ -117,3 +117,32 @@ def test_an_empty_index(spark):
     queries = spark.createDataFrame([(1, "a b", 1)], "query_id long, text string, scope_id long")
     assert L.search(index, L.query_weights(index, queries)).count() == 0
     assert L.search(index, L.scoped_weights(index, queries, spark.createDataFrame([(1, DAY, DAY)], "scope_id long, low date, high date"))).count() == 0
+
+
+def test_blocks_are_gathered_one_by_one(spark, monkeypatch):
+    """No task takes a second block in before the first is dealt with, and a file's row groups are cut between blocks."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(L, "BLOCK_DOCS", 16)
+    monkeypatch.setitem(L.SMALL_GROUPS, "parquet.block.size", "4096")
+    rows = [(k, " ".join(f"w{(k * j) % 997}" for j in range(1, 60))) for k in range(640)]
+    index = L.build(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in index.inputFiles()]
+    assert sum(g.num_rows for g in groups) == 40 and max(g.row_group(k).num_rows for g in groups for k in range(g.num_row_groups)) < 10
+    seen = spark.sparkContext.accumulator(0)
+    whole = L._rows
+
+    def counted(batches):
+        def each():
+            for b in batches:
+                if b.num_rows > 1:
+                    seen.add(1)
+                yield b
+
+        return whole(each())
+
+    monkeypatch.setattr(L, "_rows", counted)
+    before = spark.conf.get(L.BATCH)
+    queries = spark.createDataFrame([(1, "w5 w7 w11")], "query_id long, text string")
+    assert L.search(index, L.query_weights(index, queries)).count() == 20
+    assert seen.value == 0 and spark.conf.get(L.BATCH) == before
