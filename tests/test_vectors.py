@@ -64,3 +64,29 @@ def test_few_and_no_vectors(spark, table, queries):
     assert rows(one.search(queries, 3, exact=True)) == rows(R.dense(table.filter("doc_id = 1"), queries, 3))
     none = V.Lists(table.limit(0))
     assert rows(none.search(queries, 3)) == rows(none.search(queries, 3, exact=True)) == []
+
+
+def test_scores_worked_out_at_a_time_are_bounded(spark, monkeypatch):
+    """Whatever the numbers of queries and vectors; and the rows are the same."""
+    from palimpso.operators import vectors as W
+
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(600)]
+    points = spark.createDataFrame(rows, "doc_id long, embedding array<float>").coalesce(1)
+    queries = points.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    found = lambda: sorted((r.query_id, r["rank"], r.doc_id) for r in W.dense(points, queries, 5).collect())
+    probed = lambda index: sorted((r.query_id, r["rank"], r.doc_id) for r in index.search(queries, 5, n_probes=4).collect())
+    index = W.Lists(points, 8)
+    before = found(), probed(index)
+    most = spark.sparkContext.accumulator(0)
+    add = W.Best.add
+
+    def counted(self, own, ids, scores):
+        if scores.size > 2_000:
+            most.add(1)
+        return add(self, own, ids, scores)
+
+    monkeypatch.setattr(W, "SCORES", 2_000)
+    monkeypatch.setattr(W, "Best", type("Best", (W.Best,), {"add": counted}))
+    assert (found(), probed(index)) == before and most.value == 0
+    assert [s.stop - s.start for s in W.parts(25, 200, 2_000)] == [10, 10, 10] and list(W.parts(3, 10_000, 2_000)) == [slice(0, 1), slice(1, 2), slice(2, 3)]
