@@ -11,6 +11,9 @@ HIT, SIGNAL, EXACT, LEXICAL, DENSE = 0.55, 0.08, 0.12, 0.20, 0.70
 FLOOR = 0.42
 MAX_HINTS, PER_GROUP = 3, 3
 
+#: names and signals up to this many are sent to every task (they are counted), and runs of words are not shuffled
+BROADCAST_PHRASES = 200_000
+
 #: Fixed spellings, replaced in this order.
 SPELLINGS = {"shoppe": "shopee", "tik tok": "tiktok", "tiktokshop": "tiktok shop", "lazadaa": "lazada"}
 
@@ -54,8 +57,10 @@ def hints(questions: DataFrame, entries: DataFrame, dense: DataFrame | None = No
     phrases = settle(phrases.filter("gram is not null").groupBy("entry", "legal_term", "grp", "role", "gram").agg(F.count(F.lit(1)).alias("times")))
     lengths = sorted(r["n"] for r in phrases.select(F.size(F.split("gram", " ")).alias("n")).distinct().collect())  # numbers of words of a phrase
     grams = F.transform(F.array(F.split("q", " ")), lambda w: F.flatten(F.array(*[_grams(w, n) for n in lengths]) if lengths else F.array(none)))
-    said = q.filter("q is not null").select("question_id", "q", F.explode(grams[0]).alias("gram"))
-    met = said.join(phrases, "gram").select("question_id", "entry", "legal_term", "grp", "role", "times", (F.col("gram") == F.col("q")).alias("whole"))
+    # only the run goes on to be looked up, not the question with each of its runs
+    said = q.filter("q is not null").select("question_id", "q", F.explode(grams[0]).alias("gram")).select("question_id", "gram", (F.col("gram") == F.col("q")).alias("whole"))
+    few = phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+    met = said.join(F.broadcast(phrases) if few else phrases, "gram").select("question_id", "entry", "legal_term", "grp", "role", "times", "whole")
     if scored := [t.select("question_id", "legal_term") for t in (dense, lexical) if t is not None]:
         pairs = scored[0] if len(scored) == 1 else scored[0].unionByName(scored[1])
         by_score = pairs.distinct().join(q.filter("q is not null").select("question_id"), "question_id", "left_semi").join(e.select("entry", "legal_term", "grp"), "legal_term")
