@@ -147,3 +147,26 @@ def test_near_spans_equal_a_search_of_all_windows(words, first, count, change):
                 if score >= 0.95 and (best is None or score > best[1]):
                     best = "  ".join(words[a : a + n]), score
     assert (got and (got[0], got[2])) == best
+
+
+def test_guards_read_a_text_once(spark):
+    """Every pattern of the guards stands once for each text in the plan, not once for each use."""
+    rows = spark.createDataFrame([("Nộp trước ngày 5", "Nộp sau ngày 5")], "a string, b string")
+    said = rows.select(text.keeps_query(F.col("a"), F.col("b")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count(text.TIME_RELATIONS["trước"]) == 2
+
+
+def test_a_sentence_is_parsed_once_for_all_its_numbers(spark):
+    from palimpso.functions import calc
+
+    rows = spark.createDataFrame([("5 triệu, 2,5% của 1.000 đồng",), (None,)], "t string")
+    assert [r.v for r in rows.select(calc.parse_numbers(F.col("t")).alias("v")).collect()] == [["5000000", "0.025", "1000"], []]
+    got = rows.select(*[calc.parse_number(F.col("t"), F.lit(k)).alias(f"n{k}") for k in (0, 1, 3, 4)]).collect()
+    assert [tuple(r) for r in got] == [(None, "5000000", "1000", None), (None,) * 4]
+
+
+def test_texts_are_split_some_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(text, "SPLIT_ROWS", 2)
+    rows = spark.createDataFrame([(k, None if k == 3 else "ab " * k * 10) for k in range(7)], "k long, t string").coalesce(1)
+    got = {r.k: r._pieces for r in text.with_pieces(rows, "t", size=50, overlap=10).collect()}
+    assert got == {k: None if k == 3 else ["ab " * k * 10] if k * 30 <= 50 else text.split_text("ab " * k * 10, 50, 10) for k in range(7)}
