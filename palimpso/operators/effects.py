@@ -4,8 +4,8 @@ An extraction gives a JSON object for each document, whose fields may be absent,
 it is read as VARIANT and taken apart by paths, so that a wrong type is a null and no error.  Three tables come of it: relations of documents, operations on places,
 and problems.  A problem is an operation that can't be carried out as it is written; whether one stops a run is the caller's choice (``strict``).
 
-Everything is column expressions: items and places are exploded, sections joined by document and place, and points of one
-parent gathered again into one operation.
+Everything is column expressions: items are exploded, sections joined by document and place, points of one
+parent gathered into one operation within their item's row, and operations exploded.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import locations
-from ..functions.text import verbatim
-from .documents import article_preamble, article_title, target_level
+from ..functions.lineage import stored
+from ..functions.text import let, verbatim
+from .documents import article_preamble, article_title, level_of
 
 #: fixed values
 TYPES = ("sua_doi", "bo_sung", "thay_the", "bai_bo")
@@ -66,30 +67,44 @@ def relations(raw: DataFrame) -> DataFrame:
 
 
 def _first_of_equals(rows: DataFrame, by: str) -> DataFrame:
-    """Of rows alike but for their position the first, however often one is repeated."""
+    """Of rows alike but for their position the first, however often one is repeated.
+
+    Rows are dealt by ``by`` before they are counted, so that a task holds its share of them and not all that its part of the input says.
+    """
     same = [c for c in rows.columns if c != "position"]
-    key = F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256)
-    first = rows.withColumn("_key", key).groupBy(by, "_key").agg(F.min_by(F.struct(*rows.columns), "position").alias("r"))
-    return first.select("r.*")
+    return rows.repartition(by).groupBy(*same).agg(F.min("position").alias("position")).select(*rows.columns)
+
+
+def _numbers(location: Column) -> Column:
+    """struct(diem, khoan, dieu) as ``locations.tokens`` has them."""
+    found = lambda text: F.struct(*[F.upper(F.regexp_extract(text, locations.PATTERNS[k], 1)).alias(k) for k in ("diem", "khoan", "dieu")])
+    return let(let(locations.collapse(F.coalesce(location, F.lit(""))), found), lambda t: F.struct(*[F.nullif(t[k], F.lit("")).alias(k) for k in ("diem", "khoan", "dieu")]))
 
 
-def _label(location: Column) -> Column:
-    """The label that opens a place's own text, as a pattern; null if the place names none."""
-    t = locations.tokens(location)
+def _label(t: Column) -> Column:
+    """The label that opens a place's own text, as a pattern, by the place's numbers; null if it has none."""
     quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
     numbered = lambda x: F.concat(quoted(x), F.lit(r"\s*[.)]"))
     return F.when(t["diem"].isNotNull(), numbered(t["diem"])).when(t["khoan"].isNotNull(), numbered(t["khoan"])).when(t["dieu"].isNotNull(), F.concat(F.lit(r"(?:##\s+)?Điều\s+"), quoted(t["dieu"]), F.lit(r"(?![\p{L}\d])")))
 
 
-def unit_text(section: Column, target: Column, targets: Column) -> Column:
-    """The new text of a target in a section that may give several: from its label to the next label of any target, in quoted blocks or else in the whole; null unless there is just one."""
+def _blocks(section: Column) -> Column:
+    """The quoted blocks of a section, or else the whole without its heading."""
     body = F.trim(F.regexp_replace(section, r"^#{1,3}\s+[^\n]*\n?", ""))
     quoted = F.regexp_extract_all(body, F.lit(r"(?s)(?:^|\n)\s*[“\"]\s*(.*?)\s*[”\"][.;,:]?(?=\s*(?:\n|$))"), F.lit(1))
-    blocks = F.when(F.size(quoted) > 0, quoted).otherwise(F.array(body))
-    any_label = F.array_join(F.transform(targets, _label), "|")
-    pattern = F.concat(F.lit(r"(?imsu)^[ \t]*((?:"), _label(target), F.lit(r").*?)(?=^[ \t]*(?:"), any_label, F.lit(r")|\z)"))
+    return let(quoted, lambda q: F.when(F.size(q) > 0, q).otherwise(F.array(body)))
+
+
+def _unit(blocks: Column, label: Column, any_label: Column) -> Column:
+    pattern = F.concat(F.lit(r"(?imsu)^[ \t]*((?:"), label, F.lit(r").*?)(?=^[ \t]*(?:"), any_label, F.lit(r")|\z)"))
     found = F.flatten(F.transform(blocks, lambda b: F.transform(F.regexp_extract_all(b, pattern, F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))))
-    return F.when(F.size(found) == 1, F.nullif(F.get(found, 0), F.lit("")))
+    return let(found, lambda f: F.when(F.size(f) == 1, F.nullif(F.get(f, 0), F.lit(""))))
+
+
+def unit_text(section: Column, target: Column, targets: Column) -> Column:
+    """The new text of a target in a section that may give several: from its label to the next label of any target, in quoted blocks or else in the whole; null unless there is just one."""
+    label = lambda place: let(_numbers(place), _label)
+    return _unit(_blocks(section), label(target), F.array_join(F.transform(targets, label), "|"))
 
 
 def operations(raw: DataFrame, sections: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -127,18 +142,26 @@ def operations(raw: DataFrame, sections: DataFrame, strict: bool = False) -> tup
         .when(phrase & ~(says("operand_text") & (delete | F.coalesce(says("anchor_text"), F.lit(False)))), "the section doesn't say so")
     )
     rows = rows.withColumn("_change", replaced).withColumn("_problem", problem).withColumn("change", F.col("_change"))
-    # points of one parent are one operation, any other place is one by itself
-    each = rows.select("*", F.posexplode_outer("targets").alias("_n", "_target"))
-    level = target_level(F.col("_target"))
-    parent = F.lower(locations.collapse(F.regexp_replace("_target", r"(?iu)\s*>\s*Điểm\s+[a-zđ](?:\d+|(?:\.\d+)+)?\s*$", "")))
-    each = each.withColumn("_group", F.when(level == "diem", F.concat(F.lit("p"), parent)).otherwise(F.concat(F.lit("n"), F.coalesce(F.col("_n"), F.lit(0)).cast("string"))))
     title, preamble = F.col("target_component") == "title", F.col("target_component") == "preamble"
-    text = F.when(F.col("_problem").isNotNull() | phrase | (F.col("change") == "bai_bo"), F.lit(None)).when(title, article_title(F.col("section"), F.col("_target"))["text"]).when(preamble, article_preamble(F.col("section"), F.col("_target"))["text"]).otherwise(unit_text(F.col("section"), F.col("_target"), F.col("targets")))
-    each = each.withColumns({"_text": text, "_level": level})
-    keep = ["target_document_id", "target_component", "change", "source_location", "section", "text_operation", "anchor_text", "operand_text", "doc_date", "own_date", "relation_date", "_problem"]
-    part = F.struct(F.col("_n").alias("n"), F.col("_target").alias("target"), F.col("_text").alias("text"), F.col("_level").alias("level"))
-    # the places of one amendment's group
-    grouped = each.groupBy("document_id", "position", "_group").agg(F.array_sort(F.collect_list(part)).alias("parts"), *[F.first(c).alias(c) for c in keep])
+    # a place's numbers, label and text are worked out once; no place at all is one without a name
+    nameless = F.array(F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("target")))
+    listed = F.when(F.size("targets") > 0, F.transform("targets", lambda x, k: F.struct(k.alias("n"), x.alias("target")))).otherwise(nameless)
+    numbered = F.transform(listed, lambda p: F.struct(p["n"].alias("n"), p["target"].alias("target"), _numbers(p["target"]).alias("t")))
+    labelled = F.transform(numbered, lambda p: F.struct(p["n"].alias("n"), p["target"].alias("target"), _label(p["t"]).alias("label"), level_of(p["t"]).alias("level")))
+    cut = lambda labels: F.array_join(F.transform(labels, lambda p: p["label"]), "|")
+    own_texts = lambda ps: let(F.struct(_blocks(F.col("section")).alias("blocks"), cut(ps).alias("any")), lambda c: F.transform(ps, lambda p: _unit(c["blocks"], p["label"], c["any"])))
+    of_article = lambda ps, find: F.transform(ps, lambda p: find(F.col("section"), p["target"])["text"])
+    none = lambda ps: F.transform(ps, lambda p: F.lit(None).cast("string"))
+    texts = lambda ps: (
+        F.when(F.col("_problem").isNotNull() | phrase | (F.col("change") == "bai_bo"), none(ps)).when(title, of_article(ps, article_title)).when(preamble, of_article(ps, article_preamble)).otherwise(own_texts(ps))
+    )
+    # points of one parent are one operation, any other place is one by itself
+    parent = lambda x: F.lower(locations.collapse(F.regexp_replace(x, r"(?iu)\s*>\s*Điểm\s+[a-zđ](?:\d+|(?:\.\d+)+)?\s*$", "")))
+    group = lambda p: F.when(p["level"] == "diem", F.concat(F.lit("p"), parent(p["target"]))).otherwise(F.concat(F.lit("n"), F.coalesce(p["n"], F.lit(0)).cast("string")))
+    part = lambda p, x: F.struct(p["n"].alias("n"), p["target"].alias("target"), x.alias("text"), p["level"].alias("level"), group(p).alias("group"))
+    parts = let(labelled, lambda ps: F.zip_with(ps, texts(ps), part))
+    gathered = let(parts, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["group"])), lambda g: F.filter(ps, lambda p: p["group"] == g)))
+    grouped = rows.select("*", F.explode(gathered).alias("parts"))
     first = F.get("parts", 0)
     texts = F.transform("parts", lambda p: p["text"])
     whole = F.when(F.forall(texts, lambda t: t.isNotNull()), F.array_join(texts, "\n\n"))
@@ -156,9 +179,11 @@ def operations(raw: DataFrame, sections: DataFrame, strict: bool = False) -> tup
         old.alias("old_text"), new.alias("new_text"), F.coalesce("own_date", "relation_date", "doc_date").alias("effective_date"), F.split("section", "\n")[0].alias("heading"), "problem",
     )
     identity = ["anchor_text", "change", "document_id", "effective_date", "new_text", "old_text", "operand_text", "source_location", "target_component", "target_document_id", "target_location", "targets", "text_operation"]
-    out = out.withColumn("operation_id", F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256))
+    # good ones and problems are read apart, and worked out once
+    out = stored(out, "operations")
+    number = F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)
     problems = out.filter("problem is not null").select("document_id", "position", "target_location", "problem")
     good = out.filter("problem is null").drop("problem")
     if strict:
-        good = out.withColumn("operation_id", F.when(F.col("problem").isNull(), F.col("operation_id")).otherwise(F.raise_error(F.concat_ws(": ", "document_id", "target_location", "problem")).cast("string"))).drop("problem")
-    return _first_of_equals(good, "document_id"), problems
+        good = out.withColumn("document_id", F.when(F.col("problem").isNull(), F.col("document_id")).otherwise(F.raise_error(F.concat_ws(": ", "document_id", "target_location", "problem")).cast("string"))).drop("problem")
+    return _first_of_equals(good, "document_id").withColumn("operation_id", number), problems

@@ -83,3 +83,23 @@ def test_problems(spark):
     raw, sections = tables(spark, {"document_relations": [RELATION], "amendment_relations": [amendment(target_component="chapter")]})
     with pytest.raises(Exception, match="no such component"):
         E.operations(raw, sections, strict=True)[0].collect()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_are_dealt_before_they_are_counted(spark):
+    """A task holds its share of a document's relations, and sorts none of them."""
+    raw, _ = tables(spark, {"document_relations": [RELATION, {**RELATION, "quoted": 1}, RELATION]})
+    said = plan(E.relations(raw))
+    assert "SortAggregate" not in said and said.rindex("HashAggregate") < said.index("Exchange")
+    assert [r.position for r in E.relations(raw).collect()] == [0]
+
+
+def test_operations_are_worked_out_once(spark):
+    """Operations and problems are read from one table, and places are cut within their item's row."""
+    raw, sections = tables(spark, {"document_relations": [RELATION], "amendment_relations": [amendment(), amendment(dieu_khoan_sua=None)]})
+    good, bad = E.operations(raw, sections)
+    assert all("Generate" not in plan(x) and "Join" not in plan(x) for x in (good, bad))
+    assert [r.target_location for r in good.collect()] == ["Điều 5"] and [r.position for r in bad.collect()] == [10_000]
