@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
 from . import words as W
-from .common import discard, materialize
+from .common import discard, materialize, shuffle_width
 from .components import components
 
 U = np.uint64
@@ -58,6 +58,8 @@ ERRORS = 6
 BEST = 2
 LOWEST = 512
 HOT = 2048
+CELLS_A_TASK = 8
+MOST_TASKS = 10_000
 #: 8 bytes each, some 100 MB in a hash table
 BROADCAST_IDS = 2_000_000
 
@@ -207,7 +209,7 @@ def _across(percent: int, decided: bool):
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         cut = np.array([x[-1] for x in lows])
-        whole = n <= LOWEST
+        whole, sizes = n <= LOWEST, np.array([len(x) for x in lows])
         for row in minor.itertuples():
             own = np.frombuffer(row.lowest, U)
             lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
@@ -220,6 +222,9 @@ def _across(percent: int, decided: bool):
                 linked = linked[np.argsort(-both[linked], kind="stable")]
                 linked = linked[np.unique(comps[linked], return_index=True)[1]]
                 out += [(min(row.cid, x), max(row.cid, x)) for x in ids[linked].tolist()]
+            # what is common in all is no less than what is common up to an end, and no union is smaller than the shorter list
+            least = np.minimum(sizes, len(own))
+            fits &= exact | (both >= (threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / least)) * least - 1)
             for k in np.flatnonzero(fits & ~exact):
                 # shingles up to the lower of the two ends are a random part of the union
                 end = min(cut[k] if not whole[k] else own[-1], own[-1] if row.n_shingles > LOWEST else cut[k])
@@ -341,7 +346,7 @@ class NearDuplicates:
     def _largest(self, large: DataFrame) -> DataFrame:
         """Of every band its largest component, and how many members are outside it."""
         parts = large.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-        return parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).select("band", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.n")).alias("outside"))
+        return parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).select("band", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.n")).alias("outside"), "all")
 
     def _split(self, large: DataFrame, largest: DataFrame) -> DataFrame:
         """Large bands, with those of more than ``hot`` outsiders split by pairs of such bands."""
@@ -370,11 +375,15 @@ class NearDuplicates:
         blocks, sides = F.ceil(F.col("size") / self.block).cast("int"), F.ceil(F.col("outside") / self.hot).cast("int")
         dealt = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        # a block is much work for few bytes, so tasks follow the blocks and are not put together by size
+        cells = largest.agg(F.sum(F.ceil(F.col("all") / self.block) * F.ceil(F.col("outside") / self.hot))).first()[0] or 0
+        tasks = min(MOST_TASKS, max(shuffle_width(self.docs.sparkSession), int(cells) // CELLS_A_TASK))
         signed = large.join(largest, "band").join(lowest, "cid")
         names = ("cid", "comp", "n_shingles", "lowest")
         members = signed.select("band", dealt(blocks).alias("block"), every(sides).alias("side"), *names)
         minor = signed.filter("comp != top").select(F.col("band").alias("band"), every(blocks).alias("block"), dealt(sides).alias("side"), *[F.col(c).alias(c) for c in names])
-        found = members.groupBy("band", "block", "side").cogroup(minor.groupBy("band", "block", "side")).applyInPandas(_across(self.percent, decided), "a long, b long").distinct()
+        dealt_out = lambda rows: rows.repartition(tasks, "band", "block", "side").groupBy("band", "block", "side")
+        found = dealt_out(members).cogroup(dealt_out(minor)).applyInPandas(_across(self.percent, decided), "a long, b long").distinct()
         open_ = materialize(found.join(tried, ["a", "b"], "left_anti"), "candidates-2")
         out = self._verified(open_)
         discard(large, largest, lowest, open_)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,18 @@ def test_crowded_bands_are_split(spark, monkeypatch):
     assert split and sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_groups(rows, 3, 85)
 
 
+def test_unlike_large_sets_are_dropped_before_they_are_intersected(monkeypatch):
+    """Of two large sets with little in common no intersection is worked out."""
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 1 << 63, 600, dtype=np.uint64)) for _ in range(20)]
+    sets.append(np.sort(np.concatenate([sets[0][:590], sets[1][:10]])))
+    rows = pd.DataFrame({"cid": range(21), "comp": range(21), "n_shingles": 600, "lowest": [x[: minhash.LOWEST].tobytes() for x in sets]})
+    calls, whole = [], np.intersect1d
+    monkeypatch.setattr(minhash.np, "intersect1d", lambda *a, **b: calls.append(1) or whole(*a, **b))
+    got = minhash._across(85, True)(None, rows.iloc[:20], rows.iloc[20:])
+    assert got.values.tolist() == [[0, 20]] and len(calls) == 1
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     for n in (30, 300, 3000):
