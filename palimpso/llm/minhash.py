@@ -16,9 +16,9 @@ Work stays in proportion to the input:
   others (the common original of many edited copies, usually); links give components;
 * round 2 takes the large bands that still hold several components: members outside the largest one
   are compared with everyone, in blocks, by their 512 least shingles (the whole set, mostly), and one
-  link a component comes out.  A band with many such outsiders (``HOT``; common boilerplate that is not
-  similar enough) is split by a second band: two texts that meet in it are compared where they share another
-  such band, or in a band that is not as crowded.  A pair at 0.85 shares a single band with probability 2e-9 (1e-6 at 0.8).
+  link a component comes out.  In a band with many such outsiders (``HOT``; common boilerplate that is not
+  similar enough) members meet where they share one of their rarest shingles, so many of each that two sets
+  at the threshold must share one (prefix filter).  This is exact: no pair of such a band is lost.
   A block has at most 512 members and ``HOT`` outsiders;
 * round 3 takes what is left between components: small bands are paired in full, and larger sets in large
   bands that an estimate could not rule out are verified.
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
@@ -58,6 +58,7 @@ ERRORS = 6
 BEST = 2
 LOWEST = 512
 HOT = 2048
+SHINGLE_ROWS = 100_000
 CELLS_A_TASK = 8
 MOST_TASKS = 10_000
 #: 8 bytes each, some 100 MB in a hash table
@@ -189,6 +190,21 @@ def _lowest(size: int):
     return run
 
 
+def _shingle_rows(size: int):
+    """A row for each shingle of each text, with the size of its set and a mark of it (rows that repeat an id may differ in text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in W.groups(batch.column("text"), W.PLAIN, fold=True):
+                for cid, s in zip(batch.column("doc_id").slice(g.first, g.last - g.first).to_pylist(), shingle_sets(g, size), strict=True):
+                    mark = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    for x in np.split(s, range(SHINGLE_ROWS, len(s), SHINGLE_ROWS)):
+                        same = lambda v, n=len(x): pa.array(np.full(n, v, np.int64))
+                        yield pa.RecordBatch.from_arrays([same(cid), same(mark), same(len(s)), pa.array(x.view(np.int64))], ["cid", "mark", "n_shingles", "shingle"])
+
+    return run
+
+
 def _across(percent: int, decided: bool):
     """Links between the members of one block and members of other components, from their least shingles.
 
@@ -287,20 +303,26 @@ class NearDuplicates:
         near_hub = shared.join(hubs, "band").filter("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         tried = materialize(self._likely(near_hub), "candidates-1", self.most)
         discard(full, hubs)
-        self.links = [self._verified(tried)]
+        self.links, self.tried = [self._verified(tried)], [tried]
 
         # round 2: in large bands, who is outside the largest component meets everyone by their least shingles
         mixed = self._mixed(shared)
-        self.links.append(self._large(mixed, tried, False))
+        self.links.append(self._large(mixed, False))
         discard(mixed)
 
         # round 3: small bands in full, and large sets in large bands that couldn't be ruled out
         mixed = self._mixed(shared)
-        rest = materialize(self._likely(self._small(mixed).join(tried, ["a", "b"], "left_anti")), "candidates-3", self.small_band * self.most // 2)
-        self.links += [self._verified(rest), self._large(mixed.filter(F.col("n_shingles") > self.threshold * LOWEST), tried, True)]
-        discard(mixed, rest, tried, shared)
+        rest = materialize(self._likely(self._untried(self._small(mixed))), "candidates-3", self.small_band * self.most // 2)
+        self.links += [self._verified(rest), self._large(mixed.filter(F.col("n_shingles") > self.threshold * LOWEST), True)]
+        discard(mixed, rest, shared, *self.tried)
         return self._all_links()
 
+    def _untried(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets have not been compared."""
+        for t in self.tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        return pairs
+
     def _all_links(self) -> DataFrame:
         out = self.links[0]
         for more in self.links[1:]:
@@ -348,26 +370,54 @@ class NearDuplicates:
         parts = large.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
         return parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).select("band", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.n")).alias("outside"), "all")
 
-    def _split(self, large: DataFrame, largest: DataFrame) -> DataFrame:
-        """Large bands, with those of more than ``hot`` outsiders split by pairs of such bands."""
+    def _rarest(self, ids: DataFrame) -> DataFrame:
+        """Of every set the shingles of which two sets at the threshold must share one: the rarest ones (ties by value), with their places in this order.
+
+        Any order would do that is the same for all; shingles of one set alone come first and need not be told apart.
+        """
+        rows = materialize(self._texts(ids).mapInArrow(_shingle_rows(self.shingle), "cid long, mark long, n_shingles long, shingle long"), "shingles")
+        often = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+        own = Window.partitionBy("cid", "mark")
+        placed = rows.join(often, "shingle").select("cid", "n_shingles", "shingle", F.row_number().over(own.orderBy("often", "shingle")).alias("nth"), F.count(F.lit(1)).over(own).alias("shared"))
+        place = F.col("n_shingles") - F.col("shared") + F.col("nth")
+        least = F.floor((self.percent * F.col("n_shingles") + 99) / 100)  # what a set has in common with one similar enough
+        out = materialize(placed.select("cid", "n_shingles", "shingle", place.alias("place")).filter(F.col("place") <= F.col("n_shingles") - least + 1), "rarest")
+        discard(rows, often)
+        return out
+
+    def _split(self, large: DataFrame, largest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Large bands, with those of more than ``hot`` outsiders split by the rarest shingles; and the pairs of different components that share one of few."""
         crowded = largest.filter(F.col("outside") > self.hot).select("band")
-        own = large.join(crowded, "band").groupBy("cid").agg(F.sort_array(F.collect_set("band")).alias("bands"), F.first("comp").alias("comp"), F.first("n_shingles").alias("n_shingles"))
-        both = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, F.size("bands")), lambda y: F.xxhash64(x, y))))
-        parts = own.select(F.explode(both).alias("band"), "cid", "n_shingles", "comp")
-        sizes = materialize(parts.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band", "size"), "split-bands")
+        of = materialize(large.join(crowded, "band").groupBy("cid").agg(F.first("comp").alias("comp")), "crowded", self.most)
+        rarest = self._rarest(of.select(F.col("cid").alias("doc_id")))
+        parts = rarest.join(of, "cid")
+        sizes = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("shingle", "size")
+        met = materialize(parts.join(sizes, "shingle"), "split-bands")
+        few = met.filter(F.col("size") <= self.small_band)
+        side = lambda x: few.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "comp", "n_shingles", "place")])
+        # no more can be common than what stands up to here in both and what is left in both
+        n, m = F.col("n_shingles_a"), F.col("n_shingles_b")
+        most = F.least("place_a", "place_b") + F.least(n - F.col("place_a"), m - F.col("place_b"))
+        enough = (100 + self.percent) * most >= self.percent * (n + m)
+        pairs = side("a").join(side("b"), "shingle").filter("cid_a < cid_b and comp_a != comp_b").filter(enough).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+        pairs = materialize(pairs, "split-pairs")
+        many = met.filter(F.col("size") > self.small_band).withColumn("band", F.xxhash64(F.lit("shingle"), "shingle"))
         names = ("band", "cid", "n_shingles", "size", "comp")
-        return large.join(crowded, "band", "left_anti").select(*names).unionByName(parts.join(sizes, "band").select(*names))
+        bands = materialize(large.join(crowded, "band", "left_anti").select(*names).unionByName(many.select(*names)), "large-bands")
+        discard(of, rarest, met)
+        return bands, pairs
 
-    def _large(self, mixed: DataFrame, tried: DataFrame, decided: bool) -> DataFrame:
+    def _large(self, mixed: DataFrame, decided: bool) -> DataFrame:
         """Links in the other bands: who is outside a band's largest component against everyone, block by block."""
         large = materialize(mixed.filter(F.col("size") > self.small_band), "large-bands", self.most)
         if large.isEmpty():
             discard(large)
             return mixed.sparkSession.createDataFrame([], "a long, b long")
         largest = materialize(self._largest(large), "largest", self.most // self.small_band)
+        pairs = None
         if not largest.filter(F.col("outside") > self.hot).isEmpty():
             before = (large, largest)
-            large = materialize(self._split(large, largest), "large-bands")
+            large, pairs = self._split(large, largest)
             largest = materialize(self._largest(large), "largest")
             discard(*before)
         ids = large.select(F.col("cid").alias("doc_id")).distinct()
@@ -384,9 +434,12 @@ class NearDuplicates:
         minor = signed.filter("comp != top").select(F.col("band").alias("band"), every(blocks).alias("block"), dealt(sides).alias("side"), *[F.col(c).alias(c) for c in names])
         dealt_out = lambda rows: rows.repartition(tasks, "band", "block", "side").groupBy("band", "block", "side")
         found = dealt_out(members).cogroup(dealt_out(minor)).applyInPandas(_across(self.percent, decided), "a long, b long").distinct()
-        open_ = materialize(found.join(tried, ["a", "b"], "left_anti"), "candidates-2")
+        if pairs is not None:
+            found = found.unionByName(pairs).distinct()
+        open_ = materialize(self._untried(found), "candidates-2")
+        self.tried.append(open_)
         out = self._verified(open_)
-        discard(large, largest, lowest, open_)
+        discard(large, largest, lowest, *([] if pairs is None else [pairs]))
         return out
 
 

@@ -154,6 +154,30 @@ def test_crowded_bands_are_split(spark, monkeypatch):
     assert split and sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_groups(rows, 3, 85)
 
 
+@pytest.mark.parametrize("small_band", [3, 64])
+def test_pairs_of_one_crowded_band_alone_are_linked(spark, small_band):
+    """All texts meet in one crowded band and no two in another: links are those of brute force all the same."""
+
+    class OneBand(minhash.NearDuplicates):
+        def _links(self, classes):
+            apart = [F.unhex(F.sha2(F.concat("digest", F.lit(bytes([i]))), 256)) for i in range(8)]
+            self.classes = classes.withColumn("sig", F.substring(F.concat(F.lit(bytes(8)), *apart), 1, 2 * minhash.REGISTERS))
+            return super()._links(self.classes)
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k, (size, copies) in enumerate([(40, 1)] * 40 + [(50, 3)] * 10 + [(60, 9)] * 3 + [(700, 1), (700, 2), (700, 9), (2, 1), (2, 1)]):
+        own = [f"w{i}" for i in range(size // 2)] + [f"t{k}x{i}" for i in range(size - size // 2)]
+        for c in range(copies):
+            edited = own.copy()
+            if c:
+                edited[int(rng.integers(0, size))] = f"e{k}x{c}"
+            rows.append((len(rows), " ".join(edited)))
+    rows.append((3, "an id that is used again for another text " + rows[60][1]))
+    got = OneBand(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85, small_band=small_band, block=16, hot=10).groups().collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_groups(rows, 3, 85)
+
+
 def test_unlike_large_sets_are_dropped_before_they_are_intersected(monkeypatch):
     """Of two large sets with little in common no intersection is worked out."""
     rng = np.random.default_rng(8)
