@@ -1,8 +1,9 @@
 """A corpus pipeline: language ID, near duplicates, long repeats, benchmark passages, packing.
 
-Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as
-the next stage's ``docs``, so a stage begins by deleting the tables that the stage before worked with (those of other
-queries stay).  All but the last return the columns of ``documents``; other columns of its table, whatever their names, are not read.
+Each stage is a function of (spark, docs, sf_dir).  It works its result out in batches of few rows, writes it below the shared
+folder and deletes the tables it worked with.  The caller writes that result as Parquet and reads it again as the next stage's
+``docs``, so a stage begins by deleting the result of the stage before (tables of other queries stay).  All but the last
+return the columns of ``documents``; other columns of its table, whatever their names, are not read.
 
 * ``language_id`` drops documents without a letter and those too unlike every learned language;
 * ``near_dedup`` keeps one document (the least id) of every group of texts that share 80 % of their
@@ -28,21 +29,26 @@ from pyspark.sql import functions as F
 from palimpso.llm import decontaminate as contamination
 from palimpso.llm import language_id as languages
 from palimpso.llm import minhash, packing, substring
-from palimpso.llm.common import discard_all, owned, work_dir
+from palimpso.llm.common import discard_all, materialize, owned, work_dir
 
-OWNER = "pipeline"
+OWNER, WORKING = "pipeline", "pipeline at work"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_COSINE = 0.1
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage: tables that it writes are the pipeline's, and those of the stage before are deleted first."""
+    """A stage: its result is written here, as the caller's session would send Python all rows of a task at once; it and the tables worked with are the pipeline's."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard_all(spark, OWNER)
+        discard_all(spark, WORKING)  # of a stage that failed
+        with owned(WORKING):
+            found = work(spark, docs, sf_dir)
         with owned(OWNER):
-            return work(spark, docs, sf_dir)
+            result = materialize(found, work.__name__)
+        discard_all(spark, WORKING)
+        return result
 
     return run_stage
 

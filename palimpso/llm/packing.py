@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.deploy import ship_code
 from .common import discard, materialize, shuffle_width
-from .tokens import encoder, tidy, vocabulary
+from .tokens import encoder, release, tidy, vocabulary
 
 SEQUENCE = 4096
 END_ID = 2
@@ -106,6 +106,7 @@ def _tokenise(path: str, end_id: int):
 
 def _cut(firsts, sequence: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # a worker that has tokenised needs its cache no more
         first, bucket, at = firsts.value, None, 0
         for batch in batches:
             rows = []
@@ -177,12 +178,14 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
     cuts = spark.sparkContext.broadcast((keys, numbers, lanes))
 
     @F.pandas_udf("long")
-    def bucket_of(key: pd.Series, mark: pd.Series) -> pd.Series:
+    def bucket_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        release()
         at, first, width = cuts.value
-        k = np.searchsorted(at, key.to_numpy(), "right") - 1
-        # a key between a large one and the next bucket's first is behind the large one's last lane
-        inner = (width[k] > 1) & (at[k] == key.to_numpy())
-        return pd.Series(np.where(inner, first[k] + mark.to_numpy() % width[k], first[k] + width[k] - 1))
+        for key, mark in batches:
+            k = np.searchsorted(at, key.to_numpy(), "right") - 1
+            # a key between a large one and the next bucket's first is behind the large one's last lane
+            inner = (width[k] > 1) & (at[k] == key.to_numpy())
+            yield pd.Series(np.where(inner, first[k] + mark.to_numpy() % width[k], first[k] + width[k] - 1))
 
     dealt = rows.withColumn("bucket", bucket_of("key", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "mark"), F.lit(1 << 40))))
 

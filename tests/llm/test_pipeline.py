@@ -96,3 +96,37 @@ def test_other_columns_are_not_read(spark, tmp_path):
         assert rows.columns == docs.columns, name
     assert rows.filter("doc_id = 10001").count() == 1
     assert P.STAGES[-1][1](spark, rows, folder).filter("doc_id = 10001").count() > 1
+
+
+def test_a_stage_sends_python_few_rows_at_once(spark):
+    """Whatever the session's batches, a stage's result is worked out in small ones; the tables it worked with are gone then, its result stays."""
+    from palimpso.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    made = []
+
+    @P.stage
+    def counted(spark, docs, sf_dir):
+        made.append(common.materialize(docs, "worked-with"))
+        return made[0].coalesce(1).mapInArrow(sizes, "n long")
+
+    out = counted(spark, spark.range(3 * common.BATCH_ROWS).coalesce(1), SMALL)
+    rows = [r.n for r in out.collect()]
+    assert sum(rows) == 3 * common.BATCH_ROWS and max(rows) <= common.BATCH_ROWS
+    app = spark.sparkContext.applicationId
+    assert common._written.get((app, P.OWNER)) == [out._written_to] and not common._written.get((app, P.WORKING))
+
+
+def test_workers_that_cut_hold_no_tokenizer():
+    from types import SimpleNamespace
+
+    from palimpso.llm import packing, tokens
+
+    tokens.encoder(tokens.vocabulary())
+    assert list(packing._cut(SimpleNamespace(value=[0]), 4096, False)(iter([]))) == []
+    assert not tokens._encoders
