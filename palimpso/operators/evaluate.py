@@ -26,16 +26,25 @@ def _dcg(relevance: str, position: str) -> Column:
 def ranking_metrics(cases: DataFrame, ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """recall, precision and nDCG a case; the ideal ranking is cut to the length of the one observed; 0 where nothing can be divided.
 
-    ``ranked`` has ``case_id``, ``ident``, ``position`` without repeats; ``qrels`` has ``case_id``, ``ident``, ``relevance``.
+    ``ranked`` has ``case_id``, ``ident``, ``position`` without repeats; ``qrels`` has ``case_id``, ``ident``, ``relevance``, or no ``case_id`` where
+    it is the same for all cases: then it is not repeated for each.
     """
-    gold = qrels.groupBy("case_id", "ident").agg(F.max("relevance").alias("relevance")).filter("relevance > 0")
-    hits = ranked.join(gold, ["case_id", "ident"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
+    own = [c for c in ("case_id",) if c in qrels.columns]
+    gold = qrels.groupBy(*own, "ident").agg(F.max("relevance").alias("relevance")).filter("relevance > 0")
+    hits = ranked.join(gold, [*own, "ident"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
     seen = hits.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("relevance") > 0).alias("found"), _dcg("relevance", "position").alias("dcg"))
-    ideal = gold.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("relevance"), "ident"))).join(seen.select("case_id", "n"), "case_id").filter("position <= n")
+    all_gold = gold.groupBy(*own).agg(F.count(F.lit(1)).alias("gold"))
+    if own:
+        ideal = gold.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("relevance"), "ident"))).join(seen.select("case_id", "n"), "case_id").filter("position <= n")
+    else:
+        grades = gold.groupBy("relevance").agg(F.count(F.lit(1)).alias("many"))  # few rows, each the places one after another that are its own
+        places = grades.withColumn("last", F.sum("many").over(Window.orderBy(F.desc("relevance")))).withColumn("first", F.col("last") - F.col("many") + 1)
+        within = seen.select("case_id", "n").join(F.broadcast(places), F.col("first") <= F.col("n"))
+        ideal = within.select("case_id", "relevance", F.explode(F.sequence("first", F.least("last", "n"))).alias("position"))
     best = ideal.groupBy("case_id").agg(_dcg("relevance", "position").alias("idcg"))
-    all_gold = gold.groupBy("case_id").agg(F.count(F.lit(1)).alias("gold"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.coalesce(F.col(a), F.lit(0)).cast("double"), F.nullif(F.col(b).cast("double"), F.lit(0.0))), F.lit(0.0))
-    out = cases.select("case_id").distinct().join(seen, "case_id", "left").join(all_gold, "case_id", "left").join(best, "case_id", "left")
+    counted = cases.select("case_id").distinct().join(seen, "case_id", "left")
+    out = (counted.join(all_gold, "case_id", "left") if own else counted.join(F.broadcast(all_gold), F.lit(True), "left")).join(best, "case_id", "left")
     return out.select("case_id", ratio("found", "gold").alias("recall"), ratio("found", "n").alias("precision"), ratio("dcg", "idcg").alias("ndcg"))
 
 

@@ -140,12 +140,14 @@ def branch_traces(branches: list[DataFrame]) -> DataFrame:
 def evaluate_methods(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """Scores of every method and case: of a case's branches the rows are read in order, each identity once.
 
-    ``ranked`` has ``method``, ``case_id``, ``branch``, ``position``, ``ident``.
+    ``ranked`` has ``method``, ``case_id``, ``branch``, ``position``, ``ident``; ``qrels`` may be without ``case_id``, of all cases alike.
     """
     key = F.concat_ws("\u0001", "method", F.col("case_id").cast("string"))
     rows = ranked.select(key.alias("case_id"), "ident", F.struct("branch", "position").alias("position"))
     cases = ranked.select("method", F.col("case_id").alias("_case")).distinct().withColumn("case_id", F.concat_ws("\u0001", "method", F.col("_case").cast("string")))
-    gold = qrels.join(cases.select(F.col("_case"), F.col("case_id").alias("_key")), qrels["case_id"] == F.col("_case")).select(F.col("_key").alias("case_id"), "ident", "relevance")
+    gold = qrels
+    if "case_id" in qrels.columns:
+        gold = qrels.join(cases.select(F.col("_case"), F.col("case_id").alias("_key")), qrels["case_id"] == F.col("_case")).select(F.col("_key").alias("case_id"), "ident", "relevance")
     scores = E.ranking_metrics(cases, E.first_of_each(rows), gold)
     return cases.join(scores, "case_id").select("method", F.col("_case").alias("case_id"), "recall", "precision", "ndcg")
 

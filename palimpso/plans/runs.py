@@ -353,8 +353,7 @@ def configuration_scores(spark, sf_dir):
     """The four configurations' scores on every item, whose documents of a good label are relevant; two branches of a case are read one after another."""
     four = P.configurations(*_lists(spark, sf_dir))
     ranked = four.select("method", F.col("query_id").alias("case_id"), (F.col("doc_id") % 2).alias("branch"), F.col("rank").alias("position"), F.col("doc_id").cast("string").alias("ident"))
-    qrels = read(spark, sf_dir, "labels").select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("case_id"), F.col("doc_id").cast("string").alias("ident"), "quality")
-    qrels = qrels.select(F.col("case_id").cast("long").alias("case_id"), "ident", F.col("quality").alias("relevance"))
+    qrels = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("ident"), F.col("quality").alias("relevance"))
     out = P.evaluate_methods(ranked, qrels)
     return out.select("method", "case_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg")])
 
@@ -362,7 +361,7 @@ def configuration_scores(spark, sf_dir):
 QUERIES["configuration_scores"] = configuration_scores
 ORACLES["configuration_scores"] = f"""WITH {_FOUR_SQL},
 rk AS (SELECT method, query_id AS case_id, doc_id, row_number() OVER (PARTITION BY method, query_id ORDER BY doc_id % 2, rank) AS p FROM four),
-gold AS (SELECT c.case_id, doc_id, max(quality) AS rel FROM labels, (SELECT unnest(range(0, 10)) AS case_id) c GROUP BY ALL HAVING max(quality) > 0),
+gold AS (SELECT c.case_id, doc_id, max(quality) AS rel FROM labels, (SELECT item_id AS case_id FROM benchmark) c GROUP BY ALL HAVING max(quality) > 0),
 hit AS (SELECT method, rk.case_id, p, coalesce(rel, 0) AS rel FROM rk LEFT JOIN gold USING (case_id, doc_id)),
 seen AS (SELECT method, case_id, count(*) AS n, count(*) FILTER (rel > 0) AS found, sum((2 ** rel - 1) / log2(p + 1)) AS dcg FROM hit GROUP BY ALL),
 many AS (SELECT case_id, count(*) AS gold FROM gold GROUP BY case_id),

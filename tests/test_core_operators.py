@@ -1,3 +1,4 @@
+import math
 import os
 import re
 from collections import Counter
@@ -8,10 +9,11 @@ from pyspark.sql import functions as F
 
 from palimpso.operators import documents as D
 from palimpso.operators import evaluate as E
+from palimpso.operators import pipelines as P
 from palimpso.operators import retrieval as R
 from palimpso.operators import verify as C
 from palimpso.operators import versions as V
-from palimpso.plans import prose, search
+from palimpso.plans import prose, runs, search
 
 SMALL = "/root/testdata/sf0.001"
 OPS = "operation_id string,target_document_id string,source_document_id string,source_location string,target_location string,target_level string,change string,effective_date date,source_issued_date date,target_component string,replacement_text string,old_text string,new_text string,targets array<string>"
@@ -114,6 +116,26 @@ def test_metrics(spark):
     assert (got["b"].recall, got["b"].precision, got["b"].ndcg) == (0, 0, 0)
 
 
+def test_metrics_of_gold_that_all_cases_share(spark):
+    cases = spark.createDataFrame([("a",), ("b",), ("c",)], "case_id string")
+    ranked = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1), ("b", "x", 2), ("b", "w", 3), ("b", "y", 4)], "case_id string, ident string, position int")
+    shared = spark.createDataFrame([("y", 2), ("z", 1), ("y", 1), ("v", 1), ("x", 0), ("u", 3)], "ident string, relevance int")
+    rounded = lambda rows: {r.case_id: tuple(round(x, 9) for x in (r.recall, r.precision, r.ndcg)) for r in rows.collect()}
+    got = rounded(E.ranking_metrics(cases, ranked, shared))
+    assert got == rounded(E.ranking_metrics(cases, ranked, shared.crossJoin(cases))) and got["b"][0] == 0.5 and got["c"] == (0, 0, 0)
+    assert rounded(E.ranking_metrics(cases, ranked, shared.filter("relevance < 0")))["a"] == (0, 0, 0)
+
+
+def test_every_item_is_scored_against_the_labels(spark, monkeypatch):
+    four = spark.createDataFrame([("bm25", q, d, r) for q in (3, 9, 10, 4000) for r, d in enumerate((7, 8), 1)], "method string, query_id long, doc_id long, rank int")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(runs, "read", lambda spark, sf_dir, name: {"labels": labels}[name])
+    monkeypatch.setattr(runs, "_lists", lambda spark, sf_dir: ())
+    monkeypatch.setattr(P, "configurations", lambda: four)
+    got = {r.case_id: (r.recall, r.precision, r.ndcg) for r in runs.configuration_scores(spark, "").collect()}
+    assert sorted(got) == [3, 9, 10, 4000] and set(got.values()) == {(0.5, 0.5, round(1 / math.log2(3) / (1 + 1 / math.log2(3)), 6))}
+
+
 def test_temporal_off_keeps_every_scope(spark):
     scopes = spark.range(V.BROADCAST_SCOPES + 50).select(F.col("id").alias("scope_id"))
     versions = spark.createDataFrame([("k|V1",), ("k|V2",)], "version_id string")
