@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from palimpso.functions.lineage import shared_dir
 from palimpso.operators import documents as D
 from palimpso.operators import evaluate as E
 from palimpso.operators import pipelines as P
@@ -107,6 +108,29 @@ def test_structured_retrieval_finds_the_right_article(spark):
     assert "Điều 3" in {r.location_label for r in out} and len({r.version_id for r in out}) == len(out)
 
 
+def test_a_documents_text_is_stored_once_for_all_its_pieces(spark, monkeypatch):
+    texts = [(d, " ".join(f"w{(i * 7919 + d) % 4001}" for i in range(12_000))) for d in (1, 2)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame([(k, f"w{k} w{k + 9} w{k + 70}. And w{k + 3}!") for k in range(5)], "item_id long, text string")
+    monkeypatch.setattr(search, "read", lambda spark, sf_dir, name: {"benchmark": items}[name])
+    monkeypatch.setattr(search, "_documents", lambda spark, sf_dir: docs)
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared_dir(spark).removeprefix("file://")) for f in files)
+    before = size()
+    rows = search.retrieval_invariants(spark, "").collect()
+    assert len(rows) == 5 and all(r.gapless and r.once and r.located for r in rows)
+    assert size() - before < 40 * sum(len(t) for _, t in texts)  # five queries reach both; before: 1,114 times
+
+
+def test_provisions_texts_may_be_given_once(spark):
+    rows = [(d * 10 + k, f"D{d}|V1", f"D{d}", f"Điều {d}", k, f"phần{k} của d{d}", f"toàn văn d{d} thuế t{d}", [float(d), float(k)]) for d in range(1, 5) for k in range(3)]
+    full = spark.createDataFrame(rows, "point_id long, version_id string, document_id string, location_label string, sub_chunk_index int, content string, provision_content string, embedding array<double>")
+    once = full.withColumn("provision_content", F.when(F.col("sub_chunk_index") == 0, F.col("provision_content")))
+    queries = spark.createDataFrame([(1, "phần2 của t3", [1.0, 0.0]), (2, "d1 t4", [0.0, 1.0])], "query_id long, text string, embedding array<double>")
+    facts = spark.createDataFrame([(1, "thuế t2"), (2, "văn")], "query_id long, fact string")
+    got = [sorted((r.query_id, r.position, r.version_id, r.provision_content, r.location_score) for r in R.structured_retrieve(p, queries, facts).collect()) for p in (full, once)]
+    assert got[0] == got[1] and all(r[3].startswith("toàn văn") and r[4] for r in got[1])
+
+
 def test_metrics(spark):
     cases = spark.createDataFrame([("a",), ("b",)], "case_id string")
     ranked = spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], "case_id string, ident string, position int")
