@@ -1,5 +1,6 @@
 """The fold of amendments: how its work grows with a document, and what a failed operation leaves."""
 
+import os
 from datetime import date
 
 import pytest
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 
 from palimpso.functions import locations
 from palimpso.operators import versions as V
+from palimpso.plans import amend
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def row(n, label=None):
@@ -79,3 +83,9 @@ def test_affected_points_by_an_equality_join(spark):
     same = locations.canonical_document(F.col("document_id")) == locations.canonical_document(F.col("target_document_id"))
     known = points.join(ops, same & locations.within(F.col("location_label"), F.col("target_location"))).select(*got.columns)
     assert known.count() > 12 and sorted(map(str, got.collect())) == sorted(map(str, known.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_corpus_build_reads_what_it_has_stored(spark):
+    rows = amend.corpus_build(spark, SMALL)
+    assert {os.path.basename(os.path.dirname(f)).split("-")[0] for f in rows.inputFiles()} == {"versions", "documents"}  # before: the tables themselves, once more for each use
